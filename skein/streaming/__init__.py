@@ -1,0 +1,2 @@
+"""Streaming: the reference has no streams, watermarks or state, so nothing
+is built here (see README). All operators are batch DataFrame plans."""
