@@ -115,7 +115,6 @@ def _activate(z: np.ndarray, models: list[Model]) -> np.ndarray:
 
 def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
     """mapInPandas body: partial gradients and losses of one step."""
-    d1 = None
 
     def run(batches):
         W = w_bc.value
@@ -138,7 +137,6 @@ def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
                 "g": np.concatenate([g[nz_f, nz_m], loss]),
             })
 
-    del d1
     return run
 
 
@@ -297,6 +295,8 @@ def batch_gradient(vec_batched: DataFrame, width: int, models: list[Model], W: n
             y = _targets(pdf["label"].to_numpy(dtype=float), models)
             err = _activate(z, models) - y
             bids = pdf["batch_id"].to_numpy()
+            keep = fv != 0  # stored zeros carry no gradient cell
+            fi, fv, row_of = fi[keep], fv[keep], row_of[keep]
             contrib = err[row_of] * fv[:, None]
             keys = pd.DataFrame({"b": bids[row_of], "f": fi + 1})
             for m in range(len(models)):
