@@ -18,7 +18,7 @@ _DEC = "decimal(38,0)"
 
 
 def _mod() -> Column:
-    return F.lit(MOD).cast(_DEC)
+    return F.lit(str(MOD)).cast(_DEC)
 
 
 def _h64(*parts) -> Column:
@@ -43,7 +43,7 @@ def reconstruct_shares(kept: DataFrame, given: DataFrame, keys: list[str]) -> Da
     """Join by key, add modulo 2^63, map the upper half to negatives, decode."""
     j = kept.withColumnRenamed("share", "s1").join(given.withColumnRenamed("share", "s2"), keys)
     tot = F.pmod(F.col("s1") + F.col("s2"), _mod())
-    signed = F.when(tot >= F.lit(MOD // 2).cast(_DEC), tot - _mod()).otherwise(tot)
+    signed = F.when(tot >= F.lit(str(MOD // 2)).cast(_DEC), tot - _mod()).otherwise(tot)
     return j.select(*keys, (signed.cast("double") / F.lit(float(2**FRAC_BITS))).alias("value"))
 
 

@@ -79,6 +79,8 @@ def write_matrix(wide: DataFrame, path: str, fmt: str = "%d") -> None:
     ('%d' casts to integer first, '%.6f' style keeps decimals)."""
     if fmt == "%d":
         cell = lambda x: x.cast("bigint").cast("string")
+    elif fmt == "repr":  # shortest text that reads back to the same double
+        cell = lambda x: x.cast("string")
     else:
         cell = lambda x: F.format_string(fmt, x)
     text = F.array_join(F.transform("features", cell), ",")
