@@ -198,15 +198,20 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
             step = _step_fn(models, bc, sizes)
             part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInPandas(
                 step, "model int, feature_id int, g double")
-            got = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g")).collect()
+            if len(sizes) > 1:
+                # a mini-batch lives in one or two range partitions: their
+                # partial sums (d x M each) come back directly, no reduce stage
+                got = part.collect()
+            else:
+                got = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g")).collect()
             bc.unpersist()
             g = np.zeros((width, M))
             bl = np.zeros(M)
             for r in got:
                 if r["feature_id"] == 0:
-                    bl[r["model"]] = r["g"]
+                    bl[r["model"]] += r["g"]
                 else:
-                    g[r["feature_id"] - 1, r["model"]] = r["g"]
+                    g[r["feature_id"] - 1, r["model"]] += r["g"]
             if decay and epoch > 1 and epoch % 10 == 0:
                 alphas = alphas * 0.95
             B = sizes[b]

@@ -4,10 +4,13 @@ For every row, party and hash position the chosen (party-local, 1-based)
 feature is kept; a row without cells in a party gets -1 at every position.
 
 Plan shape: cells x hashes are generated inside the scan stage, each gets a
-hashed key, and ``min(struct(key, feature))`` per (row, party, hash) is
+hashed key, and ``min_by(feature, key)`` per (row, party, hash) is
 partially aggregated before the only shuffle. Empty rows are handled in the
 same aggregate by unioning one marker per (row, party, hash) with key +inf
-and sample -1, so no join with the row table is needed.
+and sample -1, so no join with the row table is needed. ``min_by`` keeps a
+fixed-width buffer, so the aggregate is hash based (a struct minimum would
+force a sort); keys tie only when two features of a row share a 32-bit
+hash value at the minimum, and such a tie may resolve to either feature.
 
 Hash randomness: uniforms from md5 of ``seed:g:feature`` (g = global hash
 position; party 2 positions follow party 1). When width x hashes is small the
@@ -61,9 +64,9 @@ def _min_sample(keyed: DataFrame, rows: DataFrame, k1: int, k2: int, two_party:
     )
     both = keyed.select("row_id", "party", "hash_id", "key", F.col("fid").cast("int").alias("fid")).unionByName(markers)
     return both.groupBy("row_id", "party", "hash_id").agg(
-        F.min(F.struct("key", "fid")).alias("m")
+        F.min_by("fid", "key").alias("sample")
     ).select("row_id", F.col("party").cast("int").alias("party"), F.col("hash_id").cast("int").alias("hash_id"),
-             F.col("m.fid").cast("int").alias("sample"))
+             F.col("sample").cast("int").alias("sample"))
 
 
 def _with_table(exploded: DataFrame, width: int, k: int, cols: dict[str, Column]) -> DataFrame:

@@ -77,7 +77,9 @@ def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_cells(spark: SparkSession, sf_dir: str, width: int = DOC_WIDTH) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    from skein.session import spread
+
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     tok = d.select(
         F.col("doc_id").alias("row_id"),
         F.explode(F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)).alias("token"),

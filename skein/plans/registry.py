@@ -21,8 +21,21 @@ def _load():
     return queries, oracle
 
 
+def _shipped(fn):
+    def run(spark, sf_dir):
+        from skein.session import ensure_checkpoint_dir, ship_package
+
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def queries():
-    return _load()[0]
+    return {k: _shipped(v) for k, v in _load()[0].items()}
 
 
 def oracle_sql():

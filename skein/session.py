@@ -34,6 +34,7 @@ def get_session(master: str | None = None, app: str = "skein", shuffle_partition
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -62,3 +63,43 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than
+    the cluster has cores (e.g. one large row group); otherwise unchanged."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``skein`` importable on executors (once per SparkContext).
+
+    Arrow-batched Python steps (``mapInPandas``) refer to functions of this
+    package by module, so the package is zipped and added with ``addPyFile``;
+    Spark copies it to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_skein_shipped", False):
+        return
+    import skein
+
+    pkg_dir = os.path.dirname(os.path.abspath(skein.__file__))
+    root = ensure_checkpoint_dir(spark)
+    local_root = root[len("file:"):] if root.startswith("file:") else root
+    if "://" in local_root or not os.path.isdir(local_root):
+        local_root = tempfile.mkdtemp(prefix="skein-pkg-")  # driver-side build; Spark ships the file
+    path = os.path.join(local_root, f"skein-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(path)
+    sc._skein_shipped = True
