@@ -121,20 +121,26 @@ def tensor_sketch_features(cells: DataFrame, rows: DataFrame, width: int, k: int
 
     def convolve(batches):
         for pdf in batches:
-            out_rows, out_party, out_comp, out_val = [], [], [], []
-            for rid, party, cl in zip(pdf["row_id"], pdf["party"], pdf["cells"]):
-                kp = k1 if party == 1 else k2
-                c = np.zeros((2, kp))
-                for e in cl:
-                    c[int(e["copy"]), int(e["bucket"])] += float(e["v"])
-                conv = np.real(np.fft.ifft(np.fft.fft(c[0]) * np.fft.fft(c[1])))
-                out_rows.append(np.full(kp, rid, dtype=np.int64))
-                out_party.append(np.full(kp, party, dtype=np.int32))
-                out_comp.append(np.arange(kp, dtype=np.int32))
-                out_val.append(conv)
-            if out_rows:
+            if pdf.empty:
+                continue
+            for party, kp in ((1, k1), (2, k2)):
+                sub = pdf[pdf["party"] == party]
+                if sub.empty or kp == 0:
+                    continue
+                n = len(sub)
+                lens = sub["cells"].map(len).to_numpy()
+                flat = [e for cl in sub["cells"] for e in cl]
+                row_of = np.repeat(np.arange(n), lens)
+                cp = np.fromiter((e["copy"] for e in flat), dtype=np.int64, count=len(flat))
+                bk = np.fromiter((e["bucket"] for e in flat), dtype=np.int64, count=len(flat))
+                vv = np.fromiter((e["v"] for e in flat), dtype=np.float64, count=len(flat))
+                c = np.zeros((n, 2, kp))
+                np.add.at(c, (row_of, cp, bk), vv)
+                conv = np.real(np.fft.ifft(np.fft.fft(c[:, 0, :], axis=1) * np.fft.fft(c[:, 1, :], axis=1), axis=1))
                 yield pd.DataFrame({
-                    "row_id": np.concatenate(out_rows), "party": np.concatenate(out_party),
-                    "comp": np.concatenate(out_comp), "value": np.concatenate(out_val)})
+                    "row_id": np.repeat(sub["row_id"].to_numpy(dtype=np.int64), kp),
+                    "party": np.full(n * kp, party, dtype=np.int32),
+                    "comp": np.tile(np.arange(kp, dtype=np.int32), n),
+                    "value": conv.reshape(-1)})
 
     return per_row.mapInPandas(convolve, "row_id long, party int, comp int, value double")

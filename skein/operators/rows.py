@@ -59,11 +59,12 @@ def kth_smallest(df: DataFrame, col: str, k: int) -> tuple[int, int]:
     return lo, below
 
 
-def global_position(df: DataFrame, order_col: str, partitions: int | None = None) -> DataFrame:
-    """Add ``pos`` = 0-based rank of each row by a unique ``order_col``."""
+def global_position(df: DataFrame, order_col: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Add ``pos`` = 0-based rank of each row by unique ``order_col`` value(s)."""
     spark = df.sparkSession
+    cols = [order_col] if isinstance(order_col, str) else list(order_col)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, F.col(order_col)).withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(p, *[F.col(c) for c in cols]).withColumn("_pid", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offsets, acc = [], 0
@@ -71,7 +72,7 @@ def global_position(df: DataFrame, order_col: str, partitions: int | None = None
         offsets.append((pid, acc))
         acc += c
     off = spark.createDataFrame(offsets, "_pid int, _off long")  # one row per partition
-    w = Window.partitionBy("_pid").orderBy(order_col)
+    w = Window.partitionBy("_pid").orderBy(*cols)
     return (
         ranged.join(F.broadcast(off), "_pid")
         .withColumn("pos", F.col("_off") + F.row_number().over(w) - 1)
@@ -201,5 +202,8 @@ def shuffle_batches(batch_ids: DataFrame, epochs: int, seed: int = 1) -> DataFra
     epoch in the order of h32(seed:epoch:batch_id), ties by batch_id."""
     ep = batch_ids.select("batch_id", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     key = F.when(F.col("epoch") == 1, F.col("batch_id").cast("bigint")).otherwise(h32(F.lit(seed), F.col("epoch"), F.col("batch_id")))
-    w = Window.partitionBy("epoch").orderBy(key, F.col("batch_id"))
-    return ep.select("epoch", "batch_id", (F.row_number().over(w) - 1).cast("int").alias("visit"))
+    n_batches = batch_ids.count()
+    # every epoch holds all batches, so an epoch starts at (epoch-1)*n_batches
+    ranked = global_position(ep.withColumn("_key", key), ["epoch", "_key", "batch_id"])
+    visit = F.col("pos") - (F.col("epoch") - 1) * F.lit(n_batches)
+    return ranked.select("epoch", "batch_id", visit.cast("int").alias("visit"))

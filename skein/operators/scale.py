@@ -7,8 +7,8 @@ codegen, so no join is needed. ``fit_on='train'`` fits on train rows only
 and applies to every row; ``fit_on='each'`` refits per split (what the
 reference does: it calls fit_transform on train and on test).
 
-Known scale limit: the robust scaler uses Spark's exact ``percentile``, whose
-per-feature state grows with the number of distinct values of that feature.
+The robust scaler's quartiles come from ``quantiles.py`` (exact order
+statistics by interval narrowing), never from a per-feature value map.
 """
 
 from __future__ import annotations
@@ -105,9 +105,26 @@ def scale_maxabs(wide: DataFrame, fit_on: str = "train") -> DataFrame:
     return _apply(wide, st, fn)
 
 
+def _quantile_stats(wide: DataFrame, fit_on: str) -> dict[str, dict[str, list[float]]]:
+    """Per-feature quartiles by exact distributed order statistics."""
+    from skein.operators.quantiles import quantiles
+
+    if fit_on == "each":
+        ex, keys = _exploded(wide, "split"), ["split", "pos"]
+    else:
+        src = wide.where(F.col("split") == "train") if (fit_on == "train" and "split" in wide.columns) else wide
+        ex, keys = _exploded(src, None), ["pos"]
+    qs = quantiles(ex.select(*keys, "value"), keys, "value", [0.25, 0.5, 0.75])
+    out: dict[str, dict[str, dict[int, float]]] = {}
+    for g, (q1, med, q3) in qs.items():
+        split = g[0] if fit_on == "each" else "*"
+        d = out.setdefault(split, {"q1": {}, "med": {}, "q3": {}})
+        d["q1"][g[-1]], d["med"][g[-1]], d["q3"][g[-1]] = q1, med, q3
+    return {s: {k: [v[i] for i in range(len(v))] for k, v in d.items()} for s, d in out.items()}
+
+
 def scale_robust(wide: DataFrame, fit_on: str = "train") -> DataFrame:
-    q = lambda p: F.percentile("value", F.lit(p))
-    st = _stats(wide, {"q1": q(0.25), "med": q(0.5), "q3": q(0.75)}, fit_on)
+    st = _quantile_stats(wide, fit_on)
 
     def fn(x, i, a):
         iqr = _at(a["q3"], i) - _at(a["q1"], i)

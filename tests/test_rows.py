@@ -51,3 +51,24 @@ def test_shuffle_batches_is_permutation(spark):
         assert sorted(order) == list(range(9))
         if e == 1:
             assert order == list(range(9))
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+
+    from skein.operators import quantiles as Qn
+
+    rng = np.random.RandomState(4)
+    data = [(g, float(v)) for g in range(3) for v in np.concatenate([rng.exponential(size=3000) ** 3, [5.0] * 700])]
+    data += [(3, 2.0)] * 10 + [(4, 1.0)]
+    df = spark.createDataFrame(data, "g int, value double")
+    old = Qn.SMALL
+    Qn.SMALL = 50  # force several narrowing rounds
+    try:
+        got = Qn.quantiles(df, ["g"], "value", [0.25, 0.5, 0.75, 0.9])
+    finally:
+        Qn.SMALL = old
+    for g in range(5):
+        xs = np.array([v for gg, v in data if gg == g])
+        want = np.quantile(xs, [0.25, 0.5, 0.75, 0.9])
+        np.testing.assert_allclose(got[(g,)], want, rtol=1e-12)
