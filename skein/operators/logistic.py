@@ -140,13 +140,45 @@ def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
     return run
 
 
+ROWS_PER_PARTITION = 1 << 18
+
+
+INLINE_WEIGHT_BYTES = 1 << 20
+
+
+class _Inline:
+    """Small weights travel inside the task closure; large ones as a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def unpersist(self):
+        pass
+
+
+def _ship_weights(spark, W: np.ndarray):
+    if W.nbytes <= INLINE_WEIGHT_BYTES:
+        return _Inline(W)
+    return spark.sparkContext.broadcast(W)
+
+
 def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, dict[int, int]]:
-    """Assign contiguous batches, cluster rows by batch and cache."""
-    from skein.operators.rows import assign_batches, batch_sizes
+    """Assign contiguous batches, cluster rows by batch and cache.
+
+    Batches are contiguous in row order, so every batch has ``batch_size``
+    rows except the last (the remainder); sizes follow from the row count.
+    Partitions hold about ``ROWS_PER_PARTITION`` rows (capped by the shuffle
+    partition count), so a step over one batch touches few, full partitions.
+    """
+    from skein.operators.rows import assign_batches
 
     batched = assign_batches(vec, batch_size).drop("pos")
-    sizes = {int(r["batch_id"]): int(r["batch_rows"]) for r in batch_sizes(batched).collect()}
-    n_parts = max(1, min(len(sizes), int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    n = batched.count()
+    nb = max(1, -(-n // batch_size))
+    sizes = {b: batch_size for b in range(nb - 1)}
+    sizes[nb - 1] = n - (nb - 1) * batch_size
+    cap = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = max(1, min(nb, cap, -(-n // ROWS_PER_PARTITION)))
     clustered = batched.repartitionByRange(n_parts, "batch_id").persist(StorageLevel.MEMORY_AND_DISK)
     return clustered, sizes
 
@@ -194,7 +226,7 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     for epoch in range(1, max_iter + 1):
         losses = np.zeros(M)
         for b in (visit_order or {}).get(epoch, order):
-            bc = spark.sparkContext.broadcast(W)
+            bc = _ship_weights(spark, W)
             step = _step_fn(models, bc, sizes)
             part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInPandas(
                 step, "model int, feature_id int, g double")

@@ -16,7 +16,8 @@ from skein.operators import shares as I
 from skein.operators import squeeze as Q
 from skein.plans import fixtures as X
 from skein.plans.sketch_queries import (B_BITS, DOC_BASE, K1, K2, KH, N, N1, N2, P, SQUEEZE_COMBOS, _doc_split_sql,
-                                        _squeeze_sql, _with_split, doc_samples, sql_samples)
+                                        _squeeze_sql, _with_split, doc_samples, shared_cells,
+                                        sql_samples)
 from skein.plans.sqltext import key, with_
 from skein.plans.sqltext import r6 as s6
 from skein.session import scratch_path
@@ -89,8 +90,9 @@ def _write_dense_matrix(spark, sf):
                          ("sq", _squeeze_sql())) + """
 SELECT party, row_id, col FROM sq WHERE method = 'pminhash' AND size = 4 AND split = 'test'""")
 def _catalog_read(spark, sf):
-    by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash")),
-          "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws"))}
+    cells = shared_cells(spark, sf)
+    by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash", cells=cells)),
+          "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws", cells=cells))}
     root = scratch_path(spark, "catalog")
     M.write_sketch(Q.squeeze_job(by, SQUEEZE_COMBOS, N, P, KH), root)
     got = M.read_sketch(spark, root, method="pminhash", size=4, split="test")

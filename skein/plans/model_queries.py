@@ -45,7 +45,12 @@ def q(name, sql=None):
 
 # ------------------------------------------------------------ Spark inputs
 def li_model_data(spark, sf):
-    w = R.normalise_labels(R.split_ordered(X.li_wide(spark, sf)))
+    from skein.session import cut_lineage
+
+    # the chain below runs several small jobs over the same rows: cut the
+    # lineage once so the lineitem aggregate is not recomputed by each
+    base = cut_lineage(X.li_wide(spark, sf))
+    w = R.normalise_labels(R.split_ordered(base))
     return D.scale_minmax(w, fit_on="train")
 
 

@@ -45,8 +45,9 @@ def q(name, sql=None):
 
 
 # ------------------------------------------------------------ Spark inputs
-def doc_samples(spark, sf, method="pminhash", two_party=True):
-    rows, cells = X.doc_rows(spark, sf), X.doc_cells(spark, sf)
+def doc_samples(spark, sf, method="pminhash", two_party=True, cells=None):
+    rows = X.doc_rows(spark, sf)
+    cells = X.doc_cells(spark, sf) if cells is None else cells
     fn = SM.pminhash_samples if method == "pminhash" else SM.cws_samples
     return fn(cells, rows, N, KH, P if two_party else None, seed=SEED)
 
@@ -242,6 +243,14 @@ def _squeeze_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def shared_cells(spark, sf):
+    """DOC cells written once to the shared checkpoint folder when two
+    samplers read them in the same query."""
+    from skein.session import cut_lineage
+
+    return cut_lineage(X.doc_cells(spark, sf))
+
+
 def _with_split(spark, sf, samples):
     sp = R.split_ordered(X.doc_rows(spark, sf)).select("row_id", "split")
     return samples.join(sp, "row_id")
@@ -249,8 +258,9 @@ def _with_split(spark, sf, samples):
 
 @q("squeeze_job", with_(*DOC_BASE, *sql_samples("pminhash"), *sql_samples("0bitcws", prefix="w"), _doc_split_sql()) + _squeeze_sql())
 def _squeeze_job(spark, sf):
-    by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash")),
-          "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws"))}
+    cells = shared_cells(spark, sf)
+    by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash", cells=cells)),
+          "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws", cells=cells))}
     out = Q.squeeze_job(by, SQUEEZE_COMBOS, N, P, KH)
     return out.select("method", F.col("k").cast("int"), "squeeze", F.col("size").cast("int"), "split", "party", "row_id", "col")
 
