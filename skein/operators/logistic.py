@@ -9,9 +9,10 @@ SGD step is one Spark job over the rows of that step's batch:
   groupBy sum   partial sums combined across partitions (feature 0 = loss)
   driver        W <- W - C*alpha*g/B - lambda*alpha*W/B   (d x M numbers)
 
-Weights travel as a Spark broadcast whose size is checked against
-``MAX_BROADCAST_BYTES``; the job count is epochs x batches, independent of
-the number of models. Semantics follow the sequential definition exactly:
+Weights up to 1 MB ride in the task closure, larger ones as a Spark
+broadcast; beyond ``MAX_BROADCAST_BYTES`` the relational path
+(``train_relational``) keeps them as a table joined on feature_id. The job
+count is epochs x batches, independent of the number of models. Semantics follow the sequential definition exactly:
 batches are visited one after another and each update sees the previous one.
 """
 
@@ -214,7 +215,8 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     spark = vec.sparkSession
     M = len(models)
     if width * M * 8 > MAX_BROADCAST_BYTES:
-        raise ValueError(f"weights {width}x{M} exceed the broadcast bound; reduce width or models")
+        return train_relational(vec, width, models, batch_size, max_iter, snapshot_epochs, eps,
+                                stop_on_converge, decay, visit_order, prepared)
     data, sizes = prepared or prepare(vec, batch_size)
     n_rows = sum(sizes.values())
     W = np.zeros((width, M))
@@ -269,6 +271,107 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     return res
 
 
+# ------------------------------------------------------------------ relational weights
+@dataclass
+class RelationalResult:
+    weights: DataFrame                        # (model_id, feature_id, w), final
+    snapshots: dict[int, DataFrame]           # epoch -> (model_id, feature_id, w)
+    history: list[dict] = field(default_factory=list)
+    steps: list[dict] = field(default_factory=list)
+
+
+CHECKPOINT_EVERY = 4
+
+
+def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_iter: int,
+                     snapshot_epochs: int | None = None, eps: float = 1e-6, stop_on_converge: bool = False,
+                     decay: bool = False, visit_order: dict[int, list[int]] | None = None,
+                     prepared: tuple[DataFrame, dict[int, int]] | None = None) -> RelationalResult:
+    """Same rule as ``train`` with the weights kept as a table (G9, §4.3 #3).
+
+    Used when d x M is too large to broadcast. A step joins the batch cells
+    with the weights on feature_id, sums z per (row, model), forms errors,
+    joins them back on row_id and sums gradients per (model, feature); the
+    update is a full outer join of weights and gradients. Only the M loss
+    sums reach the driver; lineage is cut every ``CHECKPOINT_EVERY`` steps.
+    """
+    from skein.functions.activation import activation_by_name
+    from skein.session import cut_lineage
+
+    spark = vec.sparkSession
+    for mod in models:
+        mod.activation = canonical(mod.activation)
+    data, sizes = prepared or prepare(vec, batch_size)
+    n_rows = sum(sizes.values())
+    cells = data.select("row_id", "batch_id", F.posexplode(F.arrays_zip("idx", "val")).alias("_p", "e")).select(
+        "row_id", "batch_id", F.col("e.idx").alias("feature_id"), F.col("e.val").alias("value")).where(F.col("value") != 0)
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = data.select("row_id", "batch_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    params = spark.createDataFrame(
+        [(m.model_id, m.activation, m.alpha, m.lambda_para, m.c, m.penalty, m.pos_label) for m in models],
+        "model_id long, act string, alpha double, lam double, c double, penalty string, pos_label int")
+    params = F.broadcast(params)  # one row per model
+    mids = F.array(*[F.lit(m.model_id).cast("bigint") for m in models])
+    W = spark.createDataFrame([], "model_id long, feature_id int, w double")
+    res = RelationalResult(weights=W, snapshots={})
+    snap_max = snapshot_epochs if snapshot_epochs is not None else max_iter
+    prev = {m.model_id: 0.0 for m in models}
+    factor = 1.0
+    step_no = 0
+    for epoch in range(1, max_iter + 1):
+        losses = {m.model_id: 0.0 for m in models}
+        for b in (visit_order or {}).get(epoch, sorted(sizes)):
+            B = float(sizes[b])
+            if decay and epoch > 1 and epoch % 10 == 0:
+                factor *= 0.95
+            bc = cells.where(F.col("batch_id") == b)
+            z = bc.join(W, "feature_id").groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
+            grid = rows.where(F.col("batch_id") == b).select("row_id", "label", F.explode(mids).alias("model_id"))
+            e = grid.join(z, ["row_id", "model_id"], "left").join(params, "model_id")
+            zc = F.coalesce(F.col("z"), F.lit(0.0))
+            y = F.when(F.col("pos_label").isNull(), F.col("label").cast("double")).otherwise(
+                F.when(F.col("label") == F.col("pos_label"), F.lit(1.0)).otherwise(F.lit(0.0)))
+            e = e.select("row_id", "model_id", (activation_by_name(zc, F.col("act")) - y).alias("err"),
+                         ((F.lit(-0.5) * zc + y * zc - F.lit(0.125) * zc * zc) * F.lit(-1.0 / B) - F.lit(LN_HALF)).alias("lr"))
+            e = e.persist(StorageLevel.MEMORY_AND_DISK)
+            for r in e.groupBy("model_id").agg(F.sum("lr").alias("l")).collect():  # M numbers
+                losses[r["model_id"]] += r["l"]
+            g = bc.join(e.select("row_id", "model_id", "err"), "row_id").groupBy("model_id", "feature_id").agg(
+                F.sum(F.col("err") * F.col("value")).alias("g"))
+            upd = W.join(g, ["model_id", "feature_id"], "full_outer").join(params, "model_id")
+            w0 = F.coalesce(F.col("w"), F.lit(0.0))
+            pen = (F.when(F.col("penalty").isin("always", "l2"), w0)
+                   .when(F.col("penalty") == "l1", F.signum(w0)).otherwise(F.lit(0.0)))
+            a = F.col("alpha") * F.lit(factor)
+            neww = w0 - F.col("c") * a * F.coalesce(F.col("g"), F.lit(0.0)) / F.lit(B) - F.col("lam") * a * pen / F.lit(B)
+            W = upd.select("model_id", "feature_id", neww.alias("w"))
+            step_no += 1
+            if step_no % CHECKPOINT_EVERY == 0:
+                W = cut_lineage(W)
+            e.unpersist()
+            for m in models:
+                res.steps.append({"model_id": m.model_id, "epoch": epoch, "batch_id": b, "batch_loss": None,
+                                  "alpha": m.alpha * factor})
+        W = cut_lineage(W)
+        conv = {}
+        for m in models:
+            loss = losses[m.model_id] / n_rows
+            conv[m.model_id] = abs(prev[m.model_id] - loss) < eps
+            res.history.append({"model_id": m.model_id, "epoch": epoch, "loss": loss, "converged": conv[m.model_id],
+                                "overflow": math.isnan(loss) or math.isinf(loss)})
+            prev[m.model_id] = loss
+        if epoch <= snap_max:
+            res.snapshots[epoch] = W
+        if stop_on_converge and all(conv.values()):
+            break
+    res.weights = W
+    cells.unpersist()
+    rows.unpersist()
+    if prepared is None:
+        data.unpersist()
+    return res
+
+
 # ------------------------------------------------------------------ result tables
 def weights_frame(spark, res: TrainResult, models: list[Model], epochs: list[int] | None = None) -> DataFrame:
     """snapshots(model_id, epoch, feature_id, w) for the requested epochs."""

@@ -84,6 +84,20 @@ def test_snapshots_and_convergence_flag(vec):
     assert conv == [False, True, True]
 
 
-def test_broadcast_bound(vec):
-    with pytest.raises(ValueError):
-        L.train(vec, 10**9, [L.Model(0)], batch_size=7, max_iter=1)
+def test_relational_path_equals_broadcast_path(vec):
+    models = [L.Model(**vars(m)) for m in MODELS]
+    fast = L.train(vec, 3, [L.Model(**vars(m)) for m in models], batch_size=3, max_iter=3, decay=True)
+    rel = L.train_relational(vec, 3, [L.Model(**vars(m)) for m in models], batch_size=3, max_iter=3, decay=True)
+    got = {(r["model_id"], r["feature_id"]): r["w"] for r in rel.weights.collect()}
+    for m, mod in enumerate(models):
+        for f in range(3):
+            assert abs(got.get((mod.model_id, f + 1), 0.0) - fast.weights[f, m]) < 1e-12
+    fl = [h["loss"] for h in fast.history]
+    rl = [h["loss"] for h in rel.history]
+    np.testing.assert_allclose(rl, fl, rtol=1e-12)
+
+
+def test_train_switches_to_relational_beyond_bound(vec, monkeypatch):
+    monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", 1)
+    res = L.train(vec, 3, [L.Model(0, "linear", 0.1)], batch_size=7, max_iter=1)
+    assert isinstance(res, L.RelationalResult)
