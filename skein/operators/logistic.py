@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from skein.functions.activation import activation_np, canonical
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+BROADCAST_WEIGHT_ROWS = 2_000_000
 LN_HALF = math.log(0.5)
 
 
@@ -406,6 +407,8 @@ def linear_score(cells: DataFrame, weights: DataFrame, rows: DataFrame | None =
     feature_id, w)`` is joined on feature_id (broadcast when small); rows
     without cells get z = 0 when ``rows`` is given."""
     w = weights.select("model_id", "feature_id", "w")
+    if weights.count() <= BROADCAST_WEIGHT_ROWS:
+        w = F.broadcast(w)  # size checked; larger tables take a shuffle join (AQE splits hot features)
     z = cells.join(w, "feature_id").groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
     if rows is None:
         return z

@@ -1,8 +1,9 @@
 """Matrix text sources and sinks, and the sketch artifact catalog (A1-A4).
 
 Headerless text matrices identify rows by line number, so a scan assigns
-``row_id`` once with ``zipWithIndex`` over the text lines (files taken in
-name order, lines in file order); everything downstream joins on row_id.
+``row_id`` once from (file path, split start, position in split), ranked on
+the JVM (files taken in name order, lines in file order); everything
+downstream joins on row_id.
 Writers sort by row_id, so part files in name order hold rows in order.
 """
 
@@ -29,10 +30,21 @@ def _text_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id BIGINT, line STRING), row_id = 0-based line number."""
+    """(row_id BIGINT, line STRING), row_id = 0-based line number over the
+    files in name order.
+
+    Line order is recovered on the JVM: inside one file split the lines keep
+    their order (``monotonically_increasing_id`` grows with it), splits of a
+    file are ordered by their start offset, files by path. The global rank
+    over (path, split start, id) is computed by ``global_position``.
+    """
+    from skein.operators.rows import global_position
+
     files = _text_files(spark, path)
-    rdd = spark.sparkContext.textFile(",".join(files)).zipWithIndex().map(lambda t: (t[1], t[0]))
-    return spark.createDataFrame(rdd, "row_id long, line string")
+    df = spark.read.text(files).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line"))
+    return global_position(df, ["_f", "_b", "_m"]).select(F.col("pos").alias("row_id"), "line")
 
 
 # ------------------------------------------------------------------ A1

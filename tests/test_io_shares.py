@@ -62,3 +62,17 @@ def test_shares_reconstruct_exactly(spark):
         assert back[i] == round(v * 65536) / 65536
     # a share alone reveals nothing obvious: kept shares differ from the encoded values
     assert kept.where(F.col("share") == F.lit(0)).count() <= 1
+
+
+def test_read_lines_order_across_splits(spark):
+    base = scratch_path(spark, "lines")
+    lines = [f"{i},{i * 2}" for i in range(20000)]
+    _write(f"{base}/part-00000.txt", lines[:12000])
+    _write(f"{base}/part-00001.txt", lines[12000:])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # many splits per file
+    try:
+        got = [r["line"] for r in M.read_lines(spark, base).orderBy("row_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == lines
