@@ -244,11 +244,10 @@ def _squeeze_sql() -> str:
 
 
 def shared_cells(spark, sf):
-    """DOC cells written once to the shared checkpoint folder when two
-    samplers read them in the same query."""
-    from skein.session import cut_lineage
-
-    return cut_lineage(X.doc_cells(spark, sf))
+    """DOC cells read by both samplers of one query: the two branches carry
+    the identical tokenisation exchange, which Spark computes once and reuses
+    (ReusedExchange), so no intermediate table is written."""
+    return X.doc_cells(spark, sf)
 
 
 def _with_split(spark, sf, samples):
