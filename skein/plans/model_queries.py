@@ -408,3 +408,57 @@ def _sweep_leaderboard(spark, sf):
 
 
 del math
+
+
+# ------------------------------------------------------------ sketches -> model (F16 -> F8 -> G9 -> H1/H3)
+SK_C = 4
+SK_EPOCHS = 3
+SK_MODELS = [L.Model(0, "linear", 0.5)]
+
+
+def _sketch_model_sql(out: str = "acc") -> str:
+    from skein.operators import squeeze as Q
+    from skein.plans import sketch_queries as SQ
+
+    a, b = Q.hash_params(SK_C, SQ.KH, SQ.SEED)
+    enc = SQ._indep_hash_sql(SK_C, a, b)
+    width = sum(Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C))
+    ctes, steps = sql_train(SK_MODELS, width, SK_EPOCHS, 1)
+    snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, bb, s in steps)
+    base = [
+        *SQ.DOC_BASE, *SQ.sql_samples("pminhash"),
+        ("sk", f"SELECT row_id, CAST({enc} + 1 AS INTEGER) AS feature_id, 1.0::DOUBLE AS value FROM s_samples WHERE sample NOT IN (-1, 0)"),
+        ("lab", """SELECT row_id, label, CASE WHEN rn <= m - CAST(ceil(0.2 * m) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+            FROM (SELECT row_id, label, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS m
+                  FROM doc_rows WHERE label IS NOT NULL) t"""),
+        ("tx", "SELECT s.row_id, s.feature_id, s.value FROM sk s JOIN lab l ON s.row_id = l.row_id WHERE l.split = 'train'"),
+        ("tr", "SELECT row_id, label, 0 AS batch_id, count(*) OVER () AS bsz FROM lab WHERE split = 'train'"),
+        ("vx", "SELECT s.row_id, s.feature_id, s.value FROM sk s JOIN lab l ON s.row_id = l.row_id WHERE l.split = 'test'"),
+        ("vr", "SELECT row_id, label FROM lab WHERE split = 'test'"),
+    ]
+    return with_(*base, *ctes, ("snap", snap), ("zt", _score_sql("snap")), materialize=True) + f"""
+SELECT CAST(epoch AS INTEGER) AS epoch,
+       {s6(f"avg(CASE WHEN (CASE WHEN {sql_activation('z.z', 'linear')} >= 0.5 THEN 1 ELSE 0 END) = r.label THEN 1.0 ELSE 0.0 END)")} AS accuracy
+FROM zt z JOIN vr r ON z.row_id = r.row_id GROUP BY epoch"""
+
+
+@q("sketch_logistic_accuracy", _sketch_model_sql())
+def _sketch_logistic_accuracy(spark, sf):
+    from skein.operators import squeeze as Q
+    from skein.plans import sketch_queries as SQ
+
+    rows = R.split_ordered(X.doc_rows(spark, sf).where(F.col("label").isNotNull()))
+    samples = SQ.doc_samples(spark, sf, "pminhash")
+    sk = Q.squeeze(samples, "pminhash", SK_C, SQ.N, SQ.P, SQ.KH)          # re-cut at the party border
+    w1, w2 = Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C)
+    cells = sk.select("row_id", (F.col("col") + 1 + F.when(F.col("party") == 2, F.lit(w1)).otherwise(F.lit(0)))
+                      .cast("int").alias("feature_id"), F.lit(1.0).alias("value"))
+    train_rows = rows.where(F.col("split") == "train").select("row_id", "label")
+    test_rows = rows.where(F.col("split") == "test").select("row_id", "label")
+    vec = L.vectors_from_cells(cells.join(train_rows.select("row_id"), "row_id", "left_semi"), train_rows)
+    ms = [L.Model(**vars(m)) for m in SK_MODELS]
+    res = L.train(vec, w1 + w2, ms, FULL, SK_EPOCHS)
+    test_cells = cells.join(test_rows.select("row_id"), "row_id", "left_semi")
+    z = H.scores(test_cells, test_rows, L.weights_frame(spark, res, ms))
+    acc = H.accuracy(H.predict_binary(z, test_rows, "linear"))
+    return acc.select(F.col("epoch").cast("int"), r6(F.col("accuracy")).alias("accuracy"))
