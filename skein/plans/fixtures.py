@@ -76,6 +76,12 @@ def doc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(spark_empty)
 
 
+def doc_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row ids of DOC (documents plus the two empty rows), without labels."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
+    return d.unionByName(spark.range(1, 3).select((-F.col("id")).alias("row_id")))
+
+
 def doc_cells(spark: SparkSession, sf_dir: str, width: int = DOC_WIDTH) -> DataFrame:
     from skein.session import spread
 

@@ -46,7 +46,7 @@ def q(name, sql=None):
 
 # ------------------------------------------------------------ Spark inputs
 def doc_samples(spark, sf, method="pminhash", two_party=True, cells=None):
-    rows = X.doc_rows(spark, sf)
+    rows = X.doc_row_ids(spark, sf)
     cells = X.doc_cells(spark, sf) if cells is None else cells
     fn = SM.pminhash_samples if method == "pminhash" else SM.cws_samples
     return fn(cells, rows, N, KH, P if two_party else None, seed=SEED)
