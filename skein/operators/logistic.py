@@ -31,6 +31,7 @@ from skein.functions.activation import activation_np, canonical
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 BROADCAST_WEIGHT_ROWS = 2_000_000
+DIRECT_COLLECT_VALUES = 2_000_000   # partitions x d x M partial sums read by the driver
 LN_HALF = math.log(0.5)
 
 
@@ -174,15 +175,24 @@ def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, dict[int, int]]
     """
     from skein.operators.rows import assign_batches
 
-    batched = assign_batches(vec, batch_size).drop("pos")
-    n = batched.count()
+    n = vec.count()
+    if batch_size >= n:
+        batched = vec.withColumn("batch_id", F.lit(0))  # full batch: no ranking needed
+    else:
+        batched = assign_batches(vec, batch_size).drop("pos")
     nb = max(1, -(-n // batch_size))
     sizes = {b: batch_size for b in range(nb - 1)}
     sizes[nb - 1] = n - (nb - 1) * batch_size
     cap = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = max(1, min(nb, cap, -(-n // ROWS_PER_PARTITION)))
-    clustered = batched.repartitionByRange(n_parts, "batch_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return clustered, sizes
+    n_parts = max(1, min(cap, -(-n // ROWS_PER_PARTITION)))
+    if nb == 1:
+        # one batch: every step reads everything, so keep rows spread out
+        clustered = batched if batched.rdd.getNumPartitions() >= n_parts else batched.repartition(n_parts)
+    else:
+        # (batch_id, row_id) ranges: a batch sits in few partitions, and a
+        # large batch still spans several instead of one task
+        clustered = batched.repartitionByRange(n_parts, "batch_id", "row_id")
+    return clustered.persist(StorageLevel.MEMORY_AND_DISK), sizes
 
 
 def _update(W: np.ndarray, g: np.ndarray, B: int, models: list[Model], alphas: np.ndarray) -> np.ndarray:
@@ -220,6 +230,7 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
                                 stop_on_converge, decay, visit_order, prepared)
     data, sizes = prepared or prepare(vec, batch_size)
     n_rows = sum(sizes.values())
+    n_parts = data.rdd.getNumPartitions()
     W = np.zeros((width, M))
     alphas = np.array([m.alpha for m in models], dtype=float)
     snap_max = snapshot_epochs if snapshot_epochs is not None else max_iter
@@ -233,9 +244,9 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
             step = _step_fn(models, bc, sizes)
             part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInPandas(
                 step, "model int, feature_id int, g double")
-            if len(sizes) > 1:
-                # a mini-batch lives in one or two range partitions: their
-                # partial sums (d x M each) come back directly, no reduce stage
+            if len(sizes) > 1 or n_parts * width * M <= DIRECT_COLLECT_VALUES:
+                # a mini-batch lives in one or two range partitions (or there are
+                # few partitions): the partial sums come back directly
                 got = part.collect()
             else:
                 got = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g")).collect()

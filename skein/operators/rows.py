@@ -25,12 +25,17 @@ from skein.session import cut_lineage
 _BUCKET_BITS = 16
 
 
-def kth_smallest(df: DataFrame, col: str, k: int) -> tuple[int, int]:
+def column_range(df: DataFrame, col: str):
+    return df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("n")).collect()[0]
+
+
+def kth_smallest(df: DataFrame, col: str, k: int, stats=None) -> tuple[int, int]:
     """Exact k-th smallest (1-based) of an integer column.
 
-    Returns (value, rows_strictly_below_value).
+    Returns (value, rows_strictly_below_value). ``stats`` may carry a
+    precomputed (lo, hi, n) row from ``column_range``.
     """
-    stats = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("n")).collect()[0]
+    stats = stats or column_range(df, col)
     if stats["n"] < k or k < 1:
         raise ValueError(f"k={k} outside 1..{stats['n']}")
     lo, hi = int(stats["lo"]), int(stats["hi"])
@@ -135,12 +140,13 @@ def split_ordered(rows: DataFrame, test_size: float = 0.2) -> DataFrame:
 
     Adds ``split`` = 'train' | 'test'.
     """
-    m = rows.count()
+    stats = column_range(rows, "row_id")
+    m = stats["n"]
     n_test = int(math.ceil(test_size * m))
     n_train = m - n_test
     if n_train <= 0:
         return rows.withColumn("split", F.lit("test"))
-    cut, _ = kth_smallest(rows, "row_id", n_train)
+    cut, _ = kth_smallest(rows, "row_id", n_train, stats)
     return rows.withColumn("split", F.when(F.col("row_id") <= cut, F.lit("train")).otherwise(F.lit("test")))
 
 

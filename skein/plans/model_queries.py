@@ -453,6 +453,9 @@ def _sketch_logistic_accuracy(spark, sf):
     w1, w2 = Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C)
     cells = sk.select("row_id", (F.col("col") + 1 + F.when(F.col("party") == 2, F.lit(w1)).otherwise(F.lit(0)))
                       .cast("int").alias("feature_id"), F.lit(1.0).alias("value"))
+    from skein.session import cut_lineage
+
+    cells = cut_lineage(cells)  # rows x k ones, read by training and by scoring
     train_rows = rows.where(F.col("split") == "train").select("row_id", "label")
     test_rows = rows.where(F.col("split") == "test").select("row_id", "label")
     vec = L.vectors_from_cells(cells.join(train_rows.select("row_id"), "row_id", "left_semi"), train_rows)
