@@ -92,16 +92,18 @@ def sample_exact(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
     Order key: h32(seed:row_id), ties broken by row_id. Returns the selected
     rows (all columns of ``rows``).
     """
-    keyed = rows.withColumn("_k", h32(F.lit(seed), F.col("row_id")))
-    total = keyed.count()
-    if n >= total:
+    key = h32(F.lit(seed), F.col("row_id"))
+    # the selection makes several passes: materialise only (row_id, key) once
+    keys = cut_lineage(rows.select("row_id", key.alias("_k")))
+    stats = column_range(keys, "_k")
+    if n >= stats["n"]:
         return rows
-    cut, below = kth_smallest(keyed, "_k", n)
+    cut, below = kth_smallest(keys, "_k", n, stats)
     need = n - below
-    at_cut = keyed.where(F.col("_k") == cut)
+    at_cut = keys.where(F.col("_k") == cut)
     last_id, _ = kth_smallest(at_cut, "row_id", need)
-    keep = (F.col("_k") < cut) | ((F.col("_k") == cut) & (F.col("row_id") <= last_id))
-    return keyed.where(keep).drop("_k")
+    keep = (key < cut) | ((key == cut) & (F.col("row_id") <= last_id))
+    return rows.where(keep)
 
 
 # ------------------------------------------------------------------ B2

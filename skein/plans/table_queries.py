@@ -47,7 +47,10 @@ def sql_li_split(classes: int = 2) -> list[tuple[str, str]]:
 
 
 def li_split(spark, sf, classes=2):
-    return R.split_ordered(X.li_wide(spark, sf, classes))
+    from skein.session import cut_lineage
+
+    # split + statistics + apply are several passes: cut the lineage once
+    return R.split_ordered(cut_lineage(X.li_wide(spark, sf, classes)))
 
 
 LI_CELLS_SQL = ("li_cells", """
