@@ -77,4 +77,8 @@ def leaderboard(runs: DataFrame) -> DataFrame:
     """
     accs = runs.select("best_acc").where(F.col("best_acc").isNotNull()).distinct()
     ranked = accs.select("best_acc", F.dense_rank().over(Window.orderBy(F.col("best_acc").desc())).alias("rank"))
+    if accs.count() <= BROADCAST_WEIGHT_ROWS:
+        # broadcast the ranked values: a hot accuracy shared by many runs
+        # then costs nothing extra (no skewed shuffle partition)
+        ranked = F.broadcast(ranked)
     return runs.join(ranked, "best_acc", "left")

@@ -65,6 +65,9 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[tu
                     break
                 acc += r["c"]
     # finish: collect the few rows left in each small interval
+    unbounded = [v for v in targets.values() if v["n"] is None or v["n"] > SMALL]
+    if unbounded:
+        raise RuntimeError(f"order statistics did not narrow within {MAX_ROUNDS} rounds")
     if targets:
         tbl = spark.createDataFrame(
             [(t, *v["g"], float(v["lo"]), float(v["hi"])) for t, v in targets.items()],
