@@ -428,6 +428,18 @@ def linear_score(cells: DataFrame, weights: DataFrame, rows: DataFrame | None =
     return grid.join(z, ["row_id", "model_id"], "left").select("row_id", "model_id", F.coalesce("z", F.lit(0.0)).alias("z"))
 
 
+def linear_score_parties(cells: DataFrame, weights: DataFrame, n1: int) -> DataFrame:
+    """Two-party form of G1: each party scores its own columns (features
+    1..n1 and n1+1..), the partial sums are then added per (row, model)."""
+    party = F.when(F.col("feature_id") <= n1, F.lit(1)).otherwise(F.lit(2))
+    w = weights.select("model_id", "feature_id", "w")
+    if weights.count() <= BROADCAST_WEIGHT_ROWS:
+        w = F.broadcast(w)
+    partial = cells.withColumn("party", party).join(w, "feature_id").groupBy("row_id", "model_id", "party").agg(
+        F.sum(F.col("value") * F.col("w")).alias("zp"))
+    return partial.groupBy("row_id", "model_id").agg(F.sum("zp").alias("z"))
+
+
 def batch_gradient(vec_batched: DataFrame, width: int, models: list[Model], W: np.ndarray | None = None) -> DataFrame:
     """Gradient of every batch at fixed weights, all batches in one job.
 

@@ -243,7 +243,8 @@ def _train_query(name, models, data, epochs, batch, width, out="final", decay=Fa
     elif out == "monitor":
         per_epoch = " UNION ALL ".join(f"SELECT model_id, epoch, loss FROM ls{s}" for e, b, s in steps)
         tail = f"""SELECT model_id, CAST(epoch AS INTEGER) AS epoch, {s6('loss')} AS loss,
-            abs(coalesce(lag(loss) OVER (PARTITION BY model_id ORDER BY epoch), 0.0) - loss) < 1e-6 AS converged
+            abs(coalesce(lag(loss) OVER (PARTITION BY model_id ORDER BY epoch), 0.0) - loss) < 1e-6 AS converged,
+            (isnan(loss) OR isinf(loss)) AS overflow
             FROM (SELECT model_id, epoch, sum(loss) / (SELECT n FROM ntr) AS loss FROM ({per_epoch}) t GROUP BY model_id, epoch) u"""
     else:
         raise ValueError(out)
@@ -260,7 +261,7 @@ def _train_query(name, models, data, epochs, batch, width, out="final", decay=Fa
         if out == "steps":
             return L.steps_frame(spark, res).select("model_id", "epoch", "batch_id", r6(F.col("batch_loss")).alias("batch_loss"))
         h = L.history_frame(spark, res)
-        return h.select("model_id", "epoch", r6(F.col("loss")).alias("loss"), "converged")
+        return h.select("model_id", "epoch", r6(F.col("loss")).alias("loss"), "converged", "overflow")
 
     QUERIES[name] = run
     ORACLE[name] = sql

@@ -32,3 +32,27 @@ def test_scores_keep_empty_rows(spark):
     assert got == {1: 1.0, 2: 0.0}
     pred = H.predict_binary(H.scores(cells, rows, w), rows, "linear").where(F.col("row_id") == 2).collect()[0]
     assert pred["pred"] == 1  # z = 0 -> 0.5 -> class 1
+
+
+def test_two_party_score_equals_one_party(spark):
+    from skein.operators import logistic as L
+
+    cells = spark.createDataFrame([(r, f, float(r * 10 + f)) for r in range(5) for f in range(1, 8) if (r + f) % 3],
+                                  "row_id long, feature_id int, value double")
+    w = spark.createDataFrame([(m, f, (f - 3.5) / (m + 1)) for m in range(2) for f in range(1, 8)],
+                              "model_id long, feature_id int, w double")
+    one = {(r["row_id"], r["model_id"]): r["z"] for r in L.linear_score(cells, w).collect()}
+    two = {(r["row_id"], r["model_id"]): r["z"] for r in L.linear_score_parties(cells, w, 3).collect()}
+    assert one.keys() == two.keys()
+    for k in one:
+        assert abs(one[k] - two[k]) < 1e-9
+
+
+def test_half_linear_parts_add_up():
+    import numpy as np
+
+    from skein.functions.activation import activation_np
+
+    za, zb = np.array([0.3, -1.2]), np.array([0.9, 0.4])
+    # party A adds the constant, party B contributes 0.25 z only
+    assert np.allclose(activation_np(za.copy(), "linear") + 0.25 * zb, activation_np(za + zb, "linear"))

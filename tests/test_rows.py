@@ -72,3 +72,9 @@ def test_exact_quantiles_match_numpy(spark):
         xs = np.array([v for gg, v in data if gg == g])
         want = np.quantile(xs, [0.25, 0.5, 0.75, 0.9])
         np.testing.assert_allclose(got[(g,)], want, rtol=1e-12)
+
+
+def test_normalise_labels_minus_mode(spark):
+    rows = spark.createDataFrame([(1, -1), (2, 1), (3, 2)], "row_id long, label int")
+    got = {r["row_id"]: r["label"] for r in R.normalise_labels(rows, mode="minus").collect()}
+    assert got == {1: 0, 2: 1, 3: 2}

@@ -103,3 +103,11 @@ def test_encode_two_party_cut(spark):
 def test_recut_border_vs_ratio():
     # reference defect: floor(c*k*p) differs from the party border c*floor(k*p)
     assert int(4 * 2048 * 0.3) != 4 * int(2048 * 0.3)
+
+
+def test_encode_two_party_test_form_keeps_whole_row(spark):
+    p1 = [(0, [2])]
+    p2 = [(0, [3, -1])]
+    s = samples_df(spark, p1, 1).unionByName(samples_df(spark, p2, 2))
+    got = sorted(r["col"] for r in Q.encode_two_party(s, n=5, k1=1, cut=False).collect())
+    assert got == [3, 7]
