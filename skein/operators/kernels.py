@@ -8,7 +8,7 @@ matrix; when width x k is small they are precomputed once and broadcast.
 F14 is relational: cells x components -> partially aggregated sum per
 (row, party, component) -> cos. F15 builds two signed count sketches with
 one grouped sum, gathers each row's two sketches as arrays of length k_p
-(bounded by k), and convolves them with an FFT inside ``mapInPandas``;
+(bounded by k), and convolves them with an FFT inside ``mapInArrow``;
 pairs of buckets are never emitted as rows.
 """
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,27 +119,35 @@ def tensor_sketch_features(cells: DataFrame, rows: DataFrame, width: int, k: int
         F.collect_list(F.struct("copy", "bucket", "v")).alias("cells"))  # <= 2 * k_p entries per row
 
     def convolve(batches):
-        for pdf in batches:
-            if pdf.empty:
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows == 0:
                 continue
+            cl = batch.column(batch.schema.get_field_index("cells"))
+            offsets = cl.offsets.to_numpy()
+            row_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            flat = cl.flatten()
+            cp = flat.field("copy").to_numpy(zero_copy_only=False).astype(np.int64)
+            bk = flat.field("bucket").to_numpy(zero_copy_only=False).astype(np.int64)
+            vv = flat.field("v").to_numpy(zero_copy_only=False).astype(np.float64)
+            rid = batch.column(batch.schema.get_field_index("row_id")).to_numpy(zero_copy_only=False)
+            par = batch.column(batch.schema.get_field_index("party")).to_numpy(zero_copy_only=False)
             for party, kp in ((1, k1), (2, k2)):
-                sub = pdf[pdf["party"] == party]
-                if sub.empty or kp == 0:
+                rows_p = np.nonzero(par == party)[0]
+                if kp == 0 or not len(rows_p):
                     continue
-                n = len(sub)
-                lens = sub["cells"].map(len).to_numpy()
-                flat = [e for cl in sub["cells"] for e in cl]
-                row_of = np.repeat(np.arange(n), lens)
-                cp = np.fromiter((e["copy"] for e in flat), dtype=np.int64, count=len(flat))
-                bk = np.fromiter((e["bucket"] for e in flat), dtype=np.int64, count=len(flat))
-                vv = np.fromiter((e["v"] for e in flat), dtype=np.float64, count=len(flat))
-                c = np.zeros((n, 2, kp))
-                np.add.at(c, (row_of, cp, bk), vv)
+                local = np.full(batch.num_rows, -1)
+                local[rows_p] = np.arange(len(rows_p))
+                sel = local[row_of] >= 0
+                c = np.zeros((len(rows_p), 2, kp))
+                np.add.at(c, (local[row_of][sel], cp[sel], bk[sel]), vv[sel])
                 conv = np.real(np.fft.ifft(np.fft.fft(c[:, 0, :], axis=1) * np.fft.fft(c[:, 1, :], axis=1), axis=1))
-                yield pd.DataFrame({
-                    "row_id": np.repeat(sub["row_id"].to_numpy(dtype=np.int64), kp),
-                    "party": np.full(n * kp, party, dtype=np.int32),
-                    "comp": np.tile(np.arange(kp, dtype=np.int32), n),
-                    "value": conv.reshape(-1)})
-
-    return per_row.mapInPandas(convolve, "row_id long, party int, comp int, value double")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(rid[rows_p].astype(np.int64), kp)),
+                    pa.array(np.full(len(rows_p) * kp, party, dtype=np.int32)),
+                    pa.array(np.tile(np.arange(kp, dtype=np.int32), len(rows_p))),
+                    pa.array(conv.reshape(-1)),
+                ], names=["row_id", "party", "comp", "value"])
+
+    return per_row.mapInArrow(convolve, "row_id long, party int, comp int, value double")

@@ -4,7 +4,7 @@ Row vectors are stored sparse-by-row: ``vec(row_id, label, batch_id, idx
 ARRAY<INT>, val ARRAY<DOUBLE>)`` (dense rows simply list every index). One
 SGD step is one Spark job over the rows of that step's batch:
 
-  mapInPandas   per partition: z = X W (all M models), activation, error,
+  mapInArrow    per partition: z = X W (all M models), activation, error,
                 partial X^T E and loss sums, emitted as (model, feature, g)
   groupBy sum   partial sums combined across partitions (feature 0 = loss)
   driver        W <- W - C*alpha*g/B - lambda*alpha*W/B   (d x M numbers)
@@ -94,19 +94,23 @@ def _targets(labels: np.ndarray, models: list[Model]) -> np.ndarray:
     return y
 
 
-def _scores(idx_list, val_list, W: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """z = X W for a batch of sparse rows; returns (z, flat_idx, flat_val, row_of_flat)."""
-    lens = np.fromiter((len(a) for a in idx_list), dtype=np.int64, count=len(idx_list))
-    n = len(idx_list)
-    if lens.sum() == 0:
-        return np.zeros((n, W.shape[1])), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    flat_idx = np.concatenate([np.asarray(a, dtype=np.int64) for a in idx_list]) - 1
-    flat_val = np.concatenate([np.asarray(a, dtype=np.float64) for a in val_list])
-    row_of = np.repeat(np.arange(n), lens)
-    contrib = W[flat_idx] * flat_val[:, None]
+def _flat(batch, name: str):
+    """(flat values, row index of each value) of a list column, zero-copy."""
+    import pyarrow as pa
+
+    col = batch.column(batch.schema.get_field_index(name))
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    offsets = col.offsets.to_numpy()
+    lens = np.diff(offsets)
+    return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), lens)
+
+
+def _scores_flat(n: int, fi: np.ndarray, fv: np.ndarray, row_of: np.ndarray, W: np.ndarray) -> np.ndarray:
     z = np.zeros((n, W.shape[1]))
-    np.add.at(z, row_of, contrib)
-    return z, flat_idx, flat_val, row_of
+    if len(fi):
+        np.add.at(z, row_of, W[fi] * fv[:, None])
+    return z
 
 
 def _activate(z: np.ndarray, models: list[Model]) -> np.ndarray:
@@ -117,35 +121,44 @@ def _activate(z: np.ndarray, models: list[Model]) -> np.ndarray:
 
 
 def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
-    """mapInPandas body: partial gradients and losses of one step."""
+    """mapInArrow body: partial gradients and losses of one step.
+
+    Reads the sparse rows straight from Arrow list buffers (flat values and
+    offsets), so the per-batch work is vectorised numpy with no per-row loop.
+    """
+    import pyarrow as pa
 
     def run(batches):
         W = w_bc.value
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            z, fi, fv, row_of = _scores(list(pdf["idx"]), list(pdf["val"]), W)
-            y = _targets(pdf["label"].to_numpy(dtype=float), models)
+            fi, row_of = _flat(batch, "idx")
+            fv, _ = _flat(batch, "val")
+            fi = fi.astype(np.int64) - 1
+            fv = fv.astype(np.float64)
+            z = _scores_flat(n, fi, fv, row_of, W)
+            labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
+            y = _targets(labels, models)
             err = _activate(z, models) - y
-            B = np.array([batch_rows[int(b)] for b in pdf["batch_id"]], dtype=float)[:, None]
+            bids = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False)
+            B = np.vectorize(batch_rows.__getitem__, otypes=[float])(bids)[:, None]
             g = np.zeros(W.shape)
             if len(fi):
                 np.add.at(g, fi, err[row_of] * fv[:, None])
-            loss_rows = (-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF
-            loss = loss_rows.sum(axis=0)
+            loss = ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF).sum(axis=0)
             nz_f, nz_m = np.nonzero(g)
-            yield pd.DataFrame({
-                "model": np.concatenate([nz_m, np.arange(len(models))]).astype(np.int32),
-                "feature_id": np.concatenate([nz_f + 1, np.zeros(len(models), dtype=np.int64)]).astype(np.int32),
-                "g": np.concatenate([g[nz_f, nz_m], loss]),
-            })
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([nz_m, np.arange(len(models))]).astype(np.int32)),
+                pa.array(np.concatenate([nz_f + 1, np.zeros(len(models), dtype=np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([g[nz_f, nz_m], loss]).astype(np.float64)),
+            ], names=["model", "feature_id", "g"])
 
     return run
 
 
 ROWS_PER_PARTITION = 1 << 18
-
-
 INLINE_WEIGHT_BYTES = 1 << 20
 
 
@@ -242,7 +255,7 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
         for b in (visit_order or {}).get(epoch, order):
             bc = _ship_weights(spark, W)
             step = _step_fn(models, bc, sizes)
-            part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInPandas(
+            part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInArrow(
                 step, "model int, feature_id int, g double")
             if len(sizes) > 1 or n_parts * width * M <= DIRECT_COLLECT_VALUES:
                 # a mini-batch lives in one or two range partitions (or there are
@@ -453,26 +466,39 @@ def batch_gradient(vec_batched: DataFrame, width: int, models: list[Model], W: n
     mids = [m.model_id for m in models]
 
     def run(batches):
+        import pyarrow as pa
+
         Wv = bc.value
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
                 continue
-            z, fi, fv, row_of = _scores(list(pdf["idx"]), list(pdf["val"]), Wv)
-            y = _targets(pdf["label"].to_numpy(dtype=float), models)
-            err = _activate(z, models) - y
-            bids = pdf["batch_id"].to_numpy()
+            fi, row_of = _flat(batch, "idx")
+            fv, _ = _flat(batch, "val")
+            fi = fi.astype(np.int64) - 1
+            fv = fv.astype(np.float64)
+            z = _scores_flat(n, fi, fv, row_of, Wv)
+            labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
+            err = _activate(z, models) - _targets(labels, models)
+            bids = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False).astype(np.int64)
             keep = fv != 0  # stored zeros carry no gradient cell
             fi, fv, row_of = fi[keep], fv[keep], row_of[keep]
-            contrib = err[row_of] * fv[:, None]
-            keys = pd.DataFrame({"b": bids[row_of], "f": fi + 1})
+            if not len(fi):
+                continue
+            key = bids[row_of] * (width + 1) + (fi + 1)
+            uniq, inv = np.unique(key, return_inverse=True)
+            sums = np.zeros((len(uniq), len(models)))
+            np.add.at(sums, inv, err[row_of] * fv[:, None])
             for m in range(len(models)):
-                part = keys.assign(g=contrib[:, m]).groupby(["b", "f"], as_index=False)["g"].sum()
-                yield pd.DataFrame({"model_id": np.full(len(part), mids[m], dtype=np.int64),
-                                    "batch_id": part["b"].astype(np.int32), "feature_id": part["f"].astype(np.int32),
-                                    "g": part["g"]})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(uniq), mids[m], dtype=np.int64)),
+                    pa.array((uniq // (width + 1)).astype(np.int32)),
+                    pa.array((uniq % (width + 1)).astype(np.int32)),
+                    pa.array(sums[:, m]),
+                ], names=["model_id", "batch_id", "feature_id", "g"])
 
     sizes = vec_batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("B"))
-    partial = vec_batched.select("label", "batch_id", "idx", "val").mapInPandas(
+    partial = vec_batched.select("label", "batch_id", "idx", "val").mapInArrow(
         run, "model_id long, batch_id int, feature_id int, g double")
     return partial.groupBy("model_id", "batch_id", "feature_id").agg(F.sum("g").alias("g")).join(
         sizes, "batch_id").select("model_id", "batch_id", "feature_id", (F.col("g") / F.col("B")).alias("grad"))
