@@ -22,6 +22,8 @@ TWO_32 = float(2**32)
 
 def _key(*parts) -> Column:
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    if len(cols) == 1:  # concat_ws of one part is the part itself
+        return cols[0].cast("string")
     return F.concat_ws(":", *[c.cast("string") for c in cols])
 
 

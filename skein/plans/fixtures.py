@@ -18,6 +18,7 @@ DOC_HASHES = 16           # k for sampling queries
 PORTION = 37              # party split 0.3 / 0.7
 EMB_WIDTH = 64
 TOKEN_RE = "[A-Za-z]+"
+TOKEN_SPLIT_RE = "[^A-Za-z]+"
 
 # Parameter lists for the RUN fixture, picked by o_orderkey % len(list).
 RUN_SIGMOIDS = ["linear", "cube", "segmentation", "origin"]
@@ -86,10 +87,11 @@ def doc_cells(spark: SparkSession, sf_dir: str, width: int = DOC_WIDTH) -> DataF
     from skein.session import spread
 
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # maximal runs of [A-Za-z]: split on the complement, drop empty pieces
     tok = d.select(
         F.col("doc_id").alias("row_id"),
-        F.explode(F.regexp_extract_all("text", F.lit(TOKEN_RE), 0)).alias("token"),
-    )
+        F.explode(F.split("text", TOKEN_SPLIT_RE)).alias("token"),
+    ).where(F.col("token") != "")
     return (
         tok.select("row_id", (F.lit(1) + h32(F.col("token")) % width).cast("int").alias("feature_id"))
         .groupBy("row_id", "feature_id")
