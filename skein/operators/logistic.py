@@ -158,6 +158,64 @@ def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
     return run
 
 
+def _chunk_fn(models: list[Model], w_bc, a_bc, epoch: int, decay: bool, width: int):
+    """mapInArrow body: consecutive batches of one chunk, in order, in one task.
+
+    The chunk (at most ``ROWS_PER_PARTITION`` rows, sorted by batch_id, row_id)
+    is processed batch after batch with the same update rule as the driver
+    loop, so the result equals one job per batch. Emits one loss row per
+    (batch, model), then the final weights and step sizes.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        fi_all, row_all = _flat(t, "idx")
+        fv_all, _ = _flat(t, "val")
+        fi_all = fi_all.astype(np.int64) - 1
+        fv_all = fv_all.astype(np.float64)
+        labels = t.column(t.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
+        bids = t.column(t.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False).astype(np.int64)
+        W = np.array(w_bc.value, copy=True)
+        alphas = np.array(a_bc.value, copy=True)
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(bids)) + 1, [len(bids)]])
+        out_b, out_m, out_f, out_v = [], [], [], []
+        for s0, s1 in zip(starts[:-1], starts[1:]):
+            sel = (row_all >= s0) & (row_all < s1)
+            fi, fv, row_of = fi_all[sel], fv_all[sel], row_all[sel] - s0
+            n = s1 - s0
+            z = _scores_flat(n, fi, fv, row_of, W)
+            y = _targets(labels[s0:s1], models)
+            err = _activate(z, models) - y
+            g = np.zeros(W.shape)
+            if len(fi):
+                np.add.at(g, fi, err[row_of] * fv[:, None])
+            loss = ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / n) - LN_HALF).sum(axis=0)
+            if decay and epoch > 1 and epoch % 10 == 0:
+                alphas = alphas * 0.95
+            W = _update(W, g, n, models, alphas)
+            out_b.append(np.full(len(models), bids[s0]))
+            out_m.append(np.arange(len(models)))
+            out_f.append(np.full(len(models), -1))
+            out_v.append(loss)
+        fidx, midx = np.nonzero(W)
+        out_b += [np.full(len(fidx), -1), np.full(len(models), -2)]
+        out_m += [midx, np.arange(len(models))]
+        out_f += [fidx + 1, np.zeros(len(models), dtype=np.int64)]
+        out_v += [W[fidx, midx], alphas]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate(out_b).astype(np.int32)),
+            pa.array(np.concatenate(out_m).astype(np.int32)),
+            pa.array(np.concatenate(out_f).astype(np.int32)),
+            pa.array(np.concatenate(out_v).astype(np.float64)),
+        ], names=["batch_id", "model", "feature_id", "v"])
+
+    return run
+
+
 ROWS_PER_PARTITION = 1 << 18
 INLINE_WEIGHT_BYTES = 1 << 20
 
@@ -201,10 +259,15 @@ def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, dict[int, int]]
     if nb == 1:
         # one batch: every step reads everything, so keep rows spread out
         clustered = batched if batched.rdd.getNumPartitions() >= n_parts else batched.repartition(n_parts)
+        clustered = clustered.withColumn("chunk", F.lit(0))
     else:
-        # (batch_id, row_id) ranges: a batch sits in few partitions, and a
-        # large batch still spans several instead of one task
-        clustered = batched.repartitionByRange(n_parts, "batch_id", "row_id")
+        # whole batches grouped into chunks of about ROWS_PER_PARTITION rows;
+        # a chunk lives in one partition, rows in (batch_id, row_id) order
+        per_chunk = max(1, ROWS_PER_PARTITION // batch_size)
+        n_chunks = -(-nb // per_chunk)
+        clustered = (batched.withColumn("chunk", (F.col("batch_id") / F.lit(per_chunk)).cast("int"))
+                     .repartitionByRange(max(1, min(n_chunks, cap)), "chunk")
+                     .sortWithinPartitions("batch_id", "row_id"))
     return clustered.persist(StorageLevel.MEMORY_AND_DISK), sizes
 
 
@@ -250,8 +313,43 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     res = TrainResult(weights=W, snapshots={})
     prev = np.zeros(M)
     order = sorted(sizes)
+    chunked = len(sizes) > 1 and not visit_order and "chunk" in data.columns
+    if chunked:
+        chunk_of = {b: c for b, c in data.select("batch_id", "chunk").distinct().collect()}  # one row per batch
+        chunks = sorted(set(chunk_of.values()))
     for epoch in range(1, max_iter + 1):
         losses = np.zeros(M)
+        if chunked:
+            for c in chunks:
+                wb, ab = _ship_weights(spark, W), _ship_weights(spark, alphas)
+                fn = _chunk_fn(models, wb, ab, epoch, decay, width)
+                got = data.where(F.col("chunk") == c).select("label", "batch_id", "idx", "val").mapInArrow(
+                    fn, "batch_id int, model int, feature_id int, v double").collect()
+                wb.unpersist()
+                ab.unpersist()
+                W = np.zeros((width, M))
+                for r in got:
+                    if r["batch_id"] == -1:
+                        W[r["feature_id"] - 1, r["model"]] = r["v"]
+                    elif r["batch_id"] == -2:
+                        alphas[r["model"]] = r["v"]
+                    else:
+                        losses[r["model"]] += r["v"]
+                        res.steps.append({"model_id": models[r["model"]].model_id, "epoch": epoch,
+                                          "batch_id": r["batch_id"], "batch_loss": float(r["v"]),
+                                          "alpha": None})
+            loss = losses / n_rows
+            conv = np.abs(prev - loss) < eps
+            for m in range(M):
+                res.history.append({"model_id": models[m].model_id, "epoch": epoch, "loss": float(loss[m]),
+                                    "converged": bool(conv[m]),
+                                    "overflow": bool(np.isnan(loss[m]) or np.isinf(loss[m]))})
+            prev = loss
+            if epoch <= snap_max:
+                res.snapshots[epoch] = W.copy()
+            if stop_on_converge and conv.all():
+                break
+            continue
         for b in (visit_order or {}).get(epoch, order):
             bc = _ship_weights(spark, W)
             step = _step_fn(models, bc, sizes)
