@@ -175,6 +175,8 @@ def _chunk_fn(models: list[Model], w_bc, a_bc, epoch: int, decay: bool, width: i
         t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         fi_all, row_all = _flat(t, "idx")
         fv_all, _ = _flat(t, "val")
+        col = t.column(t.schema.get_field_index("idx"))
+        offs = col.offsets.to_numpy() - col.offsets.to_numpy()[0]  # row r -> flat [offs[r], offs[r+1])
         fi_all = fi_all.astype(np.int64) - 1
         fv_all = fv_all.astype(np.float64)
         labels = t.column(t.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
@@ -184,8 +186,8 @@ def _chunk_fn(models: list[Model], w_bc, a_bc, epoch: int, decay: bool, width: i
         starts = np.concatenate([[0], np.flatnonzero(np.diff(bids)) + 1, [len(bids)]])
         out_b, out_m, out_f, out_v = [], [], [], []
         for s0, s1 in zip(starts[:-1], starts[1:]):
-            sel = (row_all >= s0) & (row_all < s1)
-            fi, fv, row_of = fi_all[sel], fv_all[sel], row_all[sel] - s0
+            lo, hi = offs[s0], offs[s1]  # the batch's cells are one contiguous slice
+            fi, fv, row_of = fi_all[lo:hi], fv_all[lo:hi], row_all[lo:hi] - s0
             n = s1 - s0
             z = _scores_flat(n, fi, fv, row_of, W)
             y = _targets(labels[s0:s1], models)

@@ -466,3 +466,20 @@ def _sketch_logistic_accuracy(spark, sf):
     z = H.scores(test_cells, test_rows, L.weights_frame(spark, res, ms))
     acc = H.accuracy(H.predict_binary(z, test_rows, "linear"))
     return acc.select(F.col("epoch").cast("int"), r6(F.col("accuracy")).alias("accuracy"))
+
+
+# ------------------------------------------------------------ G9 with the reference's batch size (20)
+SMALL_BATCH = 20
+SMALL_BATCH_MODELS = [L.Model(0, "linear", 0.1, 1.0, 1.0)]
+
+
+def _train_small_batch(spark, sf):
+    """Thousands of sequential updates per epoch; no SQL oracle (too many
+    steps to unroll), checked against a numpy loop in tests/."""
+    wide = li_model_data(spark, sf)
+    ms = [L.Model(**vars(m)) for m in SMALL_BATCH_MODELS]
+    res = L.train(_train_vec(wide), LI_D, ms, SMALL_BATCH, 1)
+    return _weights_out(spark, res, ms, [1])
+
+
+QUERIES["train_binary_small_batch"] = _train_small_batch

@@ -101,3 +101,26 @@ def test_train_switches_to_relational_beyond_bound(vec, monkeypatch):
     monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", 1)
     res = L.train(vec, 3, [L.Model(0, "linear", 0.1)], batch_size=7, max_iter=1)
     assert isinstance(res, L.RelationalResult)
+
+
+def test_small_batch_query_equals_numpy_loop(spark):
+    """Registered query (no SQL oracle) against brute force on sf0.001."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    from skein.plans import model_queries as MQ
+
+    got = {r["feature_id"]: r["w"] for r in E.queries()["train_binary_small_batch"](spark, SF_SMALL).collect()}
+    rows = MQ.li_model_data(spark, SF_SMALL).where(F.col("split") == "train").orderBy("row_id").collect()
+    X = np.array([r["features"] for r in rows])
+    Y = np.array([r["label"] for r in rows], dtype=float)
+    mod = MQ.SMALL_BATCH_MODELS[0]
+    w = np.zeros(X.shape[1])
+    for s in range(0, len(Y), MQ.SMALL_BATCH):
+        xb, yb = X[s:s + MQ.SMALL_BATCH], Y[s:s + MQ.SMALL_BATCH]
+        err = activation_np(xb @ w, mod.activation) - yb
+        w = w - mod.c * mod.alpha * (xb.T @ err) / len(yb) - mod.lambda_para * mod.alpha * w / len(yb)
+    assert len(Y) // MQ.SMALL_BATCH > 50
+    for f in range(X.shape[1]):
+        assert abs(got.get(f + 1, 0.0) - round(w[f], 6)) < 2e-6
