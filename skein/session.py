@@ -78,10 +78,12 @@ def spread(df: DataFrame) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Make ``skein`` importable on executors (once per SparkContext).
 
-    Arrow-batched Python steps (``mapInPandas``) refer to functions of this
-    package by module, so the package is zipped and added with ``addPyFile``;
-    Spark copies it to every executor.
+    Arrow-batched Python steps (``mapInArrow``/``mapInPandas``) refer to
+    functions of this package by module, so the package is zipped in memory,
+    written into the shared checkpoint folder (through the Hadoop FileSystem
+    API, so any cluster file system works) and added with ``addPyFile``.
     """
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -90,16 +92,22 @@ def ship_package(spark: SparkSession) -> None:
     import skein
 
     pkg_dir = os.path.dirname(os.path.abspath(skein.__file__))
-    root = ensure_checkpoint_dir(spark)
-    local_root = root[len("file:"):] if root.startswith("file:") else root
-    if "://" in local_root or not os.path.isdir(local_root):
-        local_root = tempfile.mkdtemp(prefix="skein-pkg-")  # driver-side build; Spark ships the file
-    path = os.path.join(local_root, f"skein-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for dirpath, _, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(dirpath, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    root = ensure_checkpoint_dir(spark)
+    path = root.rstrip("/") + f"/skein-{uuid.uuid4().hex[:8]}.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(hpath, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(path)
     sc._skein_shipped = True
