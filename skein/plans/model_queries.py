@@ -483,3 +483,57 @@ def _train_small_batch(spark, sf):
 
 
 QUERIES["train_binary_small_batch"] = _train_small_batch
+
+
+# ------------------------------------------------------------ G8/G9 stop on convergence
+CONV_EPS = 5e-6
+CONV_MAX_ITER = 8
+CONV_MODELS = [L.Model(0, "linear", 0.5)]
+
+
+def _converge_sql() -> str:
+    ctes, steps = sql_train(CONV_MODELS, LI_D, CONV_MAX_ITER, 1)
+    per_epoch = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, loss FROM ls{s}" for e, b, s in steps)
+    snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, b, s in steps)
+    return with_(*sql_li_model(FULL), *ctes,
+                 ("el", f"SELECT model_id, epoch, sum(loss) / (SELECT n FROM ntr) AS loss FROM ({per_epoch}) t GROUP BY model_id, epoch"),
+                 ("cv", f"""SELECT model_id, epoch,
+                      abs(coalesce(lag(loss) OVER (PARTITION BY model_id ORDER BY epoch), 0.0) - loss) < {CONV_EPS!r} AS conv FROM el"""),
+                 ("stop", f"SELECT model_id, coalesce(min(epoch) FILTER (WHERE conv), {CONV_MAX_ITER}) AS stop_epoch FROM cv GROUP BY model_id"),
+                 ("snap", snap), materialize=True) + f"""
+SELECT s.model_id, CAST(p.stop_epoch AS INTEGER) AS stop_epoch, s.feature_id, {s6('s.w')} AS w
+FROM snap s JOIN stop p ON s.model_id = p.model_id AND s.epoch = p.stop_epoch"""
+
+
+@q("train_converge", _converge_sql())
+def _train_converge(spark, sf):
+    wide = li_model_data(spark, sf)
+    ms = [L.Model(**vars(m)) for m in CONV_MODELS]
+    res = L.train(_train_vec(wide), LI_D, ms, FULL, CONV_MAX_ITER, eps=CONV_EPS, stop_on_converge=True)
+    stop = max(res.snapshots)
+    return _weights_out(spark, res, ms, [stop]).select(
+        "model_id", F.lit(stop).cast("int").alias("stop_epoch"), "feature_id", "w")
+
+
+# ------------------------------------------------------------ H2 with negatives clipped before the arg-max
+CLIP_MODELS = [L.Model(k, "cube", 2.0, 0.0, 1.0, pos_label=k) for k in range(10)]
+CLIP_EPOCHS = 2
+
+
+def _clip_sql() -> str:
+    ctes, steps = sql_train(CLIP_MODELS, EMB_D, CLIP_EPOCHS, 1)
+    snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, b, s in steps)
+    pred = f"""SELECT row_id, epoch, arg_max(model_id, (p, -model_id)) AS pred FROM (
+        SELECT row_id, epoch, model_id, greatest({sql_activation('z', 'cube')}, 0.0) AS p FROM zt) t GROUP BY row_id, epoch"""
+    return with_(*sql_emb_model(), *ctes, ("snap", snap), ("zt", _score_sql("snap")), ("pr", pred), materialize=True) + \
+        "SELECT row_id, CAST(epoch AS INTEGER) AS epoch, CAST(pred AS INTEGER) AS pred FROM pr"
+
+
+@q("predict_ovr_clip", _clip_sql())
+def _predict_ovr_clip(spark, sf):
+    wide = emb_model_data(spark, sf)
+    ms = [L.Model(**vars(m)) for m in CLIP_MODELS]
+    res = L.train(_train_vec(wide), EMB_D, ms, FULL, CLIP_EPOCHS)
+    cells, rows = _test_cells(wide)
+    z = H.scores(cells, rows, L.weights_frame(spark, res, ms))
+    return H.predict_ovr(z, "cube", clip=True).select("row_id", F.col("epoch").cast("int"), F.col("pred").cast("int"))
