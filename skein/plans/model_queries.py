@@ -7,8 +7,6 @@ passes are checked against an independent, literal reading of the rule.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from skein.functions.activation import ACTIVATIONS, activation, sql_activation
@@ -408,8 +406,6 @@ def _sweep_leaderboard(spark, sf):
     return H.leaderboard(runs).select("run_name", "best_acc", "best_epoch", F.col("rank").cast("int"))
 
 
-del math
-
 
 # ------------------------------------------------------------ sketches -> model (F16 -> F8 -> G9 -> H1/H3)
 SK_C = 4
