@@ -127,11 +127,15 @@ def _pen_case(models: list[L.Model], w: str, mid: str) -> str:
     return f"(CASE {mid} " + " ".join(f"WHEN {m.model_id} THEN {pen(m)}" for m in models) + " END)"
 
 
-def sql_train(models: list[L.Model], width: int, epochs: int, batches: int, decay: bool = False):
+def sql_train(models: list[L.Model], width: int, epochs: int, batches: int, decay: bool = False,
+              prefix: str = "", tr: str = "tr"):
     """CTEs w0 .. wS plus per-step loss ls<s>; returns (ctes, steps) where
-    steps = [(epoch, batch, s)]."""
-    ctes = [("mods", _mods_sql(models)),
-            ("w0", f"SELECT m.model_id, CAST(f AS INTEGER) AS feature_id, 0.0::DOUBLE AS w FROM mods m, range(1, {width + 1}) t(f)")]
+    steps = [(epoch, batch, s)]. ``prefix`` namespaces the CTEs so several
+    trainings (e.g. one per batch size) can share one statement; ``tr`` names
+    the row table carrying batch_id and bsz."""
+    P = prefix
+    ctes = [(f"{P}mods", _mods_sql(models)),
+            (f"{P}w0", f"SELECT m.model_id, CAST(f AS INTEGER) AS feature_id, 0.0::DOUBLE AS w FROM {P}mods m, range(1, {width + 1}) t(f)")]
     steps = []
     s = 0
     decays = 0
@@ -144,25 +148,25 @@ def sql_train(models: list[L.Model], width: int, epochs: int, batches: int, deca
             steps.append((e, b, s))
             y = "CASE WHEN m.pos_label IS NULL THEN CAST(r.label AS DOUBLE) WHEN r.label = m.pos_label THEN 1.0 ELSE 0.0 END"
             ctes += [
-                (f"z{s}", f"""SELECT r.row_id, m.model_id, coalesce(sum(x.value * w.w), 0.0) AS z
-                    FROM tr r CROSS JOIN mods m LEFT JOIN tx x ON x.row_id = r.row_id
-                    LEFT JOIN w{s - 1} w ON w.model_id = m.model_id AND w.feature_id = x.feature_id
+                (f"{P}z{s}", f"""SELECT r.row_id, m.model_id, coalesce(sum(x.value * w.w), 0.0) AS z
+                    FROM {tr} r CROSS JOIN {P}mods m LEFT JOIN tx x ON x.row_id = r.row_id
+                    LEFT JOIN {P}w{s - 1} w ON w.model_id = m.model_id AND w.feature_id = x.feature_id
                     WHERE r.batch_id = {b} GROUP BY r.row_id, m.model_id"""),
-                (f"e{s}", f"""SELECT z.row_id, z.model_id, z.z, {y} AS y, r.bsz,
+                (f"{P}e{s}", f"""SELECT z.row_id, z.model_id, z.z, {y} AS y, r.bsz,
                     {_act_case(models, 'z.z', 'z.model_id')} - ({y}) AS err
-                    FROM z{s} z JOIN tr r ON z.row_id = r.row_id JOIN mods m ON z.model_id = m.model_id"""),
-                (f"g{s}", f"""SELECT e.model_id, x.feature_id, sum(e.err * x.value) AS g
-                    FROM e{s} e JOIN tx x ON x.row_id = e.row_id GROUP BY e.model_id, x.feature_id"""),
-                (f"ls{s}", f"""SELECT model_id, {e} AS epoch, {b} AS batch_id,
+                    FROM {P}z{s} z JOIN {tr} r ON z.row_id = r.row_id JOIN {P}mods m ON z.model_id = m.model_id"""),
+                (f"{P}g{s}", f"""SELECT e.model_id, x.feature_id, sum(e.err * x.value) AS g
+                    FROM {P}e{s} e JOIN tx x ON x.row_id = e.row_id GROUP BY e.model_id, x.feature_id"""),
+                (f"{P}ls{s}", f"""SELECT model_id, {e} AS epoch, {b} AS batch_id,
                     sum((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / bsz) - ln(0.5)) AS loss, count(*) AS n
-                    FROM e{s} GROUP BY model_id"""),
-                (f"w{s}", f"""SELECT w.model_id, w.feature_id,
-                    CASE WHEN (SELECT count(*) FROM tr WHERE batch_id = {b}) = 0 THEN w.w
-                    ELSE w.w - m.c * (m.alpha * {factor!r}) * coalesce(g.g, 0.0) / (SELECT count(*) FROM tr WHERE batch_id = {b})
-                           - m.lam * (m.alpha * {factor!r}) * {_pen_case(models, 'w.w', 'w.model_id')} / (SELECT count(*) FROM tr WHERE batch_id = {b})
+                    FROM {P}e{s} GROUP BY model_id"""),
+                (f"{P}w{s}", f"""SELECT w.model_id, w.feature_id,
+                    CASE WHEN (SELECT count(*) FROM {tr} WHERE batch_id = {b}) = 0 THEN w.w
+                    ELSE w.w - m.c * (m.alpha * {factor!r}) * coalesce(g.g, 0.0) / (SELECT count(*) FROM {tr} WHERE batch_id = {b})
+                           - m.lam * (m.alpha * {factor!r}) * {_pen_case(models, 'w.w', 'w.model_id')} / (SELECT count(*) FROM {tr} WHERE batch_id = {b})
                     END AS w
-                    FROM w{s - 1} w JOIN mods m ON w.model_id = m.model_id
-                    LEFT JOIN g{s} g ON g.model_id = w.model_id AND g.feature_id = w.feature_id"""),
+                    FROM {P}w{s - 1} w JOIN {P}mods m ON w.model_id = m.model_id
+                    LEFT JOIN {P}g{s} g ON g.model_id = w.model_id AND g.feature_id = w.feature_id"""),
             ]
     return ctes, steps
 
@@ -533,3 +537,43 @@ def _predict_ovr_clip(spark, sf):
     cells, rows = _test_cells(wide)
     z = H.scores(cells, rows, L.weights_frame(spark, res, ms))
     return H.predict_ovr(z, "cube", clip=True).select("row_id", F.col("epoch").cast("int"), F.col("pred").cast("int"))
+
+
+# ------------------------------------------------------------ G12 over batch sizes too
+GRID_B = {"batch_size": [MINI, FULL], "sigmoid_func": ["linear", "cube"], "alpha": [0.1], "lambda_para": [0.0, 1.0],
+          "c": [1.0]}
+
+
+def _grid_batches_sql() -> str:
+    from skein.operators.sweep import grid_models
+
+    parts, ctes, start = [], [], 0
+    base = sql_li_model(MINI) + [("trf", "SELECT row_id, label, 0 AS batch_id, count(*) OVER () AS bsz FROM tr")]
+    for gi, bs in enumerate(GRID_B["batch_size"]):
+        models = grid_models(GRID_B["sigmoid_func"], GRID_B["alpha"], GRID_B["lambda_para"], GRID_B["c"], start=start)
+        start += len(models)
+        pre, trn, nb = f"g{gi}_", ("tr" if bs == MINI else "trf"), (NB_MAX if bs == MINI else 1)
+        c, steps = sql_train(models, LI_D, GRID_EPOCHS, nb, prefix=pre, tr=trn)
+        last = steps[-1][2]
+        sigs = " ".join(f"WHEN {m.model_id} THEN '{m.activation}'" for m in models)
+        zt = f"""SELECT r.row_id, k.model_id, coalesce(sum(x.value * w.w), 0.0) AS z
+            FROM vr r CROSS JOIN {pre}mods k LEFT JOIN vx x ON x.row_id = r.row_id
+            LEFT JOIN {pre}w{last} w ON w.model_id = k.model_id AND w.feature_id = x.feature_id GROUP BY r.row_id, k.model_id"""
+        ctes += c + [(f"{pre}zt", zt)]
+        parts.append(f"""SELECT z.model_id AS run_id, CASE z.model_id {sigs} END AS sigmoid_func, m.alpha, m.lam AS lambda_para, m.c,
+            {s6(f"avg(CASE WHEN (CASE WHEN {_act_case(models, 'z.z', 'z.model_id')} >= 0.5 THEN 1 ELSE 0 END) = r.label THEN 1.0 ELSE 0.0 END)")} AS accuracy,
+            CAST({bs} AS INTEGER) AS batch_size
+            FROM {pre}zt z JOIN vr r ON z.row_id = r.row_id JOIN {pre}mods m ON m.model_id = z.model_id
+            GROUP BY z.model_id, m.alpha, m.lam, m.c""")
+    return with_(*base, *ctes, materialize=True) + "\nUNION ALL\n".join(parts)
+
+
+@q("grid_sweep_batches", _grid_batches_sql())
+def _grid_sweep_batches(spark, sf):
+    from skein.operators.sweep import sweep_grid
+
+    wide = li_model_data(spark, sf)
+    cells, rows = _test_cells(wide)
+    acc = sweep_grid(_train_vec(wide), LI_D, GRID_B, GRID_EPOCHS, cells, rows)
+    return acc.select("run_id", "sigmoid_func", "alpha", "lambda_para", "c", r6(F.col("accuracy")).alias("accuracy"),
+                      F.col("batch_size").cast("int"))
