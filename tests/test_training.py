@@ -124,3 +124,15 @@ def test_small_batch_query_equals_numpy_loop(spark):
     assert len(Y) // MQ.SMALL_BATCH > 50
     for f in range(X.shape[1]):
         assert abs(got.get(f + 1, 0.0) - round(w[f], 6)) < 2e-6
+
+
+def test_chunk_boundaries_keep_sequential_rule(vec, monkeypatch):
+    """Force 2-batch chunks: weights and step sizes must carry across chunks."""
+    monkeypatch.setattr(L, "ROWS_PER_PARTITION", 4)
+    mod = L.Model(0, "cube", 0.3, 0.5, 1.5, "l1")
+    res = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=2, max_iter=11, decay=True)
+    prep = L.prepare(vec, 2)
+    assert prep[0].select("chunk").distinct().count() == 2   # 4 batches -> 2 chunks
+    w, losses = numpy_train(mod, 2, 11, decay=True)
+    np.testing.assert_allclose(res.weights[:, 0], w, rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose([h["loss"] for h in res.history], losses, rtol=1e-9)
