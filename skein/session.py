@@ -29,6 +29,7 @@ def get_session(master: str | None = None, app: str = "skein", shuffle_partition
         .config("spark.sql.session.timeZone", "Etc/UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "16g")
     )
     spark = builder.getOrCreate()
