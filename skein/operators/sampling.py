@@ -125,3 +125,125 @@ def cws_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float
     key = F.col("lnc") - F.col("r") * (t - F.col("beta")) - F.col("r")
     keyed = ex.select("row_id", "party", "hash_id", "fid", key.alias("key"))
     return _min_sample(keyed, rows, k1, k2, p is not None)
+
+
+# ---------------------------------------------------------------- large k
+VECTORISED_MIN_K = 64
+
+
+def _random_tables(spark, width: int, k: int, cols: dict[str, Column]) -> dict[str, "object"]:
+    """The per-(feature, hash) values as numpy matrices [feature-1, g],
+    computed by Spark with the same expressions as the relational path and
+    fetched once through Arrow (bounded: width x k <= BROADCAST_TABLE_LIMIT)."""
+    import numpy as np
+
+    if width * k > BROADCAST_TABLE_LIMIT:
+        raise ValueError("random table too large for the vectorised sampler")
+    tbl = spark.range(1, width + 1).select(F.col("id").cast("int").alias("gfid")).select(
+        "gfid", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("g"))
+    at = tbl.select("gfid", "g", *[c.alias(n) for n, c in cols.items()]).toArrow()
+    gf = at.column("gfid").to_numpy() - 1
+    g = at.column("g").to_numpy()
+    out = {}
+    for n in cols:
+        m = np.empty((width, k))
+        m[gf, g] = at.column(n).to_numpy()
+        out[n] = m
+    return out
+
+
+def _vectorised(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None, key_fn, tables) -> DataFrame:
+    """Per-row sampler: a row's cells (bounded by the width) are scored
+    against all of its party's hash positions at once; argmin per hash."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    spark = cells.sparkSession
+    n1 = width if p is None else int(math.floor(width * p))
+    k1, k2 = _split_k(k, p)
+    bc = spark.sparkContext.broadcast(tables)
+    per_row = cells.where(F.col("value") > 0).groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("e"))
+    vec = rows.select("row_id").join(per_row, "row_id", "left").select(
+        "row_id", F.coalesce("e", F.array().cast("array<struct<feature_id:int,value:double>>")).alias("e"))
+    parties = [(1, 0, n1, 0, k1)] + ([] if p is None else [(2, n1, width, k1, k2)])
+
+    def run(batches):
+        t = bc.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            col = batch.column(batch.schema.get_field_index("e"))
+            offs = col.offsets.to_numpy() - col.offsets.to_numpy()[0]
+            flat = col.flatten()
+            fid = flat.field("feature_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            val = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
+            rid = batch.column(batch.schema.get_field_index("row_id")).to_numpy(zero_copy_only=False)
+            o_row, o_party, o_hash, o_s = [], [], [], []
+            for party, lo_f, hi_f, g0, kp in parties:
+                if kp == 0:
+                    continue
+                cols = slice(g0, g0 + kp)
+                for r in range(batch.num_rows):
+                    f = fid[offs[r]:offs[r + 1]]
+                    v = val[offs[r]:offs[r + 1]]
+                    sel = (f > lo_f) & (f <= hi_f)
+                    if sel.any():
+                        f, v = f[sel], v[sel]
+                        keys = key_fn({n: m[f - 1, cols] for n, m in t.items()}, v[:, None])
+                        s = (f[np.argmin(keys, axis=0)] - lo_f).astype(np.int32)
+                    else:
+                        s = np.full(kp, -1, dtype=np.int32)
+                    o_row.append(np.full(kp, rid[r], dtype=np.int64))
+                    o_party.append(np.full(kp, party, dtype=np.int32))
+                    o_hash.append(np.arange(kp, dtype=np.int32))
+                    o_s.append(s)
+            if o_row:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (o_row, o_party, o_hash, o_s)],
+                    names=["row_id", "party", "hash_id", "sample"])
+
+    return vec.mapInArrow(run, "row_id long, party int, hash_id int, sample int")
+
+
+def _use_vectorised(method: str, width: int, k: int) -> bool:
+    if method == "vectorised":
+        return True
+    if method == "relational":
+        return False
+    return k >= VECTORISED_MIN_K and width * k <= BROADCAST_TABLE_LIMIT
+
+
+def pminhash_samples_auto(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None,
+                          seed: int = 1, method: str = "auto") -> DataFrame:
+    """P-MinHash choosing the relational or the vectorised (large k) path."""
+    import numpy as np
+
+    if not _use_vectorised(method, width, k):
+        return pminhash_samples(cells, rows, width, k, p, seed)
+    s = F.lit(seed)
+    t = _random_tables(cells.sparkSession, width, k, {"u": uniform(s, F.col("g"), F.col("gfid"))})
+    return _vectorised(cells, rows, width, k, p, lambda m, v: -np.log(m["u"]) / v, t)
+
+
+def cws_samples_auto(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None,
+                     seed: int = 1, method: str = "auto") -> DataFrame:
+    """0-bit CWS choosing the relational or the vectorised (large k) path."""
+    import numpy as np
+
+    if not _use_vectorised(method, width, k):
+        return cws_samples(cells, rows, width, k, p, seed)
+    s, g, f = F.lit(seed), F.col("g"), F.col("gfid")
+    t = _random_tables(cells.sparkSession, width, k, {
+        "r": -F.log(uniform(s, g, f, "r1")) - F.log(uniform(s, g, f, "r2")),
+        "lnc": F.log(-F.log(uniform(s, g, f, "c1")) - F.log(uniform(s, g, f, "c2"))),
+        "beta": uniform(s, g, f, "b"),
+    })
+
+    def key(m, v):
+        tt = np.floor(np.log(v) / m["r"] + m["beta"])
+        return m["lnc"] - m["r"] * (tt - m["beta"]) - m["r"]
+
+    return _vectorised(cells, rows, width, k, p, key, t)

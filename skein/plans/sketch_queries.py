@@ -48,7 +48,7 @@ def q(name, sql=None):
 def doc_samples(spark, sf, method="pminhash", two_party=True, cells=None):
     rows = X.doc_row_ids(spark, sf)
     cells = X.doc_cells(spark, sf) if cells is None else cells
-    fn = SM.pminhash_samples if method == "pminhash" else SM.cws_samples
+    fn = SM.pminhash_samples_auto if method == "pminhash" else SM.cws_samples_auto
     return fn(cells, rows, N, KH, P if two_party else None, seed=SEED)
 
 

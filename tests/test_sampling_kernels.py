@@ -95,3 +95,17 @@ def test_tensor_sketch_approximates_poly(spark):
 def test_rff_empty_row_gets_all_components(spark):
     out = K.rff_features(_cells(spark, {0: [1.0, 2.0]}), _rows(spark, [0, 5]), 2, 6, 1.0, p=0.5)
     assert out.where(F.col("row_id") == 5).count() == 6
+
+
+def test_vectorised_sampler_equals_relational(spark):
+    from conftest import SF_SMALL
+    from skein.plans import fixtures as X
+
+    cells = X.doc_cells(spark, SF_SMALL).cache()
+    rows = X.doc_row_ids(spark, SF_SMALL)
+    for fn in (SM.pminhash_samples_auto, SM.cws_samples_auto):
+        a = {(r["row_id"], r["party"], r["hash_id"]): r["sample"]
+             for r in fn(cells, rows, 4096, 16, 0.3, method="relational").collect()}
+        b = {(r["row_id"], r["party"], r["hash_id"]): r["sample"]
+             for r in fn(cells, rows, 4096, 16, 0.3, method="vectorised").collect()}
+        assert a == b and len(a) == rows.count() * 16
