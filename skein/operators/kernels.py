@@ -5,8 +5,9 @@ Random projections come from md5-seeded hashes of (seed, party, component,
 feature), so every executor derives the same numbers without shipping a
 matrix; when width x k is small they are precomputed once and broadcast.
 
-F14 is relational: cells x components -> partially aggregated sum per
-(row, party, component) -> cos. F15 builds two signed count sketches with
+F14 is relational for small k: cells x components -> partially aggregated
+sum per (row, party, component) -> cos; for large k ``rff_features_auto``
+computes x.W per row in ``mapInArrow`` from the same (bounded) projection. F15 builds two signed count sketches with
 one grouped sum, gathers each row's two sketches as arrays of length k_p
 (bounded by k), and convolves them with an FFT inside ``mapInArrow``;
 pairs of buckets are never emitted as rows.
@@ -151,3 +152,79 @@ def tensor_sketch_features(cells: DataFrame, rows: DataFrame, width: int, k: int
                 ], names=["row_id", "party", "comp", "value"])
 
     return per_row.mapInArrow(convolve, "row_id long, party int, comp int, value double")
+
+
+# ---------------------------------------------------------------- large k
+VECTORISED_MIN_K = 64
+
+
+def _party_tables(spark, width: int, n1: int | None, k1: int, k2: int, gamma: float, seed: int):
+    """W (features x components) and offsets per party, same expressions as
+    the relational path, fetched once through Arrow (bounded by width x k)."""
+    if width * (k1 + k2) > BROADCAST_TABLE_LIMIT:
+        raise ValueError("projection too large for the vectorised path")
+    out = {}
+    parts = [(1, 0, n1 if n1 is not None else width, k1)] + ([] if n1 is None else [(2, n1, width, k2)])
+    for party, lo, hi, kp in parts:
+        if kp == 0:
+            continue
+        tbl = spark.range(1, hi - lo + 1).select(F.col("id").cast("int").alias("fid"), F.lit(party).alias("party")).select(
+            "fid", "party", F.explode(F.sequence(F.lit(0), F.lit(kp - 1))).alias("comp"))
+        w = tbl.select("fid", "comp", (F.lit(math.sqrt(2.0 * gamma)) *
+                                       normal(F.lit(seed), F.col("party"), F.col("comp"), F.col("fid"))).alias("w")).toArrow()
+        W = np.empty((hi - lo, kp))
+        W[w.column("fid").to_numpy() - 1, w.column("comp").to_numpy()] = w.column("w").to_numpy()
+        o = spark.range(0, kp).select(F.col("id").cast("int").alias("comp"), F.lit(party).alias("party")).select(
+            "comp", (F.lit(2.0 * math.pi) * uniform(F.lit(seed), F.col("party"), F.col("comp"), "o")).alias("o")).toArrow()
+        off = np.empty(kp)
+        off[o.column("comp").to_numpy()] = o.column("o").to_numpy()
+        out[party] = (lo, hi, W, off, math.sqrt(2.0 / kp))
+    return out
+
+
+def rff_features_auto(cells: DataFrame, rows: DataFrame, width: int, k: int, gamma: float, p: float | None = None,
+                      seed: int = 1, method: str = "auto") -> DataFrame:
+    """F14 choosing the relational or the vectorised (large k) path; both
+    give the same features."""
+    import pyarrow as pa
+
+    vec_ok = width * k <= BROADCAST_TABLE_LIMIT
+    if method == "relational" or (method == "auto" and (k < VECTORISED_MIN_K or not vec_ok)):
+        return rff_features(cells, rows, width, k, gamma, p, seed)
+    n1 = None if p is None else int(math.floor(width * p))
+    k1, k2 = split_components(k, p)
+    spark = cells.sparkSession
+    bc = spark.sparkContext.broadcast(_party_tables(spark, width, n1, k1, k2, gamma, seed))
+    per_row = cells.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("e"))
+    vec = rows.select("row_id").join(per_row, "row_id", "left").select(
+        "row_id", F.coalesce("e", F.array().cast("array<struct<feature_id:int,value:double>>")).alias("e"))
+
+    def run(batches):
+        tables = bc.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            col = batch.column(batch.schema.get_field_index("e"))
+            offs = col.offsets.to_numpy() - col.offsets.to_numpy()[0]
+            flat = col.flatten()
+            fid = flat.field("feature_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            val = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
+            rid = batch.column(batch.schema.get_field_index("row_id")).to_numpy(zero_copy_only=False)
+            o_row, o_party, o_comp, o_val = [], [], [], []
+            for party, (lo, hi, W, off, scale) in tables.items():
+                kp = W.shape[1]
+                for r in range(batch.num_rows):
+                    f = fid[offs[r]:offs[r + 1]]
+                    v = val[offs[r]:offs[r + 1]]
+                    sel = (f > lo) & (f <= hi)
+                    xw = v[sel] @ W[f[sel] - lo - 1] if sel.any() else np.zeros(kp)
+                    o_row.append(np.full(kp, rid[r], dtype=np.int64))
+                    o_party.append(np.full(kp, party, dtype=np.int32))
+                    o_comp.append(np.arange(kp, dtype=np.int32))
+                    o_val.append(scale * np.cos(xw + off))
+            if o_row:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (o_row, o_party, o_comp, o_val)],
+                    names=["row_id", "party", "comp", "value"])
+
+    return vec.mapInArrow(run, "row_id long, party int, comp int, value double")

@@ -313,7 +313,7 @@ FROM grid g LEFT JOIN proj p ON g.row_id = p.row_id AND g.party = p.party AND g.
 def _rff_features(spark, sf):
     gamma = emb_train_gamma(spark, sf)
     w = X.emb_wide(spark, sf)
-    out = K.rff_features(C.to_long(w), w.select("row_id"), X.EMB_WIDTH, KERNEL_K, gamma, P, seed=SEED)
+    out = K.rff_features_auto(C.to_long(w), w.select("row_id"), X.EMB_WIDTH, KERNEL_K, gamma, P, seed=SEED)
     return out.select("row_id", "party", "comp", r6(F.col("value")).alias("value"))
 
 

@@ -109,3 +109,18 @@ def test_vectorised_sampler_equals_relational(spark):
         b = {(r["row_id"], r["party"], r["hash_id"]): r["sample"]
              for r in fn(cells, rows, 4096, 16, 0.3, method="vectorised").collect()}
         assert a == b and len(a) == rows.count() * 16
+
+
+def test_vectorised_rff_equals_relational(spark):
+    from conftest import SF_SMALL
+    from skein.operators import columns as C
+    from skein.plans import fixtures as X
+
+    w = X.emb_wide(spark, SF_SMALL)
+    cells, rows = C.to_long(w).cache(), w.select("row_id")
+    a = {(r["row_id"], r["party"], r["comp"]): r["value"]
+         for r in K.rff_features_auto(cells, rows, 64, 10, 0.05, 0.3, method="relational").collect()}
+    b = {(r["row_id"], r["party"], r["comp"]): r["value"]
+         for r in K.rff_features_auto(cells, rows, 64, 10, 0.05, 0.3, method="vectorised").collect()}
+    assert a.keys() == b.keys()
+    assert max(abs(a[x] - b[x]) for x in a) < 1e-9
