@@ -317,8 +317,8 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     order = sorted(sizes)
     chunked = len(sizes) > 1 and not visit_order and "chunk" in data.columns
     if chunked:
-        chunk_of = {b: c for b, c in data.select("batch_id", "chunk").distinct().collect()}  # one row per batch
-        chunks = sorted(set(chunk_of.values()))
+        per_chunk = max(1, ROWS_PER_PARTITION // batch_size)  # same rule as prepare()
+        chunks = sorted({b // per_chunk for b in sizes})
     for epoch in range(1, max_iter + 1):
         losses = np.zeros(M)
         if chunked:
