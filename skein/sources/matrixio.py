@@ -1,9 +1,9 @@
 """Matrix text sources and sinks, and the sketch artifact catalog (A1-A4).
 
 Headerless text matrices identify rows by line number, so a scan assigns
-``row_id`` once from (file path, split start, position in split), ranked on
-the JVM (files taken in name order, lines in file order); everything
-downstream joins on row_id.
+``row_id`` once from (file path, split start, position in split) on the JVM
+(files taken in name order, lines in file order); everything downstream
+joins on row_id.
 Writers sort by row_id, so part files in name order hold rows in order.
 """
 
@@ -33,18 +33,24 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_id BIGINT, line STRING), row_id = 0-based line number over the
     files in name order.
 
-    Line order is recovered on the JVM: inside one file split the lines keep
-    their order (``monotonically_increasing_id`` grows with it), splits of a
-    file are ordered by their start offset, files by path. The global rank
-    over (path, split start, id) is computed by ``global_position``.
+    Inside one file split the lines keep their order and get consecutive
+    ``monotonically_increasing_id`` values, so a line's number is the
+    split's offset plus (id - first id of the split). Offsets come from one
+    aggregate per (file, split start) - a table bounded by the number of
+    splits, summed in order and broadcast back. The text is read twice and
+    never sorted, shuffled or checkpointed.
     """
-    from skein.operators.rows import global_position
+    from pyspark.sql import Window
 
     files = _text_files(spark, path)
     df = spark.read.text(files).select(
         F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
         F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line"))
-    return global_position(df, ["_f", "_b", "_m"]).select(F.col("pos").alias("row_id"), "line")
+    splits = df.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = splits.select("_f", "_b", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return df.join(F.broadcast(offs), ["_f", "_b"]).select(
+        (F.col("_off") + F.col("_m") - F.col("_m0")).alias("row_id"), "line")
 
 
 # ------------------------------------------------------------------ A1
