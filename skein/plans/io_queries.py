@@ -134,7 +134,8 @@ def _scan_run_logs(spark, sf):
 
 # ------------------------------------------------------------ I1-I3
 LI_CELLS = ("lc", """SELECT row_id, feature_id, value FROM (
-    SELECT row_id, CAST(unnest(generate_series(1, len(features))) AS INTEGER) AS feature_id, unnest(features) AS value FROM li) t""")
+    SELECT row_id, CAST(unnest(generate_series(1, len(features))) AS INTEGER) AS feature_id, unnest(features) AS value FROM li) t
+    UNION ALL SELECT row_id, 0, CAST(label AS DOUBLE) FROM li""")
 MOD = "9223372036854775808"
 
 
@@ -157,10 +158,13 @@ def _split_shares(spark, sf):
 
 
 def _li_zero_cells(spark, sf):
-    """Zero-valued cells of the LI matrix (to_long drops them; shares keep every cell)."""
+    """Zero-valued cells of the LI matrix (to_long drops them; shares keep
+    every cell) plus the label (+1/-1) as feature 0, so the label is shared
+    too and negative values take the signed path."""
     w = X.li_wide(spark, sf)
-    return w.select("row_id", F.posexplode("features").alias("pos", "value")).where(F.col("value") == 0).select(
+    zeros = w.select("row_id", F.posexplode("features").alias("pos", "value")).where(F.col("value") == 0).select(
         "row_id", (F.col("pos") + 1).cast("int").alias("feature_id"), F.col("value").cast("double"))
+    return zeros.unionByName(w.select("row_id", F.lit(0).alias("feature_id"), F.col("label").cast("double").alias("value")))
 
 
 @q("reconstruct_shares", with_(("li", X.sql_li_wide()), LI_CELLS) + f"""
