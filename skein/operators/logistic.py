@@ -1,19 +1,22 @@
 """Logistic models trained by mini-batch SGD, many models per pass.
 
 Row vectors are stored sparse-by-row: ``vec(row_id, label, batch_id, idx
-ARRAY<INT>, val ARRAY<DOUBLE>)`` (dense rows simply list every index). One
-SGD step is one Spark job over the rows of that step's batch:
+ARRAY<INT>, val ARRAY<DOUBLE>)`` (dense rows simply list every index); the
+numpy kernels read them straight from Arrow list buffers (``mapInArrow``).
 
-  mapInArrow    per partition: z = X W (all M models), activation, error,
-                partial X^T E and loss sums, emitted as (model, feature, g)
-  groupBy sum   partial sums combined across partitions (feature 0 = loss)
-  driver        W <- W - C*alpha*g/B - lambda*alpha*W/B   (d x M numbers)
+* Mini-batch: batches are contiguous, so whole batches form chunks of about
+  ``ROWS_PER_PARTITION`` rows, one chunk per partition, sorted by (batch,
+  row). One task runs a chunk's batches in order with the exact update rule
+  and returns the new weights; jobs = epochs x chunks.
+* Full batch: every partition returns partial X^T E and loss sums for all M
+  models; a ``groupBy`` (or a direct collect when small) adds them up, and
+  the driver applies W <- W - C*alpha*g/B - lambda*alpha*W/B.
 
 Weights up to 1 MB ride in the task closure, larger ones as a Spark
 broadcast; beyond ``MAX_BROADCAST_BYTES`` the relational path
-(``train_relational``) keeps them as a table joined on feature_id. The job
-count is epochs x batches, independent of the number of models. Semantics follow the sequential definition exactly:
-batches are visited one after another and each update sees the previous one.
+(``train_relational``) keeps them as a table joined on feature_id. Either
+way the result equals the sequential definition: batches are visited one
+after another and each update sees the previous one.
 """
 
 from __future__ import annotations
@@ -243,8 +246,10 @@ def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, dict[int, int]]
 
     Batches are contiguous in row order, so every batch has ``batch_size``
     rows except the last (the remainder); sizes follow from the row count.
-    Partitions hold about ``ROWS_PER_PARTITION`` rows (capped by the shuffle
-    partition count), so a step over one batch touches few, full partitions.
+    Full batch keeps the rows spread over about n / ``ROWS_PER_PARTITION``
+    partitions; mini-batches are grouped into chunks of whole batches, one
+    chunk per partition, rows sorted by (batch_id, row_id). ``train`` must use
+    the same batch size as ``prepare``.
     """
     from skein.operators.rows import assign_batches
 
@@ -288,6 +293,63 @@ def _update(W: np.ndarray, g: np.ndarray, B: int, models: list[Model], alphas: n
     return new
 
 
+def _epoch_chunks(spark, data, chunks, models, W, alphas, epoch, decay, width, res):
+    """One epoch as one job per chunk; chunks run in order."""
+    M = len(models)
+    losses = np.zeros(M)
+    for c in chunks:
+        wb, ab = _ship_weights(spark, W), _ship_weights(spark, alphas)
+        fn = _chunk_fn(models, wb, ab, epoch, decay, width)
+        got = data.where(F.col("chunk") == c).select("label", "batch_id", "idx", "val").mapInArrow(
+            fn, "batch_id int, model int, feature_id int, v double").collect()  # d x M + batches x M values
+        wb.unpersist()
+        ab.unpersist()
+        W = np.zeros((width, M))
+        alphas = alphas.copy()
+        for r in got:
+            if r["batch_id"] == -1:
+                W[r["feature_id"] - 1, r["model"]] = r["v"]
+            elif r["batch_id"] == -2:
+                alphas[r["model"]] = r["v"]
+            else:
+                losses[r["model"]] += r["v"]
+                res.steps.append({"model_id": models[r["model"]].model_id, "epoch": epoch,
+                                  "batch_id": r["batch_id"], "batch_loss": float(r["v"]), "alpha": None})
+    return W, alphas, losses
+
+
+def _epoch_steps(spark, data, sizes, order, models, W, alphas, epoch, decay, width, n_parts, res):
+    """One epoch as one job per batch (full batch, or a custom visit order)."""
+    M = len(models)
+    losses = np.zeros(M)
+    for b in order:
+        bc = _ship_weights(spark, W)
+        step = _step_fn(models, bc, sizes)
+        part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInArrow(
+            step, "model int, feature_id int, g double")
+        if len(sizes) > 1 or n_parts * width * M <= DIRECT_COLLECT_VALUES:
+            # a mini-batch lives in few partitions (or there are few): partial sums come back directly
+            got = part.collect()
+        else:
+            got = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g")).collect()
+        bc.unpersist()
+        g = np.zeros((width, M))
+        bl = np.zeros(M)
+        for r in got:
+            if r["feature_id"] == 0:
+                bl[r["model"]] += r["g"]
+            else:
+                g[r["feature_id"] - 1, r["model"]] += r["g"]
+        if decay and epoch > 1 and epoch % 10 == 0:
+            alphas = alphas * 0.95
+        W = _update(W, g, sizes[b], models, alphas)
+        losses += bl
+        for m in range(M):
+            res.steps.append({"model_id": models[m].model_id, "epoch": epoch, "batch_id": b,
+                              "batch_loss": float(bl[m]), "alpha": float(alphas[m])})
+    return W, alphas, losses
+
+
 def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_iter: int,
           snapshot_epochs: int | None = None, eps: float = 1e-6, stop_on_converge: bool = False,
           decay: bool = False, visit_order: dict[int, list[int]] | None = None,
@@ -320,65 +382,11 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
         per_chunk = max(1, ROWS_PER_PARTITION // batch_size)  # same rule as prepare()
         chunks = sorted({b // per_chunk for b in sizes})
     for epoch in range(1, max_iter + 1):
-        losses = np.zeros(M)
         if chunked:
-            for c in chunks:
-                wb, ab = _ship_weights(spark, W), _ship_weights(spark, alphas)
-                fn = _chunk_fn(models, wb, ab, epoch, decay, width)
-                got = data.where(F.col("chunk") == c).select("label", "batch_id", "idx", "val").mapInArrow(
-                    fn, "batch_id int, model int, feature_id int, v double").collect()
-                wb.unpersist()
-                ab.unpersist()
-                W = np.zeros((width, M))
-                for r in got:
-                    if r["batch_id"] == -1:
-                        W[r["feature_id"] - 1, r["model"]] = r["v"]
-                    elif r["batch_id"] == -2:
-                        alphas[r["model"]] = r["v"]
-                    else:
-                        losses[r["model"]] += r["v"]
-                        res.steps.append({"model_id": models[r["model"]].model_id, "epoch": epoch,
-                                          "batch_id": r["batch_id"], "batch_loss": float(r["v"]),
-                                          "alpha": None})
-            loss = losses / n_rows
-            conv = np.abs(prev - loss) < eps
-            for m in range(M):
-                res.history.append({"model_id": models[m].model_id, "epoch": epoch, "loss": float(loss[m]),
-                                    "converged": bool(conv[m]),
-                                    "overflow": bool(np.isnan(loss[m]) or np.isinf(loss[m]))})
-            prev = loss
-            if epoch <= snap_max:
-                res.snapshots[epoch] = W.copy()
-            if stop_on_converge and conv.all():
-                break
-            continue
-        for b in (visit_order or {}).get(epoch, order):
-            bc = _ship_weights(spark, W)
-            step = _step_fn(models, bc, sizes)
-            part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInArrow(
-                step, "model int, feature_id int, g double")
-            if len(sizes) > 1 or n_parts * width * M <= DIRECT_COLLECT_VALUES:
-                # a mini-batch lives in one or two range partitions (or there are
-                # few partitions): the partial sums come back directly
-                got = part.collect()
-            else:
-                got = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g")).collect()
-            bc.unpersist()
-            g = np.zeros((width, M))
-            bl = np.zeros(M)
-            for r in got:
-                if r["feature_id"] == 0:
-                    bl[r["model"]] += r["g"]
-                else:
-                    g[r["feature_id"] - 1, r["model"]] += r["g"]
-            if decay and epoch > 1 and epoch % 10 == 0:
-                alphas = alphas * 0.95
-            B = sizes[b]
-            W = _update(W, g, B, models, alphas)
-            losses += bl
-            for m in range(M):
-                res.steps.append({"model_id": models[m].model_id, "epoch": epoch, "batch_id": b,
-                                  "batch_loss": float(bl[m]), "alpha": float(alphas[m])})
+            W, alphas, losses = _epoch_chunks(spark, data, chunks, models, W, alphas, epoch, decay, width, res)
+        else:
+            W, alphas, losses = _epoch_steps(spark, data, sizes, (visit_order or {}).get(epoch, order), models,
+                                             W, alphas, epoch, decay, width, n_parts, res)
         loss = losses / n_rows
         conv = np.abs(prev - loss) < eps
         for m in range(M):
