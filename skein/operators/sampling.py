@@ -16,6 +16,11 @@ Hash randomness: uniforms from md5 of ``seed:g:feature`` (g = global hash
 position; party 2 positions follow party 1). When width x hashes is small the
 per-(feature, hash) values are precomputed once and broadcast; otherwise they
 are computed inline per cell.
+
+Large k (``*_samples_auto``): the relational plan does nnz x k hash-aggregate
+updates, so for k >= 64 (and a bounded table) each row's cells are grouped
+once and scored against all hash positions with numpy inside ``mapInArrow``
+(argmin per hash, ties -> smallest feature). Both paths give the same samples.
 """
 
 from __future__ import annotations
