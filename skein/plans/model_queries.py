@@ -577,3 +577,25 @@ def _grid_sweep_batches(spark, sf):
     acc = sweep_grid(_train_vec(wide), LI_D, GRID_B, GRID_EPOCHS, cells, rows)
     return acc.select("run_id", "sigmoid_func", "alpha", "lambda_para", "c", r6(F.col("accuracy")).alias("accuracy"),
                       F.col("batch_size").cast("int"))
+
+
+# ------------------------------------------------------------ §4.3 #3: weights kept as a table
+REL_MODELS = [L.Model(0, "linear", 0.1, 1.0, 1.0), L.Model(1, "cube", 0.2, 0.0, 2.0), L.Model(2, "origin", 0.3, 1.0, 1.0, "l1")]
+REL_EPOCHS = 2
+
+
+def _relational_sql() -> str:
+    ctes, steps = sql_train(REL_MODELS, LI_D, REL_EPOCHS, NB_MAX)
+    return with_(*sql_li_model(MINI), *ctes, materialize=True) + _final_w_sql(steps[-1][2])
+
+
+@q("train_relational_weights", _relational_sql())
+def _train_relational_weights(spark, sf):
+    """The relational trainer (used past the broadcast bound), run directly."""
+    wide = li_model_data(spark, sf)
+    ms = [L.Model(**vars(m)) for m in REL_MODELS]
+    res = L.train_relational(_train_vec(wide), LI_D, ms, MINI, REL_EPOCHS)
+    grid = spark.range(0, 1).select(F.explode(F.array(*[F.lit(m.model_id).cast("bigint") for m in ms])).alias("model_id")).select(
+        "model_id", F.explode(F.sequence(F.lit(1), F.lit(LI_D))).alias("feature_id"))
+    w = grid.join(res.weights, ["model_id", "feature_id"], "left")  # features never touched stay 0
+    return w.select("model_id", F.col("feature_id").cast("int"), r6(F.coalesce(F.col("w"), F.lit(0.0))).alias("w"))
