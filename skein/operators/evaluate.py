@@ -9,7 +9,7 @@ struct key, so ties resolve to the lowest label / earliest epoch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.activation import activation, activation_by_name
@@ -71,12 +71,16 @@ def best_epoch(acc: DataFrame, by: list[str] | None = None) -> DataFrame:
 def leaderboard(runs: DataFrame) -> DataFrame:
     """Rank runs by best accuracy, ties kept with the same rank (H4).
 
-    The dense rank is computed over the distinct accuracy values (bounded by
-    the test-set size) and joined back, so the runs are never funnelled into
-    one window partition.
+    The dense rank is the range-partitioned position of each distinct
+    accuracy value (descending), joined back to the runs, so neither the runs
+    nor the distinct values are funnelled into one window partition.
     """
+    from skein.operators.rows import global_position
+
     accs = runs.select("best_acc").where(F.col("best_acc").isNotNull()).distinct()
-    ranked = accs.select("best_acc", F.dense_rank().over(Window.orderBy(F.col("best_acc").desc())).alias("rank"))
+    # dense rank of a distinct value = its position in descending order
+    ranked = global_position(accs.withColumn("_neg", -F.col("best_acc")), "_neg").select(
+        "best_acc", (F.col("pos") + 1).cast("int").alias("rank"))
     if accs.count() <= BROADCAST_WEIGHT_ROWS:
         # broadcast the ranked values: a hot accuracy shared by many runs
         # then costs nothing extra (no skewed shuffle partition)
