@@ -221,7 +221,7 @@ def _doc_split_sql():
         FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS m FROM doc_rows) t""")
 
 
-def _squeeze_sql() -> str:
+def _squeeze_sql(cut: str = "border") -> str:
     parts = []
     for method, size in SQUEEZE_COMBOS:
         src = "s_samples" if method == "pminhash" else "w_samples"
@@ -235,6 +235,9 @@ def _squeeze_sql() -> str:
             enc = f"{w} * hash_id + {w} - ((sample % {w}) + 1) + CASE WHEN party = 2 THEN {w * K1} ELSE 0 END"
             w1 = w * K1
             sq = "bbitmwhash"
+        if cut == "ratio":  # the reference's re-cut: floor(total width * p)
+            total = w1 + (((N2 if N2 <= size else size) * K2) if method == "pminhash" else (2**size) * K2)
+            w1 = int(math.floor(total * P))
         parts.append(f"""SELECT '{method}' AS method, {KH} AS k, '{sq}' AS squeeze, {size} AS size, d.split,
               CAST(CASE WHEN e.col < {w1} THEN 1 ELSE 2 END AS INTEGER) AS party, e.row_id,
               CAST(CASE WHEN e.col < {w1} THEN e.col ELSE e.col - {w1} END AS BIGINT) AS col
@@ -275,6 +278,17 @@ def _legacy_sql() -> str:
         FROM (SELECT row_id, {col} AS col FROM s_samples WHERE sample NOT IN (-1, 0)) e"""
 
 
+@q("squeeze_job_ratio", with_(*DOC_BASE, *sql_samples("pminhash"), *sql_samples("0bitcws", prefix="w"), _doc_split_sql())
+   + _squeeze_sql("ratio"))
+def _squeeze_job_ratio(spark, sf):
+    """F12 with the reference's column re-cut at floor(total width * p)."""
+    cells = shared_cells(spark, sf)
+    by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash", cells=cells)),
+          "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws", cells=cells))}
+    out = Q.squeeze_job(by, SQUEEZE_COMBOS, N, P, KH, cut="ratio")
+    return out.select("method", F.col("k").cast("int"), "squeeze", F.col("size").cast("int"), "split", "party", "row_id", "col")
+
+
 @q("squeeze_job_legacy", with_(*DOC_BASE, *sql_samples("pminhash")) + _legacy_sql())
 def _squeeze_job_legacy(spark, sf):
     return Q.squeeze(doc_samples(spark, sf), "pminhash", 4, N, P, KH, width_from="hashes").select("party", "row_id", "col")
