@@ -111,3 +111,14 @@ def test_encode_two_party_test_form_keeps_whole_row(spark):
     s = samples_df(spark, p1, 1).unionByName(samples_df(spark, p2, 2))
     got = sorted(r["col"] for r in Q.encode_two_party(s, n=5, k1=1, cut=False).collect())
     assert got == [3, 7]
+
+
+def test_hash_params_follow_the_seeded_legacy_stream():
+    import numpy as np
+
+    np.random.seed(1)
+    a = np.random.randint(low=1, high=7, size=5)
+    b = np.random.randint(low=0, high=7, size=5)
+    assert Q.hash_params(7, 5) == ([int(x) for x in a], [int(x) for x in b])
+    with pytest.raises(ValueError):
+        Q.hash_params(1, 3)
