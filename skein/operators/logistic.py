@@ -222,6 +222,7 @@ def _chunk_fn(models: list[Model], w_bc, a_bc, epoch: int, decay: bool, width: i
 
 
 ROWS_PER_PARTITION = 1 << 18
+CELLS_PER_CHUNK = 1 << 24           # about 200 MB of (index, value) pairs in one task
 INLINE_WEIGHT_BYTES = 1 << 20
 
 
@@ -241,40 +242,55 @@ def _ship_weights(spark, W: np.ndarray):
     return spark.sparkContext.broadcast(W)
 
 
-def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, dict[int, int]]:
+class BatchSizes(dict):
+    """batch_id -> rows, plus how many whole batches form one chunk
+    (0 = no chunks: one job per batch)."""
+
+    per_chunk: int = 0
+
+
+def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, BatchSizes]:
     """Assign contiguous batches, cluster rows by batch and cache.
 
     Batches are contiguous in row order, so every batch has ``batch_size``
     rows except the last (the remainder); sizes follow from the row count.
-    Full batch keeps the rows spread over about n / ``ROWS_PER_PARTITION``
-    partitions; mini-batches are grouped into chunks of whole batches, one
-    chunk per partition, rows sorted by (batch_id, row_id). ``train`` must use
-    the same batch size as ``prepare``.
+    The same pass measures the average non-zeros per row, which bounds a
+    chunk by cells, not only by rows:
+
+    * one batch: rows stay spread over about n / ``ROWS_PER_PARTITION``
+      partitions (every step reads all of them in parallel);
+    * mini-batches up to ``CELLS_PER_CHUNK`` cells: whole batches form chunks
+      of at most ``CELLS_PER_CHUNK`` cells and ``ROWS_PER_PARTITION`` rows,
+      one chunk per partition, rows sorted by (batch_id, row_id);
+    * larger batches: range partitions on (batch_id, row_id), so one batch
+      spans several tasks and each step reduces their partial sums.
     """
     from skein.operators.rows import assign_batches
 
-    n = vec.count()
+    st = vec.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("idx")).alias("cells")).collect()[0]
+    n = int(st["n"])
+    avg_nnz = max(1.0, float(st["cells"] or 0) / max(n, 1))
     if batch_size >= n:
         batched = vec.withColumn("batch_id", F.lit(0))  # full batch: no ranking needed
     else:
         batched = assign_batches(vec, batch_size).drop("pos")
     nb = max(1, -(-n // batch_size))
-    sizes = {b: batch_size for b in range(nb - 1)}
+    sizes = BatchSizes({b: batch_size for b in range(nb - 1)})
     sizes[nb - 1] = n - (nb - 1) * batch_size
     cap = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_parts = max(1, min(cap, -(-n // ROWS_PER_PARTITION)))
+    # enough partitions for both bounds (rows and cells per partition), capped
+    n_parts = max(1, min(cap, max(-(-n // ROWS_PER_PARTITION), -(-int(n * avg_nnz) // CELLS_PER_CHUNK))))
     if nb == 1:
-        # one batch: every step reads everything, so keep rows spread out
         clustered = batched if batched.rdd.getNumPartitions() >= n_parts else batched.repartition(n_parts)
-        clustered = clustered.withColumn("chunk", F.lit(0))
-    else:
-        # whole batches grouped into chunks of about ROWS_PER_PARTITION rows;
-        # a chunk lives in one partition, rows in (batch_id, row_id) order
-        per_chunk = max(1, ROWS_PER_PARTITION // batch_size)
-        n_chunks = -(-nb // per_chunk)
-        clustered = (batched.withColumn("chunk", (F.col("batch_id") / F.lit(per_chunk)).cast("int"))
+    elif batch_size * avg_nnz <= CELLS_PER_CHUNK:
+        rows_per_chunk = min(ROWS_PER_PARTITION, int(CELLS_PER_CHUNK // avg_nnz))
+        sizes.per_chunk = max(1, rows_per_chunk // batch_size)
+        n_chunks = -(-nb // sizes.per_chunk)
+        clustered = (batched.withColumn("chunk", (F.col("batch_id") / F.lit(sizes.per_chunk)).cast("int"))
                      .repartitionByRange(max(1, min(n_chunks, cap)), "chunk")
                      .sortWithinPartitions("batch_id", "row_id"))
+    else:
+        clustered = batched.repartitionByRange(n_parts, "batch_id", "row_id")
     return clustered.persist(StorageLevel.MEMORY_AND_DISK), sizes
 
 
@@ -377,9 +393,9 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     res = TrainResult(weights=W, snapshots={})
     prev = np.zeros(M)
     order = sorted(sizes)
-    chunked = len(sizes) > 1 and not visit_order and "chunk" in data.columns
+    per_chunk = getattr(sizes, "per_chunk", 0)
+    chunked = len(sizes) > 1 and not visit_order and per_chunk > 0 and "chunk" in data.columns
     if chunked:
-        per_chunk = max(1, ROWS_PER_PARTITION // batch_size)  # same rule as prepare()
         chunks = sorted({b // per_chunk for b in sizes})
     for epoch in range(1, max_iter + 1):
         if chunked:

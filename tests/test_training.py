@@ -136,3 +136,15 @@ def test_chunk_boundaries_keep_sequential_rule(vec, monkeypatch):
     w, losses = numpy_train(mod, 2, 11, decay=True)
     np.testing.assert_allclose(res.weights[:, 0], w, rtol=1e-9, atol=1e-12)
     np.testing.assert_allclose([h["loss"] for h in res.history], losses, rtol=1e-9)
+
+
+def test_huge_batches_take_the_per_step_path(vec, monkeypatch):
+    """A batch above the cell bound is not packed into one task: the per-step
+    path (partials reduced across partitions) must give the same weights."""
+    monkeypatch.setattr(L, "CELLS_PER_CHUNK", 4)   # 2-row batches x 3 cells > 4
+    data, sizes = L.prepare(vec, 2)
+    assert sizes.per_chunk == 0 and "chunk" not in data.columns
+    mod = L.Model(0, "linear", 0.2, 0.5, 1.0)
+    res = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=2, max_iter=3, prepared=(data, sizes))
+    w, _ = numpy_train(mod, 2, 3)
+    np.testing.assert_allclose(res.weights[:, 0], w, rtol=1e-9, atol=1e-12)
