@@ -32,6 +32,14 @@ from pyspark.sql import functions as F
 
 from skein.functions.activation import activation_np, canonical
 
+# Fixed values (must equal the reference's training rule):
+#   Taylor loss per row   (-1/2 z + y z - 1/8 z^2) * (-1/B) - ln(1/2)
+#   update                w <- w - C alpha g / B - lambda alpha w / B
+#   learning-rate decay   alpha * 0.95 before each batch of an epoch e > 1 with e % 10 == 0
+#   convergence           |previous epoch loss - loss| < eps, previous starts at 0
+DECAY_FACTOR = 0.95
+DECAY_EVERY = 10
+
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 BROADCAST_WEIGHT_ROWS = 2_000_000
 DIRECT_COLLECT_VALUES = 2_000_000   # partitions x d x M partial sums read by the driver
@@ -199,8 +207,8 @@ def _chunk_fn(models: list[Model], w_bc, a_bc, epoch: int, decay: bool, width: i
             if len(fi):
                 np.add.at(g, fi, err[row_of] * fv[:, None])
             loss = ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / n) - LN_HALF).sum(axis=0)
-            if decay and epoch > 1 and epoch % 10 == 0:
-                alphas = alphas * 0.95
+            if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
+                alphas = alphas * DECAY_FACTOR
             W = _update(W, g, n, models, alphas)
             out_b.append(np.full(len(models), bids[s0]))
             out_m.append(np.arange(len(models)))
@@ -356,8 +364,8 @@ def _epoch_steps(spark, data, sizes, order, models, W, alphas, epoch, decay, wid
                 bl[r["model"]] += r["g"]
             else:
                 g[r["feature_id"] - 1, r["model"]] += r["g"]
-        if decay and epoch > 1 and epoch % 10 == 0:
-            alphas = alphas * 0.95
+        if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
+            alphas = alphas * DECAY_FACTOR
         W = _update(W, g, sizes[b], models, alphas)
         losses += bl
         for m in range(M):
@@ -471,8 +479,8 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
         losses = {m.model_id: 0.0 for m in models}
         for b in (visit_order or {}).get(epoch, sorted(sizes)):
             B = float(sizes[b])
-            if decay and epoch > 1 and epoch % 10 == 0:
-                factor *= 0.95
+            if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
+                factor *= DECAY_FACTOR
             bc = cells.where(F.col("batch_id") == b)
             z = bc.join(W, "feature_id").groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
             grid = rows.where(F.col("batch_id") == b).select("row_id", "label", F.explode(mids).alias("model_id"))

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 FRAC_BITS = 16
 MOD = 2**63
+
+# Fixed values (the reference's transfer model): 10 Mbps link, 8 bytes per value.
+LINK_MBPS = 10.0
+VALUE_BYTES = 8
 _DEC = "decimal(38,0)"
 
 
@@ -47,8 +51,8 @@ def reconstruct_shares(kept: DataFrame, given: DataFrame, keys: list[str]) -> Da
     return j.select(*keys, (signed.cast("double") / F.lit(float(2**FRAC_BITS))).alias("value"))
 
 
-def transfer_cost(tables: dict[str, DataFrame], widths: dict[str, int], mbps: float = 10.0,
-                  value_bytes: int = 8) -> DataFrame:
+def transfer_cost(tables: dict[str, DataFrame], widths: dict[str, int], mbps: float = LINK_MBPS,
+                  value_bytes: int = VALUE_BYTES) -> DataFrame:
     """Modelled seconds to ship each table: rows*width*bytes / 2^20 / (mbps/8)."""
     out = None
     for name, df in tables.items():
