@@ -29,7 +29,7 @@ def read_runs(spark: SparkSession, root: str, dataset: str | None = None) -> Dat
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """(run_name, line_no 1-based, line) from a folder of log files."""
     whole = spark.read.option("wholetext", True).text(path).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("run_name"), "value")
+        F.col("_metadata.file_name").alias("run_name"), "value")
     return whole.select("run_name", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select(
         "run_name", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
 
