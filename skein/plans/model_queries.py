@@ -42,12 +42,12 @@ def q(name, sql=None):
 
 
 # ------------------------------------------------------------ Spark inputs
-def li_model_data(spark, sf):
+def li_model_data(spark, sf, classes: int = 2):
     from skein.session import cut_lineage
 
     # the chain below runs several small jobs over the same rows: cut the
     # lineage once so the lineitem aggregate is not recomputed by each
-    base = cut_lineage(X.li_wide(spark, sf))
+    base = cut_lineage(X.li_wide(spark, sf, classes))
     w = R.normalise_labels(R.split_ordered(base))
     return D.scale_minmax(w, fit_on="train")
 
@@ -72,8 +72,8 @@ def _weights_out(spark, res, models, epochs=None, with_epoch=False):
 
 
 # ------------------------------------------------------------ SQL inputs
-def sql_li_model(batch: int) -> list[tuple[str, str]]:
-    return sql_li_split() + [
+def sql_li_model(batch: int, classes: int = 2) -> list[tuple[str, str]]:
+    return sql_li_split(classes) + [
         ("li_norm", """SELECT row_id, split, features,
             CASE WHEN (SELECT bool_or(label = -1) FROM li_split WHERE split = 'train')
                  THEN CASE WHEN label = 1 THEN 1 ELSE 0 END ELSE label END AS label FROM li_split"""),
@@ -599,3 +599,21 @@ def _train_relational_weights(spark, sf):
         "model_id", F.explode(F.sequence(F.lit(1), F.lit(LI_D))).alias("feature_id"))
     w = grid.join(res.weights, ["model_id", "feature_id"], "left")  # features never touched stay 0
     return w.select("model_id", F.col("feature_id").cast("int"), r6(F.coalesce(F.col("w"), F.lit(0.0))).alias("w"))
+
+
+# ------------------------------------------------------------ G10 on the three-class LI (F/O/P -> 0/1/2)
+LI3_MODELS = [L.Model(k, "linear", 0.5, 0.0, 1.0, pos_label=k) for k in range(3)]
+LI3_EPOCHS = 3
+
+
+def _li3_sql() -> str:
+    ctes, steps = sql_train(LI3_MODELS, LI_D, LI3_EPOCHS, 1)
+    return with_(*sql_li_model(FULL, classes=3), *ctes, materialize=True) + _final_w_sql(steps[-1][2])
+
+
+@q("train_ovr_li", _li3_sql())
+def _train_ovr_li(spark, sf):
+    wide = li_model_data(spark, sf, classes=3)
+    ms = [L.Model(**vars(m)) for m in LI3_MODELS]
+    res = L.train(_train_vec(wide), LI_D, ms, FULL, LI3_EPOCHS)
+    return _weights_out(spark, res, ms, [LI3_EPOCHS])
