@@ -40,16 +40,20 @@ def get_session(master: str | None = None, app: str = "skein", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only when unset."""
+    """Return the shared checkpoint folder; set a local one only when unset.
+
+    The folder named by ``spark.checkpoint.dir`` wins. Only a session that
+    names none (tests, local runs) gets a fresh local folder, set through
+    ``SparkContext.setCheckpointDir`` (the core config itself cannot be
+    changed at run time).
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
+    conf = sc.getConf().get(_CHECKPOINT_KEY, None)
     if not conf:
-        # Only reached in tests and local runs, where no cluster folder exists.
         conf = tempfile.mkdtemp(prefix="skein-ckpt-")
-        spark.conf.set(_CHECKPOINT_KEY, conf)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 

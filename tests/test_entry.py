@@ -20,3 +20,34 @@ def test_small_queries_run(spark):
     q = E.queries()
     for name in ["to_long", "pminhash_samples", "squeeze_job", "train_ovr", "split_shares", "scan_run_logs"]:
         assert q[name](spark, SF_SMALL).count() > 0
+
+
+def test_checkpoint_fallback_when_session_names_none():
+    from skein.session import ensure_checkpoint_dir
+
+    class _Conf:
+        def get(self, key, default=None):
+            return default
+
+    class _SC:
+        def __init__(self):
+            self.dir = None
+
+        def getCheckpointDir(self):
+            return self.dir
+
+        def getConf(self):
+            return _Conf()
+
+        def setCheckpointDir(self, path):
+            self.dir = "file:" + path
+
+    class _Spark:
+        sparkContext = _SC()
+
+        @property
+        def conf(self):  # the core config must not be written at run time
+            raise AssertionError("spark.conf must not be touched")
+
+    got = ensure_checkpoint_dir(_Spark())
+    assert got.startswith("file:") and "skein-ckpt-" in got
