@@ -19,9 +19,10 @@ BROADCAST_WEIGHT_ROWS = 2_000_000
 
 def scores(cells: DataFrame, rows: DataFrame, weights: DataFrame) -> DataFrame:
     """z(row_id, model_id, epoch) = sum_f x_f * w_f (G1 over snapshots)."""
-    keys = [(r["model_id"], r["epoch"]) for r in weights.select("model_id", "epoch").distinct().collect()]
+    per_key = weights.groupBy("model_id", "epoch").agg(F.count(F.lit(1)).alias("n")).collect()  # M x E rows
+    keys = [(r["model_id"], r["epoch"]) for r in per_key]
     w = weights.select("model_id", "epoch", "feature_id", "w")
-    if weights.count() <= BROADCAST_WEIGHT_ROWS:
+    if sum(r["n"] for r in per_key) <= BROADCAST_WEIGHT_ROWS:
         w = F.broadcast(w)
     contrib = cells.join(w, "feature_id").select("row_id", "model_id", "epoch", (F.col("value") * F.col("w")).alias("z"))
     marks = rows.select("row_id", F.explode(F.array(*[
