@@ -16,7 +16,7 @@ from skein.operators import stats as S
 from skein.plans import fixtures as X
 from skein.plans.sqltext import key, with_
 from skein.plans.sqltext import r6 as s6
-from skein.plans.table_queries import EMB_N1, P, emb_split, emb_split_sql, emb_train_gamma
+from skein.plans.table_queries import EMB_N1, P, emb_split_sql, emb_train_gamma
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -355,5 +355,3 @@ def _tensor_sketch(spark, sf):
     out = K.tensor_sketch_features(C.to_long(w), w.select("row_id"), X.EMB_WIDTH, KERNEL_K, gamma, P, seed=SEED)
     return out.select("row_id", "party", "comp", r6(F.col("value")).alias("value"))
 
-
-__all__ = ["QUERIES", "ORACLE", "emb_split"]
