@@ -76,3 +76,13 @@ def test_read_lines_order_across_splits(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == lines
+
+
+def test_read_lines_skips_empty_files_and_keeps_order(spark):
+    base = scratch_path(spark, "lines-empty")
+    _write(f"{base}/part-00000.txt", ["a", "b", "c"])
+    local = base[len("file:"):] if base.startswith("file:") else base
+    open(f"{local}/part-00001.txt", "w").close()
+    _write(f"{base}/part-00002.txt", ["d", "e"])
+    got = [(r["row_id"], r["line"]) for r in M.read_lines(spark, base).orderBy("row_id").collect()]
+    assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")]
