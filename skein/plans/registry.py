@@ -10,18 +10,15 @@ _MODULES = ["table_queries", "sketch_queries", "model_queries", "io_queries"]
 def _load():
     queries, oracle = {}, {}
     for m in _MODULES:
-        try:
-            mod = importlib.import_module(f"skein.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name == f"skein.plans.{m}":
-                continue
-            raise
+        mod = importlib.import_module(f"skein.plans.{m}")
         queries.update(mod.QUERIES)
         oracle.update(mod.ORACLE)
     return queries, oracle
 
 
-def _shipped(fn):
+def shipped(fn):
+    """The query, with the package made importable on the executors first."""
+
     def run(spark, sf_dir):
         from skein.session import ensure_checkpoint_dir, ship_package
 
@@ -35,7 +32,7 @@ def _shipped(fn):
 
 
 def queries():
-    return {k: _shipped(v) for k, v in _load()[0].items()}
+    return {k: shipped(v) for k, v in _load()[0].items()}
 
 
 def oracle_sql():

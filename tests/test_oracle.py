@@ -2,12 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from skein.plans import registry
 from tools.oracle_check import compare, connect
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -1,10 +1,10 @@
 import re
 
-import __spark_entry__ as E
+from skein.plans import registry
 
 
 def test_registry_names_and_keys():
-    q, o = E.queries(), E.oracle_sql()
+    q, o = registry.queries(), registry.oracle_sql()
     assert set(o) <= set(q)
     for name in q:
         assert re.fullmatch(r"[a-z][a-z0-9_]*", name)
