@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: white space of the word and line rules: [\x20\x09-\x0D]
 SPACE = " \t\n\x0b\x0c\r"
@@ -55,11 +55,12 @@ def map_texts(df: DataFrame, text: str, kernel: Callable[[list], list], added: l
     as None) and returns one Arrow array or list per added column. An input
     column with the name of an added one (in any case) gives way to it.
     """
-    names = {n.lower() for n, _ in added}
-    kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in names]
+    clash = {n.lower() for n, _ in added}
+    kept = [f for f in df.schema.fields if (keep is None or f.name in keep) and f.name.lower() not in clash]
     fields = [T.StructField(f.name, f.dataType, True) for f in kept] + [T.StructField(n, t, True) for n, t in added]
     out = T.StructType(fields)
-    schema = to_arrow_schema(out, timezone="UTC")
+    types = [to_arrow_type(t) for _, t in added]
+    names = [f.name for f in fields]
     n_kept = len(kept)
     # the text travels once, as the last column
     src = df.select(*[df[_quoted(f.name)] for f in kept], df[_quoted(text)].cast("string").alias("__llm_text"))
@@ -68,12 +69,30 @@ def map_texts(df: DataFrame, text: str, kernel: Callable[[list], list], added: l
         for batch in batches:
             for part in pieces(batch, n_kept):
                 made = kernel(part.column(n_kept).to_pylist())
-                cols = [part.column(i).cast(schema.field(i).type) for i in range(n_kept)]
-                cols += [a if isinstance(a, pa.Array) else pa.array(a, schema.field(n_kept + i).type) for i, a in enumerate(made)]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                cols = [part.column(i) for i in range(n_kept)]
+                cols += [a if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(made, types)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(run, out)
 
 
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+#: a key with more than 1/HOT_KEYS of the counted rows is settled by broadcast
+HOT_KEYS = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row per ``key``, without hot tasks.
+
+    Column ``n`` of the table counts the rows of a key, ``total`` all of them:
+    fewer than ``HOT_KEYS`` keys can have more than ``total / HOT_KEYS`` rows.
+    Those are broadcast; the others take a shuffle in which no key is large.
+    """
+    hot = F.col(n) * HOT_KEYS > F.lit(total)
+    busy = table.where(hot)
+    settled = rows.join(F.broadcast(busy), key)
+    rest = rows.join(F.broadcast(busy.select(key)), key, "left_anti").join(table.where(~hot), key)
+    return settled.unionByName(rest)

@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup as ED
+from skein.llm import line_dedup as LD
 from skein.llm import mixing as MX
+from skein.llm import quality as QR
+from skein.llm import simhash as SH
 from skein.session import cut_lineage
 
 
@@ -15,6 +18,59 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+WS_RE = r"[\x20\x09-\x0D]"
+NWS_RE = r"[^\x20\x09-\x0D]+"
+
+
+# ---------------------------------------------------------------- op2
+def op2_quality_rules(spark, sf):
+    return QR.quality_rules(table(spark, sf, "documents"), keep=["doc_id"]).drop("repeat_spans", "longest_repeat")
+
+
+def _windows(n: int) -> str:
+    """Words of each text that lie in an n-word window found twice or more."""
+    return f"""
+  g{n} AS (SELECT doc_id, unnest(range(len(w) - {n} + 1)) AS i, unnest(list_transform(range(len(w) - {n} + 1), lambda i: md5(list_aggregate(list_slice(w, i + 1, i + {n}), 'string_agg', ' ')))) AS g FROM d WHERE len(w) >= {n}),
+  r{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g{n}) WHERE c > 1),
+  c{n} AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {n})) AS p FROM r{n}) GROUP BY doc_id)"""
+
+
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{NWS_RE}') AS w FROM documents),
+  l AS (SELECT doc_id, len(x) - len(list_distinct(x)) AS dup FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{NWS_RE}')) AS x FROM d)),
+{_windows(QR.BASE_WINDOW)}, {_windows(QR.MIN_REPEAT)}, {_windows(QR.MAX_REPEAT + 1)},
+  m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{WS_RE}', '', 'g'))::BIGINT AS word_chars,
+          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, l.dup::BIGINT AS n_dup_lines,
+          coalesce(c{QR.BASE_WINDOW}.n, 0)::BIGINT AS n_repeat_words, coalesce(c{QR.MIN_REPEAT}.n, 0)::BIGINT AS covered_words, c{QR.MAX_REPEAT + 1}.n IS NOT NULL AS long_repeat
+        FROM d JOIN l USING (doc_id) LEFT JOIN c{QR.BASE_WINDOW} USING (doc_id) LEFT JOIN c{QR.MIN_REPEAT} USING (doc_id) LEFT JOIN c{QR.MAX_REPEAT + 1} USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
+  NOT base_failed AND 100 * covered_words <= {QR.MAX_PERCENT} * n_words AND NOT long_repeat AS kept
+FROM (SELECT *, n_words < {QR.MIN_WORDS} OR 100 * n_repeat_words > {QR.BASE_PERCENT} * n_words AS base_failed FROM m)
+"""
+
+
+# ---------------------------------------------------------------- op3
+def op3_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return LD.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = rf"""
+WITH l AS (SELECT doc_id, i, list_extract(x, i) AS line,
+    translate(trim(list_extract(x, i), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+j AS (SELECT *, length(k) >= 10 AND min(doc_id) OVER (PARTITION BY k) <> doc_id AS gone FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
+# ---------------------------------------------------------------- op4
+def op4_simhash_groups(spark, sf):
+    return SH.simhash_groups(table(spark, sf, "documents"))
+
+
 # ---------------------------------------------------------------- op8
 def op8_mix(spark, sf):
     docs = table(spark, sf, "documents")
@@ -22,9 +78,6 @@ def op8_mix(spark, sf):
     return MX.mix(cut_lineage(sized), size="words").select("doc_id", "size", "source_size", "target", "taken")
 
 
-WS_RE = r"[\x20\x09-\x0D]"
-NWS_RE = r"[^\x20\x09-\x0D]+"
-
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k,
              len(regexp_extract_all(coalesce(text, ''), '{NWS_RE}')) AS size FROM documents),
@@ -59,10 +112,15 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 """
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_simhash_groups": op4_simhash_groups,
     "op8_mix": op8_mix,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {
+    "op2_quality_rules": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op8_mix": OP8_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
