@@ -3,14 +3,18 @@ SQL can express them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import dac as DA
 from skein.llm import exact_dedup as ED
 from skein.llm import line_dedup as LD
 from skein.llm import mixing as MX
 from skein.llm import quality as QR
+from skein.llm import sentencepiece_bpe as SP
 from skein.llm import simhash as SH
+from skein.llm import warc as WA
 from skein.session import cut_lineage
 
 
@@ -71,6 +75,44 @@ def op4_simhash_groups(spark, sf):
     return SH.simhash_groups(table(spark, sf, "documents"))
 
 
+# ---------------------------------------------------------------- op5
+def op5_warc_bundles(spark, sf):
+    records = WA.read_records(WA.write_bundles(table(spark, sf, "pages")))
+    return records.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
+# ---------------------------------------------------------------- op6
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op6_sentencepiece(spark, sf):
+    return digests(SP.encode_decode(table(spark, sf, "documents"), PIECE_MODEL, keep=["doc_id"]))
+
+
+# ---------------------------------------------------------------- op7
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_token_files(spark, sf):
+    index = DA.write_tokens(table(spark, sf, "documents"), WORD_MODEL)
+    return DA.read_tokens(index).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 # ---------------------------------------------------------------- op8
 def op8_mix(spark, sf):
     docs = table(spark, sf, "documents")
@@ -112,6 +154,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 """
 
 QUERIES = {
+    "op5_warc_bundles": op5_warc_bundles,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_token_files": op7_token_files,
     "op2_quality_rules": op2_quality_rules,
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_groups": op4_simhash_groups,
@@ -119,6 +164,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {
+    "op5_warc_bundles": OP5_SQL,
     "op2_quality_rules": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_mix": OP8_SQL,
