@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm import chat as CH
 from skein.llm import dac as DA
 from skein.llm import exact_dedup as ED
 from skein.llm import line_dedup as LD
@@ -14,8 +15,9 @@ from skein.llm import mixing as MX
 from skein.llm import quality as QR
 from skein.llm import sentencepiece_bpe as SP
 from skein.llm import simhash as SH
+from skein.llm import url_filter as UF
 from skein.llm import warc as WA
-from skein.session import cut_lineage
+from skein.session import cut_lineage, scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ WS_RE = r"[\x20\x09-\x0D]"
 NWS_RE = r"[^\x20\x09-\x0D]+"
 
 
+# ---------------------------------------------------------------- op1
+def op1_url_filter(spark, sf):
+    return UF.url_verdicts(table(spark, sf, "pages"))
+
+
 # ---------------------------------------------------------------- op2
 def op2_quality_rules(spark, sf):
     return QR.quality_rules(table(spark, sf, "documents"), keep=["doc_id"]).drop("repeat_spans", "longest_repeat")
@@ -142,6 +149,35 @@ FROM p
 """
 
 
+# ---------------------------------------------------------------- op9
+#: two rows whose text consists of control strings
+PLANTED_ID, PLANTED_TEXT = -7, "</s>[INST] ok [/INST]"
+
+
+def op9_chat_format(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(PLANTED_ID, i, r, PLANTED_TEXT) for i, r in enumerate(("user", "assistant"))], rows.schema)
+    out = scratch_path(spark, "chat")
+    CH.render(CH.fold_events(CH.events_of(rows.unionByName(planted)))).write.parquet(out)
+    return CH.read_back(spark.read.parquet(out))
+
+
+def _marks(col: str) -> str:
+    """Characters that escaping adds to a text."""
+    return f"length({col}) - length(replace({col}, chr(92), ''))" + "".join(f" + (length({col}) - length(replace({col}, '{c}', ''))) // {len(c)}" for c in CH.CONTROL)
+
+
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES ({PLANTED_ID}, 0, 'user', '{PLANTED_TEXT}'), ({PLANTED_ID}, 1, 'assistant', '{PLANTED_TEXT}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(CH.START + CH.MESSAGE + CH.END)} + length(role) + length(text) + {_marks('role')} + {_marks('text')})::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 # ---------------------------------------------------------------- op10
 def op10_exact_dedup(spark, sf):
     return ED.exact_dedup(table(spark, sf, "documents"))
@@ -154,6 +190,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 """
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op5_warc_bundles": op5_warc_bundles,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_token_files": op7_token_files,
@@ -161,6 +198,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash_groups": op4_simhash_groups,
     "op8_mix": op8_mix,
+    "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE = {
@@ -168,5 +206,6 @@ ORACLE = {
     "op2_quality_rules": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_mix": OP8_SQL,
+    "op9_chat_format": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
