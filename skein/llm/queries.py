@@ -3,6 +3,7 @@ SQL can express them."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -200,6 +201,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op5_warc_bundles": OP5_SQL,
