@@ -217,7 +217,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents of ``docs`` that stay, with all their columns: of each
     group the one with the smallest id. Rows that share an id are one document
-    and go together; a null id stays only where its whole group has none."""
+    and go together; rows without an id can't be told apart, so they stay."""
     groups = simhash_groups(docs, id_col, text_col, k, max_bits)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
