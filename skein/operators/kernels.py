@@ -3,14 +3,13 @@
 Components per party: k1 = floor(k * p), k2 = k - k1 (one table: k1 = k).
 Random projections come from md5-seeded hashes of (seed, party, component,
 feature), so every executor derives the same numbers without shipping a
-matrix; when width x k is small they are precomputed once and broadcast.
-
-F14 is relational for small k: cells x components -> partially aggregated
-sum per (row, party, component) -> cos; for large k ``rff_features_auto``
-computes x.W per row in ``mapInArrow`` from the same (bounded) projection. F15 builds two signed count sketches with
-one grouped sum, gathers each row's two sketches as arrays of length k_p
-(bounded by k), and convolves them with an FFT inside ``mapInArrow``;
-pairs of buckets are never emitted as rows.
+matrix.
+
+F14 groups a row's cells by one shuffle and projects them on tiles of
+components as flat arrays (segmented sums), one plan for every size. F15
+builds two signed count sketches with one grouped sum, gathers each row's two
+sketches as arrays of length k_p (bounded by k), and convolves them with an
+FFT inside ``mapInArrow``; pairs of buckets are never emitted as rows.
 """
 
 from __future__ import annotations
@@ -21,16 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import h32, normal, uniform
-
-BROADCAST_TABLE_LIMIT = 4_000_000
-
-
-def split_components(k: int, p: float | None) -> tuple[int, int]:
-    if p is None:
-        return k, 0
-    k1 = int(math.floor(k * p))
-    return k1, k - k1
+from skein.functions.hashing import h32
+from skein.operators.rowtiles import Uniforms, per_row_tiles
+from skein.operators.rowtiles import split_positions as split_components
 
 
 def _party_cells(cells: DataFrame, n1: int | None) -> DataFrame:
@@ -41,10 +33,6 @@ def _party_cells(cells: DataFrame, n1: int | None) -> DataFrame:
     return cells.select("row_id", party.alias("party"), local.alias("fid"), "value")
 
 
-def _comps(k1: int, k2: int) -> Column:
-    return F.sequence(F.lit(0), F.when(F.col("party") == 1, F.lit(k1 - 1)).otherwise(F.lit(k2 - 1)))
-
-
 def _row_party_markers(rows: DataFrame, two_party: bool) -> DataFrame:
     parties = [1, 2] if two_party else [1]
     return rows.select("row_id", F.explode(F.array(*[F.lit(p) for p in parties])).alias("party"))
@@ -54,40 +42,31 @@ def rff_features(cells: DataFrame, rows: DataFrame, width: int, k: int, gamma: f
                  seed: int = 1) -> DataFrame:
     """sqrt(2/k_p) * cos(x.W + o), W ~ N(0, 2*gamma), o ~ U[0, 2*pi).
 
-    Output (row_id, party, comp, value); every row gets every component.
+    Output (row_id, party, comp, value); every row gets every component. A
+    cell beyond the width is an error.
     """
-    n1 = None if p is None else int(math.floor(width * p))
+    n1 = width if p is None else int(math.floor(width * p))
     k1, k2 = split_components(k, p)
-    pc = _party_cells(cells, n1)
-    ex = pc.select("*", F.explode(_comps(k1, k2)).alias("comp"))
-    wcol = F.lit(math.sqrt(2.0 * gamma)) * normal(F.lit(seed), F.col("party"), F.col("comp"), F.col("fid"))
-    if width * k <= BROADCAST_TABLE_LIMIT:
-        spark = cells.sparkSession
-        tbl = (
-            spark.range(1, width + 1).select(F.col("id").cast("int").alias("gfid"))
-            .select("gfid", F.explode(F.array(F.lit(1), F.lit(2))).alias("party"))
-            .where((F.lit(n1 is None) & (F.col("party") == 1)) | (F.lit(n1 is not None) & (
-                ((F.col("party") == 1) & (F.col("gfid") <= F.lit(n1 or 0))) | ((F.col("party") == 2) & (F.col("gfid") > F.lit(n1 or 0))))))
-            .select("party", (F.col("gfid") - F.when(F.col("party") == 2, F.lit(n1 or 0)).otherwise(F.lit(0))).alias("fid"))
-            .select("party", "fid", F.explode(_comps(k1, k2)).alias("comp"))
-            .select("party", "fid", "comp", wcol.alias("w"))
-        )
-        ex = ex.join(F.broadcast(tbl), ["party", "fid", "comp"])
-    else:
-        ex = ex.withColumn("w", wcol)
-    contrib = ex.select("row_id", "party", "comp", (F.col("value") * F.col("w")).alias("xw"))
-    markers = _row_party_markers(rows, p is not None).select(
-        "row_id", "party", F.explode(_comps(k1, k2)).alias("comp"), F.lit(0.0).alias("xw"))
-    proj = contrib.unionByName(markers).groupBy("row_id", "party", "comp").agg(F.sum("xw").alias("xw"))
-    offset = F.lit(2.0 * math.pi) * uniform(F.lit(seed), F.col("party"), F.col("comp"), "o")
-    scale = F.when(F.col("party") == 1, F.lit(math.sqrt(2.0 / k1))).otherwise(F.lit(math.sqrt(2.0 / max(k2, 1))))
-    return proj.select("row_id", F.col("party").cast("int").alias("party"), F.col("comp").cast("int").alias("comp"),
-                       (scale * F.cos(F.col("xw") + offset)).alias("value"))
-
-
-def _ts_bucket(seed: int, copy: int, k1: int, k2: int) -> tuple[Column, Column]:
+    draw = {(party, t): Uniforms(lambda c, f, party=party, t=t: f"{seed}:{party}:{c}:{f}:{t}") for party in (1, 2) for t in ("n1", "n2")}
+    turn = {party: Uniforms(lambda c, f, party=party: f"{seed}:{party}:{c}:o") for party in (1, 2)}
+
+    def tile(party, features, values, starts, g0, lo, hi):
+        xw = np.zeros((len(starts) - 1, hi - lo))
+        full = np.flatnonzero(np.diff(starts))
+        if len(full):
+            distinct, at = np.unique(features, return_inverse=True)
+            own = distinct - (n1 if party == 2 else 0)  # party-local ids
+            normal = np.sqrt(-2.0 * np.log(draw[party, "n1"].tile(own, lo, hi))) * np.cos(2.0 * math.pi * draw[party, "n2"].tile(own, lo, hi))
+            xw[full] = np.add.reduceat(values[:, None] * (math.sqrt(2.0 * gamma) * normal)[at], starts[full], axis=0)
+        offset = 2.0 * math.pi * turn[party].tile(np.zeros(1, np.int64), lo, hi)
+        return math.sqrt(2.0 / (k1 if party == 1 else k2)) * np.cos(xw + offset)
+
+    return per_row_tiles(cells, rows, width, k, p, tile, "row_id long, party int, comp int, value double", "comp")
+
+
+def _ts_bucket(seed: int, k1: int, k2: int) -> tuple[Column, Column]:
     kp = F.when(F.col("party") == 1, F.lit(k1)).otherwise(F.lit(k2))
-    key = (F.lit(seed), F.col("party"), F.lit(copy), F.col("fid"))
+    key = (F.lit(seed), F.col("party"), F.col("copy"), F.col("fid"))
     bucket = F.pmod(h32(*key, "b"), kp.cast("bigint")).cast("int")
     sign = F.when(F.pmod(h32(*key, "s"), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
     return bucket, sign
@@ -110,12 +89,11 @@ def tensor_sketch_features(cells: DataFrame, rows: DataFrame, width: int, k: int
         F.when(F.col("party") == 1, F.lit((n1 if n1 is not None else width) + 1)).otherwise(F.lit(n2 + 1)).alias("fid"),
         F.lit(math.sqrt(coef0)).alias("value"))
     allc = pc.unionByName(const)
-    parts = []
-    for copy in (0, 1):
-        bucket, sign = _ts_bucket(seed, copy, k1, k2)
-        parts.append(allc.select("row_id", "party", F.lit(copy).alias("copy"), bucket.alias("bucket"),
-                                 (sign * F.col("value")).alias("v")))
-    sk = parts[0].unionByName(parts[1]).groupBy("row_id", "party", "copy", "bucket").agg(F.sum("v").alias("v"))
+    # both copies of a cell come from one scan of it
+    bucket, sign = _ts_bucket(seed, k1, k2)
+    sk = (allc.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+          .select("row_id", "party", "copy", bucket.alias("bucket"), (sign * F.col("value")).alias("v"))
+          .groupBy("row_id", "party", "copy", "bucket").agg(F.sum("v").alias("v")))
     per_row = sk.groupBy("row_id", "party").agg(
         F.collect_list(F.struct("copy", "bucket", "v")).alias("cells"))  # <= 2 * k_p entries per row
 
@@ -152,79 +130,3 @@ def tensor_sketch_features(cells: DataFrame, rows: DataFrame, width: int, k: int
                 ], names=["row_id", "party", "comp", "value"])
 
     return per_row.mapInArrow(convolve, "row_id long, party int, comp int, value double")
-
-
-# ---------------------------------------------------------------- large k
-VECTORISED_MIN_K = 64
-
-
-def _party_tables(spark, width: int, n1: int | None, k1: int, k2: int, gamma: float, seed: int):
-    """W (features x components) and offsets per party, same expressions as
-    the relational path, fetched once through Arrow (bounded by width x k)."""
-    if width * (k1 + k2) > BROADCAST_TABLE_LIMIT:
-        raise ValueError("projection too large for the vectorised path")
-    out = {}
-    parts = [(1, 0, n1 if n1 is not None else width, k1)] + ([] if n1 is None else [(2, n1, width, k2)])
-    for party, lo, hi, kp in parts:
-        if kp == 0:
-            continue
-        tbl = spark.range(1, hi - lo + 1).select(F.col("id").cast("int").alias("fid"), F.lit(party).alias("party")).select(
-            "fid", "party", F.explode(F.sequence(F.lit(0), F.lit(kp - 1))).alias("comp"))
-        w = tbl.select("fid", "comp", (F.lit(math.sqrt(2.0 * gamma)) *
-                                       normal(F.lit(seed), F.col("party"), F.col("comp"), F.col("fid"))).alias("w")).toArrow()
-        W = np.empty((hi - lo, kp))
-        W[w.column("fid").to_numpy() - 1, w.column("comp").to_numpy()] = w.column("w").to_numpy()
-        o = spark.range(0, kp).select(F.col("id").cast("int").alias("comp"), F.lit(party).alias("party")).select(
-            "comp", (F.lit(2.0 * math.pi) * uniform(F.lit(seed), F.col("party"), F.col("comp"), "o")).alias("o")).toArrow()
-        off = np.empty(kp)
-        off[o.column("comp").to_numpy()] = o.column("o").to_numpy()
-        out[party] = (lo, hi, W, off, math.sqrt(2.0 / kp))
-    return out
-
-
-def rff_features_auto(cells: DataFrame, rows: DataFrame, width: int, k: int, gamma: float, p: float | None = None,
-                      seed: int = 1, method: str = "auto") -> DataFrame:
-    """F14 choosing the relational or the vectorised (large k) path; both
-    give the same features."""
-    import pyarrow as pa
-
-    vec_ok = width * k <= BROADCAST_TABLE_LIMIT
-    if method == "relational" or (method == "auto" and (k < VECTORISED_MIN_K or not vec_ok)):
-        return rff_features(cells, rows, width, k, gamma, p, seed)
-    n1 = None if p is None else int(math.floor(width * p))
-    k1, k2 = split_components(k, p)
-    spark = cells.sparkSession
-    bc = spark.sparkContext.broadcast(_party_tables(spark, width, n1, k1, k2, gamma, seed))
-    per_row = cells.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("e"))
-    vec = rows.select("row_id").join(per_row, "row_id", "left").select(
-        "row_id", F.coalesce("e", F.array().cast("array<struct<feature_id:int,value:double>>")).alias("e"))
-
-    def run(batches):
-        tables = bc.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            col = batch.column(batch.schema.get_field_index("e"))
-            offs = col.offsets.to_numpy() - col.offsets.to_numpy()[0]
-            flat = col.flatten()
-            fid = flat.field("feature_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            val = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
-            rid = batch.column(batch.schema.get_field_index("row_id")).to_numpy(zero_copy_only=False)
-            o_row, o_party, o_comp, o_val = [], [], [], []
-            for party, (lo, hi, W, off, scale) in tables.items():
-                kp = W.shape[1]
-                for r in range(batch.num_rows):
-                    f = fid[offs[r]:offs[r + 1]]
-                    v = val[offs[r]:offs[r + 1]]
-                    sel = (f > lo) & (f <= hi)
-                    xw = v[sel] @ W[f[sel] - lo - 1] if sel.any() else np.zeros(kp)
-                    o_row.append(np.full(kp, rid[r], dtype=np.int64))
-                    o_party.append(np.full(kp, party, dtype=np.int32))
-                    o_comp.append(np.arange(kp, dtype=np.int32))
-                    o_val.append(scale * np.cos(xw + off))
-            if o_row:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (o_row, o_party, o_comp, o_val)],
-                    names=["row_id", "party", "comp", "value"])
-
-    return vec.mapInArrow(run, "row_id long, party int, comp int, value double")

@@ -2,253 +2,84 @@
 
 For every row, party and hash position the chosen (party-local, 1-based)
 feature is kept; a row without cells in a party gets -1 at every position.
-
-Plan shape: cells x hashes are generated inside the scan stage, each gets a
-hashed key, and ``min_by(feature, key)`` per (row, party, hash) is
-partially aggregated before the only shuffle. Empty rows are handled in the
-same aggregate by unioning one marker per (row, party, hash) with key +inf
-and sample -1, so no join with the row table is needed. ``min_by`` keeps a
-fixed-width buffer, so the aggregate is hash based (a struct minimum would
-force a sort); keys tie only when two features of a row share a 32-bit
-hash value at the minimum, and such a tie may resolve to either feature.
+One plan for every size: a row's cells (at most the width) are grouped by one
+shuffle and scored against tiles of hash positions as flat arrays, with a
+segmented minimum per row; nothing is emitted per (cell, position). Ties go to
+the smallest feature.
 
 Hash randomness: uniforms from md5 of ``seed:g:feature`` (g = global hash
-position; party 2 positions follow party 1). When width x hashes is small the
-per-(feature, hash) values are precomputed once and broadcast; otherwise they
-are computed inline per cell.
-
-Large k (``*_samples_auto``): the relational plan does nnz x k hash-aggregate
-updates, so for k >= 64 (and a bounded table) each row's cells are grouped
-once and scored against all hash positions with numpy inside ``mapInArrow``
-(argmin per hash, ties -> smallest feature). Both paths give the same samples.
+position; party 2 positions follow party 1).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import uniform
-
-BROADCAST_TABLE_LIMIT = 4_000_000  # (feature, hash) pairs; ~100 MB at most
-
-
-def _party_cells(cells: DataFrame, n1: int | None) -> DataFrame:
-    if n1 is None:
-        return cells.select("row_id", F.lit(1).alias("party"), F.col("feature_id").alias("gfid"),
-                            F.col("feature_id").alias("fid"), "value")
-    party = F.when(F.col("feature_id") <= n1, F.lit(1)).otherwise(F.lit(2))
-    local = F.when(F.col("feature_id") <= n1, F.col("feature_id")).otherwise(F.col("feature_id") - n1)
-    return cells.select("row_id", party.alias("party"), F.col("feature_id").alias("gfid"), local.alias("fid"), "value")
-
-
-def _hash_positions(k1: int, k2: int) -> Column:
-    """Per party: 0-based local hash ids."""
-    return F.sequence(F.lit(0), F.when(F.col("party") == 1, F.lit(k1 - 1)).otherwise(F.lit(k2 - 1)))
-
+from skein.operators.rowtiles import Uniforms, per_row_tiles, split_positions
 
-def _global_hash(k1: int) -> Column:
-    return F.when(F.col("party") == 1, F.col("hash_id")).otherwise(F.col("hash_id") + F.lit(k1))
+SCHEMA = "row_id long, party int, hash_id int, sample int"
 
 
-def _split_k(k: int, p: float | None) -> tuple[int, int]:
-    if p is None:
-        return k, 0
-    import math
+def _argmin(score, before_of):
+    """Tile function: local feature of the smallest score per row and position."""
 
-    k1 = int(math.floor(k * p))
-    return k1, k - k1
+    def tile(party, features, values, starts, g0, lo, hi):
+        out = np.full((len(starts) - 1, hi - lo), -1, np.int32)
+        full = np.flatnonzero(np.diff(starts))
+        if not len(full):
+            return out
+        distinct, at = np.unique(features, return_inverse=True)
+        keys = score(distinct, at, values[:, None], g0 + lo, g0 + hi)
+        first = starts[full]
+        least = np.minimum.reduceat(keys, first, axis=0)
+        sizes = np.diff(np.append(first, len(features)))
+        place = np.where(keys == np.repeat(least, sizes, axis=0), np.arange(len(features))[:, None], len(features))
+        out[full] = features[np.minimum.reduceat(place, first, axis=0)] - before_of[party]
+        return out
 
+    return tile
 
-def _min_sample(keyed: DataFrame, rows: DataFrame, k1: int, k2: int, two_party: bool) -> DataFrame:
-    parties = [1, 2] if two_party else [1]
-    markers = (
-        rows.select("row_id", F.explode(F.array(*[F.lit(p) for p in parties])).alias("party"))
-        .select("row_id", "party", F.explode(_hash_positions(k1, k2)).alias("hash_id"))
-        .select("row_id", "party", "hash_id", F.lit(float("inf")).alias("key"), F.lit(-1).alias("fid"))
-    )
-    both = keyed.select("row_id", "party", "hash_id", "key", F.col("fid").cast("int").alias("fid")).unionByName(markers)
-    return both.groupBy("row_id", "party", "hash_id").agg(
-        F.min_by("fid", "key").alias("sample")
-    ).select("row_id", F.col("party").cast("int").alias("party"), F.col("hash_id").cast("int").alias("hash_id"),
-             F.col("sample").cast("int").alias("sample"))
 
+def _before(width: int, p: float | None) -> dict[int, int]:
+    return {1: 0, 2: 0 if p is None else int(np.floor(width * p))}
 
-def _with_table(exploded: DataFrame, width: int, k: int, cols: dict[str, Column]) -> DataFrame:
-    """Attach per-(gfid, g) random values: broadcast table when small, else inline."""
-    spark = exploded.sparkSession
-    if width * k <= BROADCAST_TABLE_LIMIT:
-        tbl = spark.range(1, width + 1).select(F.col("id").cast("int").alias("gfid")).select(
-            "gfid", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("g")
-        )
-        tbl = tbl.select("gfid", "g", *[c.alias(n) for n, c in cols.items()])
-        return exploded.join(F.broadcast(tbl), ["gfid", "g"])
-    return exploded.select("*", *[c.alias(n) for n, c in cols.items()])
 
-
-def pminhash_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None,
-                     seed: int = 1) -> DataFrame:
+def pminhash_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None, seed: int = 1) -> DataFrame:
     """P-MinHash: argmin over x_f > 0 of -ln(u(g, f)) / x_f (F16).
 
     ``p`` None: one table, k hashes over all features. Otherwise party 1 owns
     features 1..floor(width*p) with floor(k*p) hashes, party 2 the rest.
-    Output: samples(row_id, party, hash_id, sample).
+    Output: samples(row_id, party, hash_id, sample). A cell beyond the width
+    is an error.
     """
-    import math
+    u = Uniforms(lambda g, f: f"{seed}:{g}:{f}")
+
+    def score(distinct, at, values, lo, hi):
+        return -np.log(u.tile(distinct, lo, hi))[at] / values
 
-    n1 = None if p is None else int(math.floor(width * p))
-    k1, k2 = _split_k(k, p)
-    pc = _party_cells(cells, n1).where(F.col("value") > 0)
-    ex = pc.select("*", F.explode(_hash_positions(k1, k2)).alias("hash_id")).withColumn("g", _global_hash(k1))
-    ex = _with_table(ex, width, k, {"u": uniform(F.lit(seed), F.col("g"), F.col("gfid"))})
-    keyed = ex.select("row_id", "party", "hash_id", "fid", (-F.log(F.col("u")) / F.col("value")).alias("key"))
-    return _min_sample(keyed, rows, k1, k2, p is not None)
+    return per_row_tiles(cells.where(F.col("value") > 0), rows, width, k, p, _argmin(score, _before(width, p)), SCHEMA, "hash_id")
 
 
-def cws_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None,
-                seed: int = 1) -> DataFrame:
+def cws_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None, seed: int = 1) -> DataFrame:
     """0-bit consistent weighted sampling (Ioffe 2010; Li 2015).
 
     r, c ~ Gamma(2, 1) and beta ~ U(0, 1) per (feature, hash);
     t = floor(ln x / r + beta); ln a = ln c - r * (t - beta) - r;
     the sample is the feature with the smallest ln a (only the index is kept).
     """
-    import math
-
-    n1 = None if p is None else int(math.floor(width * p))
-    k1, k2 = _split_k(k, p)
-    pc = _party_cells(cells, n1).where(F.col("value") > 0)
-    ex = pc.select("*", F.explode(_hash_positions(k1, k2)).alias("hash_id")).withColumn("g", _global_hash(k1))
-    s, g, f = F.lit(seed), F.col("g"), F.col("gfid")
-    cols = {
-        "r": -F.log(uniform(s, g, f, "r1")) - F.log(uniform(s, g, f, "r2")),
-        "lnc": F.log(-F.log(uniform(s, g, f, "c1")) - F.log(uniform(s, g, f, "c2"))),
-        "beta": uniform(s, g, f, "b"),
-    }
-    ex = _with_table(ex, width, k, cols)
-    t = F.floor(F.log(F.col("value")) / F.col("r") + F.col("beta"))
-    key = F.col("lnc") - F.col("r") * (t - F.col("beta")) - F.col("r")
-    keyed = ex.select("row_id", "party", "hash_id", "fid", key.alias("key"))
-    return _min_sample(keyed, rows, k1, k2, p is not None)
-
-
-# ---------------------------------------------------------------- large k
-VECTORISED_MIN_K = 64
-
-
-def _random_tables(spark, width: int, k: int, cols: dict[str, Column]) -> dict[str, "object"]:
-    """The per-(feature, hash) values as numpy matrices [feature-1, g],
-    computed by Spark with the same expressions as the relational path and
-    fetched once through Arrow (bounded: width x k <= BROADCAST_TABLE_LIMIT)."""
-    import numpy as np
-
-    if width * k > BROADCAST_TABLE_LIMIT:
-        raise ValueError("random table too large for the vectorised sampler")
-    tbl = spark.range(1, width + 1).select(F.col("id").cast("int").alias("gfid")).select(
-        "gfid", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("g"))
-    at = tbl.select("gfid", "g", *[c.alias(n) for n, c in cols.items()]).toArrow()
-    gf = at.column("gfid").to_numpy() - 1
-    g = at.column("g").to_numpy()
-    out = {}
-    for n in cols:
-        m = np.empty((width, k))
-        m[gf, g] = at.column(n).to_numpy()
-        out[n] = m
-    return out
-
-
-def _vectorised(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None, key_fn, tables) -> DataFrame:
-    """Per-row sampler: a row's cells (bounded by the width) are scored
-    against all of its party's hash positions at once; argmin per hash."""
-    import math
-
-    import numpy as np
-    import pyarrow as pa
-
-    spark = cells.sparkSession
-    n1 = width if p is None else int(math.floor(width * p))
-    k1, k2 = _split_k(k, p)
-    bc = spark.sparkContext.broadcast(tables)
-    per_row = cells.where(F.col("value") > 0).groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("e"))
-    vec = rows.select("row_id").join(per_row, "row_id", "left").select(
-        "row_id", F.coalesce("e", F.array().cast("array<struct<feature_id:int,value:double>>")).alias("e"))
-    parties = [(1, 0, n1, 0, k1)] + ([] if p is None else [(2, n1, width, k1, k2)])
-
-    def run(batches):
-        t = bc.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            col = batch.column(batch.schema.get_field_index("e"))
-            offs = col.offsets.to_numpy() - col.offsets.to_numpy()[0]
-            flat = col.flatten()
-            fid = flat.field("feature_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            val = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
-            rid = batch.column(batch.schema.get_field_index("row_id")).to_numpy(zero_copy_only=False)
-            o_row, o_party, o_hash, o_s = [], [], [], []
-            for party, lo_f, hi_f, g0, kp in parties:
-                if kp == 0:
-                    continue
-                cols = slice(g0, g0 + kp)
-                for r in range(batch.num_rows):
-                    f = fid[offs[r]:offs[r + 1]]
-                    v = val[offs[r]:offs[r + 1]]
-                    sel = (f > lo_f) & (f <= hi_f)
-                    if sel.any():
-                        f, v = f[sel], v[sel]
-                        keys = key_fn({n: m[f - 1, cols] for n, m in t.items()}, v[:, None])
-                        s = (f[np.argmin(keys, axis=0)] - lo_f).astype(np.int32)
-                    else:
-                        s = np.full(kp, -1, dtype=np.int32)
-                    o_row.append(np.full(kp, rid[r], dtype=np.int64))
-                    o_party.append(np.full(kp, party, dtype=np.int32))
-                    o_hash.append(np.arange(kp, dtype=np.int32))
-                    o_s.append(s)
-            if o_row:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (o_row, o_party, o_hash, o_s)],
-                    names=["row_id", "party", "hash_id", "sample"])
-
-    return vec.mapInArrow(run, "row_id long, party int, hash_id int, sample int")
-
-
-def _use_vectorised(method: str, width: int, k: int) -> bool:
-    if method == "vectorised":
-        return True
-    if method == "relational":
-        return False
-    return k >= VECTORISED_MIN_K and width * k <= BROADCAST_TABLE_LIMIT
-
-
-def pminhash_samples_auto(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None,
-                          seed: int = 1, method: str = "auto") -> DataFrame:
-    """P-MinHash choosing the relational or the vectorised (large k) path."""
-    import numpy as np
-
-    if not _use_vectorised(method, width, k):
-        return pminhash_samples(cells, rows, width, k, p, seed)
-    s = F.lit(seed)
-    t = _random_tables(cells.sparkSession, width, k, {"u": uniform(s, F.col("g"), F.col("gfid"))})
-    return _vectorised(cells, rows, width, k, p, lambda m, v: -np.log(m["u"]) / v, t)
-
-
-def cws_samples_auto(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None = None,
-                     seed: int = 1, method: str = "auto") -> DataFrame:
-    """0-bit CWS choosing the relational or the vectorised (large k) path."""
-    import numpy as np
-
-    if not _use_vectorised(method, width, k):
-        return cws_samples(cells, rows, width, k, p, seed)
-    s, g, f = F.lit(seed), F.col("g"), F.col("gfid")
-    t = _random_tables(cells.sparkSession, width, k, {
-        "r": -F.log(uniform(s, g, f, "r1")) - F.log(uniform(s, g, f, "r2")),
-        "lnc": F.log(-F.log(uniform(s, g, f, "c1")) - F.log(uniform(s, g, f, "c2"))),
-        "beta": uniform(s, g, f, "b"),
-    })
-
-    def key(m, v):
-        tt = np.floor(np.log(v) / m["r"] + m["beta"])
-        return m["lnc"] - m["r"] * (tt - m["beta"]) - m["r"]
-
-    return _vectorised(cells, rows, width, k, p, key, t)
+    draw = {t: Uniforms(lambda g, f, t=t: f"{seed}:{g}:{f}:{t}") for t in ("r1", "r2", "c1", "c2", "b")}
+
+    def score(distinct, at, values, lo, hi):
+        u = {t: x.tile(distinct, lo, hi) for t, x in draw.items()}
+        r = (-np.log(u["r1"]) - np.log(u["r2"]))[at]
+        ln_c = np.log(-np.log(u["c1"]) - np.log(u["c2"]))[at]
+        beta = u["b"][at]
+        t = np.floor(np.log(values) / r + beta)
+        return ln_c - r * (t - beta) - r
+
+    return per_row_tiles(cells.where(F.col("value") > 0), rows, width, k, p, _argmin(score, _before(width, p)), SCHEMA, "hash_id")
+
+
+__all__ = ["cws_samples", "pminhash_samples", "split_positions"]

@@ -48,15 +48,16 @@ def q(name, sql=None):
 def doc_samples(spark, sf, method="pminhash", two_party=True, cells=None):
     rows = X.doc_row_ids(spark, sf)
     cells = X.doc_cells(spark, sf) if cells is None else cells
-    fn = SM.pminhash_samples_auto if method == "pminhash" else SM.cws_samples_auto
+    fn = SM.pminhash_samples if method == "pminhash" else SM.cws_samples
     return fn(cells, rows, N, KH, P if two_party else None, seed=SEED)
 
 
 # ------------------------------------------------------------ SQL samples
-def sql_samples(method="pminhash", two_party=True, prefix="s") -> list[tuple[str, str]]:
+def sql_samples(method="pminhash", two_party=True, prefix="s", width=N, k=KH) -> list[tuple[str, str]]:
     """CTEs ending in ``{prefix}_samples(row_id, party, hash_id, sample)``."""
-    n1 = N1 if two_party else N
-    k1, k2 = (K1, K2) if two_party else (KH, 0)
+    n1 = int(math.floor(width * P)) if two_party else width
+    k1 = int(math.floor(k * P)) if two_party else k
+    k2 = k - k1
     kmax = max(k1, k2)
     party = f"CASE WHEN feature_id <= {n1} THEN 1 ELSE 2 END"
     fid = f"CASE WHEN feature_id <= {n1} THEN feature_id ELSE feature_id - {n1} END"
@@ -109,6 +110,58 @@ def _cws(spark, sf):
     return doc_samples(spark, sf, "0bitcws")
 
 
+WIDE_K, WIDE_N = 64, 131_072
+
+
+def _doc_base(width):
+    return [("doc_rows", X.SQL_DOC_ROWS), ("doc_cells", X.sql_doc_cells(width))]
+
+
+@q("pminhash_samples_k64", with_(*DOC_BASE, *sql_samples("pminhash", k=WIDE_K)) + "SELECT * FROM s_samples")
+def _pminhash_k64(spark, sf):
+    return SM.pminhash_samples(X.doc_cells(spark, sf), X.doc_row_ids(spark, sf), N, WIDE_K, P, seed=SEED)
+
+
+@q("pminhash_samples_wide", with_(*_doc_base(WIDE_N), *sql_samples("pminhash", width=WIDE_N, k=WIDE_K)) + "SELECT * FROM s_samples")
+def _pminhash_wide(spark, sf):
+    return SM.pminhash_samples(X.doc_cells(spark, sf, WIDE_N), X.doc_row_ids(spark, sf), WIDE_N, WIDE_K, P, seed=SEED)
+
+
+@q("cws_samples_wide", with_(*_doc_base(WIDE_N), *sql_samples("0bitcws", prefix="w", width=WIDE_N, k=WIDE_K)) + "SELECT * FROM w_samples")
+def _cws_wide(spark, sf):
+    return SM.cws_samples(X.doc_cells(spark, sf, WIDE_N), X.doc_row_ids(spark, sf), WIDE_N, WIDE_K, P, seed=SEED)
+
+
+WIDE_GAMMA = 0.001
+
+
+def _rff_wide_sql() -> str:
+    n1, k1 = int(math.floor(WIDE_N * P)), int(math.floor(WIDE_K * P))
+    k2 = WIDE_K - k1
+    w = f"sqrt(2.0 * {WIDE_GAMMA}) * {sql_normal(key(str(SEED), 'pc.party', 'cm.comp', 'pc.fid'))}"
+    off = f"{2.0 * math.pi!r} * {sql_uniform(key(str(SEED), 'g.party', 'g.comp') + ' || ' + repr(':o'))}"
+    kp = f"CASE WHEN {{p}}.party = 1 THEN {k1} ELSE {k2} END"
+    return with_(*_doc_base(WIDE_N),
+                 ("pc", f"""SELECT row_id, CASE WHEN feature_id <= {n1} THEN 1 ELSE 2 END AS party,
+                    CASE WHEN feature_id <= {n1} THEN feature_id ELSE feature_id - {n1} END AS fid, value FROM doc_cells"""),
+                 ("comps", f"SELECT CAST(c AS INTEGER) AS comp FROM range(0, {max(k1, k2)}) t(c)"),
+                 ("grid", f"""SELECT d.row_id, pp.party, cm.comp FROM doc_rows d, (VALUES (1), (2)) pp(party), comps cm
+                    WHERE cm.comp < {kp.format(p='pp')}"""),
+                 ("wt", f"""SELECT pc.party, cm.comp, pc.fid, {w} AS w FROM (SELECT DISTINCT party, fid FROM pc) pc
+                    JOIN comps cm ON cm.comp < {kp.format(p='pc')}"""),
+                 ("proj", """SELECT pc.row_id, pc.party, wt.comp, sum(pc.value * wt.w) AS xw FROM pc
+                    JOIN wt ON wt.party = pc.party AND wt.fid = pc.fid GROUP BY pc.row_id, pc.party, wt.comp""")) + f"""
+SELECT g.row_id, CAST(g.party AS INTEGER) AS party, g.comp,
+  {s6(f'CASE WHEN g.party = 1 THEN sqrt(2.0 / {k1}) ELSE sqrt(2.0 / {k2}) END * cos(coalesce(p.xw, 0.0) + {off})')} AS value
+FROM grid g LEFT JOIN proj p ON g.row_id = p.row_id AND g.party = p.party AND g.comp = p.comp"""
+
+
+@q("rff_features_wide", _rff_wide_sql())
+def _rff_wide(spark, sf):
+    out = K.rff_features(X.doc_cells(spark, sf, WIDE_N), X.doc_row_ids(spark, sf), WIDE_N, WIDE_K, WIDE_GAMMA, P, seed=SEED)
+    return out.select("row_id", "party", "comp", r6(F.col("value")).alias("value"))
+
+
 @q("check_contract", with_(*DOC_BASE, *sql_samples("pminhash"),
                            ("pr", "SELECT row_id, party, count(*) AS n FROM s_samples GROUP BY row_id, party")) + f"""
 SELECT 'rows_party1' AS "check", CAST(count(*) FILTER (WHERE party = 1) AS BIGINT) AS value FROM pr
@@ -327,7 +380,7 @@ FROM grid g LEFT JOIN proj p ON g.row_id = p.row_id AND g.party = p.party AND g.
 def _rff_features(spark, sf):
     gamma = emb_train_gamma(spark, sf)
     w = X.emb_wide(spark, sf)
-    out = K.rff_features_auto(C.to_long(w), w.select("row_id"), X.EMB_WIDTH, KERNEL_K, gamma, P, seed=SEED)
+    out = K.rff_features(C.to_long(w), w.select("row_id"), X.EMB_WIDTH, KERNEL_K, gamma, P, seed=SEED)
     return out.select("row_id", "party", "comp", r6(F.col("value")).alias("value"))
 
 

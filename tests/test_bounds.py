@@ -1,33 +1,44 @@
-"""Size bounds: what is broadcast or gathered stays bounded, and the
-automatic choices fall back to the relational plans past each bound."""
+"""What is held at once stays bounded, and results don't depend on sizes."""
 
 import pytest
+from pyspark.errors import PythonException
 
 from skein.operators import kernels as K
+from skein.operators import rowtiles as T
 from skein.operators import sampling as SM
 
 
-def test_sampler_path_choice():
-    assert not SM._use_vectorised("auto", 4096, 16)                    # small k: relational
-    assert SM._use_vectorised("auto", 4096, 256)                       # large k, bounded table
-    assert not SM._use_vectorised("auto", 10**6, 1024)                 # table past the bound
-    assert SM._use_vectorised("vectorised", 10, 2) and not SM._use_vectorised("relational", 10, 10**4)
-
-
-def test_random_table_refuses_unbounded(spark):
-    with pytest.raises(ValueError):
-        SM._random_tables(spark, 10**6, 1024, {})
-
-
-def test_rff_projection_refuses_unbounded(spark):
-    with pytest.raises(ValueError):
-        K._party_tables(spark, 10**6, None, 1024, 0, 1.0, 1)
-
-
-def test_rff_auto_falls_back_past_bound(spark, monkeypatch):
-    cells = spark.createDataFrame([(1, 1, 1.0)], "row_id long, feature_id int, value double")
-    rows = spark.createDataFrame([(1,)], "row_id long")
-    monkeypatch.setattr(K, "BROADCAST_TABLE_LIMIT", 10)
-    out = K.rff_features_auto(cells, rows, 4, 128, 1.0)   # 4 x 128 > 10: relational plan
-    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
-    assert out.count() == 128
+def _tables(spark):
+    cells = [(r, f, float(1 + (r * f) % 3)) for r in range(12) for f in range(1 + r % 3, 60, 1 + r)]
+    rows = spark.createDataFrame([(r,) for r in range(13)], "row_id long")
+    return spark.createDataFrame(cells, "row_id long, feature_id int, value double"), rows
+
+
+@pytest.mark.parametrize("make", [
+    lambda c, r, **kw: SM.pminhash_samples(c, r, 60, 20, **kw),
+    lambda c, r, **kw: SM.cws_samples(c, r, 60, 20, **kw),
+    lambda c, r, **kw: K.rff_features(c, r, 60, 20, 0.1, **kw),
+])
+@pytest.mark.parametrize("p", [None, 0.3])
+def test_tiles_don_t_change_results(spark, monkeypatch, make, p):
+    cells, rows = _tables(spark)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(make(cells, rows, p=p))
+    assert len(want) == 13 * 20
+    got = []
+    for values, positions in ((7, 3), (64, 1)):
+        monkeypatch.setattr(T, "TILE_VALUES", values)
+        monkeypatch.setattr(T, "TILE_POSITIONS", positions)
+        got.append(key(make(cells, rows, p=p)))
+    for g in got:
+        assert [x[:3] for x in g] == [x[:3] for x in want]
+        assert all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(g, want))
+
+
+@pytest.mark.parametrize("width,k", [(10, 4), (10, 64), (131_072, 64)])
+def test_a_cell_beyond_the_width_fails_at_any_size(spark, width, k):
+    cells = spark.createDataFrame([(0, 1, 1.0), (1, width + 1, 1.0)], "row_id long, feature_id int, value double")
+    rows = spark.createDataFrame([(0,), (1,)], "row_id long")
+    for out in (SM.pminhash_samples(cells, rows, width, k), SM.cws_samples(cells, rows, width, k), K.rff_features(cells, rows, width, k, 1.0)):
+        with pytest.raises(PythonException, match="beyond the width"):
+            out.collect()

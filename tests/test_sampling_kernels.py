@@ -97,30 +97,27 @@ def test_rff_empty_row_gets_all_components(spark):
     assert out.where(F.col("row_id") == 5).count() == 6
 
 
-def test_vectorised_sampler_equals_relational(spark):
-    from conftest import SF_SMALL
-    from skein.plans import fixtures as X
-
-    cells = X.doc_cells(spark, SF_SMALL).cache()
-    rows = X.doc_row_ids(spark, SF_SMALL)
-    for fn in (SM.pminhash_samples_auto, SM.cws_samples_auto):
-        a = {(r["row_id"], r["party"], r["hash_id"]): r["sample"]
-             for r in fn(cells, rows, 4096, 16, 0.3, method="relational").collect()}
-        b = {(r["row_id"], r["party"], r["hash_id"]): r["sample"]
-             for r in fn(cells, rows, 4096, 16, 0.3, method="vectorised").collect()}
-        assert a == b and len(a) == rows.count() * 16
-
-
-def test_vectorised_rff_equals_relational(spark):
-    from conftest import SF_SMALL
-    from skein.operators import columns as C
-    from skein.plans import fixtures as X
-
-    w = X.emb_wide(spark, SF_SMALL)
-    cells, rows = C.to_long(w).cache(), w.select("row_id")
-    a = {(r["row_id"], r["party"], r["comp"]): r["value"]
-         for r in K.rff_features_auto(cells, rows, 64, 10, 0.05, 0.3, method="relational").collect()}
-    b = {(r["row_id"], r["party"], r["comp"]): r["value"]
-         for r in K.rff_features_auto(cells, rows, 64, 10, 0.05, 0.3, method="vectorised").collect()}
-    assert a.keys() == b.keys()
-    assert max(abs(a[x] - b[x]) for x in a) < 1e-9
+def test_samples_equal_a_plain_loop(spark):
+    """The md5 uniforms and the arg-min rule, cell by cell."""
+    from hashlib import md5
+
+    def u(key):
+        return (int.from_bytes(md5(key.encode()).digest()[:4], "big") + 0.5) / 2**32
+
+    x = {0: [1, 0, 2, 0, 3, 1, 0, 0, 1, 2], 1: [0] * 10, 2: [0, 0, 0, 4, 0, 0, 0, 0, 0, 1]}
+    got = {(r["row_id"], r["party"], r["hash_id"]): r["sample"] for r in SM.pminhash_samples(_cells(spark, x), _rows(spark, [0, 1, 2]), 10, 10, p=0.3).collect()}
+    cws = {(r["row_id"], r["party"], r["hash_id"]): r["sample"] for r in SM.cws_samples(_cells(spark, x), _rows(spark, [0, 1, 2]), 10, 10, p=0.3).collect()}
+    for row, vec in x.items():
+        for party, features, g0, kp in ((1, range(1, 4), 0, 3), (2, range(4, 11), 3, 7)):
+            for h in range(kp):
+                g, keys, ckeys = g0 + h, [], []
+                for f in features:
+                    if vec[f - 1] > 0:
+                        local = f - (0 if party == 1 else 3)
+                        keys.append((-math.log(u(f"1:{g}:{f}")) / vec[f - 1], local))
+                        v = {t: u(f"1:{g}:{f}:{t}") for t in ("r1", "r2", "c1", "c2", "b")}
+                        r = -math.log(v["r1"]) - math.log(v["r2"])
+                        t = math.floor(math.log(vec[f - 1]) / r + v["b"])
+                        ckeys.append((math.log(-math.log(v["c1"]) - math.log(v["c2"])) - r * (t - v["b"]) - r, local))
+                assert got[row, party, h] == (min(keys)[1] if keys else -1)
+                assert cws[row, party, h] == (min(ckeys)[1] if ckeys else -1)
