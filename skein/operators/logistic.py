@@ -1,28 +1,30 @@
 """Logistic models trained by mini-batch SGD, many models per pass.
 
-Row vectors are stored sparse-by-row: ``vec(row_id, label, batch_id, idx
-ARRAY<INT>, val ARRAY<DOUBLE>)`` (dense rows simply list every index); the
-numpy kernels read them straight from Arrow list buffers (``mapInArrow``).
-
-* Mini-batch: batches are contiguous, so whole batches form chunks of about
-  ``ROWS_PER_PARTITION`` rows, one chunk per partition, sorted by (batch,
-  row). One task runs a chunk's batches in order with the exact update rule
-  and returns the new weights; jobs = epochs x chunks.
-* Full batch: every partition returns partial X^T E and loss sums for all M
-  models; a ``groupBy`` (or a direct collect when small) adds them up, and
-  the driver applies W <- W - C*alpha*g/B - lambda*alpha*W/B.
+Row vectors are stored sparse-by-row: ``vec(row_id, label, idx ARRAY<INT>,
+val ARRAY<DOUBLE>)`` (dense rows simply list every index); the numpy kernels
+read them straight from Arrow list buffers (``mapInArrow``).
+
+* Mini-batch: one range shuffle writes the rows, in order, as chunks of a
+  table in the shared folder. A chunk streams through one task per group of
+  models, which applies the exact update rule batch after batch; a batch that
+  the chunk's end cuts is carried over as its partial gradient. Models are
+  independent, so their groups read the same chunk side by side. Jobs =
+  epochs x chunks; a task holds one Arrow batch and its models' weights.
+* Full batch, or batches larger than a chunk: every partition returns one
+  partial X^T E and loss sum for all M models, summed by a ``groupBy``; the
+  driver applies W <- W - C*alpha*g/B - lambda*alpha*W/B.
 
 Weights up to 1 MB ride in the task closure, larger ones as a Spark
 broadcast; beyond ``MAX_BROADCAST_BYTES`` the relational path
-(``train_relational``) keeps them as a table joined on feature_id. Either
-way the result equals the sequential definition: batches are visited one
-after another and each update sees the previous one.
+(``train_relational``) keeps them as a table joined on feature_id. All paths
+return the same ``TrainResult``, whose weights, snapshots, history and steps
+are tables with equal columns.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.activation import activation_np, canonical
+from skein.functions.hashing import h32
+from skein.session import cut_lineage, scratch_path, ship_package
 
 # Fixed values (must equal the reference's training rule):
 #   Taylor loss per row   (-1/2 z + y z - 1/8 z^2) * (-1/B) - ln(1/2)
@@ -43,6 +47,11 @@ DECAY_EVERY = 10
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 BROADCAST_WEIGHT_ROWS = 2_000_000
 DIRECT_COLLECT_VALUES = 2_000_000   # partitions x d x M partial sums read by the driver
+#: rows of a chunk, about; a larger batch is spread over tasks
+ROWS_PER_CHUNK = 1 << 18
+#: models that one task trains
+MODELS_PER_TASK = 16
+INLINE_WEIGHT_BYTES = 1 << 20
 LN_HALF = math.log(0.5)
 
 
@@ -57,12 +66,106 @@ class Model:
     pos_label: int | None = None     # None: binary label as given (0/1)
 
 
-@dataclass
+#: snapshots of one training that the driver keeps; later ones are written as tables
+SNAPSHOT_BYTES = 64 << 20
+#: step records that the driver keeps before it writes them as a table
+STEP_RECORDS = 1 << 19
+
+_STEPS = "model_id long, epoch int, batch_id long, batch_loss double, alpha double"
+
+
 class TrainResult:
-    weights: np.ndarray                      # d x M, final
-    snapshots: dict[int, np.ndarray]         # epoch -> d x M
-    history: list[dict] = field(default_factory=list)   # per (epoch, model)
-    steps: list[dict] = field(default_factory=list)     # per (epoch, batch, model)
+    """Weights, snapshots, history and steps of one training.
+
+    ``weights`` (model_id, feature_id, w) and ``snapshots_frame`` (with epoch)
+    are DataFrames whatever the size of the model, and have a row for every
+    model and feature; ``history`` has one record per (epoch, model), and
+    ``steps_frame`` one row per (epoch, batch, model).
+    """
+
+    def __init__(self, spark, models: list[Model], width: int):
+        self.spark, self.models, self.width = spark, models, width
+        self.history: list[dict] = []
+        self.epochs: list[int] = []
+        self._arrays: dict[int, np.ndarray] = {}
+        self._tables: dict[int, DataFrame] = {}
+        self._final = None
+        self._steps: list[pd.DataFrame] = []
+        self._written_steps: str | None = None
+
+    # -- weights
+    def _melt(self, arrays: dict[int, np.ndarray]) -> DataFrame:
+        ids = [m.model_id for m in self.models]
+        parts = [pd.DataFrame({
+            "model_id": np.repeat(ids, self.width).astype(np.int64), "epoch": np.full(W.size, e, np.int32),
+            "feature_id": np.tile(np.arange(1, self.width + 1), len(ids)).astype(np.int32), "w": W.T.reshape(-1)}) for e, W in arrays.items()]
+        return self.spark.createDataFrame(pd.concat(parts, ignore_index=True), "model_id long, epoch int, feature_id int, w double")
+
+    def _dense(self, table: DataFrame, epoch: int) -> DataFrame:
+        """A row for every feature, also those that no step has touched."""
+        ids = F.array(*[F.lit(m.model_id).cast("bigint") for m in self.models])
+        grid = self.spark.range(1, self.width + 1).select(F.explode(ids).alias("model_id"), F.col("id").cast("int").alias("feature_id"))
+        return grid.join(table, ["model_id", "feature_id"], "left").select(
+            "model_id", F.lit(epoch).cast("int").alias("epoch"), "feature_id", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+    def keep(self, epoch: int, W, last: bool, snapshot: bool) -> None:
+        if snapshot:
+            self.epochs.append(epoch)
+            if isinstance(W, DataFrame):
+                self._tables[epoch] = self._dense(W, epoch)
+            elif (len(self._arrays) + 1) * W.nbytes <= SNAPSHOT_BYTES:
+                self._arrays[epoch] = W.copy()
+            else:
+                path = scratch_path(self.spark, "weights")
+                self._melt({epoch: W}).write.parquet(path)
+                self._tables[epoch] = self.spark.read.parquet(path)
+        if last:
+            self._final = self._dense(W, epoch) if isinstance(W, DataFrame) else W.copy()
+
+    @property
+    def weights(self) -> DataFrame:
+        """Final weights (model_id, feature_id, w)."""
+        final = self._final if isinstance(self._final, DataFrame) else self._melt({0: self._final})
+        return final.select("model_id", "feature_id", "w")
+
+    def snapshots_frame(self, epochs: list[int] | None = None) -> DataFrame:
+        """(model_id, epoch, feature_id, w) of the kept epochs, or some of them."""
+        epochs = self.epochs if epochs is None else list(epochs)
+        inline = {e: self._arrays[e] for e in epochs if e in self._arrays}
+        parts = ([self._melt(inline)] if inline else []) + [self._tables[e] for e in epochs if e in self._tables]
+        if not parts or len(inline) + len(parts) - bool(inline) != len(epochs):
+            raise KeyError(f"no snapshot of some epoch of {epochs}")
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def matrix(self, epoch: int | None = None) -> np.ndarray:
+        """Weights as a width x models array on the driver, for small models."""
+        table = self.weights if epoch is None else self.snapshots_frame([epoch])
+        if self.width * len(self.models) * 8 > SNAPSHOT_BYTES:
+            raise ValueError("too large for the driver: use the weights table")
+        at = {m.model_id: i for i, m in enumerate(self.models)}
+        out = np.zeros((self.width, len(self.models)))
+        for r in table.collect():
+            out[r["feature_id"] - 1, at[r["model_id"]]] = r["w"]
+        return out
+
+    # -- steps
+    def add_steps(self, model_id, epoch, batch_id, loss, alpha) -> None:
+        self._steps.append(pd.DataFrame({"model_id": np.asarray(model_id, np.int64), "epoch": np.full(len(model_id), epoch, np.int32),
+                                         "batch_id": np.asarray(batch_id, np.int64), "batch_loss": np.asarray(loss, float), "alpha": np.asarray(alpha, float)}))
+        if sum(map(len, self._steps)) > STEP_RECORDS:
+            self._written_steps = self._written_steps or scratch_path(self.spark, "steps")
+            self.spark.createDataFrame(pd.concat(self._steps), _STEPS).write.mode("append").parquet(self._written_steps)
+            self._steps = []
+
+    def steps_frame(self) -> DataFrame:
+        local = self.spark.createDataFrame(pd.concat(self._steps), _STEPS) if self._steps else None
+        written = self.spark.read.parquet(self._written_steps) if self._written_steps else None
+        if local is None and written is None:
+            return self.spark.createDataFrame([], _STEPS)
+        return written if local is None else local if written is None else written.unionByName(local)
 
 
 # ------------------------------------------------------------------ layout
@@ -131,34 +234,39 @@ def _activate(z: np.ndarray, models: list[Model]) -> np.ndarray:
     return out
 
 
-def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
-    """mapInArrow body: partial gradients and losses of one step.
+def _batch_of(batch, W, models):
+    """(scores, targets, errors, feature index, values, row of each) of an Arrow batch."""
+    fi, row_of = _flat(batch, "idx")
+    fv, _ = _flat(batch, "val")
+    fi, fv = fi.astype(np.int64) - 1, fv.astype(np.float64)
+    labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
+    z = _scores_flat(batch.num_rows, fi, fv, row_of, W)
+    y = _targets(labels, models)
+    return z, y, _activate(z, models) - y, fi, fv, row_of
+
+
+def _losses(z, y, B) -> np.ndarray:
+    return ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF).sum(axis=0)
+
+
+def _step_fn(models: list[Model], w_bc, B: int):
+    """mapInArrow body: gradient and loss of one batch, once per partition.
 
     Reads the sparse rows straight from Arrow list buffers (flat values and
-    offsets), so the per-batch work is vectorised numpy with no per-row loop.
+    offsets), so the work is vectorised numpy with no per-row loop.
     """
     import pyarrow as pa
 
     def run(batches):
         W = w_bc.value
+        g, loss, rows = np.zeros(W.shape), np.zeros(len(models)), 0
         for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            fi, row_of = _flat(batch, "idx")
-            fv, _ = _flat(batch, "val")
-            fi = fi.astype(np.int64) - 1
-            fv = fv.astype(np.float64)
-            z = _scores_flat(n, fi, fv, row_of, W)
-            labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
-            y = _targets(labels, models)
-            err = _activate(z, models) - y
-            bids = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False)
-            B = np.vectorize(batch_rows.__getitem__, otypes=[float])(bids)[:, None]
-            g = np.zeros(W.shape)
-            if len(fi):
+            if batch.num_rows:
+                z, y, err, fi, fv, row_of = _batch_of(batch, W, models)
                 np.add.at(g, fi, err[row_of] * fv[:, None])
-            loss = ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF).sum(axis=0)
+                loss += _losses(z, y, B)
+                rows += batch.num_rows
+        if rows:
             nz_f, nz_m = np.nonzero(g)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([nz_m, np.arange(len(models))]).astype(np.int32)),
@@ -169,73 +277,72 @@ def _step_fn(models: list[Model], w_bc, batch_rows: dict[int, int]):
     return run
 
 
-def _chunk_fn(models: list[Model], w_bc, a_bc, epoch: int, decay: bool, width: int):
-    """mapInArrow body: consecutive batches of one chunk, in order, in one task.
+# kinds of rows that a streaming task returns
+_LOSS, _WEIGHT, _ALPHA, _GRADIENT, _PARTIAL, _ROWS = range(6)
+_STREAM = "kind int, model int, batch_id long, feature_id int, v double, alpha double"
 
-    The chunk (at most ``ROWS_PER_PARTITION`` rows, sorted by batch_id, row_id)
-    is processed batch after batch with the same update rule as the driver
-    loop, so the result equals one job per batch. Emits one loss row per
-    (batch, model), then the final weights and step sizes.
-    """
+
+def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool, batch_size: int, n_rows: int, ids: bool):
+    """mapInArrow body: the rows of one chunk, in order, for models ``first``
+    on. Applies the update whenever a batch is complete, and returns the
+    batches' losses, the weights and what belongs to an unfinished batch."""
     import pyarrow as pa
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        fi_all, row_all = _flat(t, "idx")
-        fv_all, _ = _flat(t, "val")
-        col = t.column(t.schema.get_field_index("idx"))
-        offs = col.offsets.to_numpy() - col.offsets.to_numpy()[0]  # row r -> flat [offs[r], offs[r+1])
-        fi_all = fi_all.astype(np.int64) - 1
-        fv_all = fv_all.astype(np.float64)
-        labels = t.column(t.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
-        bids = t.column(t.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-        W = np.array(w_bc.value, copy=True)
-        alphas = np.array(a_bc.value, copy=True)
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(bids)) + 1, [len(bids)]])
-        out_b, out_m, out_f, out_v = [], [], [], []
-        for s0, s1 in zip(starts[:-1], starts[1:]):
-            lo, hi = offs[s0], offs[s1]  # the batch's cells are one contiguous slice
-            fi, fv, row_of = fi_all[lo:hi], fv_all[lo:hi], row_all[lo:hi] - s0
-            n = s1 - s0
-            z = _scores_flat(n, fi, fv, row_of, W)
-            y = _targets(labels[s0:s1], models)
-            err = _activate(z, models) - y
-            g = np.zeros(W.shape)
-            if len(fi):
-                np.add.at(g, fi, err[row_of] * fv[:, None])
-            loss = ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / n) - LN_HALF).sum(axis=0)
-            if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
-                alphas = alphas * DECAY_FACTOR
-            W = _update(W, g, n, models, alphas)
-            out_b.append(np.full(len(models), bids[s0]))
-            out_m.append(np.arange(len(models)))
-            out_f.append(np.full(len(models), -1))
-            out_v.append(loss)
-        fidx, midx = np.nonzero(W)
-        out_b += [np.full(len(fidx), -1), np.full(len(models), -2)]
-        out_m += [midx, np.arange(len(models))]
-        out_f += [fidx + 1, np.zeros(len(models), dtype=np.int64)]
-        out_v += [W[fidx, midx], alphas]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate(out_b).astype(np.int32)),
-            pa.array(np.concatenate(out_m).astype(np.int32)),
-            pa.array(np.concatenate(out_f).astype(np.int32)),
-            pa.array(np.concatenate(out_v).astype(np.float64)),
-        ], names=["batch_id", "model", "feature_id", "v"])
+        s = state.value
+        W, alphas, g, loss = (np.array(s[k], copy=True) for k in ("W", "alphas", "g", "loss"))
+        seen, pos, M = s["seen"], s["pos"], len(models)
+        out = []
 
-    return run
+        def emit(kind, model, batch, feature, v, a):
+            n = len(model)
+            out.append((np.full(n, kind), model + first, np.full(n, batch), feature, v, a))
 
+        every, none = np.arange(M), np.zeros(M)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            fi_all, row_all = _flat(batch, "idx")
+            fv_all, _ = _flat(batch, "val")
+            fi_all, fv_all = fi_all.astype(np.int64) - 1, fv_all.astype(np.float64)
+            cut = np.searchsorted(row_all, np.arange(n + 1))
+            y_all = _targets(batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float), models)
+            own = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False) if ids else None
+            i = 0
+            while i < n:
+                b = int(own[i]) if ids else pos // batch_size
+                B = min(batch_size, n_rows - b * batch_size)
+                j = min(n, i + B - seen)
+                fi, fv, row_of, y = fi_all[cut[i]:cut[j]], fv_all[cut[i]:cut[j]], row_all[cut[i]:cut[j]] - i, y_all[i:j]
+                z = _scores_flat(j - i, fi, fv, row_of, W)
+                err = _activate(z, models) - y
+                if len(fi):
+                    np.add.at(g, fi, err[row_of] * fv[:, None])
+                loss += _losses(z, y, B)
+                seen, pos, i = seen + j - i, pos + j - i, j
+                if seen == B:
+                    if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
+                        alphas = alphas * DECAY_FACTOR
+                    W = _update(W, g, B, models, alphas)
+                    emit(_LOSS, every, b, none, loss, alphas)
+                    g, loss, seen = np.zeros(W.shape), np.zeros(M), 0
+        for kind, x in ((_WEIGHT, W), (_GRADIENT, g)):
+            f, m = np.nonzero(x)
+            emit(kind, m, 0, f + 1, x[f, m], np.zeros(len(m)))
+        emit(_ALPHA, every, 0, none, alphas, none)
+        emit(_PARTIAL, every, 0, none, loss, none)
+        emit(_ROWS, every, 0, none, np.full(M, float(pos)), np.full(M, float(seen)))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        kinds = (np.int32, np.int32, np.int64, np.int32, np.float64, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, kinds)],
+                                         names=["kind", "model", "batch_id", "feature_id", "v", "alpha"])
 
-ROWS_PER_PARTITION = 1 << 18
-CELLS_PER_CHUNK = 1 << 24           # about 200 MB of (index, value) pairs in one task
-INLINE_WEIGHT_BYTES = 1 << 20
+    return run
 
 
 class _Inline:
-    """Small weights travel inside the task closure; large ones as a broadcast."""
+    """Small values travel inside the task closure; large ones as a broadcast."""
 
     def __init__(self, value):
         self.value = value
@@ -244,62 +351,60 @@ class _Inline:
         pass
 
 
-def _ship_weights(spark, W: np.ndarray):
-    if W.nbytes <= INLINE_WEIGHT_BYTES:
-        return _Inline(W)
-    return spark.sparkContext.broadcast(W)
+def _ship(spark, value, nbytes: int):
+    return _Inline(value) if nbytes <= INLINE_WEIGHT_BYTES else spark.sparkContext.broadcast(value)
 
 
-class BatchSizes(dict):
-    """batch_id -> rows, plus how many whole batches form one chunk
-    (0 = no chunks: one job per batch)."""
+@dataclass
+class Prepared:
+    """Rows laid out for training: ``mode`` full (one batch), stream (chunks
+    in row order) or steps (a folder per batch)."""
 
-    per_chunk: int = 0
+    mode: str
+    data: DataFrame
+    n_rows: int
+    batch_size: int
+    chunks: int = 0
 
+    @property
+    def n_batches(self) -> int:
+        return max(1, -(-self.n_rows // self.batch_size))
 
-def prepare(vec: DataFrame, batch_size: int) -> tuple[DataFrame, BatchSizes]:
-    """Assign contiguous batches, cluster rows by batch and cache.
+    def size(self, batch: int) -> int:
+        """Rows of a batch: all have ``batch_size`` but the last."""
+        return min(self.batch_size, self.n_rows - batch * self.batch_size)
+
+
+def _in_chunks(vec: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, int]:
+    """The rows in range order as a table with one folder per chunk: one
+    shuffle, written to the shared folder."""
+    spark = vec.sparkSession
+    chunks = max(1, -(-n // ROWS_PER_CHUNK))
+    path = scratch_path(spark, "chunks")
+    vec.repartitionByRange(chunks, *order).withColumn("chunk", F.spark_partition_id()).write.partitionBy("chunk").parquet(path)
+    return spark.read.parquet(path), chunks
+
+
+def prepare(vec: DataFrame, batch_size: int) -> Prepared:
+    """Lay the rows out for batches of ``batch_size`` in row_id order.
 
     Batches are contiguous in row order, so every batch has ``batch_size``
     rows except the last (the remainder); sizes follow from the row count.
-    The same pass measures the average non-zeros per row, which bounds a
-    chunk by cells, not only by rows:
-
-    * one batch: rows stay spread over about n / ``ROWS_PER_PARTITION``
-      partitions (every step reads all of them in parallel);
-    * mini-batches up to ``CELLS_PER_CHUNK`` cells: whole batches form chunks
-      of at most ``CELLS_PER_CHUNK`` cells and ``ROWS_PER_PARTITION`` rows,
-      one chunk per partition, rows sorted by (batch_id, row_id);
-    * larger batches: range partitions on (batch_id, row_id), so one batch
-      spans several tasks and each step reduces their partial sums.
     """
     from skein.operators.rows import assign_batches
 
-    st = vec.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("idx")).alias("cells")).collect()[0]
-    n = int(st["n"])
-    avg_nnz = max(1.0, float(st["cells"] or 0) / max(n, 1))
+    spark = vec.sparkSession
+    n = vec.count()
     if batch_size >= n:
-        batched = vec.withColumn("batch_id", F.lit(0))  # full batch: no ranking needed
-    else:
-        batched = assign_batches(vec, batch_size).drop("pos")
-    nb = max(1, -(-n // batch_size))
-    sizes = BatchSizes({b: batch_size for b in range(nb - 1)})
-    sizes[nb - 1] = n - (nb - 1) * batch_size
-    cap = int(vec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # enough partitions for both bounds (rows and cells per partition), capped
-    n_parts = max(1, min(cap, max(-(-n // ROWS_PER_PARTITION), -(-int(n * avg_nnz) // CELLS_PER_CHUNK))))
-    if nb == 1:
-        clustered = batched if batched.rdd.getNumPartitions() >= n_parts else batched.repartition(n_parts)
-    elif batch_size * avg_nnz <= CELLS_PER_CHUNK:
-        rows_per_chunk = min(ROWS_PER_PARTITION, int(CELLS_PER_CHUNK // avg_nnz))
-        sizes.per_chunk = max(1, rows_per_chunk // batch_size)
-        n_chunks = -(-nb // sizes.per_chunk)
-        clustered = (batched.withColumn("chunk", (F.col("batch_id") / F.lit(sizes.per_chunk)).cast("int"))
-                     .repartitionByRange(max(1, min(n_chunks, cap)), "chunk")
-                     .sortWithinPartitions("batch_id", "row_id"))
-    else:
-        clustered = batched.repartitionByRange(n_parts, "batch_id", "row_id")
-    return clustered.persist(StorageLevel.MEMORY_AND_DISK), sizes
+        want = max(1, -(-n // ROWS_PER_CHUNK))
+        spread = vec if vec.rdd.getNumPartitions() >= want else vec.repartition(want)
+        return Prepared("full", spread.persist(StorageLevel.MEMORY_AND_DISK), n, max(batch_size, 1))
+    if batch_size <= ROWS_PER_CHUNK:
+        data, chunks = _in_chunks(vec, n, ["row_id"])
+        return Prepared("stream", data, n, batch_size, chunks)
+    path = scratch_path(spark, "batches")
+    assign_batches(vec, batch_size).drop("pos").write.partitionBy("batch_id").parquet(path)
+    return Prepared("steps", spark.read.parquet(path), n, batch_size)
 
 
 def _update(W: np.ndarray, g: np.ndarray, B: int, models: list[Model], alphas: np.ndarray) -> np.ndarray:
@@ -317,172 +422,179 @@ def _update(W: np.ndarray, g: np.ndarray, B: int, models: list[Model], alphas: n
     return new
 
 
-def _epoch_chunks(spark, data, chunks, models, W, alphas, epoch, decay, width, res):
-    """One epoch as one job per chunk; chunks run in order."""
-    M = len(models)
-    losses = np.zeros(M)
-    for c in chunks:
-        wb, ab = _ship_weights(spark, W), _ship_weights(spark, alphas)
-        fn = _chunk_fn(models, wb, ab, epoch, decay, width)
-        got = data.where(F.col("chunk") == c).select("label", "batch_id", "idx", "val").mapInArrow(
-            fn, "batch_id int, model int, feature_id int, v double").collect()  # d x M + batches x M values
-        wb.unpersist()
-        ab.unpersist()
-        W = np.zeros((width, M))
-        alphas = alphas.copy()
-        for r in got:
-            if r["batch_id"] == -1:
-                W[r["feature_id"] - 1, r["model"]] = r["v"]
-            elif r["batch_id"] == -2:
-                alphas[r["model"]] = r["v"]
-            else:
-                losses[r["model"]] += r["v"]
-                res.steps.append({"model_id": models[r["model"]].model_id, "epoch": epoch,
-                                  "batch_id": r["batch_id"], "batch_loss": float(r["v"]), "alpha": None})
+def _epoch_stream(spark, data, order, plan: Prepared, chunks, models, W, alphas, epoch, decay, res):
+    """One epoch over chunks in order: one job per chunk, one task per group
+    of models in it."""
+    width, M = W.shape
+    groups = [(i, models[i:i + MODELS_PER_TASK]) for i in range(0, M, MODELS_PER_TASK)]
+    g, loss, losses, seen, pos = np.zeros(W.shape), np.zeros(M), np.zeros(M), 0, 0
+    ids = "batch_id" in data.columns
+    for c in range(chunks):
+        rows = data.where(F.col("chunk") == c).coalesce(1).sortWithinPartitions(*order).select("label", "idx", "val", *["batch_id"] * ids)
+        shipped, job = [], None
+        for i, part in groups:
+            cols = slice(i, i + len(part))
+            state = {"W": W[:, cols], "alphas": alphas[cols], "g": g[:, cols], "loss": loss[cols], "seen": seen, "pos": pos}
+            shipped.append(_ship(spark, state, 2 * W[:, cols].nbytes))
+            one = rows.mapInArrow(_stream_fn(part, i, shipped[-1], epoch, decay, plan.batch_size, plan.n_rows, ids), _STREAM)
+            job = one if job is None else job.unionByName(one)
+        got = job.toArrow()  # per model: its weights, a loss per batch
+        for x in shipped:
+            x.unpersist()
+        kind, model, batch, feature, v, a = (got.column(k).to_numpy() for k in ("kind", "model", "batch_id", "feature_id", "v", "alpha"))
+        at = {k: kind == k for k in range(6)}
+        W, g, alphas, loss = np.zeros(W.shape), np.zeros(W.shape), alphas.copy(), np.zeros(M)
+        W[feature[at[_WEIGHT]] - 1, model[at[_WEIGHT]]] = v[at[_WEIGHT]]
+        g[feature[at[_GRADIENT]] - 1, model[at[_GRADIENT]]] = v[at[_GRADIENT]]
+        alphas[model[at[_ALPHA]]] = v[at[_ALPHA]]
+        loss[model[at[_PARTIAL]]] = v[at[_PARTIAL]]
+        pos, seen = int(v[at[_ROWS]][0]), int(a[at[_ROWS]][0])
+        done = at[_LOSS]
+        np.add.at(losses, model[done], v[done])
+        ids_of = np.array([m.model_id for m in models])
+        res.add_steps(ids_of[model[done]], epoch, batch[done], v[done], a[done])
+    if pos != plan.n_rows or seen:
+        raise RuntimeError(f"an epoch of {plan.n_rows} rows read {pos}")
     return W, alphas, losses
 
 
-def _epoch_steps(spark, data, sizes, order, models, W, alphas, epoch, decay, width, n_parts, res):
-    """One epoch as one job per batch (full batch, or a custom visit order)."""
-    M = len(models)
+def _epoch_steps(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
+    """One epoch as one distributed job per batch."""
+    width, M = W.shape
     losses = np.zeros(M)
-    for b in order:
-        bc = _ship_weights(spark, W)
-        step = _step_fn(models, bc, sizes)
-        part = data.where(F.col("batch_id") == b).select("label", "batch_id", "idx", "val").mapInArrow(
-            step, "model int, feature_id int, g double")
-        if len(sizes) > 1 or n_parts * width * M <= DIRECT_COLLECT_VALUES:
-            # a mini-batch lives in few partitions (or there are few): partial sums come back directly
-            got = part.collect()
-        else:
-            got = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g")).collect()
+    for b in range(plan.n_batches):
+        bc = _ship(spark, W, W.nbytes)
+        rows = plan.data if plan.mode == "full" else plan.data.where(F.col("batch_id") == b)
+        part = rows.select("label", "idx", "val").mapInArrow(_step_fn(models, bc, plan.size(b)), "model int, feature_id int, g double")
+        if part.rdd.getNumPartitions() * (width + 1) * M > DIRECT_COLLECT_VALUES:
+            part = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g"))
+        got = part.toArrow()
         bc.unpersist()
-        g = np.zeros((width, M))
-        bl = np.zeros(M)
-        for r in got:
-            if r["feature_id"] == 0:
-                bl[r["model"]] += r["g"]
-            else:
-                g[r["feature_id"] - 1, r["model"]] += r["g"]
+        model, feature, v = (got.column(k).to_numpy() for k in ("model", "feature_id", "g"))
+        g, bl = np.zeros((width, M)), np.zeros(M)
+        is_loss = feature == 0
+        np.add.at(bl, model[is_loss], v[is_loss])
+        np.add.at(g, (feature[~is_loss] - 1, model[~is_loss]), v[~is_loss])
         if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
             alphas = alphas * DECAY_FACTOR
-        W = _update(W, g, sizes[b], models, alphas)
+        W = _update(W, g, plan.size(b), models, alphas)
         losses += bl
-        for m in range(M):
-            res.steps.append({"model_id": models[m].model_id, "epoch": epoch, "batch_id": b,
-                              "batch_loss": float(bl[m]), "alpha": float(alphas[m])})
+        res.add_steps([m.model_id for m in models], epoch, np.full(M, b), bl, alphas)
     return W, alphas, losses
 
 
+def _monitor(res: TrainResult, epoch: int, loss, prev, eps: float) -> bool:
+    """Records the epoch; whether all models have converged."""
+    conv = np.abs(prev - loss) < eps
+    for mod, x, c in zip(res.models, loss.tolist(), conv.tolist()):
+        res.history.append({"model_id": mod.model_id, "epoch": epoch, "loss": x, "converged": c, "overflow": math.isnan(x) or math.isinf(x)})
+    return bool(conv.all())
+
+
 def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_iter: int,
           snapshot_epochs: int | None = None, eps: float = 1e-6, stop_on_converge: bool = False,
-          decay: bool = False, visit_order: dict[int, list[int]] | None = None,
-          prepared: tuple[DataFrame, dict[int, int]] | None = None) -> TrainResult:
+          decay: bool = False, shuffle_seed: int | None = None, prepared: Prepared | None = None) -> TrainResult:
     """Train every model in ``models`` together.
 
     Each model starts from zero weights (one-vs-rest models included). The
     epoch loss is the sum of batch losses over all rows; ``converged`` is
     |previous - loss| < eps with previous starting at 0. ``decay`` applies
     alpha *= 0.95 before every batch update of an epoch e > 1 with e % 10 == 0.
+    With ``shuffle_seed`` the batches of every epoch but the first are visited
+    in the order of ``rows.shuffle_batches`` (batches of at most
+    ``ROWS_PER_CHUNK`` rows).
     """
-    for mod in models:
-        mod.activation = canonical(mod.activation)
+    from skein.operators.rows import assign_batches
+
+    models = [Model(**{**vars(m), "activation": canonical(m.activation)}) for m in models]
     spark = vec.sparkSession
+    ship_package(spark)
     M = len(models)
     if width * M * 8 > MAX_BROADCAST_BYTES:
-        return train_relational(vec, width, models, batch_size, max_iter, snapshot_epochs, eps,
-                                stop_on_converge, decay, visit_order, prepared)
-    data, sizes = prepared or prepare(vec, batch_size)
-    n_rows = sum(sizes.values())
-    n_parts = data.rdd.getNumPartitions()
-    W = np.zeros((width, M))
-    alphas = np.array([m.alpha for m in models], dtype=float)
-    snap_max = snapshot_epochs if snapshot_epochs is not None else max_iter
-    res = TrainResult(weights=W, snapshots={})
-    prev = np.zeros(M)
-    order = sorted(sizes)
-    per_chunk = getattr(sizes, "per_chunk", 0)
-    chunked = len(sizes) > 1 and not visit_order and per_chunk > 0 and "chunk" in data.columns
-    if chunked:
-        chunks = sorted({b // per_chunk for b in sizes})
+        return train_relational(vec, width, models, batch_size, max_iter, snapshot_epochs, eps, stop_on_converge, decay, shuffle_seed)
+    batched = None
+    if shuffle_seed is not None:
+        batched = assign_batches(vec, batch_size).drop("pos")  # checkpointed in order
+    plan = prepared or prepare(vec, batch_size)
+    if batched is not None and plan.mode == "steps":
+        raise ValueError("a shuffled order needs batches of at most ROWS_PER_CHUNK rows")
+    W, alphas = np.zeros((width, M)), np.array([m.alpha for m in models], dtype=float)
+    res, prev = TrainResult(spark, models, width), np.zeros(M)
     for epoch in range(1, max_iter + 1):
-        if chunked:
-            W, alphas, losses = _epoch_chunks(spark, data, chunks, models, W, alphas, epoch, decay, width, res)
+        if plan.mode != "stream":
+            W, alphas, losses = _epoch_steps(spark, plan, models, W, alphas, epoch, decay, res)
         else:
-            W, alphas, losses = _epoch_steps(spark, data, sizes, (visit_order or {}).get(epoch, order), models,
-                                             W, alphas, epoch, decay, width, n_parts, res)
-        loss = losses / n_rows
-        conv = np.abs(prev - loss) < eps
-        for m in range(M):
-            res.history.append({"model_id": models[m].model_id, "epoch": epoch, "loss": float(loss[m]),
-                                "converged": bool(conv[m]),
-                                "overflow": bool(np.isnan(loss[m]) or np.isinf(loss[m]))})
+            data, chunks, order = plan.data, plan.chunks, ["row_id"]
+            if batched is not None and epoch > 1:
+                order = ["visit_key", "batch_id", "row_id"]
+                keyed = batched.withColumn("visit_key", h32(F.lit(shuffle_seed), F.lit(epoch), F.col("batch_id")))
+                data, chunks = _in_chunks(keyed, plan.n_rows, order)
+            W, alphas, losses = _epoch_stream(spark, data, order, plan, chunks, models, W, alphas, epoch, decay, res)
+        loss = losses / max(plan.n_rows, 1)
+        converged = _monitor(res, epoch, loss, prev, eps)
         prev = loss
-        if epoch <= snap_max:
-            res.snapshots[epoch] = W.copy()
-        if stop_on_converge and conv.all():
+        last = epoch == max_iter or stop_on_converge and converged
+        res.keep(epoch, W, last, epoch <= (max_iter if snapshot_epochs is None else snapshot_epochs))
+        if last:
             break
-    res.weights = W
-    if prepared is None:
-        data.unpersist()
+    if prepared is None and plan.mode == "full":
+        plan.data.unpersist()
     return res
 
 
 # ------------------------------------------------------------------ relational weights
-@dataclass
-class RelationalResult:
-    weights: DataFrame                        # (model_id, feature_id, w), final
-    snapshots: dict[int, DataFrame]           # epoch -> (model_id, feature_id, w)
-    history: list[dict] = field(default_factory=list)
-    steps: list[dict] = field(default_factory=list)
-
-
 CHECKPOINT_EVERY = 4
+#: a feature with more than 1/HOT_FEATURES of all cells meets its weights by broadcast
+HOT_FEATURES = 1000
 
 
 def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_iter: int,
                      snapshot_epochs: int | None = None, eps: float = 1e-6, stop_on_converge: bool = False,
-                     decay: bool = False, visit_order: dict[int, list[int]] | None = None,
-                     prepared: tuple[DataFrame, dict[int, int]] | None = None) -> RelationalResult:
+                     decay: bool = False, shuffle_seed: int | None = None) -> TrainResult:
     """Same rule as ``train`` with the weights kept as a table (G9, §4.3 #3).
 
     Used when d x M is too large to broadcast. A step joins the batch cells
     with the weights on feature_id, sums z per (row, model), forms errors,
     joins them back on row_id and sums gradients per (model, feature); the
-    update is a full outer join of weights and gradients. Only the M loss
+    update is a full outer join of weights and gradients. Features with more
+    than a thousandth of all cells (a constant column; fewer than a thousand)
+    meet their weights by broadcast, so no join key is hot. Only the M loss
     sums reach the driver; lineage is cut every ``CHECKPOINT_EVERY`` steps.
     """
     from skein.functions.activation import activation_by_name
-    from skein.session import cut_lineage
+    from skein.operators.rows import assign_batches
 
     spark = vec.sparkSession
-    for mod in models:
-        mod.activation = canonical(mod.activation)
-    data, sizes = prepared or prepare(vec, batch_size)
-    n_rows = sum(sizes.values())
-    cells = data.select("row_id", "batch_id", F.posexplode(F.arrays_zip("idx", "val")).alias("_p", "e")).select(
+    models = [Model(**{**vars(m), "activation": canonical(m.activation)}) for m in models]
+    n = vec.count()
+    plan = Prepared("steps", assign_batches(vec, batch_size).drop("pos"), n, batch_size)
+    cells = plan.data.select("row_id", "batch_id", F.posexplode(F.arrays_zip("idx", "val")).alias("_p", "e")).select(
         "row_id", "batch_id", F.col("e.idx").alias("feature_id"), F.col("e.val").alias("value")).where(F.col("value") != 0)
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = data.select("row_id", "batch_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    n_cells = cells.count()
+    busy = [r["feature_id"] for r in cells.groupBy("feature_id").agg(F.count("*").alias("n")).where(
+        F.col("n") * HOT_FEATURES > F.lit(n_cells)).select("feature_id").collect()]  # fewer than HOT_FEATURES
+    is_busy = F.array_contains(F.array(*[F.lit(f) for f in busy]).cast("array<int>"), F.col("feature_id"))
+    cells = cells.withColumn("busy", is_busy).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = plan.data.select("row_id", "batch_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
     params = spark.createDataFrame(
         [(m.model_id, m.activation, m.alpha, m.lambda_para, m.c, m.penalty, m.pos_label) for m in models],
         "model_id long, act string, alpha double, lam double, c double, penalty string, pos_label int")
     params = F.broadcast(params)  # one row per model
     mids = F.array(*[F.lit(m.model_id).cast("bigint") for m in models])
     W = spark.createDataFrame([], "model_id long, feature_id int, w double")
-    res = RelationalResult(weights=W, snapshots={})
-    snap_max = snapshot_epochs if snapshot_epochs is not None else max_iter
-    prev = {m.model_id: 0.0 for m in models}
-    factor = 1.0
-    step_no = 0
+    res, prev = TrainResult(spark, models, width), np.zeros(len(models))
+    slot = {m.model_id: i for i, m in enumerate(models)}
+    factor, step_no = 1.0, 0
     for epoch in range(1, max_iter + 1):
-        losses = {m.model_id: 0.0 for m in models}
-        for b in (visit_order or {}).get(epoch, sorted(sizes)):
-            B = float(sizes[b])
+        losses = np.zeros(len(models))
+        for b in _visits(spark, plan.n_batches, epoch, shuffle_seed):
+            B = float(plan.size(b))
             if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
                 factor *= DECAY_FACTOR
             bc = cells.where(F.col("batch_id") == b)
-            z = bc.join(W, "feature_id").groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
+            hot = bc.where("busy").join(F.broadcast(W.where(is_busy)), "feature_id")  # HOT_FEATURES x models weights at most
+            cold = bc.where("NOT busy").join(W.where(~is_busy), "feature_id")
+            z = hot.unionByName(cold).groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
             grid = rows.where(F.col("batch_id") == b).select("row_id", "label", F.explode(mids).alias("model_id"))
             e = grid.join(z, ["row_id", "model_id"], "left").join(params, "model_id")
             zc = F.coalesce(F.col("z"), F.lit(0.0))
@@ -491,8 +603,10 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
             e = e.select("row_id", "model_id", (activation_by_name(zc, F.col("act")) - y).alias("err"),
                          ((F.lit(-0.5) * zc + y * zc - F.lit(0.125) * zc * zc) * F.lit(-1.0 / B) - F.lit(LN_HALF)).alias("lr"))
             e = e.persist(StorageLevel.MEMORY_AND_DISK)
+            step_loss = np.zeros(len(models))
             for r in e.groupBy("model_id").agg(F.sum("lr").alias("l")).collect():  # M numbers
-                losses[r["model_id"]] += r["l"]
+                step_loss[slot[r["model_id"]]] = r["l"]
+            losses += step_loss
             g = bc.join(e.select("row_id", "model_id", "err"), "row_id").groupBy("model_id", "feature_id").agg(
                 F.sum(F.col("err") * F.col("value")).alias("g"))
             upd = W.join(g, ["model_id", "feature_id"], "full_outer").join(params, "model_id")
@@ -506,55 +620,43 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
             if step_no % CHECKPOINT_EVERY == 0:
                 W = cut_lineage(W)
             e.unpersist()
-            for m in models:
-                res.steps.append({"model_id": m.model_id, "epoch": epoch, "batch_id": b, "batch_loss": None,
-                                  "alpha": m.alpha * factor})
+            res.add_steps([m.model_id for m in models], epoch, np.full(len(models), b), step_loss, [m.alpha * factor for m in models])
         W = cut_lineage(W)
-        conv = {}
-        for m in models:
-            loss = losses[m.model_id] / n_rows
-            conv[m.model_id] = abs(prev[m.model_id] - loss) < eps
-            res.history.append({"model_id": m.model_id, "epoch": epoch, "loss": loss, "converged": conv[m.model_id],
-                                "overflow": math.isnan(loss) or math.isinf(loss)})
-            prev[m.model_id] = loss
-        if epoch <= snap_max:
-            res.snapshots[epoch] = W
-        if stop_on_converge and all(conv.values()):
+        loss = losses / max(n, 1)
+        converged = _monitor(res, epoch, loss, prev, eps)
+        prev = loss
+        last = epoch == max_iter or stop_on_converge and converged
+        res.keep(epoch, W, last, epoch <= (max_iter if snapshot_epochs is None else snapshot_epochs))
+        if last:
             break
-    res.weights = W
     cells.unpersist()
     rows.unpersist()
-    if prepared is None:
-        data.unpersist()
     return res
 
 
+def _visits(spark, n_batches: int, epoch: int, seed: int | None):
+    """Batch ids of an epoch, in the order of ``rows.shuffle_batches``."""
+    if seed is None or epoch == 1:
+        return range(n_batches)
+    ids = spark.range(n_batches).select(F.col("id").alias("b"))
+    ordered = ids.orderBy(h32(F.lit(seed), F.lit(epoch), F.col("b")), "b")
+    return [r["b"] for r in ordered.toLocalIterator()]
+
+
 # ------------------------------------------------------------------ result tables
-def weights_frame(spark, res: TrainResult, models: list[Model], epochs: list[int] | None = None) -> DataFrame:
+def weights_frame(res: TrainResult, epochs: list[int] | None = None) -> DataFrame:
     """snapshots(model_id, epoch, feature_id, w) for the requested epochs."""
-    epochs = sorted(res.snapshots) if epochs is None else epochs
-    parts = []
-    for e in epochs:
-        W = res.snapshots[e]
-        d, M = W.shape
-        parts.append(pd.DataFrame({
-            "model_id": np.repeat([m.model_id for m in models], d).astype(np.int64),
-            "epoch": np.full(d * M, e, dtype=np.int32),
-            "feature_id": np.tile(np.arange(1, d + 1), M).astype(np.int32),
-            "w": W.T.reshape(-1),
-        }))
-    pdf = pd.concat(parts, ignore_index=True)
-    return spark.createDataFrame(pdf, "model_id long, epoch int, feature_id int, w double")
-
-
-def history_frame(spark, res: TrainResult) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(res.history),
-                                 "model_id long, epoch int, loss double, converged boolean, overflow boolean")
-
-
-def steps_frame(spark, res: TrainResult) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(res.steps),
-                                 "model_id long, epoch int, batch_id int, batch_loss double, alpha double")
+    return res.snapshots_frame(epochs)
+
+
+def history_frame(res: TrainResult) -> DataFrame:
+    return res.spark.createDataFrame(pd.DataFrame(res.history),
+                                     "model_id long, epoch int, loss double, converged boolean, overflow boolean")
+
+
+def steps_frame(res: TrainResult) -> DataFrame:
+    """(model_id, epoch, batch_id, batch_loss, alpha), one row per step and model."""
+    return res.steps_frame()
 
 
 # ------------------------------------------------------------------ relational forms

@@ -7,16 +7,16 @@ funnelling rows through one task:
 * ``kth_smallest`` narrows a value range with bounded histograms (16 bits per
   round, <= 65,536 buckets collected per round), so selecting a cut value costs
   a few partially-aggregated scans.
-* ``global_position`` range-partitions, materialises the partitioning in the
-  shared checkpoint folder, counts rows per partition (P numbers) and adds the
-  partition offset to a per-partition row_number.
+* ``global_position`` range-partitions, sorts and numbers the rows of each range
+  as it writes them to the shared checkpoint folder, counts rows per range (P
+  numbers) and adds the offsets: one shuffle.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.hashing import h32
@@ -64,25 +64,30 @@ def kth_smallest(df: DataFrame, col: str, k: int, stats=None) -> tuple[int, int]
     return lo, below
 
 
+#: monotonically_increasing_id keeps a row's number in its partition in these bits
+_IN_PARTITION = 33
+
+
 def global_position(df: DataFrame, order_col: str | list[str], partitions: int | None = None) -> DataFrame:
-    """Add ``pos`` = 0-based rank of each row by unique ``order_col`` value(s)."""
+    """Add ``pos`` = 0-based rank of each row by unique ``order_col`` value(s).
+
+    One range shuffle: rows are sorted in their ranges, numbered there as they
+    are written to the checkpoint, and the ranges' offsets (one row per
+    partition) are added.
+    """
     spark = df.sparkSession
     cols = [order_col] if isinstance(order_col, str) else list(order_col)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(p, *[F.col(c) for c in cols]).withColumn("_pid", F.spark_partition_id())
-    ranged = cut_lineage(ranged)
-    counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    ranged = cut_lineage(df.repartitionByRange(p, *[F.col(c) for c in cols]).sortWithinPartitions(*cols).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", _IN_PARTITION).cast("int")
+    counts = sorted(tuple(r) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
     offsets, acc = [], 0
     for pid, c in counts:
         offsets.append((pid, acc))
         acc += c
-    off = spark.createDataFrame(offsets, "_pid int, _off long")  # one row per partition
-    w = Window.partitionBy("_pid").orderBy(*cols)
-    return (
-        ranged.join(F.broadcast(off), "_pid")
-        .withColumn("pos", F.col("_off") + F.row_number().over(w) - 1)
-        .drop("_pid", "_off")
-    )
+    off = spark.createDataFrame(offsets, "_p int, _off long")  # one row per partition
+    return (ranged.withColumn("_p", part).join(F.broadcast(off), "_p")
+            .withColumn("pos", F.col("_off") + F.col("_m").bitwiseAND(F.lit((1 << _IN_PARTITION) - 1))).drop("_p", "_off", "_m"))
 
 
 # ------------------------------------------------------------------ B1

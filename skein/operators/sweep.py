@@ -27,7 +27,7 @@ def sweep(train_vec: DataFrame, width: int, models: list[L.Model], batch_size: i
     """Train all models in shared passes and return test accuracy per run."""
     spark = train_vec.sparkSession
     res = L.train(train_vec, width, models, batch_size, epochs)
-    w = L.weights_frame(spark, res, models, [epochs])
+    w = L.weights_frame(res, [epochs])
     z = H.scores(test_cells, test_rows, w)
     params = spark.createDataFrame(
         [(m.model_id, m.activation, m.alpha, m.lambda_para, m.c) for m in models],

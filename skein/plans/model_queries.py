@@ -1,8 +1,9 @@
 """Registered queries for training, scoring and evaluation (G, H).
 
-Oracle text for training unrolls the sequential SGD definition step by step
-(one group of materialised CTEs per batch update), so Spark's multi-model
-passes are checked against an independent, literal reading of the rule.
+Oracle text for training spells the sequential SGD definition out, unrolled
+(one group of materialised CTEs per update) for full batches and as one
+recursion over all updates for mini-batches, so Spark's multi-model passes are
+checked against an independent, literal reading of the rule at any size.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions.activation import ACTIVATIONS, activation, sql_activation
-from skein.functions.hashing import r6
+from skein.functions.hashing import r6, sql_h32
 from skein.operators import columns as C
 from skein.operators import evaluate as H
 from skein.operators import logistic as L
@@ -18,6 +19,7 @@ from skein.operators import rows as R
 from skein.operators import scale as D
 from skein.plans import fixtures as X
 from skein.plans.sqltext import r6 as s6
+from skein.plans.sqltext import key as key_sql
 from skein.plans.sqltext import with_
 from skein.plans.table_queries import emb_split, emb_split_sql, sql_li_split
 from skein.sources.runlog import parse_run_logs
@@ -29,7 +31,6 @@ FULL = 2**31 - 1       # batch size meaning "all rows in one batch"
 LI_D = 6
 EMB_D = X.EMB_WIDTH
 MINI = 4096
-NB_MAX = 8             # oracle unrolls this many batches per epoch for MINI
 
 
 def q(name, sql=None):
@@ -66,7 +67,7 @@ def _test_cells(wide):
 
 
 def _weights_out(spark, res, models, epochs=None, with_epoch=False):
-    w = L.weights_frame(spark, res, models, epochs)
+    w = L.weights_frame(res, epochs)
     cols = ["model_id"] + (["epoch"] if with_epoch else []) + ["feature_id", r6(F.col("w")).alias("w")]
     return w.select(*cols)
 
@@ -171,6 +172,44 @@ def sql_train(models: list[L.Model], width: int, epochs: int, batches: int, deca
     return ctes, steps
 
 
+def sql_train_steps(models: list[L.Model], width: int, epochs: int, batch: int, prefix: str = "", shuffle: int | None = None, base: str = "li") -> list[tuple[str, str]]:
+    """CTEs ending in ``{prefix}steps(s, model_id, w1..wd, loss)``: state 0 is
+    zero weights, state s the weights after the s-th update and the loss of its
+    batch under the weights before it. One recursion walks over all batches of
+    all epochs, however many there are; ``{prefix}visits(s, epoch, batch_id)``
+    lists them."""
+    P, d = prefix, range(1, width + 1)
+    y = "(CASE WHEN m.pos_label IS NULL THEN CAST(t.label AS DOUBLE) WHEN t.label = m.pos_label THEN 1.0 ELSE 0.0 END)"
+    z = "(" + " + ".join(f"r.w{j} * t.x{j}" for j in d) + ")"
+    key = f"CASE WHEN e = 1 THEN b ELSE {sql_h32(key_sql(str(shuffle), 'e', 'b'))} END" if shuffle is not None else "b"
+    new = ", ".join(f"""any_value(r.w{j}) - any_value(m.c) * any_value(m.alpha) * sum(({_act_case(models, z, 'r.model_id')} - {y}) * t.x{j}) / count(*)
+          - any_value(m.lam) * any_value(m.alpha) * {_pen_case(models, f'any_value(r.w{j})', 'r.model_id')} / count(*)""" for j in d)
+    return [
+        (f"{P}mods", _mods_sql(models)),
+        (f"{P}xr", f"""SELECT row_id, label, CAST(floor((row_number() OVER (ORDER BY row_id) - 1) / {batch}) AS BIGINT) AS batch_id,
+            {', '.join(f'f[{j}] AS x{j}' for j in d)} FROM (SELECT row_id, any_value(label) AS label, list(value ORDER BY feature_id) AS f
+            FROM lx WHERE split = 'train' GROUP BY row_id) t"""),
+        (f"{P}visits", f"""SELECT row_number() OVER (ORDER BY e, {key}, b) AS s, e AS epoch, b AS batch_id
+            FROM range(1, {epochs + 1}) a(e), (SELECT DISTINCT batch_id AS b FROM {P}xr) q"""),
+        (f"{P}steps", f"""SELECT CAST(0 AS BIGINT) AS s, model_id, {', '.join(f'0.0::DOUBLE AS w{j}' for j in d)}, 0.0::DOUBLE AS loss FROM {P}mods
+          UNION ALL
+          SELECT r.s + 1, r.model_id, {new},
+            sum((-0.5 * {z} + {y} * {z} - 0.125 * {z} * {z}) * (-1.0 / v.n) - ln(0.5))
+          FROM {P}steps r JOIN (SELECT v.*, c.n FROM {P}visits v JOIN (SELECT batch_id, CAST(count(*) AS DOUBLE) AS n FROM {P}xr GROUP BY batch_id) c USING (batch_id)) v ON v.s = r.s + 1
+          JOIN {P}xr t ON t.batch_id = v.batch_id JOIN {P}mods m ON m.model_id = r.model_id
+          GROUP BY r.s, r.model_id"""),
+        (f"{P}w", " UNION ALL ".join(f"SELECT s, model_id, {j} AS feature_id, w{j} AS w FROM {P}steps" for j in d)),
+    ]
+
+
+def _steps_with(*ctes) -> str:
+    return "WITH RECURSIVE " + with_(*ctes, materialize=True)[len("WITH "):].replace("steps AS MATERIALIZED (", "steps AS (")
+
+
+def _last_w_sql(prefix: str = "") -> str:
+    return f"SELECT model_id, CAST(feature_id AS INTEGER) AS feature_id, {s6('w')} AS w FROM {prefix}w WHERE s = (SELECT max(s) FROM {prefix}visits)"
+
+
 def _final_w_sql(s: int) -> str:
     return f"SELECT model_id, feature_id, {s6('w')} AS w FROM w{s}"
 
@@ -226,12 +265,19 @@ def _batch_gradient(spark, sf):
 
 
 # ------------------------------------------------------------ G5-G11 (training)
-def _train_query(name, models, data, epochs, batch, width, out="final", decay=False, batches_sql=1, snapshot=None):
-    """Register a Spark training query and its unrolled oracle."""
+def _train_query(name, models, data, epochs, batch, width, out="final", decay=False, shuffle=None):
+    """Register a Spark training query and its oracle: full-batch training is
+    unrolled, mini-batches are one recursion over all of them."""
     base = sql_li_model(batch) if data == "li" else sql_emb_model()
-    ctes, steps = sql_train(models, width, epochs, batches_sql, decay)
+    ctes, steps = sql_train(models, width, epochs, 1, decay)
     last = steps[-1][2]
-    if out == "final":
+    if batch != FULL:
+        sql = _steps_with(*base, *sql_train_steps(models, width, epochs, batch, shuffle=shuffle)) + (
+            _last_w_sql() if out == "final" else
+            f"""SELECT t.model_id, CAST(v.epoch AS INTEGER) AS epoch, CAST(v.batch_id AS INTEGER) AS batch_id, {s6('t.loss')} AS batch_loss
+                FROM steps t JOIN visits v ON v.s = t.s""")
+        tail = None
+    elif out == "final":
         tail = _final_w_sql(last)
     elif out == "snapshots":
         ends = {}
@@ -250,19 +296,20 @@ def _train_query(name, models, data, epochs, batch, width, out="final", decay=Fa
             FROM (SELECT model_id, epoch, sum(loss) / (SELECT n FROM ntr) AS loss FROM ({per_epoch}) t GROUP BY model_id, epoch) u"""
     else:
         raise ValueError(out)
-    sql = with_(*base, *ctes, materialize=True) + tail
+    if tail is not None:
+        sql = with_(*base, *ctes, materialize=True) + tail
 
     def run(spark, sf):
         wide = li_model_data(spark, sf) if data == "li" else emb_model_data(spark, sf)
         ms = [L.Model(**vars(m)) for m in models]
-        res = L.train(_train_vec(wide), width, ms, batch, epochs, decay=decay)
+        res = L.train(_train_vec(wide), width, ms, batch, epochs, decay=decay, shuffle_seed=shuffle)
         if out == "final":
             return _weights_out(spark, res, ms, [epochs])
         if out == "snapshots":
             return _weights_out(spark, res, ms, None, with_epoch=True)
         if out == "steps":
-            return L.steps_frame(spark, res).select("model_id", "epoch", "batch_id", r6(F.col("batch_loss")).alias("batch_loss"))
-        h = L.history_frame(spark, res)
+            return L.steps_frame(res).select("model_id", "epoch", F.col("batch_id").cast("int").alias("batch_id"), r6(F.col("batch_loss")).alias("batch_loss"))
+        h = L.history_frame(res)
         return h.select("model_id", "epoch", r6(F.col("loss")).alias("loss"), "converged", "overflow")
 
     QUERIES[name] = run
@@ -277,9 +324,10 @@ _train_query("sgd_update_penalty", [L.Model(0, "linear", 0.5, 50.0, 1.0, "l2"),
 _train_query("learning_rate_decay", [L.Model(0, "linear", 0.5, 0.0, 1.0)], "li", 11, FULL, LI_D, decay=True)
 _train_query("epoch_monitor", [L.Model(0, "linear", 0.5), L.Model(1, "cube", 0.5), L.Model(2, "origin", 0.5)],
              "li", 4, FULL, LI_D, out="monitor")
-_train_query("train_binary", [L.Model(0, "linear", 0.1, 1.0, 1.0)], "li", 2, MINI, LI_D, batches_sql=NB_MAX)
+_train_query("train_binary", [L.Model(0, "linear", 0.1, 1.0, 1.0)], "li", 2, MINI, LI_D)
 _train_query("taylor_loss", [L.Model(0, "linear", 0.1, 1.0, 1.0), L.Model(1, "origin", 0.1, 1.0, 1.0)],
-             "li", 2, MINI, LI_D, out="steps", batches_sql=NB_MAX)
+             "li", 2, MINI, LI_D, out="steps")
+_train_query("train_shuffled_order", [L.Model(0, "linear", 0.1, 1.0, 1.0), L.Model(1, "cube", 0.2, 0.0, 1.0)], "li", 3, 512, LI_D, shuffle=3)
 _train_query("weight_snapshots", [L.Model(0, "linear", 0.5)], "li", 3, FULL, LI_D, out="snapshots")
 OVR_MODELS = [L.Model(k, "linear", 0.5, 0.0, 1.0, pos_label=k) for k in range(10)]
 _train_query("train_ovr", OVR_MODELS, "emb", 3, FULL, EMB_D)
@@ -342,7 +390,7 @@ def _predict_binary(spark, sf):
     ms = [L.Model(**vars(m)) for m in PRED_MODELS]
     res = L.train(_train_vec(wide), LI_D, ms, FULL, 3)
     cells, rows = _test_cells(wide)
-    z = H.scores(cells, rows, L.weights_frame(spark, res, ms))
+    z = H.scores(cells, rows, L.weights_frame(res))
     p = H.predict_binary(z, rows, "linear")
     return p.select("row_id", "epoch", r6(F.col("z")).alias("z"), "pred")
 
@@ -369,7 +417,7 @@ def _ovr_predictions(spark, sf):
     ms = [L.Model(**vars(m)) for m in OVR_MODELS]
     res = L.train(_train_vec(wide), EMB_D, ms, FULL, OVR_EPOCHS)
     cells, rows = _test_cells(wide)
-    z = H.scores(cells, rows, L.weights_frame(spark, res, ms))
+    z = H.scores(cells, rows, L.weights_frame(res))
     return H.predict_ovr(z, "linear"), rows
 
 
@@ -463,7 +511,7 @@ def _sketch_logistic_accuracy(spark, sf):
     ms = [L.Model(**vars(m)) for m in SK_MODELS]
     res = L.train(vec, w1 + w2, ms, FULL, SK_EPOCHS)
     test_cells = cells.join(test_rows.select("row_id"), "row_id", "left_semi")
-    z = H.scores(test_cells, test_rows, L.weights_frame(spark, res, ms))
+    z = H.scores(test_cells, test_rows, L.weights_frame(res))
     acc = H.accuracy(H.predict_binary(z, test_rows, "linear"))
     return acc.select(F.col("epoch").cast("int"), r6(F.col("accuracy")).alias("accuracy"))
 
@@ -471,18 +519,7 @@ def _sketch_logistic_accuracy(spark, sf):
 # ------------------------------------------------------------ G9 with the reference's batch size (20)
 SMALL_BATCH = 20
 SMALL_BATCH_MODELS = [L.Model(0, "linear", 0.1, 1.0, 1.0)]
-
-
-def _train_small_batch(spark, sf):
-    """Thousands of sequential updates per epoch; no SQL oracle (too many
-    steps to unroll), checked against a numpy loop in tests/."""
-    wide = li_model_data(spark, sf)
-    ms = [L.Model(**vars(m)) for m in SMALL_BATCH_MODELS]
-    res = L.train(_train_vec(wide), LI_D, ms, SMALL_BATCH, 1)
-    return _weights_out(spark, res, ms, [1])
-
-
-QUERIES["train_binary_small_batch"] = _train_small_batch
+_train_query("train_binary_small_batch", SMALL_BATCH_MODELS, "li", 1, SMALL_BATCH, LI_D)
 
 
 # ------------------------------------------------------------ G8/G9 stop on convergence
@@ -510,7 +547,7 @@ def _train_converge(spark, sf):
     wide = li_model_data(spark, sf)
     ms = [L.Model(**vars(m)) for m in CONV_MODELS]
     res = L.train(_train_vec(wide), LI_D, ms, FULL, CONV_MAX_ITER, eps=CONV_EPS, stop_on_converge=True)
-    stop = max(res.snapshots)
+    stop = max(res.epochs)
     return _weights_out(spark, res, ms, [stop]).select(
         "model_id", F.lit(stop).cast("int").alias("stop_epoch"), "feature_id", "w")
 
@@ -535,7 +572,7 @@ def _predict_ovr_clip(spark, sf):
     ms = [L.Model(**vars(m)) for m in CLIP_MODELS]
     res = L.train(_train_vec(wide), EMB_D, ms, FULL, CLIP_EPOCHS)
     cells, rows = _test_cells(wide)
-    z = H.scores(cells, rows, L.weights_frame(spark, res, ms))
+    z = H.scores(cells, rows, L.weights_frame(res))
     return H.predict_ovr(z, "cube", clip=True).select("row_id", F.col("epoch").cast("int"), F.col("pred").cast("int"))
 
 
@@ -548,24 +585,22 @@ def _grid_batches_sql() -> str:
     from skein.operators.sweep import grid_models
 
     parts, ctes, start = [], [], 0
-    base = sql_li_model(MINI) + [("trf", "SELECT row_id, label, 0 AS batch_id, count(*) OVER () AS bsz FROM tr")]
     for gi, bs in enumerate(GRID_B["batch_size"]):
         models = grid_models(GRID_B["sigmoid_func"], GRID_B["alpha"], GRID_B["lambda_para"], GRID_B["c"], start=start)
         start += len(models)
-        pre, trn, nb = f"g{gi}_", ("tr" if bs == MINI else "trf"), (NB_MAX if bs == MINI else 1)
-        c, steps = sql_train(models, LI_D, GRID_EPOCHS, nb, prefix=pre, tr=trn)
-        last = steps[-1][2]
+        pre = f"g{gi}_"
         sigs = " ".join(f"WHEN {m.model_id} THEN '{m.activation}'" for m in models)
         zt = f"""SELECT r.row_id, k.model_id, coalesce(sum(x.value * w.w), 0.0) AS z
             FROM vr r CROSS JOIN {pre}mods k LEFT JOIN vx x ON x.row_id = r.row_id
-            LEFT JOIN {pre}w{last} w ON w.model_id = k.model_id AND w.feature_id = x.feature_id GROUP BY r.row_id, k.model_id"""
-        ctes += c + [(f"{pre}zt", zt)]
+            LEFT JOIN (SELECT * FROM {pre}w WHERE s = (SELECT max(s) FROM {pre}visits)) w
+              ON w.model_id = k.model_id AND w.feature_id = x.feature_id GROUP BY r.row_id, k.model_id"""
+        ctes += [*sql_train_steps(models, LI_D, GRID_EPOCHS, bs, prefix=pre), (f"{pre}zt", zt)]
         parts.append(f"""SELECT z.model_id AS run_id, CASE z.model_id {sigs} END AS sigmoid_func, m.alpha, m.lam AS lambda_para, m.c,
             {s6(f"avg(CASE WHEN (CASE WHEN {_act_case(models, 'z.z', 'z.model_id')} >= 0.5 THEN 1 ELSE 0 END) = r.label THEN 1.0 ELSE 0.0 END)")} AS accuracy,
             CAST({bs} AS INTEGER) AS batch_size
             FROM {pre}zt z JOIN vr r ON z.row_id = r.row_id JOIN {pre}mods m ON m.model_id = z.model_id
             GROUP BY z.model_id, m.alpha, m.lam, m.c""")
-    return with_(*base, *ctes, materialize=True) + "\nUNION ALL\n".join(parts)
+    return _steps_with(*sql_li_model(MINI), *ctes) + "\nUNION ALL\n".join(parts)
 
 
 @q("grid_sweep_batches", _grid_batches_sql())
@@ -585,8 +620,7 @@ REL_EPOCHS = 2
 
 
 def _relational_sql() -> str:
-    ctes, steps = sql_train(REL_MODELS, LI_D, REL_EPOCHS, NB_MAX)
-    return with_(*sql_li_model(MINI), *ctes, materialize=True) + _final_w_sql(steps[-1][2])
+    return _steps_with(*sql_li_model(MINI), *sql_train_steps(REL_MODELS, LI_D, REL_EPOCHS, MINI)) + _last_w_sql()
 
 
 @q("train_relational_weights", _relational_sql())
@@ -595,10 +629,7 @@ def _train_relational_weights(spark, sf):
     wide = li_model_data(spark, sf)
     ms = [L.Model(**vars(m)) for m in REL_MODELS]
     res = L.train_relational(_train_vec(wide), LI_D, ms, MINI, REL_EPOCHS)
-    grid = spark.range(0, 1).select(F.explode(F.array(*[F.lit(m.model_id).cast("bigint") for m in ms])).alias("model_id")).select(
-        "model_id", F.explode(F.sequence(F.lit(1), F.lit(LI_D))).alias("feature_id"))
-    w = grid.join(res.weights, ["model_id", "feature_id"], "left")  # features never touched stay 0
-    return w.select("model_id", F.col("feature_id").cast("int"), r6(F.coalesce(F.col("w"), F.lit(0.0))).alias("w"))
+    return res.weights.select("model_id", "feature_id", r6(F.col("w")).alias("w"))
 
 
 # ------------------------------------------------------------ G10 on the three-class LI (F/O/P -> 0/1/2)

@@ -55,52 +55,104 @@ def test_remainder_batch_and_all_activations(vec):
     res = L.train(vec, 3, [L.Model(**vars(m)) for m in MODELS], batch_size=3, max_iter=4)
     for m, mod in enumerate(MODELS):
         w, losses = numpy_train(mod, 3, 4)
-        np.testing.assert_allclose(res.weights[:, m], w, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(res.matrix()[:, m], w, rtol=1e-9, atol=1e-12)
         got = [h["loss"] for h in res.history if h["model_id"] == mod.model_id]
         np.testing.assert_allclose(got, losses, rtol=1e-9)
     # batches: 3 + 3 + remainder 1
-    assert sorted({s["batch_id"] for s in res.steps}) == [0, 1, 2]
+    steps = L.steps_frame(res).collect()
+    assert len(steps) == 4 * 3 * len(MODELS) and {s["batch_id"] for s in steps} == {0, 1, 2}
 
 
 def test_multi_model_equals_alone(vec):
     together = L.train(vec, 3, [L.Model(**vars(m)) for m in MODELS[:3]], batch_size=2, max_iter=3)
     for m, mod in enumerate(MODELS[:3]):
         alone = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=2, max_iter=3)
-        np.testing.assert_allclose(together.weights[:, m], alone.weights[:, 0], rtol=1e-12)
+        np.testing.assert_allclose(together.matrix()[:, m], alone.matrix()[:, 0], rtol=1e-12)
 
 
 def test_learning_rate_decay(vec):
     mod = L.Model(0, "linear", 0.05, 0.0, 1.0)
     res = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=7, max_iter=11, decay=True)
     w, _ = numpy_train(mod, 7, 11, decay=True)
-    np.testing.assert_allclose(res.weights[:, 0], w, rtol=1e-9)
+    np.testing.assert_allclose(res.matrix()[:, 0], w, rtol=1e-9)
 
 
 def test_snapshots_and_convergence_flag(vec):
     res = L.train(vec, 3, [L.Model(0, "linear", 0.0)], batch_size=7, max_iter=3, snapshot_epochs=2)
-    assert sorted(res.snapshots) == [1, 2]
+    assert sorted(res.epochs) == [1, 2]
     conv = [h["converged"] for h in res.history]
     # alpha 0 keeps the loss constant: epoch 1 compares with 0, later ones converge
     assert conv == [False, True, True]
 
 
-def test_relational_path_equals_broadcast_path(vec):
-    models = [L.Model(**vars(m)) for m in MODELS]
-    fast = L.train(vec, 3, [L.Model(**vars(m)) for m in models], batch_size=3, max_iter=3, decay=True)
-    rel = L.train_relational(vec, 3, [L.Model(**vars(m)) for m in models], batch_size=3, max_iter=3, decay=True)
-    got = {(r["model_id"], r["feature_id"]): r["w"] for r in rel.weights.collect()}
-    for m, mod in enumerate(models):
-        for f in range(3):
-            assert abs(got.get((mod.model_id, f + 1), 0.0) - fast.weights[f, m]) < 1e-12
-    fl = [h["loss"] for h in fast.history]
-    rl = [h["loss"] for h in rel.history]
-    np.testing.assert_allclose(rl, fl, rtol=1e-12)
+def _tables(res):
+    weights = sorted(tuple(r) for r in L.weights_frame(res).collect())
+    steps = sorted(tuple(r) for r in L.steps_frame(res).collect())
+    history = [(h["model_id"], h["epoch"], h["loss"], h["converged"], h["overflow"]) for h in res.history]
+    return weights, steps, history
 
 
-def test_train_switches_to_relational_beyond_bound(vec, monkeypatch):
+@pytest.mark.parametrize("batch,shuffle", [(3, None), (2, 5)])
+def test_every_path_gives_the_same_tables(vec, monkeypatch, batch, shuffle):
+    """Broadcast, chunked, per-step and relational training, and training
+    whose snapshots and steps are written as tables: equal columns and rows."""
+    def run():
+        return _tables(L.train(vec, 4, [L.Model(**vars(m)) for m in MODELS], batch, 3, decay=True, shuffle_seed=shuffle))
+
+    want = run()
+    assert len(want[0]) == 3 * 4 * len(MODELS) and len(want[1]) == 3 * -(-7 // batch) * len(MODELS)
+    settings = [{"MAX_BROADCAST_BYTES": 1}, {"SNAPSHOT_BYTES": 1, "STEP_RECORDS": 4}, {"MODELS_PER_TASK": 2, "ROWS_PER_CHUNK": 3}, {"DIRECT_COLLECT_VALUES": 1, "INLINE_WEIGHT_BYTES": 1}]
+    if shuffle is None:
+        settings.append({"ROWS_PER_CHUNK": 1})  # every batch is larger than a chunk
+    for s in settings:
+        with monkeypatch.context() as m:
+            for k, v in s.items():
+                m.setattr(L, k, v)
+            got = run()
+        for a, b in zip(got, want):
+            assert len(a) == len(b)
+            for x, y in zip(a, b):
+                np.testing.assert_allclose(np.array(x, float), np.array(y, float), rtol=1e-9, atol=1e-12, err_msg=str(s))
+
+
+def test_sweeps_and_scores_work_past_the_weight_bound(spark, vec, monkeypatch):
+    from skein.operators.sweep import grid_models, sweep
+
+    cells = spark.createDataFrame([(i, f + 1, float(X[i, f])) for i in range(7) for f in range(3) if X[i, f]], "row_id long, feature_id int, value double")
+    rows = spark.createDataFrame([(i, int(Y[i])) for i in range(7)], "row_id long, label int")
+
+    def run():
+        return sorted(map(tuple, sweep(vec, 3, grid_models(["linear", "cube"], [0.1, 0.5], [0.0], [1.0]), 3, 2, cells, rows).collect()))
+
+    want = run()
     monkeypatch.setattr(L, "MAX_BROADCAST_BYTES", 1)
-    res = L.train(vec, 3, [L.Model(0, "linear", 0.1)], batch_size=7, max_iter=1)
-    assert isinstance(res, L.RelationalResult)
+    assert run() == want and len(want) == 4
+
+
+def test_shuffled_epochs_follow_the_visit_order(spark, vec):
+    from skein.operators import rows as R
+
+    mod = L.Model(0, "cube", 0.3, 0.5, 1.5)
+    res = L.train(vec, 3, [mod], batch_size=2, max_iter=3, shuffle_seed=5)
+    order = {}
+    for r in R.shuffle_batches(spark.range(4).selectExpr("cast(id AS int) AS batch_id"), 3, seed=5).orderBy("epoch", "visit").collect():
+        order.setdefault(r["epoch"], []).append(r["batch_id"])
+    assert order[2] != order[1] or order[3] != order[1]
+    w = np.zeros(3)
+    for e in (1, 2, 3):
+        for b in order[e]:
+            xb, yb = X[2 * b:2 * b + 2], Y[2 * b:2 * b + 2]
+            err = activation_np(xb @ w, "cube") - yb
+            w = w - mod.c * mod.alpha * (xb.T @ err) / len(yb) - mod.lambda_para * mod.alpha * w / len(yb)
+    np.testing.assert_allclose(res.matrix()[:, 0], w, rtol=1e-9)
+
+
+def test_a_step_returns_one_partial_per_partition(spark, monkeypatch):
+    """What a step sends to the driver doesn't grow with the rows."""
+    wide = spark.range(0, 40_000, 1, 4).selectExpr("id AS row_id", "cast(id % 3 = 0 AS int) AS label", "array(double(id % 7), 1.0D) AS features")
+    part = L.vectors_from_wide(wide).select("label", "idx", "val").mapInArrow(
+        L._step_fn([L.Model(0)], L._Inline(np.zeros((2, 1))), 40_000), "model int, feature_id int, g double")
+    assert part.count() == 4 * (2 + 1)
 
 
 def test_small_batch_query_equals_numpy_loop(spark):
@@ -126,25 +178,23 @@ def test_small_batch_query_equals_numpy_loop(spark):
         assert abs(got.get(f + 1, 0.0) - round(w[f], 6)) < 2e-6
 
 
-def test_chunk_boundaries_keep_sequential_rule(vec, monkeypatch):
-    """Force 2-batch chunks: weights and step sizes must carry across chunks."""
-    monkeypatch.setattr(L, "ROWS_PER_PARTITION", 4)
-    mod = L.Model(0, "cube", 0.3, 0.5, 1.5, "l1")
-    res = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=2, max_iter=11, decay=True)
-    prep = L.prepare(vec, 2)
-    assert prep[0].select("chunk").distinct().count() == 2   # 4 batches -> 2 chunks
-    w, losses = numpy_train(mod, 2, 11, decay=True)
-    np.testing.assert_allclose(res.weights[:, 0], w, rtol=1e-9, atol=1e-12)
-    np.testing.assert_allclose([h["loss"] for h in res.history], losses, rtol=1e-9)
-
-
-def test_huge_batches_take_the_per_step_path(vec, monkeypatch):
-    """A batch above the cell bound is not packed into one task: the per-step
-    path (partials reduced across partitions) must give the same weights."""
-    monkeypatch.setattr(L, "CELLS_PER_CHUNK", 4)   # 2-row batches x 3 cells > 4
-    data, sizes = L.prepare(vec, 2)
-    assert sizes.per_chunk == 0 and "chunk" not in data.columns
-    mod = L.Model(0, "linear", 0.2, 0.5, 1.0)
-    res = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=2, max_iter=3, prepared=(data, sizes))
-    w, _ = numpy_train(mod, 2, 3)
-    np.testing.assert_allclose(res.weights[:, 0], w, rtol=1e-9, atol=1e-12)
+@pytest.mark.parametrize("rows", [1, 2, 3, 5])
+def test_chunks_may_cut_batches(vec, monkeypatch, rows):
+    """Weights, step sizes and unfinished batches carry across chunks."""
+    monkeypatch.setattr(L, "ROWS_PER_CHUNK", rows)
+    for batch in (b for b in (1, 2, 3) if b <= rows):
+        mod = L.Model(0, "cube", 0.3, 0.5, 1.5, "l1")
+        plan = L.prepare(vec, batch)
+        assert plan.mode == "stream" and plan.chunks == -(-7 // rows)
+        res = L.train(vec, 3, [L.Model(**vars(mod))], batch_size=batch, max_iter=11, decay=True, prepared=plan)
+        w, losses = numpy_train(mod, batch, 11, decay=True)
+        np.testing.assert_allclose(res.matrix()[:, 0], w, rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose([h["loss"] for h in res.history], losses, rtol=1e-9)
+
+
+def test_preparation_is_one_shuffle(vec, spark):
+    """Positions need a range shuffle only, no second exchange or window."""
+    from skein.operators import rows as R
+
+    plan = R.assign_batches(vec, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Window" not in plan
