@@ -9,7 +9,6 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.activation import activation_by_name
 from skein.operators import evaluate as H
 from skein.operators import logistic as L
 
@@ -28,14 +27,12 @@ def sweep(train_vec: DataFrame, width: int, models: list[L.Model], batch_size: i
     spark = train_vec.sparkSession
     res = L.train(train_vec, width, models, batch_size, epochs)
     w = L.weights_frame(res, [epochs])
-    z = H.scores(test_cells, test_rows, w)
     params = spark.createDataFrame(
         [(m.model_id, m.activation, m.alpha, m.lambda_para, m.c) for m in models],
         "model_id long, sigmoid_func string, alpha double, lambda_para double, c double")
-    j = z.join(F.broadcast(params), "model_id").join(test_rows.select("row_id", "label"), "row_id")
-    pred = F.when(activation_by_name(F.col("z"), F.col("sigmoid_func")) >= 0.5, F.lit(1)).otherwise(F.lit(0))
-    return j.groupBy(F.col("model_id").alias("run_id"), "sigmoid_func", "alpha", "lambda_para", "c").agg(
-        F.avg(F.when(pred == F.col("label"), F.lit(1.0)).otherwise(F.lit(0.0))).alias("accuracy"))
+    acc = H.binary_accuracy(test_cells, test_rows, w, {m.model_id: m.activation for m in models})
+    return acc.join(F.broadcast(params), "model_id").select(
+        F.col("model_id").alias("run_id"), "sigmoid_func", "alpha", "lambda_para", "c", "accuracy")
 
 
 def sweep_grid(train_vec: DataFrame, width: int, grid: dict, epochs: int, test_cells: DataFrame,

@@ -83,10 +83,14 @@ def doc_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(spark.range(1, 3).select((-F.col("id")).alias("row_id")))
 
 
-def doc_cells(spark: SparkSession, sf_dir: str, width: int = DOC_WIDTH) -> DataFrame:
+def doc_cells(spark: SparkSession, sf_dir: str, width: int = DOC_WIDTH, only: DataFrame | None = None) -> DataFrame:
+    """Token counts of documents; of those in ``only`` (row_id), if given."""
     from skein.session import spread
 
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if only is not None:
+        d = d.join(only.select(F.col("row_id").alias("doc_id")), "doc_id", "left_semi")
+    d = spread(d)
     # maximal runs of [A-Za-z]: split on the complement, drop empty pieces
     tok = d.select(
         F.col("doc_id").alias("row_id"),

@@ -16,6 +16,7 @@ from skein.operators import columns as C
 from skein.operators import evaluate as H
 from skein.operators import logistic as L
 from skein.operators import rows as R
+from skein.operators import sampling as SM
 from skein.operators import scale as D
 from skein.plans import fixtures as X
 from skein.plans.sqltext import r6 as s6
@@ -412,29 +413,22 @@ def _ovr_eval_sql(out: str) -> str:
               FROM pr p JOIN vr r ON p.row_id = r.row_id GROUP BY p.epoch) a"""
 
 
-def _ovr_predictions(spark, sf):
+def _ovr_trained(spark, sf):
     wide = emb_model_data(spark, sf)
-    ms = [L.Model(**vars(m)) for m in OVR_MODELS]
-    res = L.train(_train_vec(wide), EMB_D, ms, FULL, OVR_EPOCHS)
-    cells, rows = _test_cells(wide)
-    z = H.scores(cells, rows, L.weights_frame(res))
-    return H.predict_ovr(z, "linear"), rows
+    res = L.train(_train_vec(wide), EMB_D, OVR_MODELS, FULL, OVR_EPOCHS)
+    return (*_test_cells(wide), L.weights_frame(res))
 
 
 @q("predict_ovr", _ovr_eval_sql("pred"))
 def _predict_ovr(spark, sf):
-    pred, _ = _ovr_predictions(spark, sf)
-    return pred.select("row_id", F.col("epoch").cast("int"), F.col("pred").cast("int"))
+    pred = H.ovr_predictions(*_ovr_trained(spark, sf), "linear")
+    return pred.select("row_id", "epoch", F.col("pred").cast("int"))
 
 
 @q("accuracy_by_epoch", _ovr_eval_sql("acc"))
 def _accuracy_by_epoch(spark, sf):
-    pred, rows = _ovr_predictions(spark, sf)
-    acc = H.ovr_accuracy(pred, rows)
-    best = H.best_epoch(acc)
-    b = best.collect()[0]["best_epoch"]  # one number
-    return acc.select(F.col("epoch").cast("int"), r6(F.col("accuracy")).alias("accuracy"),
-                      F.when(F.col("epoch") == F.lit(b), F.lit(1)).otherwise(F.lit(0)).alias("is_best"))
+    acc = H.mark_best(H.ovr_epoch_accuracy(*_ovr_trained(spark, sf), "linear"))
+    return acc.select("epoch", r6(F.col("accuracy")).alias("accuracy"), "is_best")
 
 
 # ------------------------------------------------------------ H4
@@ -497,7 +491,9 @@ def _sketch_logistic_accuracy(spark, sf):
     from skein.plans import sketch_queries as SQ
 
     rows = R.split_ordered(X.doc_rows(spark, sf).where(F.col("label").isNotNull()))
-    samples = SQ.doc_samples(spark, sf, "pminhash")
+    # only labelled documents are tokenised and sampled
+    labelled = rows.select("row_id")
+    samples = SM.pminhash_samples(X.doc_cells(spark, sf, only=labelled), labelled, SQ.N, SQ.KH, SQ.P, seed=SQ.SEED)
     sk = Q.squeeze(samples, "pminhash", SK_C, SQ.N, SQ.P, SQ.KH)          # re-cut at the party border
     w1, w2 = Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C)
     cells = sk.select("row_id", (F.col("col") + 1 + F.when(F.col("party") == 2, F.lit(w1)).otherwise(F.lit(0)))
@@ -511,8 +507,7 @@ def _sketch_logistic_accuracy(spark, sf):
     ms = [L.Model(**vars(m)) for m in SK_MODELS]
     res = L.train(vec, w1 + w2, ms, FULL, SK_EPOCHS)
     test_cells = cells.join(test_rows.select("row_id"), "row_id", "left_semi")
-    z = H.scores(test_cells, test_rows, L.weights_frame(res))
-    acc = H.accuracy(H.predict_binary(z, test_rows, "linear"))
+    acc = H.binary_accuracy(test_cells, test_rows, L.weights_frame(res), "linear")
     return acc.select(F.col("epoch").cast("int"), r6(F.col("accuracy")).alias("accuracy"))
 
 
@@ -572,8 +567,8 @@ def _predict_ovr_clip(spark, sf):
     ms = [L.Model(**vars(m)) for m in CLIP_MODELS]
     res = L.train(_train_vec(wide), EMB_D, ms, FULL, CLIP_EPOCHS)
     cells, rows = _test_cells(wide)
-    z = H.scores(cells, rows, L.weights_frame(res))
-    return H.predict_ovr(z, "cube", clip=True).select("row_id", F.col("epoch").cast("int"), F.col("pred").cast("int"))
+    pred = H.ovr_predictions(cells, rows, L.weights_frame(res), "cube", clip=True)
+    return pred.select("row_id", "epoch", F.col("pred").cast("int"))
 
 
 # ------------------------------------------------------------ G12 over batch sizes too
