@@ -13,7 +13,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.plans.fixtures import portion_ratio
+
+def portion_ratio(portion: int) -> float:
+    """Portion codes 19/28/37/46/55 -> 0.1..0.5 (fixed values)."""
+    codes = {19: 0.1, 28: 0.2, 37: 0.3, 46: 0.4, 55: 0.5}
+    if portion not in codes:
+        raise ValueError(f"portion code must be one of {sorted(codes)}, got {portion}")
+    return codes[portion]
 
 
 def party_border(n: int, p: float | None = None, portion: int | None = None) -> int:
@@ -37,19 +43,17 @@ def to_long(wide: DataFrame, features: str = "features") -> DataFrame:
 def to_wide(cells: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Long -> wide with implicit zeros restored (C4).
 
-    One row's cells are gathered into a map (bounded by ``width``), then read
-    out position by position; rows without cells come back as all zeros.
+    One row's cells are gathered in feature order (at most ``width``) and laid
+    out once: each cell brings the zeros before it. Rows without cells come
+    back as all zeros; a cell beyond the width fails the job.
     """
-    per_row = cells.groupBy("row_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m")
-    )
-    dense = F.transform(
-        F.sequence(F.lit(1), F.lit(width)),
-        lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)),
-    )
-    return rows.join(per_row, "row_id", "left").select(
-        "row_id", "label", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), width)).otherwise(dense).alias("features")
-    )
+    per_row = resize_features(cells, width).groupBy("row_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("feature_id").cast("int").alias("f"), F.col("value").cast("double").alias("v")))).alias("e"))
+    e = F.coalesce(F.col("e"), F.array().cast("array<struct<f:int,v:double>>"))
+    before = F.concat(F.array(F.lit(0)), F.transform(e, lambda x: x["f"]))
+    runs = F.transform(e, lambda x, i: F.concat(F.array_repeat(F.lit(0.0), x["f"] - F.get(before, i) - 1), F.array(x["v"])))
+    tail = F.array_repeat(F.lit(0.0), F.lit(width) - F.element_at(before, -1))
+    return rows.join(per_row, "row_id", "left").select("row_id", "label", F.concat(F.flatten(runs), tail).alias("features"))
 
 
 def vertical_partition(cells: DataFrame, n1: int) -> DataFrame:

@@ -1,11 +1,15 @@
 """Column scalers (D1-D6), public sklearn semantics.
 
-Statistics are computed per feature over every row, zeros included, by one
-partially-aggregated pass over the exploded wide layout; the result is one
-small number per feature (d values), applied back with array lambdas inside
-codegen, so no join is needed. ``fit_on='train'`` fits on train rows only
-and applies to every row; ``fit_on='each'`` refits per split (what the
-reference does: it calls fit_transform on train and on test).
+Wide layout: statistics are computed per feature over every row, zeros
+included, by one partially-aggregated pass over the exploded rows, and
+gathered as one array per split, as long as a row of the matrix; that table
+is broadcast back and applied inside codegen. ``fit_on='train'`` fits on train
+rows only and applies to every row; ``fit_on='each'`` refits per split (what
+the reference does: it calls fit_transform on train and on test).
+
+Long layout: stored cells and the row count give the same statistics with
+zeros implicit; scaled cells come back with a table of what an implicit zero
+of each feature becomes, so nothing is made dense.
 
 The robust scaler's quartiles come from ``quantiles.py`` (exact order
 statistics by interval narrowing), never from a per-feature value map.
@@ -16,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.hotjoin import join_by_key
+
 SCALERS = ("mm", "ss", "na", "ma", "rs", "nope", "null")
 
 
@@ -26,83 +32,53 @@ def _exploded(wide: DataFrame, split_col: str | None) -> DataFrame:
     return wide.select(*cols)
 
 
-def _stats(wide: DataFrame, aggs: dict[str, Column], fit_on: str) -> dict[str, dict[str, list[float]]]:
-    """{split_key: {stat: [per-feature values]}}; split_key '*' when shared."""
-    if fit_on == "each":
-        ex = _exploded(wide, "split")
-        rows = ex.groupBy("split", "pos").agg(*[c.alias(k) for k, c in aggs.items()]).collect()
-        key = lambda r: r["split"]
-    else:
-        src = wide.where(F.col("split") == "train") if (fit_on == "train" and "split" in wide.columns) else wide
-        ex = _exploded(src, None)
-        rows = ex.groupBy("pos").agg(*[c.alias(k) for k, c in aggs.items()]).collect()
-        key = lambda r: "*"
-    out: dict[str, dict[str, list[float]]] = {}
-    for r in rows:
-        d = out.setdefault(key(r), {k: {} for k in aggs})
-        for k in aggs:
-            d[k][r["pos"]] = r[k]
-    final = {}
-    for s, d in out.items():
-        width = max(max(v.keys()) for v in d.values()) + 1
-        final[s] = {k: [float(v[i]) for i in range(width)] for k, v in d.items()}
-    return final
-
-
-def _arr(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def _apply(wide: DataFrame, stats, fn) -> DataFrame:
-    """fn(x, i, arrays) -> scaled value; arrays chosen per split if needed."""
-    if "*" in stats:
-        arrays = {k: _arr(v) for k, v in stats["*"].items()}
-        expr = F.transform("features", lambda x, i: fn(x, i, arrays))
-    else:
-        expr = None
-        for s, st in stats.items():
-            arrays = {k: _arr(v) for k, v in st.items()}
-            e = F.transform("features", _bind(fn, arrays))
-            expr = F.when(F.col("split") == s, e) if expr is None else expr.when(F.col("split") == s, e)
-    return wide.withColumn("features", expr)
+def _fitted(df: DataFrame, fit_on: str) -> DataFrame:
+    return df.where(F.col("split") == "train") if fit_on == "train" and "split" in df.columns else df
 
 
-def _bind(fn, arrays):
-    return lambda x, i: fn(x, i, arrays)
+def _group(fit_on: str) -> Column:
+    """What statistics are shared by: the split, or one key for all rows (an
+    expression of the row, so that joins on it stay equi-joins)."""
+    return F.col("split") if fit_on == "each" else F.pmod(F.hash("row_id"), F.lit(1)).cast("string")
 
 
-def _at(arr: Column, i: Column) -> Column:
-    return F.element_at(arr, i + 1)
+def _stats(wide: DataFrame, aggs: dict[str, Column], fit_on: str) -> DataFrame:
+    """(_k, _s): per split (or once) the statistics of every feature in order."""
+    per = (_fitted(wide, fit_on).select(_group(fit_on).alias("_k"), F.posexplode("features").alias("pos", "value"))
+           .groupBy("_k", "pos").agg(*[c.cast("double").alias(k) for k, c in aggs.items()]))
+    return per.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("pos", *aggs))).alias("_s"))
 
 
-def scale_minmax(wide: DataFrame, fit_on: str = "train") -> DataFrame:
-    st = _stats(wide, {"lo": F.min("value"), "hi": F.max("value")}, fit_on)
+def _apply(wide: DataFrame, stats: DataFrame, fn, fit_on: str) -> DataFrame:
+    """fn(value, statistics of its feature) on every value. The broadcast has
+    one row per split, each as long as a row of the matrix."""
+    keyed = wide.withColumn("_k", _group(fit_on))
+    scaled = F.transform("features", lambda x, i: fn(x, F.get(F.col("_s"), i)))
+    return keyed.join(F.broadcast(stats), "_k", "left").withColumn("features", scaled).drop("_k", "_s")
 
-    def fn(x, i, a):
-        rng = _at(a["hi"], i) - _at(a["lo"], i)
-        return (x - _at(a["lo"], i)) / F.when(rng == 0, F.lit(1.0)).otherwise(rng)
 
-    return _apply(wide, st, fn)
+def _or_one(c: Column) -> Column:
+    return F.when(c == 0, F.lit(1.0)).otherwise(c)
 
 
-def scale_standard(wide: DataFrame, fit_on: str = "train") -> DataFrame:
-    st = _stats(wide, {"mu": F.avg("value"), "sd": F.stddev_pop("value")}, fit_on)
+#: scaler code -> (value, statistics) -> scaled value
+_RULES = {
+    "mm": lambda x, s: (x - s["lo"]) / _or_one(s["hi"] - s["lo"]),
+    "ss": lambda x, s: (x - s["mu"]) / _or_one(s["sd"]),
+    "ma": lambda x, s: x / _or_one(s["ma"]),
+}
 
-    def fn(x, i, a):
-        sd = _at(a["sd"], i)
-        return (x - _at(a["mu"], i)) / F.when(sd == 0, F.lit(1.0)).otherwise(sd)
 
-    return _apply(wide, st, fn)
+def scale_minmax(wide: DataFrame, fit_on: str = "train") -> DataFrame:
+    return _apply(wide, _stats(wide, {"lo": F.min("value"), "hi": F.max("value")}, fit_on), _RULES["mm"], fit_on)
 
 
-def scale_maxabs(wide: DataFrame, fit_on: str = "train") -> DataFrame:
-    st = _stats(wide, {"ma": F.max(F.abs("value"))}, fit_on)
+def scale_standard(wide: DataFrame, fit_on: str = "train") -> DataFrame:
+    return _apply(wide, _stats(wide, {"mu": F.avg("value"), "sd": F.stddev_pop("value")}, fit_on), _RULES["ss"], fit_on)
 
-    def fn(x, i, a):
-        m = _at(a["ma"], i)
-        return x / F.when(m == 0, F.lit(1.0)).otherwise(m)
 
-    return _apply(wide, st, fn)
+def scale_maxabs(wide: DataFrame, fit_on: str = "train") -> DataFrame:
+    return _apply(wide, _stats(wide, {"ma": F.max(F.abs("value"))}, fit_on), _RULES["ma"], fit_on)
 
 
 def _quantile_stats(wide: DataFrame, fit_on: str) -> dict[str, dict[str, list[float]]]:
@@ -124,13 +100,12 @@ def _quantile_stats(wide: DataFrame, fit_on: str) -> dict[str, dict[str, list[fl
 
 
 def scale_robust(wide: DataFrame, fit_on: str = "train") -> DataFrame:
-    st = _quantile_stats(wide, fit_on)
-
-    def fn(x, i, a):
-        iqr = _at(a["q3"], i) - _at(a["q1"], i)
-        return (x - _at(a["med"], i)) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)
-
-    return _apply(wide, st, fn)
+    """(x - median) / (q3 - q1); the quartiles (3 x d numbers per split) pass
+    through the driver once."""
+    rows = [(k, [(i, *map(float, v)) for i, v in enumerate(zip(st["q1"], st["med"], st["q3"]))]) for k, st in _quantile_stats(wide, fit_on).items()]
+    rows = rows if fit_on == "each" else [("0", r[1]) for r in rows]
+    stats = wide.sparkSession.createDataFrame(rows, "_k string, _s array<struct<pos:int,q1:double,med:double,q3:double>>")
+    return _apply(wide, stats, lambda x, s: (x - s["med"]) / _or_one(s["q3"] - s["q1"]), fit_on)
 
 
 def scale_l2_rows(wide: DataFrame) -> DataFrame:
@@ -142,15 +117,46 @@ def scale_l2_rows(wide: DataFrame) -> DataFrame:
 
 
 def scale_l2_rows_long(cells: DataFrame) -> DataFrame:
-    """Long layout: zeros stay implicit; norm per row by one grouped pass."""
+    """Long layout: zeros stay implicit; norm per row by one grouped pass. A
+    row of stored zeros is unchanged."""
     norms = cells.groupBy("row_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_n"))
-    return cells.join(norms, "row_id").select("row_id", "feature_id", (F.col("value") / F.col("_n")).alias("value"))
-
-
-def scale_maxabs_long(cells: DataFrame) -> DataFrame:
-    """Long layout maxabs: the per-feature table is bounded by the width."""
-    m = cells.groupBy("feature_id").agg(F.max(F.abs("value")).alias("_m"))
-    return cells.join(F.broadcast(m), "feature_id").select("row_id", "feature_id", (F.col("value") / F.col("_m")).alias("value"))
+    return cells.join(norms, "row_id").select("row_id", "feature_id", (F.col("value") / _or_one(F.col("_n"))).alias("value"))
+
+
+def scale_long(cells: DataFrame, rows: DataFrame, code: str, fit_on: str = "train") -> tuple[DataFrame, DataFrame]:
+    """Long-layout ``mm``, ``ss`` or ``ma`` -> (cells, zeros).
+
+    ``rows`` has row_id and, unless all rows fit, split. Features without a
+    stored cell are constant zeros and stay so. ``zeros`` (split, feature_id,
+    value; split '*' when statistics are shared) tells what an implicit zero
+    of a feature becomes; stored zeros are scaled like any cell, and cells of
+    a split without statistics of their own (``each``) can't occur.
+    """
+    if code not in _RULES:
+        raise ValueError(f"no long form of scaler code {code!r}")
+    key = _group(fit_on)
+    tagged = cells.join(rows.select("row_id", *["split"] * ("split" in rows.columns)), "row_id").withColumn("_k", key)
+    n = _fitted(rows, fit_on).withColumn("_k", key).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))  # one row per split
+    v = F.col("value")
+    per = _fitted(tagged, fit_on).groupBy("_k", "feature_id").agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v).alias("sum"), F.sum(v * v).alias("sq"), F.max(F.abs(v)).alias("ma"), F.count(F.lit(1)).alias("c"))
+    some_zero = F.col("c") < F.col("n")
+    mu = F.col("sum") / F.col("n")
+    stats = per.join(F.broadcast(n), "_k").select(
+        "_k", "feature_id", "c",
+        F.when(some_zero, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"),
+        F.when(some_zero, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"),
+        mu.alias("mu"), F.sqrt(F.greatest(F.col("sq") / F.col("n") - mu * mu, F.lit(0.0))).alias("sd"), "ma")
+    # a feature that only unfitted rows store: zeros everywhere it was fitted
+    seen = tagged.groupBy("_k", "feature_id").agg(F.count(F.lit(1)).alias("cells"))
+    stats = seen.join(stats.drop("c"), ["_k", "feature_id"], "left").select(
+        F.struct("_k", "feature_id").alias("key"), "cells", F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lo", "hi", "mu", "sd", "ma")]).alias("s"))
+    total = cells.count()
+    keyed = tagged.select(F.struct("_k", "feature_id").alias("key"), "row_id", "value")
+    scaled = join_by_key(keyed, stats, "key", "cells", total).select("row_id", "key.feature_id", _RULES[code](v, F.col("s")).alias("value"))
+    split = F.col("key._k") if fit_on == "each" else F.lit("*")
+    zeros = stats.select(split.alias("split"), "key.feature_id", _RULES[code](F.lit(0.0), F.col("s")).alias("value"))
+    return scaled, zeros
 
 
 def scale(wide: DataFrame, code: str | None, fit_on: str = "train") -> DataFrame:

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 FRAC_BITS = 16
 MOD = 2**63
 
-# Fixed values (the reference's transfer model): 10 Mbps link, 8 bytes per value.
-LINK_MBPS = 10.0
+#: a share is below 2^63: 8 bytes
 VALUE_BYTES = 8
 _DEC = "decimal(38,0)"
 
@@ -34,8 +33,12 @@ def encode(x: Column) -> Column:
     return F.round(x * F.lit(float(2**FRAC_BITS))).cast(_DEC)
 
 
-def split_shares(cells: DataFrame, keys: list[str], value: str = "value", seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Return (kept, given) share tables with columns keys + share DECIMAL(38,0)."""
+def split_shares(cells: DataFrame, keys: list[str], value: str = "value", *, seed) -> tuple[DataFrame, DataFrame]:
+    """Return (kept, given) share tables with columns keys + share DECIMAL(38,0).
+
+    ``seed`` is the secret of the kept share's holder: who knows it can
+    rebuild every value from the other share, so there is no default.
+    """
     r = F.pmod(_h64(F.lit(seed), *[F.col(k) for k in keys]), _mod())
     x = F.pmod(encode(F.col(value)), _mod())
     kept = cells.select(*keys, r.cast(_DEC).alias("share"))
@@ -51,14 +54,9 @@ def reconstruct_shares(kept: DataFrame, given: DataFrame, keys: list[str]) -> Da
     return j.select(*keys, (signed.cast("double") / F.lit(float(2**FRAC_BITS))).alias("value"))
 
 
-def transfer_cost(tables: dict[str, DataFrame], widths: dict[str, int], mbps: float = LINK_MBPS,
-                  value_bytes: int = VALUE_BYTES) -> DataFrame:
-    """Modelled seconds to ship each table: rows*width*bytes / 2^20 / (mbps/8)."""
-    out = None
-    for name, df in tables.items():
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("table_name"),
-            (F.col("n") * F.lit(widths[name])).cast("bigint").alias("cells"))
-        out = part if out is None else out.unionByName(part)
-    mb = F.col("cells") * F.lit(float(value_bytes)) / F.lit(float(2**20))
-    return out.select("table_name", "cells", mb.alias("megabytes"), (mb / F.lit(mbps / 8.0)).alias("seconds"))
+def transfer_size(shares: DataFrame, by: str) -> DataFrame:
+    """What handing over share tables moves: per ``by`` the cells, their bytes
+    as 8-byte integers and as decimal text."""
+    return shares.groupBy(by).agg(
+        F.count(F.lit(1)).alias("cells"), (F.lit(VALUE_BYTES) * F.count(F.lit(1))).cast("bigint").alias("bytes"),
+        F.sum(F.length(F.col("share").cast("string"))).cast("bigint").alias("text_bytes"))

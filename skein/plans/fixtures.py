@@ -266,9 +266,31 @@ SQL_RUN_LINES = f"""
   SELECT {_sql_run_name()}, 4, 'best_epoch=' || CAST(1 + o_custkey % 200 AS VARCHAR) FROM orders"""
 
 
-def portion_ratio(portion: int) -> float:
-    """Portion codes 19/28/37/46/55 -> 0.1..0.5 (fixed values)."""
-    codes = {19: 0.1, 28: 0.2, 37: 0.3, 46: 0.4, 55: 0.5}
-    if portion not in codes:
-        raise ValueError(f"portion code must be one of {sorted(codes)}, got {portion}")
-    return codes[portion]
+# ---------------------------------------------------------------- run log files
+LOG_FOLDERS = ["doc_37_pminhash64", "doc_37_0bitcws64"]
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(folder, run_name, text): a log per customer, alternating between two
+    folders that hold the same file names. Some logs lack best_epoch; the key
+    may stand after blanks."""
+    k = F.floor(F.col("c_custkey") / 2)
+    cols = {"alpha": _pick(RUN_ALPHAS, k), "batch_size": _pick([str(b) for b in RUN_BATCH_SIZES], k), "lambda_para": _pick(RUN_LAMBDAS, k),
+            "c": _pick(RUN_CS, k), "sigmoid_func": _pick(RUN_SIGMOIDS, k)}
+    acc = F.concat(F.lit("  best_acc=0."), F.lpad(((F.col("c_custkey") * 7919) % 1000).cast("string"), 3, "0"))
+    epoch = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("\nbest_epoch="), (F.lit(1) + F.col("c_custkey") % 200).cast("string"))).otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey").select(
+        _pick(LOG_FOLDERS, F.col("c_custkey")).alias("folder"), _run_name(k, cols).alias("run_name"),
+        F.concat(F.lit("best_acc=0\naccuracy_lst=[]\n"), acc, epoch, F.lit("\n")).alias("text"))
+
+
+def _sql_log(line_no: int, line: str, where: str = "true") -> str:
+    name = _sql_run_name().replace("o_orderkey", "k")
+    return (f"SELECT {_sql_pick(LOG_FOLDERS, 'c_custkey')} AS folder, {name} AS run_name, {line_no} AS line_no, {line} AS line "
+            f"FROM (SELECT c_custkey, c_custkey // 2 AS k FROM customer) t WHERE {where}")
+
+
+SQL_LOG_LINES = "\n  UNION ALL\n  ".join([
+    _sql_log(1, "'best_acc=0'"), _sql_log(2, "'accuracy_lst=[]'"),
+    _sql_log(3, "'  best_acc=0.' || lpad(CAST((c_custkey * 7919) % 1000 AS VARCHAR), 3, '0')"),
+    _sql_log(4, "'best_epoch=' || CAST(1 + c_custkey % 200 AS VARCHAR)", "c_custkey % 7 <> 0")])

@@ -20,7 +20,7 @@ from skein.plans.sketch_queries import (B_BITS, DOC_BASE, K1, K2, KH, N, N1, N2,
                                         sql_samples)
 from skein.plans.sqltext import key, with_
 from skein.plans.sqltext import r6 as s6
-from skein.session import scratch_path
+from skein.session import cut_lineage, scratch_path
 from skein.sources import matrixio as M
 from skein.sources import runlog as RL
 
@@ -94,8 +94,10 @@ def _catalog_read(spark, sf):
     by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash", cells=cells)),
           "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws", cells=cells))}
     root = scratch_path(spark, "catalog")
-    M.write_sketch(Q.squeeze_job(by, SQUEEZE_COMBOS, N, P, KH), root)
-    got = M.read_sketch(spark, root, method="pminhash", size=4, split="test")
+    job = cut_lineage(Q.squeeze_job(by, SQUEEZE_COMBOS, N, P, KH))
+    for dataset, portion in (("doc", X.PORTION), ("doc", X.PORTION), ("other", X.PORTION), ("doc", 46)):  # one of them written twice
+        M.write_sketch(job, root, dataset, portion)
+    got = M.read_sketch(spark, root, dataset="doc", portion=X.PORTION, method="pminhash", size=4, split="test")
     return got.select(F.col("party").cast("int"), "row_id", "col")
 
 
@@ -111,28 +113,32 @@ def _append_runs(spark, sf):
 
 def _parse_sql():
     ext = lambda pat: f"regexp_extract(run_name, '{pat}', 1)"
-    return f"""SELECT run_name,
+    return f"""SELECT folder, run_name,
         CAST({ext('alpha=(.*?)_batch_size=')} AS DOUBLE) AS alpha,
         CAST({ext('batch_size=(.*?)_max_iter=')} AS INTEGER) AS batch_size,
         CAST({ext('max_iter=(.*?)_lambda_para=')} AS INTEGER) AS max_iter,
         CAST({ext('lambda_para=(.*?)_C=')} AS DOUBLE) AS lambda_para,
         CAST({ext('C=(.*?)_sigmoid_func=')} AS DOUBLE) AS c,
         {ext('sigmoid_func=(.*?)(\\.txt)?$')} AS sigmoid_func,
-        arg_max(CASE WHEN regexp_extract(line, '^best_acc=(.*)$', 1) <> ''
-                     THEN CAST(regexp_extract(line, '^best_acc=(.*)$', 1) AS DOUBLE) END,
-                CASE WHEN regexp_extract(line, '^best_acc=(.*)$', 1) <> '' THEN line_no END) AS best_acc,
-        arg_max(CASE WHEN regexp_extract(line, '^best_epoch=(.*)$', 1) <> ''
-                     THEN CAST(regexp_extract(line, '^best_epoch=(.*)$', 1) AS INTEGER) END,
-                CASE WHEN regexp_extract(line, '^best_epoch=(.*)$', 1) <> '' THEN line_no END) AS best_epoch
-      FROM run_lines GROUP BY run_name"""
+        arg_max(CASE WHEN regexp_extract(line, 'best_acc=(.*)$', 1) <> ''
+                     THEN CAST(regexp_extract(line, 'best_acc=(.*)$', 1) AS DOUBLE) END,
+                CASE WHEN regexp_extract(line, 'best_acc=(.*)$', 1) <> '' THEN line_no END) AS best_acc,
+        coalesce(arg_max(CASE WHEN regexp_extract(line, 'best_epoch=(.*)$', 1) <> ''
+                     THEN CAST(regexp_extract(line, 'best_epoch=(.*)$', 1) AS INTEGER) END,
+                CASE WHEN regexp_extract(line, 'best_epoch=(.*)$', 1) <> '' THEN line_no END), -1) AS best_epoch
+      FROM log_lines GROUP BY folder, run_name"""
 
 
-@q("scan_run_logs", with_(("run_lines", X.SQL_RUN_LINES)) + _parse_sql())
+@q("scan_run_logs", with_(("log_lines", X.SQL_LOG_LINES)) + _parse_sql())
 def _scan_run_logs(spark, sf):
-    return RL.parse_run_logs(X.run_lines(spark, sf))
+    """Logs of two folders whose files share their names, written as files."""
+    root = scratch_path(spark, "logs")
+    RL.write_run_logs(X.log_files(spark, sf), root)
+    return RL.read_run_logs(spark, root).withColumn("best_epoch", F.coalesce("best_epoch", F.lit(-1)))
 
 
 # ------------------------------------------------------------ I1-I3
+#: seed of the kept share; a secret of the holder in real use
 LI_CELLS = ("lc", """SELECT row_id, feature_id, value FROM (
     SELECT row_id, CAST(unnest(generate_series(1, len(features))) AS INTEGER) AS feature_id, unnest(features) AS value FROM li) t
     UNION ALL SELECT row_id, 0, CAST(label AS DOUBLE) FROM li""")
@@ -175,16 +181,12 @@ def _reconstruct_shares(spark, sf):
     return I.reconstruct_shares(kept, given, ["row_id", "feature_id"])
 
 
-@q("transfer_cost", with_(("li", X.sql_li_wide())) + f"""
-SELECT t.table_name, CAST(n * t.w AS BIGINT) AS cells, {s6('n * t.w * 8.0 / 1048576.0')} AS megabytes,
-       {s6('n * t.w * 8.0 / 1048576.0 / 1.25')} AS seconds
-FROM (SELECT count(*) AS n FROM li) c,
-     (VALUES ('X1', {LI_N1}), ('X2', {6 - LI_N1}), ('Y', 1)) t(table_name, w)""")
+@q("transfer_cost", with_(("li", X.sql_li_wide()), LI_CELLS, _share_sql(), ("t", f"""
+SELECT CASE WHEN feature_id = 0 THEN 'Y' WHEN feature_id <= {LI_N1} THEN 'X1' ELSE 'X2' END AS table_name, s2 FROM sh""")) + """
+SELECT table_name, count(*) AS cells, CAST(8 * count(*) AS BIGINT) AS bytes, CAST(sum(length(CAST(s2 AS VARCHAR))) AS BIGINT) AS text_bytes
+FROM t GROUP BY table_name""")
 def _transfer_cost(spark, sf):
-    w = X.li_wide(spark, sf)
-    tables = {"X1": w, "X2": w, "Y": w.select("row_id", "label")}
-    out = I.transfer_cost(tables, {"X1": LI_N1, "X2": 6 - LI_N1, "Y": 1})
-    return out.select("table_name", "cells", r6(F.col("megabytes")).alias("megabytes"), r6(F.col("seconds")).alias("seconds"))
-
-
-
+    cells = C.to_long(X.li_wide(spark, sf).select("row_id", "features")).unionByName(_li_zero_cells(spark, sf))
+    _, given = I.split_shares(cells, ["row_id", "feature_id"], seed=SHARE_SEED)
+    name = F.when(F.col("feature_id") == 0, "Y").when(F.col("feature_id") <= LI_N1, "X1").otherwise("X2")
+    return I.transfer_size(given.withColumn("table_name", name), "table_name")

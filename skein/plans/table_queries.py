@@ -18,7 +18,7 @@ from skein.plans.sqltext import with_
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-P = X.portion_ratio(X.PORTION)               # 0.3
+P = C.portion_ratio(X.PORTION)               # 0.3
 EMB_N1 = int(math.floor(X.EMB_WIDTH * P))    # 19
 DOC_N1 = int(math.floor(X.DOC_WIDTH * P))    # 1228
 SAMPLE_N = 1000
@@ -221,6 +221,42 @@ def _scale_l2_rows(spark, sf):
     return _long_out(D.scale_l2_rows(X.emb_wide(spark, sf))).where(F.col("value") != 0)
 
 
+# ------------------------------------------------------------ D, long layout with implicit zeros
+def _long_sql(rule: str) -> str:
+    """Dense statistics on train rows: absent cells count as zeros."""
+    return with_(("doc_rows", X.SQL_DOC_ROWS), ("doc_cells", X.sql_doc_cells()),
+                 ("sp", """SELECT row_id, rn <= m - CAST(ceil(0.2 * m) AS BIGINT) AS fit
+                    FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS m FROM doc_rows) t"""),
+                 ("feat", "SELECT DISTINCT feature_id FROM doc_cells"),
+                 ("dense", """SELECT f.feature_id, coalesce(c.value, 0.0) AS value FROM feat f CROSS JOIN (SELECT row_id FROM sp WHERE fit) s
+                    LEFT JOIN doc_cells c ON c.row_id = s.row_id AND c.feature_id = f.feature_id"""),
+                 ("st", """SELECT feature_id, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd, max(abs(value)) AS ma
+                    FROM dense GROUP BY feature_id""")) + f"""
+SELECT c.row_id, c.feature_id, {s6(rule.format(x='c.value'))} AS value FROM doc_cells c JOIN st s USING (feature_id)
+UNION ALL SELECT -100, s.feature_id, {s6(rule.format(x='0.0'))} FROM st s"""
+
+
+def _long_query(code):
+    def run(spark, sf):
+        rows = R.split_ordered(X.doc_rows(spark, sf).select("row_id"))
+        cells, zeros = D.scale_long(X.doc_cells(spark, sf), rows, code)
+        both = cells.unionByName(zeros.select(F.lit(-100).cast("long").alias("row_id"), "feature_id", "value"))
+        return both.select("row_id", "feature_id", r6(F.col("value")).alias("value"))
+    return run
+
+
+for _code, _rule in (("mm", "({x} - s.lo) / CASE WHEN s.hi - s.lo = 0 THEN 1.0 ELSE s.hi - s.lo END"),
+                     ("ss", "({x} - s.mu) / CASE WHEN s.sd = 0 THEN 1.0 ELSE s.sd END"),
+                     ("ma", "{x} / CASE WHEN s.ma = 0 THEN 1.0 ELSE s.ma END")):
+    q(f"scale_long_{_code}", _long_sql(_rule))(_long_query(_code))
+
+
+@q("scale_long_l2", with_(("doc_cells", X.sql_doc_cells()), ("nrm", "SELECT row_id, sqrt(sum(value * value)) AS n FROM doc_cells GROUP BY row_id")) + f"""
+SELECT c.row_id, c.feature_id, {s6('c.value / n.n')} AS value FROM doc_cells c JOIN nrm n USING (row_id)""")
+def _scale_long_l2(spark, sf):
+    return D.scale_l2_rows_long(X.doc_cells(spark, sf)).select("row_id", "feature_id", r6(F.col("value")).alias("value"))
+
+
 # ------------------------------------------------------------ E
 def doc_variance_sql() -> str:
     return with_(("doc_rows", X.SQL_DOC_ROWS), ("doc_cells", X.sql_doc_cells())) + f"""

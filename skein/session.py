@@ -9,6 +9,7 @@ the session has none (tests, local runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,11 @@ def get_session(master: str | None = None, app: str = "skein", shuffle_partition
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a local one only when unset.
 
-    The folder named by ``spark.checkpoint.dir`` wins. Only a session that
-    names none (tests, local runs) gets a fresh local folder, set through
+    The folder named by ``spark.checkpoint.dir`` wins. Only a local session
+    that names none (tests, local runs) gets a fresh local folder, set through
     ``SparkContext.setCheckpointDir`` (the core config itself cannot be
-    changed at run time).
+    changed at run time). On a cluster a folder that all executors share must
+    be named: a local one is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = sc.getConf().get(_CHECKPOINT_KEY, None)
     if not conf:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="skein-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

@@ -54,15 +54,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ A1
-def read_svmlight(spark: SparkSession, path: str, zero_based: str | bool = "auto") -> tuple[DataFrame, DataFrame]:
+def read_svmlight(spark: SparkSession, path: str, zero_based: str | bool = "auto", width: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``label idx:val ...`` lines -> (rows(row_id, label), cells(row_id, feature_id, value)).
 
     Labels are cast to int. feature_id is 1-based: with zero-based input
-    (``True``, or ``"auto"`` and some index is 0) indices are shifted by one.
+    (``True``, or ``"auto"`` and some index is 0) indices are shifted by one;
+    name the base where train and test files must agree. A ``#`` starts a
+    comment, ``qid:`` tokens are skipped. With a declared ``width`` a cell
+    beyond it fails the job.
     """
-    lines = read_lines(spark, path).select("row_id", F.split(F.trim("line"), r"\s+").alias("t"))
+    lines = read_lines(spark, path).select("row_id", F.split(F.trim(F.substring_index("line", "#", 1)), r"\s+").alias("t"))
     rows = lines.select("row_id", F.element_at("t", 1).cast("double").cast("int").alias("label"))
-    pairs = lines.select("row_id", F.explode(F.slice("t", 2, 1 << 30)).alias("p")).where(F.col("p") != "")
+    pairs = lines.select("row_id", F.explode(F.slice("t", 2, 1 << 30)).alias("p")).where((F.col("p") != "") & ~F.col("p").startswith("qid:"))
     cells = pairs.select(
         "row_id",
         F.substring_index("p", ":", 1).cast("int").alias("idx"),
@@ -72,6 +75,10 @@ def read_svmlight(spark: SparkSession, path: str, zero_based: str | bool = "auto
         zero_based = bool(cells.where(F.col("idx") == 0).limit(1).count())
     shift = 1 if zero_based else 0
     cells = cells.select("row_id", (F.col("idx") + shift).cast("int").alias("feature_id"), "value").where(F.col("value") != 0)
+    if width is not None:
+        from skein.operators.columns import resize_features
+
+        cells = resize_features(cells, width).drop("width")
     return rows, cells
 
 
@@ -106,16 +113,18 @@ def write_matrix(wide: DataFrame, path: str, fmt: str = "%d") -> None:
 
 
 # ------------------------------------------------------------------ A4
-CATALOG_KEYS = ["method", "k", "squeeze", "size", "split", "party"]
+CATALOG_KEYS = ["dataset", "portion", "method", "k", "squeeze", "size", "split", "party"]
 
 
-def write_sketch(sketch: DataFrame, root: str, mode: str = "append") -> None:
-    """Partitioned Parquet, one folder level per catalog key."""
-    sketch.write.mode(mode).partitionBy(*CATALOG_KEYS).parquet(root)
+def write_sketch(sketch: DataFrame, root: str, dataset: str, portion: int) -> None:
+    """Partitioned Parquet, one folder level per catalog key. What was stored
+    under the same keys is replaced, so a rerun leaves one copy."""
+    keyed = sketch.withColumn("dataset", F.lit(dataset)).withColumn("portion", F.lit(portion))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CATALOG_KEYS).parquet(root)
 
 
 def read_sketch(spark: SparkSession, root: str, **key) -> DataFrame:
-    """Read one combination; filters on partition columns prune folders."""
+    """Read some combination; filters on partition columns prune folders."""
     df = spark.read.parquet(root)
     for k, v in key.items():
         if k not in CATALOG_KEYS:

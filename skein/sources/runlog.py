@@ -2,8 +2,10 @@
 
 A run log is a small text file whose name carries the parameters
 (``alpha=..._batch_size=..._max_iter=..._lambda_para=..._C=..._sigmoid_func=...``)
-and whose lines carry ``best_acc=`` / ``best_epoch=``; the last occurrence in
-a file wins. Logs are read whole per file (``wholetext``), split into
+and whose lines carry ``best_acc=`` / ``best_epoch=``, anywhere in a line; the
+last occurrence in a file wins. There is one folder per data set and method,
+and files of different folders may share their names, so a log is known by
+folder and name. Logs are read whole per file (``wholetext``), split into
 numbered lines, and reduced with ``max_by(value, line_no)`` per file.
 """
 
@@ -17,7 +19,7 @@ NAME_KEYS = ["alpha", "batch_size", "max_iter", "lambda_para", "C", "sigmoid_fun
 
 
 def append_runs(runs: DataFrame, root: str, dataset: str) -> None:
-    """Append run records under ``dataset=<name>`` (A5)."""
+    """Append run records, with all their columns, under ``dataset=<name>`` (A5)."""
     runs.withColumn("dataset", F.lit(dataset)).write.mode("append").partitionBy("dataset").parquet(root)
 
 
@@ -26,34 +28,72 @@ def read_runs(spark: SparkSession, root: str, dataset: str | None = None) -> Dat
     return df if dataset is None else df.where(F.col("dataset") == dataset)
 
 
+def run_records(accuracies: DataFrame, params: DataFrame, max_iter: int, batch_size: int | None = None) -> DataFrame:
+    """Records of trained runs: per model its parameters, ``max_iter``, the
+    accuracy of every epoch in order, the best one and its first epoch.
+
+    ``accuracies`` has (model_id, epoch, accuracy); ``params`` one row per
+    model_id.
+    """
+    from skein.operators.evaluate import best_epoch
+
+    per = accuracies.groupBy("model_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("epoch", "accuracy"))), lambda x: x["accuracy"]).alias("accuracy_lst"))
+    out = params.join(per, "model_id", "left").join(best_epoch(accuracies, ["model_id"]), "model_id", "left").withColumn("max_iter", F.lit(max_iter))
+    return out if batch_size is None else out.withColumn("batch_size", F.lit(batch_size))
+
+
+def write_run_logs(logs: DataFrame, root: str) -> None:
+    """Write (folder, run_name, text) as ``root/folder/run_name`` files, each
+    by the task that holds its row."""
+    files = logs.select(F.concat_ws("/", F.lit(root.rstrip("/")), "folder", "run_name").alias("path"), "text")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as pafs
+
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns)):
+                uri = "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+                files, local = pafs.FileSystem.from_uri(uri)
+                files.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(local, compression=None) as out:  # a retry writes the same file
+                    out.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    files.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run_name, line_no 1-based, line) from a folder of log files."""
-    whole = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_name").alias("run_name"), "value")
-    return whole.select("run_name", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select(
-        "run_name", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
+    """(folder, run_name, line_no 1-based, line) of the log files below ``path``."""
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+        F.regexp_extract("_metadata.file_path", r"([^/]*)/[^/]*$", 1).alias("folder"), F.col("_metadata.file_name").alias("run_name"), "value")
+    return whole.select("folder", "run_name", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select(
+        "folder", "run_name", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
 
 
 def parse_run_logs(lines: DataFrame) -> DataFrame:
     """Last best_acc / best_epoch per log, parameters from the name.
 
-    Missing keys give null (never the previous file's values).
+    Missing keys give null (never the previous file's values), also values
+    that are no number. Logs are kept apart by ``folder`` where there is one.
     """
-    acc = F.regexp_extract("line", r"^best_acc=(.*)$", 1)
-    ep = F.regexp_extract("line", r"^best_epoch=(.*)$", 1)
-    per = lines.groupBy("run_name").agg(
-        F.max_by(F.when(acc != "", acc.cast("double")), F.when(acc != "", F.col("line_no"))).alias("best_acc"),
-        F.max_by(F.when(ep != "", ep.cast("int")), F.when(ep != "", F.col("line_no"))).alias("best_epoch"),
+    acc = F.regexp_extract("line", r"best_acc=(.*)$", 1)
+    ep = F.regexp_extract("line", r"best_epoch=(.*)$", 1)
+    key = [c for c in ("folder", "run_name") if c in lines.columns]
+    per = lines.groupBy(*key).agg(
+        F.max_by(F.when(acc != "", F.trim(acc).try_cast("double")), F.when(acc != "", F.col("line_no"))).alias("best_acc"),
+        F.max_by(F.when(ep != "", F.trim(ep).try_cast("int")), F.when(ep != "", F.col("line_no"))).alias("best_epoch"),
     )
     name = F.col("run_name")
-    fld = lambda key, nxt: F.regexp_extract(name, f"{key}=(.*?)_{nxt}=", 1)
+    fld = lambda key, nxt: F.nullif(F.regexp_extract(name, f"{key}=(.*?)_{nxt}=", 1), F.lit(""))
     return per.select(
-        "run_name",
-        fld("alpha", "batch_size").cast("double").alias("alpha"),
-        fld("batch_size", "max_iter").cast("int").alias("batch_size"),
-        fld("max_iter", "lambda_para").cast("int").alias("max_iter"),
-        fld("lambda_para", "C").cast("double").alias("lambda_para"),
-        fld("C", "sigmoid_func").cast("double").alias("c"),
+        *key,
+        fld("alpha", "batch_size").try_cast("double").alias("alpha"),
+        fld("batch_size", "max_iter").try_cast("int").alias("batch_size"),
+        fld("max_iter", "lambda_para").try_cast("int").alias("max_iter"),
+        fld("lambda_para", "C").try_cast("double").alias("lambda_para"),
+        fld("C", "sigmoid_func").try_cast("double").alias("c"),
         F.regexp_extract(name, r"sigmoid_func=(.*?)(\.txt)?$", 1).alias("sigmoid_func"),
         "best_acc", "best_epoch",
     )

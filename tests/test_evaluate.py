@@ -21,7 +21,7 @@ def test_best_epoch_is_first_maximum(spark):
 def test_leaderboard_keeps_ties(spark):
     runs = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.5), ("d", None)], "run_name string, best_acc double")
     got = {r["run_name"]: r["rank"] for r in H.leaderboard(runs).collect()}
-    assert got == {"a": 1, "b": 1, "c": 2, "d": None}
+    assert got == {"a": 1, "b": 1, "c": 2, "d": 3}
 
 
 def test_scores_keep_empty_rows(spark):
@@ -56,3 +56,31 @@ def test_half_linear_parts_add_up():
     za, zb = np.array([0.3, -1.2]), np.array([0.9, 0.4])
     # party A adds the constant, party B contributes 0.25 z only
     assert np.allclose(activation_np(za.copy(), "linear") + 0.25 * zb, activation_np(za + zb, "linear"))
+
+
+def test_every_scoring_plan_agrees(spark, monkeypatch):
+    """One pass, a pass per key, and the join on feature_id."""
+    import random
+
+    rng = random.Random(1)
+    cells = spark.createDataFrame([(r, f, rng.choice([-1.0, 0.5, 2.0])) for r in range(30) for f in range(1, 9) if rng.random() < 0.5],
+                                  "row_id long, feature_id int, value double")
+    rows = spark.createDataFrame([(r, r % 3 if r % 5 else None) for r in range(32)], "row_id long, label int")
+    w = spark.createDataFrame([(m, e, f, rng.uniform(-1, 1)) for m in range(3) for e in (1, 2) for f in range(1, 9)],
+                              "model_id long, epoch int, feature_id int, w double")
+
+    def run():
+        z = {tuple(r)[:3]: r["z"] for r in H.scores(cells, rows, w).collect()}
+        key = lambda df: sorted(map(tuple, df.collect()))
+        return z, [key(H.ovr_predictions(cells, rows, w, "cube", clip)) for clip in (False, True)] + [
+            key(H.ovr_epoch_accuracy(cells, rows, w, "linear")), key(H.binary_accuracy(cells, rows, w, {0: "linear", 1: "cube", 2: "origin"}))]
+
+    z, want = run()
+    assert len(z) == 32 * 6 and len(want[0]) == 64
+    old = H.predict_ovr(H.scores(cells, rows, w), "cube")
+    assert sorted((r["row_id"], r["epoch"], r["pred"]) for r in old.collect()) == want[0]
+    for name, value in (("KEY_BYTES", 64), ("MAX_KEY_BYTES", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(H, name, value)
+            z2, got = run()
+        assert got == want and z2.keys() == z.keys() and all(abs(z[k] - z2[k]) < 1e-12 for k in z)

@@ -48,7 +48,11 @@ def test_run_logs_last_line_wins(spark):
     name = "alpha=0.01_batch_size=20_max_iter=200_lambda_para=1_C=2_sigmoid_func=cube.txt"
     _write(f"{base}/{name}", ["best_acc=0", "best_acc=0.91", "best_epoch=7"])
     _write(f"{base}/alpha=0.1_batch_size=64_max_iter=10_lambda_para=0_C=1_sigmoid_func=linear.txt", ["nothing"])
-    got = {r["sigmoid_func"]: r for r in RL.read_run_logs(spark, base).collect()}
+    _write(f"{base}/other/{name}", ["  best_acc=0.5 ", "best_acc=", "best_epoch=x"])  # the same name in another folder
+    rows = RL.read_run_logs(spark, base).collect()
+    other = [r for r in rows if r["folder"] == "other"]
+    assert len(rows) == 3 and (other[0]["best_acc"], other[0]["best_epoch"]) == (0.5, None)
+    got = {r["sigmoid_func"]: r for r in rows if r["folder"] != "other"}
     assert (got["cube"]["best_acc"], got["cube"]["best_epoch"], got["cube"]["batch_size"]) == (0.91, 7, 20)
     assert got["linear"]["best_acc"] is None and got["linear"]["alpha"] == 0.1
 
@@ -56,7 +60,7 @@ def test_run_logs_last_line_wins(spark):
 def test_shares_reconstruct_exactly(spark):
     vals = [(i, 1, v) for i, v in enumerate([0.0, 1.5, -2.25, 123456.75, -0.000015258789, 7.0])]
     cells = spark.createDataFrame(vals, "row_id long, feature_id int, value double")
-    kept, given = I.split_shares(cells, ["row_id", "feature_id"])
+    kept, given = I.split_shares(cells, ["row_id", "feature_id"], seed=11)
     back = {r["row_id"]: r["value"] for r in I.reconstruct_shares(kept, given, ["row_id", "feature_id"]).collect()}
     for i, _, v in vals:
         assert back[i] == round(v * 65536) / 65536
@@ -86,3 +90,23 @@ def test_read_lines_skips_empty_files_and_keeps_order(spark):
     _write(f"{base}/part-00002.txt", ["d", "e"])
     got = [(r["row_id"], r["line"]) for r in M.read_lines(spark, base).orderBy("row_id").collect()]
     assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")]
+
+
+def test_svmlight_width_comments_and_qid(spark):
+    import pytest
+
+    base = scratch_path(spark, "svm")
+    _write(f"{base}/one.txt", ["1 qid:3 1:0.5 3:2 # 9:9", "-1 2:1"])
+    _, cells = M.read_svmlight(spark, f"{base}/one.txt", zero_based=False, width=3)
+    assert sorted(map(tuple, cells.collect())) == [(0, 1, 0.5), (0, 3, 2.0), (1, 2, 1.0)]
+    with pytest.raises(Exception, match="exceeds declared width"):
+        M.read_svmlight(spark, f"{base}/one.txt", zero_based=False, width=2)[1].collect()
+
+
+def test_a_catalog_keeps_data_sets_and_portions_apart(spark):
+    root = scratch_path(spark, "cat")
+    one = spark.createDataFrame([("m", 4, "s", 2, "train", 1, 7, 3)], "method string, k int, squeeze string, size int, split string, party int, row_id long, col long")
+    for dataset, portion, col in (("a", 37, 1), ("a", 46, 2), ("b", 37, 3), ("a", 37, 4)):  # the last replaces the first
+        M.write_sketch(one.withColumn("col", F.lit(col).cast("long")), root, dataset, portion)
+    got = lambda **k: sorted(r["col"] for r in M.read_sketch(spark, root, **k).collect())
+    assert got() == [2, 3, 4] and got(dataset="a", portion=37) == [4] and got(dataset="a") == [2, 4]

@@ -59,3 +59,27 @@ def test_fit_on_train_applies_train_statistics(spark):
     lo, hi = train.min(0), train.max(0)
     want = (X - lo) / np.where(hi - lo == 0, 1.0, hi - lo)
     np.testing.assert_allclose(np.array([got[i] for i in range(4)]), want, rtol=1e-12)
+
+
+def test_long_scaling_equals_wide_scaling(spark):
+    """Stored zeros, features without a train cell, empty rows, both policies."""
+    from skein.operators import columns as C
+
+    vals = [(r, f, float((r * 7 + f * 3) % 5 - (2 if f == 2 else 0))) for r in range(9) for f in range(1, 5) if (r + f) % 2 and not (f == 4 and r < 7)]
+    vals.append((8, 2, 0.0))
+    cells = spark.createDataFrame(vals, "row_id long, feature_id int, value double")
+    rows = spark.createDataFrame([(r, 0, "train" if r < 7 else "test") for r in range(10)], "row_id long, label int, split string")
+    wide = C.to_wide(cells, rows, 4).join(rows.select("row_id", "split"), "row_id")
+    for code in ("mm", "ss", "ma"):
+        for fit_on in ("train", "each"):
+            want = {(r["row_id"], i + 1): v for r in D.scale(wide, code, fit_on).collect() for i, v in enumerate(r["features"])}
+            out, zeros = D.scale_long(cells, rows, code, fit_on)
+            split = {r["row_id"]: r["split"] for r in rows.collect()}
+            zero = {(r["split"], r["feature_id"]): r["value"] for r in zeros.collect()}
+            got = {(r["row_id"], r["feature_id"]): r["value"] for r in out.collect()}
+            assert len(got) == len(vals)
+            for (row, f), v in want.items():
+                mine = got.get((row, f), zero.get((split[row] if fit_on == "each" else "*", f), 0.0))
+                assert abs(mine - v) < 1e-9, (code, fit_on, row, f)
+    l2 = D.scale_l2_rows_long(spark.createDataFrame([(1, 1, 0.0), (2, 1, 3.0), (2, 2, 4.0)], "row_id long, feature_id int, value double"))
+    assert sorted(map(tuple, l2.collect())) == [(1, 1, 0.0), (2, 1, 0.6), (2, 2, 0.8)]
