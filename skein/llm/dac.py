@@ -13,6 +13,7 @@ its bitmap and its directory; then these sections.
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
@@ -30,8 +31,8 @@ MAGIC = b"DACTOK01"
 BLOCK = 512
 #: tokens after which a task starts another shard; a longer document has its own
 SHARD_TOKENS = 1 << 23
-#: whitespace-separated strings whose ids a worker remembers
-REMEMBERED = 300_000
+#: strings between white space whose ids a worker remembers, per generation
+REMEMBERED = 400_000
 
 
 # ------------------------------------------------------------ file format
@@ -104,14 +105,21 @@ class Shard:
 
 # ------------------------------------------------------------ tokenising
 class Words:
-    """Ids of texts, by a tokenizer whose words never reach over white space;
-    those of a string between white space are remembered."""
+    """Ids of texts, by a tokenizer whose words never reach over white space.
+
+    Ids of strings between white space are remembered in two generations of at
+    most ``REMEMBERED`` each: a full one becomes the old one, from which words
+    that come again move on, so frequent words stay. New words of a slice are
+    encoded together, as one text of them.
+    """
 
     def __init__(self, model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model.decode())
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list) -> list[bytes]:
         # bytes are split at \x20 and \x09-\x0D only, a part of all white space
@@ -119,16 +127,25 @@ class Words:
         need = set().union(*split)
         new = need.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = need
-        new = list(new)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.old, new = {}, self.known, need
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        self.learn(list(new.difference(again)))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
+    def learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at:at + 4096]
+            strings = [w.decode() for w in part]
+            ends = np.cumsum([len(w) + 1 for w in strings])
+            e = self.tokenizer.encode(" ".join(strings), add_special_tokens=False)
+            start = np.array([o[0] for o in e.offsets], np.int64)
+            cuts = np.concatenate(([0], np.searchsorted(start, ends)))
+            raw = np.array(e.ids, "<u4").tobytes()
+            for w, a, b in zip(part, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist()):
+                self.known[w] = raw[a:b]
+
 
 _WORDS: dict[bytes, Words] = {}
 
