@@ -454,22 +454,28 @@ def _sweep_leaderboard(spark, sf):
 
 
 # ------------------------------------------------------------ sketches -> model (F16 -> F8 -> G9 -> H1/H3)
-SK_C = 4
+SK_C = 4               # hash squeeze of P-MinHash samples
+SK_B = 2               # b-bit squeeze of 0-bit CWS samples
 SK_EPOCHS = 3
 SK_MODELS = [L.Model(0, "linear", 0.5)]
 
 
-def _sketch_model_sql(out: str = "acc") -> str:
+def _sketch_model_sql(method: str = "pminhash") -> str:
     from skein.operators import squeeze as Q
     from skein.plans import sketch_queries as SQ
 
-    a, b = Q.hash_params(SK_C, SQ.KH, SQ.SEED)
-    enc = SQ._indep_hash_sql(SK_C, a, b)
-    width = sum(Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C))
+    if method == "pminhash":
+        a, b = Q.hash_params(SK_C, SQ.KH, SQ.SEED)
+        enc = SQ._indep_hash_sql(SK_C, a, b)
+        width = sum(Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C))
+    else:
+        w = 2**SK_B
+        enc = f"{w} * hash_id + {w} - ((sample % {w}) + 1) + CASE WHEN party = 2 THEN {w * SQ.K1} ELSE 0 END"
+        width = sum(Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, b=SK_B))
     ctes, steps = sql_train(SK_MODELS, width, SK_EPOCHS, 1)
     snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, bb, s in steps)
     base = [
-        *SQ.DOC_BASE, *SQ.sql_samples("pminhash"),
+        *SQ.DOC_BASE, *SQ.sql_samples(method),
         ("sk", f"SELECT row_id, CAST({enc} + 1 AS INTEGER) AS feature_id, 1.0::DOUBLE AS value FROM s_samples WHERE sample NOT IN (-1, 0)"),
         ("lab", """SELECT row_id, label, CASE WHEN rn <= m - CAST(ceil(0.2 * m) AS BIGINT) THEN 'train' ELSE 'test' END AS split
             FROM (SELECT row_id, label, row_number() OVER (ORDER BY row_id) AS rn, count(*) OVER () AS m
@@ -485,30 +491,116 @@ SELECT CAST(epoch AS INTEGER) AS epoch,
 FROM zt z JOIN vr r ON z.row_id = r.row_id GROUP BY epoch"""
 
 
-@q("sketch_logistic_accuracy", _sketch_model_sql())
-def _sketch_logistic_accuracy(spark, sf):
+def _sketch_logistic(spark, sf, method):
     from skein.operators import squeeze as Q
     from skein.plans import sketch_queries as SQ
+    from skein.session import cut_lineage
 
     rows = R.split_ordered(X.doc_rows(spark, sf).where(F.col("label").isNotNull()))
     # only labelled documents are tokenised and sampled
     labelled = rows.select("row_id")
-    samples = SM.pminhash_samples(X.doc_cells(spark, sf, only=labelled), labelled, SQ.N, SQ.KH, SQ.P, seed=SQ.SEED)
-    sk = Q.squeeze(samples, "pminhash", SK_C, SQ.N, SQ.P, SQ.KH)          # re-cut at the party border
-    w1, w2 = Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, c=SK_C)
+    draw, size, how = (SM.pminhash_samples, SK_C, {"c": SK_C}) if method == "pminhash" else (SM.cws_samples, SK_B, {"b": SK_B})
+    samples = draw(X.doc_cells(spark, sf, only=labelled), labelled, SQ.N, SQ.KH, SQ.P, seed=SQ.SEED)
+    sk = Q.squeeze(samples, method, size, SQ.N, SQ.P, SQ.KH)          # re-cut at the party border
+    w1, w2 = Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, **how)
     cells = sk.select("row_id", (F.col("col") + 1 + F.when(F.col("party") == 2, F.lit(w1)).otherwise(F.lit(0)))
                       .cast("int").alias("feature_id"), F.lit(1.0).alias("value"))
-    from skein.session import cut_lineage
-
     cells = cut_lineage(cells)  # rows x k ones, read by training and by scoring
     train_rows = rows.where(F.col("split") == "train").select("row_id", "label")
     test_rows = rows.where(F.col("split") == "test").select("row_id", "label")
     vec = L.vectors_from_cells(cells.join(train_rows.select("row_id"), "row_id", "left_semi"), train_rows)
-    ms = [L.Model(**vars(m)) for m in SK_MODELS]
-    res = L.train(vec, w1 + w2, ms, FULL, SK_EPOCHS)
+    res = L.train(vec, w1 + w2, SK_MODELS, FULL, SK_EPOCHS)
     test_cells = cells.join(test_rows.select("row_id"), "row_id", "left_semi")
     acc = H.binary_accuracy(test_cells, test_rows, L.weights_frame(res), "linear")
-    return acc.select(F.col("epoch").cast("int"), r6(F.col("accuracy")).alias("accuracy"))
+    return acc.select("epoch", r6(F.col("accuracy")).alias("accuracy"))
+
+
+@q("sketch_logistic_accuracy", _sketch_model_sql())
+def _sketch_logistic_accuracy(spark, sf):
+    return _sketch_logistic(spark, sf, "pminhash")
+
+
+@q("cws_logistic_accuracy", _sketch_model_sql("0bitcws"))
+def _cws_logistic_accuracy(spark, sf):
+    """0-bit CWS samples, b-bit squeezed, through the trainer."""
+    return _sketch_logistic(spark, sf, "0bitcws")
+
+
+# ------------------------------------------------------------ random Fourier features -> one-vs-rest models
+RFF_EPOCHS = 2
+
+
+def _rff_model_sql() -> str:
+    from skein.plans import sketch_queries as SQ
+
+    ctes, steps = sql_train(OVR_MODELS, SQ.KERNEL_K, RFF_EPOCHS, 1)
+    snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, b, s in steps)
+    pred = """SELECT row_id, epoch, arg_max(model_id, (p, -model_id)) AS pred FROM (
+        SELECT row_id, epoch, model_id, (z * 0.25 + 0.5) AS p FROM zt) t GROUP BY row_id, epoch"""
+    base = [("rf", SQ.ORACLE["rff_features"]),
+            ("fx", f"SELECT row_id, CAST(comp + 1 + CASE WHEN party = 2 THEN {SQ.KK1} ELSE 0 END AS INTEGER) AS feature_id, value FROM rf WHERE value <> 0"),
+            *emb_split_sql(),
+            ("tx", "SELECT f.* FROM fx f JOIN emb_split s ON f.row_id = s.row_id WHERE s.split = 'train'"),
+            ("tr", "SELECT row_id, label, 0 AS batch_id, count(*) OVER () AS bsz FROM emb_split WHERE split = 'train'"),
+            ("vx", "SELECT f.* FROM fx f JOIN emb_split s ON f.row_id = s.row_id WHERE s.split = 'test'"),
+            ("vr", "SELECT row_id, label FROM emb_split WHERE split = 'test'")]
+    return with_(*base, *ctes, ("snap", snap), ("zt", _score_sql("snap")), ("pr", pred), materialize=True) + f"""
+SELECT CAST(p.epoch AS INTEGER) AS epoch, {s6('avg(CASE WHEN p.pred = r.label THEN 1.0 ELSE 0.0 END)')} AS accuracy
+FROM pr p JOIN vr r ON p.row_id = r.row_id GROUP BY p.epoch"""
+
+
+@q("rff_logistic_accuracy", _rff_model_sql())
+def _rff_logistic_accuracy(spark, sf):
+    from skein.plans import sketch_queries as SQ
+    from skein.session import cut_lineage
+
+    rff = SQ.QUERIES["rff_features"](spark, sf)
+    cells = cut_lineage(rff.where(F.col("value") != 0).select(
+        "row_id", (F.col("comp") + 1 + F.when(F.col("party") == 2, SQ.KK1).otherwise(0)).cast("int").alias("feature_id"), "value"))
+    rows = emb_split(spark, sf).select("row_id", "label", "split")
+    train_rows, test_rows = (rows.where(F.col("split") == x).select("row_id", "label") for x in ("train", "test"))
+    vec = L.vectors_from_cells(cells.join(train_rows.select("row_id"), "row_id", "left_semi"), train_rows)
+    res = L.train(vec, SQ.KERNEL_K, OVR_MODELS, FULL, RFF_EPOCHS)
+    acc = H.ovr_epoch_accuracy(cells.join(test_rows.select("row_id"), "row_id", "left_semi"), test_rows, L.weights_frame(res), "linear")
+    return acc.select("epoch", r6(F.col("accuracy")).alias("accuracy"))
+
+
+# ------------------------------------------------------------ train -> evaluate -> log -> rank
+FLOW_MODELS = [L.Model(i, sig, a, 0.0, 1.0) for i, (sig, a) in enumerate((s, a) for s in ("linear", "cube") for a in (0.1, 0.5, 2.0))]
+FLOW_EPOCHS = 3
+
+
+def _flow_sql() -> str:
+    ctes, steps = sql_train(FLOW_MODELS, LI_D, FLOW_EPOCHS, 1)
+    snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, b, s in steps)
+    hit = f"CASE WHEN (CASE WHEN {_act_case(FLOW_MODELS, 'z.z', 'z.model_id')} >= 0.5 THEN 1 ELSE 0 END) = r.label THEN 1.0 ELSE 0.0 END"
+    return with_(*sql_li_model(FULL), *ctes, ("snap", snap), ("zt", _score_sql("snap")),
+                 ("acc", f"SELECT z.model_id, z.epoch, avg({hit}) AS accuracy FROM zt z JOIN vr r ON z.row_id = r.row_id GROUP BY z.model_id, z.epoch"),
+                 ("run", """SELECT model_id, max(accuracy) AS best_acc, arg_max(epoch, (accuracy, -epoch)) AS best_epoch, count(*) AS n,
+                    sum(accuracy) AS total FROM acc GROUP BY model_id"""), materialize=True) + f"""
+SELECT r.model_id AS run_id, m.alpha, CAST({FLOW_EPOCHS} AS INTEGER) AS max_iter, CAST(r.n AS INTEGER) AS epochs, {s6('r.total')} AS accuracy_sum,
+  {s6('r.best_acc')} AS best_acc, CAST(r.best_epoch AS INTEGER) AS best_epoch, CAST(dense_rank() OVER (ORDER BY r.best_acc DESC) AS INTEGER) AS rank
+FROM run r JOIN mods m ON m.model_id = r.model_id"""
+
+
+@q("sweep_runs_leaderboard", _flow_sql())
+def _sweep_runs_leaderboard(spark, sf):
+    """A sweep whose runs are evaluated per epoch, appended as records, read
+    back and ranked."""
+    from skein.session import scratch_path
+    from skein.sources import runlog as RL
+
+    wide = li_model_data(spark, sf)
+    res = L.train(_train_vec(wide), LI_D, FLOW_MODELS, FULL, FLOW_EPOCHS)
+    acc = H.binary_accuracy(*_test_cells(wide), L.weights_frame(res), {m.model_id: m.activation for m in FLOW_MODELS})
+    params = spark.createDataFrame([(m.model_id, m.activation, m.alpha, m.lambda_para, m.c) for m in FLOW_MODELS],
+                                   "model_id long, sigmoid_func string, alpha double, lambda_para double, c double")
+    root = scratch_path(spark, "sweep-runs")
+    RL.append_runs(RL.run_records(acc, params, FLOW_EPOCHS), root, "li")
+    board = H.leaderboard(RL.read_runs(spark, root, "li"))
+    return board.select(F.col("model_id").alias("run_id"), "alpha", "max_iter", F.size("accuracy_lst").alias("epochs"),
+                        r6(F.aggregate("accuracy_lst", F.lit(0.0), lambda a, x: a + x)).alias("accuracy_sum"),
+                        r6(F.col("best_acc")).alias("best_acc"), "best_epoch", "rank")
 
 
 # ------------------------------------------------------------ G9 with the reference's batch size (20)
