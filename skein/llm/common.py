@@ -18,7 +18,7 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: text handled at once by a Python kernel; a longer text is a piece of its own
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def ascii_lower(c: Column) -> Column:

@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 
 from skein.llm.common import map_texts
 
-#: words a worker remembers; the table starts anew when it is full
-REMEMBERED = 300_000
+#: words a worker remembers, per generation: a full one becomes the old one,
+#: from which words that come again move on
+REMEMBERED = 150_000
 SPACE_MARK = "▁"
 NONE = np.int64(1) << 40
 
@@ -84,6 +85,7 @@ class Codec:
         self.early[list(early)] = True
         self.bigrams = np.array(sorted(ord(a) * 0x110000 + ord(b) for a, b in bigrams), np.int64)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # decoding
         kind = [p.type for p in m.pieces]
         self.is_byte = np.array([k == BYTE for k in kind])
@@ -113,9 +115,10 @@ class Codec:
         need = set(chain.from_iterable(split))
         new = need.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = need
-        if new:
+            self.known, self.old, new = {}, self.known, need
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        if new := new.difference(again):
             self.learn(list(new))
         get = self.known.__getitem__
         parts = [b"".join(map(get, w)) for w in split]
