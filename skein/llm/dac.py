@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import os
 import struct
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -122,17 +124,31 @@ class Words:
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list) -> list[bytes]:
-        # bytes are split at \x20 and \x09-\x0D only, a part of all white space
-        split = [(t or "").encode().split() for t in texts]
-        need = set().union(*split)
-        new = need.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.old, new = {}, self.known, need
-        again = new.intersection(self.old)
+        # words of the slice are numbered in a small table of its own, and only
+        # different ones meet the large one
+        number: dict[bytes, int] = defaultdict(count().__next__)
+        of, n_words = [], []
+        for t in texts:
+            # bytes are split at \x20 and \x09-\x0D only, a part of all white space
+            words = (t or "").encode().split()
+            of += map(number.__getitem__, words)
+            n_words.append(len(words))
+        distinct = list(number)
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            self.old, self.known, new = known, {}, distinct
+        again = [w for w in new if w in self.old]
         self.known.update((w, self.old[w]) for w in again)
-        self.learn(list(new.difference(again)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        self.learn([w for w in new if w not in self.old])
+        ids = list(map(self.known.__getitem__, distinct))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        word = np.array(of, np.int64)
+        ends = np.cumsum(size[word])
+        tokens = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[word] - ends + size[word], size[word])].tobytes()
+        ends = 4 * np.concatenate(([0], ends))[np.cumsum([0, *n_words])]
+        return [tokens[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 4096):

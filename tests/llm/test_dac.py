@@ -40,7 +40,7 @@ def test_random_access(n, top):
 
 def test_words_equal_the_library(lib, texts, monkeypatch):
     rng = random.Random(8)
-    odd = ["", " ", "a\x85b c", "It's WE'RE  x's", "é ́e", "<|endoftext|>", "a<|startoftext|>b c", "ΑΣ ΟΔΟΣ.", "字😀ü 12 3a!!?", "İstanbul ﬁ"]
+    odd = ["", " ", "a\x85b c", "It's WE'RE  x's", "é ́e", "<|endoftext|>", "a<|startoftext|>b c", "ΑΣ ΟΔΟΣ.", "字😀ü 12 3a!!?", "İstanbul ﬁ", "Word word, WORD. ÉTÉ été. été, Straße ſ ŉ ǅ ª. . , ., x.. ,x İ. ΣΑΣ. ẞ ɐ K Å"]
     odd += ["".join(rng.choice("aB'sé \t ́12!<|字") for _ in range(40)) for _ in range(200)]
     w = D.Words(open(PATH, "rb").read())
     monkeypatch.setattr(D, "REMEMBERED", 300)
