@@ -4,8 +4,9 @@ URLs that a rule allows or blocks train two variable-order Markov models of
 characters. A character's probability interpolates all orders up to ``ORDER``
 by Witten-Bell weights, so it follows the longest contexts that the class has
 seen. A URL's score is its log-likelihood difference (accepted - rejected) per
-character. Scores of held-out labelled hosts calibrate it: a logistic curve of
-the score gives the probability of acceptance.
+character. Scores of held-out labelled hosts (of held-out URLs where a class has
+too few hosts) calibrate it: a logistic curve of the score gives the probability
+of acceptance.
 
 Everything is counted over all URLs: characters with their contexts are
 exploded once per URL, counted per distinct string, and lower orders come from
@@ -18,6 +19,7 @@ by a shuffle in which none is large.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,13 +33,15 @@ ORDER = 4
 PAD = "\x02"
 #: probability of any character where nothing is known
 UNSEEN = 1 / 256
-#: one of so many hosts with a rule is held out for calibration
+#: one of so many hosts (or URLs) with a rule is held out for calibration
 HELD_OUT = 5
 #: bins of the calibration's histogram, between -CLIP and CLIP
 BINS, CLIP = 4096, 8.0
 #: least calibrated probability of acceptance of an allowed URL
 ACCEPT = 0.5
 
+#: verdicts of the rules, whose URLs train a model each
+CLASSES = ("allow", "block")
 #: (verdict, host, path) of the rules
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -122,40 +126,64 @@ def calibrate(histogram: list[tuple[int, float, float]]) -> tuple[float, float]:
     return (slope, offset) if slope > 0 else (1.0, 0.0)
 
 
+def held_folds(counts: list[tuple[str, int, int, int]]) -> tuple[str, dict[str, int | None]]:
+    """(verdict, host fold, URL fold, rows) of the URLs with a rule -> the kind
+    of fold that is held out, and each class's held-out fold.
+
+    Host fold 0, if it has some and at most half of each class. Otherwise each
+    class's smallest URL fold; None for a class whose URLs are all in one fold
+    (mostly copies of one URL): it can't be split, so it trains and calibrates.
+    """
+    hosts, urls = {c: Counter() for c in CLASSES}, {c: Counter() for c in CLASSES}
+    for verdict, host_fold, url_fold, n in counts:
+        hosts[verdict][host_fold] += n
+        urls[verdict][url_fold] += n
+    if all(0 < hosts[c][0] <= hosts[c].total() / 2 for c in CLASSES):
+        return "host_fold", dict.fromkeys(CLASSES, 0)
+    return "url_fold", {c: min(urls[c], key=lambda f: (urls[c][f], f)) if len(urls[c]) > 1 else None for c in CLASSES}
+
+
 def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, order: int = ORDER, accept: float = ACCEPT) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, score, p_accept.
 
     ``verdict`` is the rule's; where none fits, ``block`` if the calibrated
     probability ``p_accept`` is under ``accept``, else ``allow``. URLs with no
     rule never train. A null or empty url has no score and no p_accept, and is
-    allowed, as there is nothing against it; so is every URL when one class
-    has no training URL (its models can't differ by evidence). Repeated rows
-    count as often as they occur; ids may be null or repeat. Other columns are
-    not carried.
+    allowed, as there is nothing against it; so is every URL when no URL of one
+    class is in the table (its models can't differ by evidence). URLs held out
+    for calibration don't train; ``held_folds`` says which, and always leaves
+    each class some that do. Repeated rows count as often as they occur; ids
+    may be null or repeat. Other columns are not carried.
     """
     urls = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("__url"))
     host, path = host_path(F.col("__url"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     judged = urls.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("by_rule", verdict)
-    # whole hosts are held out, so that their names can't be learnt by heart
-    judged = judged.withColumn("held", F.pmod(F.xxhash64("host"), F.lit(HELD_OUT)) == 0)
+    # whole hosts are held out if possible, so that their names can't be learnt by heart
+    for fold, key in (("host_fold", "host"), ("url_fold", "__url")):
+        judged = judged.withColumn(fold, F.pmod(F.xxhash64(key), F.lit(HELD_OUT)).cast("int"))
     judged = cut_lineage(judged.withColumn("row", F.monotonically_increasing_id()))
-    n_allow, n_block = judged.agg(F.count_if(F.expr("by_rule = 'allow' AND NOT held")), F.count_if(F.expr("by_rule = 'block' AND NOT held"))).first()
-
-    each = judged.select("row", "by_rule", "held", F.explode(strings("__url", order)).alias("gram"))
-    trains = ~F.col("held")
+    labelled = judged.where(F.col("by_rule").isin(*CLASSES) & (F.length("__url") > 0))
+    counts = [tuple(r) for r in labelled.groupBy("by_rule", "host_fold", "url_fold").count().collect()]  # at most 2 x 5 x 5 rows
+    known = {c[0] for c in counts} == set(CLASSES)
+    fold, folds = held_folds(counts)
+    held = {c: F.lit(True) if folds[c] is None else F.col(fold) == folds[c] for c in CLASSES}
+    trains = {c: (F.col("by_rule") == c) & (F.lit(True) if folds[c] is None else ~held[c]) for c in CLASSES}
+    judged = judged.withColumn("held", F.coalesce(*(F.when(F.col("by_rule") == c, held[c]) for c in CLASSES), F.lit(False)))
+    judged = judged.withColumn("trains", F.coalesce(*(F.when(trains[c], F.lit(c)) for c in CLASSES)))
+
+    each = judged.select("row", "trains", F.explode(strings("__url", order)).alias("gram"))
     grams = each.groupBy("gram").agg(
-        F.count_if(trains & (F.col("by_rule") == "allow")).alias("n_a"), F.count_if(trains & (F.col("by_rule") == "block")).alias("n_r"), F.count("*").alias("uses"))
+        F.count_if(F.col("trains") == "allow").alias("n_a"), F.count_if(F.col("trains") == "block").alias("n_r"), F.count("*").alias("uses"))
     ratios = cut_lineage(log_ratios(cut_lineage(grams), order))
     total = ratios.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
     sums = lookup(each.select("row", "gram"), ratios, "gram", "uses", total).groupBy("row").agg(F.avg("ratio").alias("score"))
     scored = cut_lineage(judged.join(sums, "row", "left").select("id", "host", "path", "rule", "by_rule", "held", "score"))
 
     bin_ = F.least(F.greatest(F.floor((F.col("score") + CLIP) / (2 * CLIP / BINS)), F.lit(0)), F.lit(BINS - 1))
-    histogram = (scored.where("held AND by_rule IS NOT NULL AND score IS NOT NULL").groupBy(bin_.alias("bin"))
+    histogram = (scored.where("held AND score IS NOT NULL").groupBy(bin_.alias("bin"))
                  .agg(F.count_if(F.col("by_rule") == "allow").alias("a"), F.count_if(F.col("by_rule") == "block").alias("r")).collect())  # at most BINS rows
     slope, offset = calibrate([tuple(h) for h in histogram])
-    known = bool(n_allow and n_block)
     p = F.when(F.lit(known), 1 / (1 + F.exp(-(F.lit(slope) * F.col("score") + F.lit(offset)))))
     by_model = F.when(F.col("p_accept") < accept, F.lit("block")).otherwise(F.lit("allow"))
     return scored.withColumn("p_accept", p).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score", "p_accept")

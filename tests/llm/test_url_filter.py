@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
+import xxhash
 from skein.llm import url_filter as U
 
 
@@ -92,3 +94,49 @@ def test_calibration():
     slope, offset = U.calibrate([(mid - 200, 1, 50), (mid + 100, 30, 2), (mid + 300, 20, 0)])
     at = lambda b: 1 / (1 + math.exp(-(slope * (-U.CLIP + (b + .5) * 2 * U.CLIP / U.BINS) + offset)))
     assert slope > 0 and at(mid - 200) < 0.2 and at(mid + 300) > 0.8
+
+
+def fold(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return (h - (1 << 64) * (h >> 63)) % U.HELD_OUT
+
+
+@pytest.mark.parametrize("host", ["www.example.org", "m.example.org", "one url"])
+def test_a_class_on_one_host_trains_and_calibrates(spark, host):
+    # every blocked URL is on the host: in the held-out fold of hosts, outside it, or the same URL
+    rng = random.Random(7)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    accepted = [f"http://{word('aeio')}.org/{word('aeio')}" for _ in range(80)]
+    rejected = ["http://www.example.org/es/xzqkxz"] * 60 if host == "one url" else [f"http://{host}/es/{word('xzqk')}" for _ in range(60)]
+    assert fold("www.example.org") == 0 and fold("m.example.org") != 0
+    probes = ["http://aeioae.net/ioaeio", "http://www.example.net/es/xzqkxz"]
+    urls = accepted + rejected + probes
+    out = {r.page_id: r for r in U.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(out) == len(urls)
+
+    def parts(members):
+        of = Counter(map(fold, members))
+        if len(of) == 1:
+            return members, members
+        held = min(of, key=lambda f: (of[f], f))
+        return [u for u in members if fold(u) != held], [u for u in members if fold(u) == held]
+
+    (train_a, held_a), (train_r, held_r) = parts(accepted), parts(rejected)
+    score = brute_ratio(train_a, train_r, U.ORDER)
+    bins = Counter()
+    for c, members in enumerate((held_a, held_r)):
+        for u in members:
+            bins[min(max(math.floor((score(u) + U.CLIP) / (2 * U.CLIP / U.BINS)), 0), U.BINS - 1), c] += 1
+    slope, offset = U.calibrate([(b, bins[b, 0], bins[b, 1]) for b in sorted({b for b, _ in bins})])
+    assert (slope, offset) != (1.0, 0.0)
+    for i, u in enumerate(urls):
+        assert abs(out[i].score - score(u)) < 1e-9, u
+        assert abs(out[i].p_accept - 1 / (1 + math.exp(-(slope * score(u) + offset)))) < 1e-6, u
+    assert [out[len(urls) - 2 + i].verdict for i in (0, 1)] == ["allow", "block"]
+
+
+def test_held_folds():
+    assert U.held_folds([("allow", 0, 1, 5), ("allow", 1, 1, 5), ("block", 0, 2, 1), ("block", 3, 2, 9)]) == ("host_fold", {"allow": 0, "block": 0})
+    # most of a class in fold 0, or none of it
+    assert U.held_folds([("allow", 0, 1, 5), ("allow", 1, 3, 6), ("block", 0, 2, 9), ("block", 3, 4, 1)]) == ("url_fold", {"allow": 1, "block": 4})
+    assert U.held_folds([("allow", 0, 1, 5), ("allow", 1, 3, 4), ("block", 1, 2, 9)]) == ("url_fold", {"allow": 3, "block": None})
