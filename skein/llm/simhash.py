@@ -91,9 +91,11 @@ class Ball:
     def links(self, low: np.ndarray, left: np.ndarray, bits: int):
         """Index pairs of rows that share a variant: ``low`` has the last
         ``bits`` bits of each, ``left`` the flips that it may still make.
-        Of the rows at one variant, the first is paired with each other one
-        (rows within half the radius of it are within the radius of each
-        other, so nothing is lost)."""
+        Of the rows at one variant, one with the most flips left is paired
+        with each other one. Nothing is lost: rows within the radius of each
+        other share a variant that is within its lower half of one of them, and
+        a row so near is within the radius of all others there. (With an odd
+        radius, two rows at its upper half may be one bit too far apart.)"""
         if len(low) < 2:
             return
         made = sum(len(self.masks(bits, w)) * int((left == w).sum()) for w in np.unique(left))
@@ -127,7 +129,8 @@ class Ball:
             value.append(v[i])
             owner.append(at[i // n])
         value, owner = np.concatenate(value), np.concatenate(owner)
-        order = np.lexsort((owner, value))
+        unused = left[owner] - np.bitwise_count(value ^ low[owner])
+        order = np.lexsort((owner, -unused, value))
         value, owner = value[order], owner[order]
         first = np.concatenate(([True], value[1:] != value[:-1]))
         head = owner[np.maximum.accumulate(np.where(first, np.arange(len(owner)), 0))]

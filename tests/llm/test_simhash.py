@@ -63,6 +63,36 @@ def test_links_equal_all_pairs(spark, monkeypatch):
         assert groups(got) == groups(want), (radius, per_prefix)
 
 
+def test_odd_radii_link_by_the_nearest_owner(spark, monkeypatch):
+    # at a variant, two owners at the upper half of an odd radius are too far apart
+    x = 2 ** 64 - 1
+    chain = [x, x ^ 1, x ^ 1 << 63, x ^ 1 ^ 1 << 62]
+    rng = random.Random(3)
+    for radius in (1, 3, 5):
+        half = (radius + 1) // 2
+        cases = [chain] if radius == 1 else []
+        for _ in range(40):  # few owners around each of a few variants
+            fps = set()
+            v = rng.getrandbits(64)
+            for _ in range(3):
+                for _ in range(4):
+                    bits = rng.sample(range(12), rng.choice([half, half, half - 1]))
+                    fps.add(v ^ sum(1 << 5 * b for b in bits))
+                v ^= 1 << 5 * rng.randrange(12)
+            cases.append(sorted(fps))
+        for variants in (1 << 22, 300):
+            monkeypatch.setattr(S, "VARIANTS", variants)
+            for fps in cases:
+                _, want = plain_components(fps, fps, radius)
+                a, b = S.Ball(radius).forest(np.array(fps, np.uint64), 0, 0)
+                root = dict(zip(a.tolist(), b.tolist()))
+                got = [root.get(f, f) for f in fps]
+                assert [[g == h for h in got] for g in got] == [[g == h for h in want] for g in want], (radius, variants, fps)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in chain], "fp long")
+    roots = {r.node: r.root for r in star_components(S.near_links(df, 1)).collect()}
+    assert len(roots) == 4 and len(set(roots.values())) == 1
+
+
 def test_star_components_of_a_chain(spark):
     df = spark.range(1, 40).selectExpr("id * 7 % 41 AS a", "(id + 1) * 7 % 41 AS b")
     assert {r.root for r in star_components(df.union(df)).collect()} == {1}
