@@ -13,6 +13,7 @@ its bitmap and its directory; then these sections.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 from collections import defaultdict
@@ -106,8 +107,53 @@ class Shard:
 
 
 # ------------------------------------------------------------ tokenising
-class Words:
-    """Ids of texts, by a tokenizer whose words never reach over white space.
+#: steps that treat the strings between white space each by itself
+APART = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+#: pre-tokenizers, and a pattern of pieces to keep, that drop all white space
+DROPS = {"Whitespace", "WhitespaceSplit", "BertPreTokenizer"}
+KEEPS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def words_fit(model: bytes) -> bool:
+    """Whether the ids of a text are those of its strings between white space:
+    true only where each step of the tokenizer is known to allow it."""
+    spec = json.loads(model)
+
+    def steps(kind, inner):
+        step = spec.get(kind)
+        return [] if step is None else step[inner] if step["type"] == "Sequence" else [step]
+
+    def apart(s):
+        return s["type"] in APART or s["type"] == "Replace" and (s["pattern"], s["content"]) == ({"Regex": r"\s+"}, " ")
+
+    def drops(s):
+        return s["type"] in DROPS or s["type"] == "Split" and (s["pattern"], s["behavior"], s["invert"]) == ({"Regex": KEEPS}, "Removed", True)
+
+    def inside(s):
+        return drops(s) or s["type"] in ("Digits", "Punctuation") or s["type"] == "ByteLevel" and not s["add_prefix_space"]
+
+    first, *more = steps("pre_tokenizer", "pretokenizers") or [None]
+    return (first is not None and drops(first) and all(map(inside, more)) and all(map(apart, steps("normalizer", "normalizers")))
+            and not any(c.isspace() for t in spec.get("added_tokens") or [] for c in t["content"]))
+
+
+class Texts:
+    """Ids of whole texts, by any tokenizer."""
+
+    def __init__(self, model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(model.decode())
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: list) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for t in texts for e in self.tokenizer.encode_batch_fast([t or ""], add_special_tokens=False)]
+
+
+class Words(Texts):
+    """Ids of texts, by a tokenizer whose words never reach over white space (``words_fit``).
 
     Ids of strings between white space are remembered in two generations of at
     most ``REMEMBERED`` each: a full one becomes the old one, from which words
@@ -116,10 +162,7 @@ class Words:
     """
 
     def __init__(self, model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model.decode())
+        super().__init__(model)
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -163,14 +206,14 @@ class Words:
                 self.known[w] = raw[a:b]
 
 
-_WORDS: dict[bytes, Words] = {}
+_ENCODERS: dict[bytes, Texts] = {}
 
 
-def words_of(model: bytes) -> Words:
-    if model not in _WORDS:
-        _WORDS.clear()
-        _WORDS[model] = Words(model)
-    return _WORDS[model]
+def encoder_of(model: bytes, by_words: bool) -> Texts:
+    if model not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model] = (Words if by_words else Texts)(model)
+    return _ENCODERS[model]
 
 
 # ------------------------------------------------------------ tables
@@ -182,13 +225,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     Null ids come first; rows that tie on the id are ordered by text. The
     texts are shuffled once, by ranges of ids; a task writes its range as
     shards of at most ``SHARD_TOKENS`` tokens (or one document). The index is
-    a table in the same folder.
+    a table in the same folder. Any tokenizer file will do: where white space
+    could matter to the ids, texts are encoded whole, which takes longer. Its
+    truncation and padding are not applied.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     make_folder(folder)
     with open(tokenizer_path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())
+        content = f.read()
+    model, by_words = spark.sparkContext.broadcast(content), words_fit(content)
     kind = docs.schema[id_col].dataType
     end = np.array([end_id], "<u4").tobytes()
 
@@ -210,7 +256,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 
         for batch in batches:
             for part in pieces(batch, 1):
-                made = [x + end for x in words_of(model.value).encode(part.column(1).to_pylist())]
+                made = [x + end for x in encoder_of(model.value, by_words).encode(part.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in made], np.int64)
                 done = 0
                 while done < len(n):

@@ -49,6 +49,39 @@ def test_words_equal_the_library(lib, texts, monkeypatch):
             assert np.frombuffer(got, "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_tokenizers_for_which_white_space_matters(spark, docs, tmp_path):
+    import json
+
+    rows = [(1, "two  spaces\n\nand lines\tof  text "), (2, " leading, WORDS x's"), (3, None), (4, "a b\x0cc <x y> d"), (5, "word " * 600)]
+    spec = json.load(open(PATH))
+    tokens = [{**spec["added_tokens"][0], "id": 49408, "content": "<x y>"}]
+    meta = {"type": "Metaspace", "replacement": "\u2581", "prepend_scheme": "first", "split": True}
+    other = {
+        "byte level": json.load(open(public_tokenizers.path("byte_bpe_50k.json"))),
+        "added": {**spec, "added_tokens": spec["added_tokens"] + tokens},
+        "metaspace": {**spec, "pre_tokenizer": meta},
+        "strips": {**spec, "normalizer": {"type": "Replace", "pattern": {"String": "\n"}, "content": ""}},
+        "none": {**spec, "pre_tokenizer": None},
+        "cuts": {**spec, "truncation": {"direction": "Right", "max_length": 7, "strategy": "LongestFirst", "stride": 0}},
+        "white space": {**spec, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spec["pre_tokenizer"]["pretokenizers"][1]]}},
+    }
+    assert D.words_fit(open(PATH, "rb").read())
+    for name, spec in other.items():
+        content = json.dumps(spec).encode()
+        assert D.words_fit(content) == (name in ("cuts", "white space")), name
+        lib = Tokenizer.from_str(content.decode())
+        lib.no_truncation()
+        want = {d: lib.encode(t or "", add_special_tokens=False).ids for d, t in rows}
+        if name in ("byte level", "cuts"):
+            path = tmp_path / f"{name}.json"
+            path.write_bytes(content)
+            out = D.read_tokens(D.write_tokens(docs(rows), str(path), f"file://{tmp_path}/{name.replace(' ', '-')}")).collect()
+            got = {r.id: np.frombuffer(bytes(r.tokens), "<u4").tolist()[:-1] for r in out}
+        else:
+            got = {d: np.frombuffer(b, "<u4").tolist() for (d, _), b in zip(rows, D.encoder_of(content, D.words_fit(content)).encode([t for _, t in rows]))}
+        assert got == want, name
+
+
 def test_files_round_trip(spark, docs, lib, monkeypatch, tmp_path):
     rng = random.Random(1)
     rows = [(i * 3 % 101, " ".join(rng.choice(["alpha", "beta", "Gamma!", "x1"]) for _ in range(rng.randint(0, 60)))) for i in range(101)]
