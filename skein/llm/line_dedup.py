@@ -5,7 +5,9 @@ Lines travel as 128-bit hashes, once per document and key. The count is a
 min / max of document ids per hash, aggregated before its shuffle, so a line
 that a third of all documents share costs one row per task. Keys that own more
 than ``1 / HOT`` of the repeated lines (fewer than ``HOT`` of them) go to the
-reassembling tasks as a small table; all others are joined by hash.
+reassembling tasks as a small table; all others are joined by hash. Rows are
+numbered and written once, and dropped keys find their row by its number, so
+rows that share an id, or have none, are as light as others.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import pieces
-from skein.session import cut_lineage
+from skein.session import cut_lineage, scratch_path
 
 #: shortest key that is judged, in code points
 MIN_CHARS = 10
@@ -40,23 +42,34 @@ def judged(key: bytes, min_chars: int) -> bool:
 
 
 def document_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc, h1, h2): one row per document row and distinct key."""
-    out = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+    """(row, doc, h1, h2): one row per document row and distinct key."""
+    out = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc", docs.schema[id_col].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 2):
                 rows, hashes = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                for i, text in enumerate(part.column(2).to_pylist()):
                     if text:
                         keys = {k for k in keys_of(text) if judged(k, min_chars)}
                         rows += [i] * len(keys)
                         hashes += map(_digest, keys)
                 h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-                doc = part.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([doc, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["doc", "h1", "h2"])
+                row, doc = (part.column(i).take(pa.array(rows, pa.int64())) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([row, doc, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=out.fieldNames())
 
-    return docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").cast("binary").alias("text")).mapInArrow(run, out)
+    return docs.select("__row", docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, out)
+
+
+def dropped_keys(keys: DataFrame, busy: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(row, __gone): the keys of ``repeated`` (h1, h2, first), without the busy
+    ones, that a row loses; at most as many as it has lines."""
+    return (
+        keys.join(F.broadcast(busy.select("h1", "h2")), ["h1", "h2"], "left_anti")
+        .join(repeated.hint("shuffle_hash"), ["h1", "h2"])
+        .where(F.col("doc").isNull() | (F.col("doc") != F.col("first")))
+        .groupBy("row").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
+    )
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -71,7 +84,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other white space and shorter lines stay as they are. Input columns named
     n_lines or n_dropped give way.
     """
-    keys = document_keys(docs, id_col, text_col, min_chars)
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_dropped")]
+    # row numbers hold only for rows that are written down
+    path = scratch_path(docs.sparkSession, "line-dedup")
+    columns = [docs[f"`{f.name}`"].cast("string").cast("binary").alias(f.name) if f.name == text_col else docs[f"`{f.name}`"] for f in kept]
+    docs.select(*columns, F.monotonically_increasing_id().alias("__row")).write.parquet(path)
+    src = docs.sparkSession.read.parquet(path)
+    keys = document_keys(src, id_col, text_col, min_chars)
     repeated = cut_lineage(
         keys.groupBy("h1", "h2")
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.col("doc").isNull()).alias("null_too"), F.count("*").alias("n"))
@@ -82,14 +101,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_hot = F.col("n") * HOT > F.lit(total)
     busy = repeated.where(is_hot)  # fewer than HOT rows
     hot = {np.array([r.h1, r.h2], "<i8").tobytes(): r.first for r in busy.collect()}
-    drops = (
-        keys.join(F.broadcast(busy.select("h1", "h2")), ["h1", "h2"], "left_anti")
-        .join(repeated.where(~is_hot).drop("n").hint("shuffle_hash"), ["h1", "h2"])
-        .where(F.col("doc").isNull() | (F.col("doc") != F.col("first")))
-        .groupBy("doc").agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
-    )
+    drops = dropped_keys(keys, busy, repeated.where(~is_hot).drop("n"))
 
-    kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_dropped")]
     out = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in kept]
                        + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at_text, at_id = [f.name for f in kept].index(text_col), [f.name for f in kept].index(id_col)
@@ -125,6 +138,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def dropped(key, doc, own):
         return key in own or key in hot and (doc is None or doc != hot[key])
 
-    src = docs.select(*[docs[f"`{f.name}`"].cast("string").cast("binary").alias(f.name) if f.name == text_col else docs[f"`{f.name}`"] for f in kept])
-    joined = src.join(drops.hint("shuffle_hash"), src[id_col].eqNullSafe(drops["doc"]), "left").drop("doc")
+    joined = src.join(drops.hint("shuffle_hash"), src["__row"] == drops["row"], "left").drop("__row", "row")
     return joined.mapInArrow(run, out)

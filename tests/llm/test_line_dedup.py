@@ -41,3 +41,21 @@ def test_equals_brute_force(spark, docs, monkeypatch):
         got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr)
         assert got == [(d, t, n, k) for d, t, n, k in brute(rows)]
     assert L.line_dedup(docs([])).count() == 0
+
+
+def test_rows_without_an_id_carry_only_their_own_lines(spark, docs, monkeypatch):
+    each = 6
+    shared = [[f"line {j} of the row {i}" for j in range(each)] for i in range(80)]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(shared)] + [(None, "\n".join(x) + f"\nown line {i}") for i, x in enumerate(shared)] + [(500, "\n".join(x)) for x in shared]
+    seen, real = [], L.dropped_keys
+
+    def spy(*args):
+        seen.append(real(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(L, "dropped_keys", spy)
+    monkeypatch.setattr(L, "HOT", 1)  # all keys are joined
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(docs(rows)).select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr)
+    assert got == brute(rows)
+    sizes = [len(r["__gone"]) for r in seen[0].collect()]
+    assert len(sizes) == 160 and max(sizes) == each
