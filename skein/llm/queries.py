@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import chat as CH
+from skein.llm import collocations as CO
 from skein.llm import dac as DA
 from skein.llm import exact_dedup as ED
 from skein.llm import line_dedup as LD
 from skein.llm import mixing as MX
 from skein.llm import quality as QR
+from skein.llm import ranked_search as RS
 from skein.llm import sentencepiece_bpe as SP
+from skein.llm import sharding as SD
 from skein.llm import simhash as SH
 from skein.llm import url_filter as UF
 from skein.llm import warc as WA
@@ -190,6 +193,96 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM d
 """
 
+
+# ---------------------------------------------------------------- op11
+def op11_collocations(spark, sf):
+    return CO.collocations(table(spark, sf, "documents"))
+
+
+OP11_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+g AS ({" UNION ALL ".join(f"SELECT lang, {k} AS k, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(list_slice(w, i, i + {k} - 1), ' '))) AS phrase FROM p WHERE len(w) >= {k}" for k in range(1, CO.MAX_WORDS + 1))}),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= {CO.MIN_COUNT}),
+inside AS (SELECT lang, array_to_string(list_slice(w, 1 + x, j + x), ' ') AS phrase, max(a) AS over FROM (SELECT lang, w, a, k, unnest(range(2, k)) AS j FROM c), range({CO.MAX_WORDS}) r(x) WHERE j + x <= k GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside USING (lang, phrase) WHERE over IS NULL OR 100 * over < {CO.PERCENT} * a),
+cuts AS (SELECT lang, phrase, a, cut, array_to_string(list_slice(w, 1, cut), ' ') AS x, array_to_string(list_slice(w, cut + 1, k), ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, fx.a AS l, fy.a AS r, {CO.SCALE} * cuts.a * cuts.a // (fx.a * fy.a) AS score,
+        row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY {CO.SCALE} * cuts.a * cuts.a // (fx.a * fy.a), cut) AS best
+      FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s WHERE best = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= {CO.FIRST}
+"""
+
+
+# ---------------------------------------------------------------- op12
+def op12_ranked_search(spark, sf):
+    return RS.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def _terms(col: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({col}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_terms("text")} AS w FROM documents),
+t AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+c AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM t GROUP BY doc_id, n, term),
+g AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS nd, sum(len(w))::BIGINT AS nt FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM c, g GROUP BY term),
+q AS (SELECT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+p AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nd) // nt))))::BIGINT AS score
+      FROM q JOIN c USING (term) JOIN w USING (term), g GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= {RS.TOP}
+"""
+
+
+# ---------------------------------------------------------------- op13
+SHARDS = 8
+
+
+def op13_sharding(spark, sf):
+    placed = SD.shard_documents(table(spark, sf, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _sharding_sql(shards: int) -> str:
+    """The smallest capacity by dynamic programming over all cuts, the CRC-32 by its definition."""
+    levels = "".join(f"""
+f{j} AS (SELECT b.i, min(greatest(f{j - 1}.c, b.upto - a.upto)) AS c FROM f{j - 1} JOIN u a USING (i), u b WHERE a.i <= b.i GROUP BY b.i),""" for j in range(2, shards + 1))
+    ends = "".join(f"""
+e{j} AS (SELECT max(u.upto) AS e FROM u, cap, e{j - 1} WHERE u.upto <= e{j - 1}.e + cap.c),""" for j in range(1, shards))
+    capacity = " ".join(f"WHEN {j} THEN (SELECT c FROM f{j} ORDER BY i DESC LIMIT 1)" for j in range(1, shards + 1))
+    before = " + ".join(f"(upto - n >= (SELECT e FROM e{j}))::INT * ({j} < (SELECT k FROM left_over))::INT" for j in range(1, shards))
+    return rf"""
+WITH RECURSIVE bits AS (SELECT i AS c, 0 AS step, i FROM range(256) r(i) UNION ALL
+  SELECT xor(c >> 1, (c & 1) * 3988292384), step + 1, i FROM bits WHERE step < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t, ('0x' || substr(md5(coalesce(text, '')), 1, {SD.DIGITS}))::BIGINT AS key, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+x AS (SELECT doc_id, key, size, hex(encode(t)) AS h FROM d),
+z AS (SELECT doc_id, key, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(size - 1), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, list_extract(t, 1 + (xor(c, b) & 255)))), 4294967295::BIGINT) AS crc FROM x, crc),
+g AS (SELECT key, sum(size)::BIGINT AS n FROM d GROUP BY key),
+big AS (SELECT key, n, row_number() OVER (ORDER BY n DESC, key) AS j, sum(n) OVER () - sum(n) OVER (ORDER BY n DESC, key) + n AS rest FROM g),
+apart AS (SELECT key, j FROM (SELECT *, bool_and(n * ({shards} + 1 - j) > rest AND j < {shards}) OVER (ORDER BY j) AS alone FROM big) WHERE alone),
+left_over AS (SELECT {shards} - count(*) AS k FROM apart),
+o AS (SELECT key, n, row_number() OVER (ORDER BY key) AS i, sum(n) OVER (ORDER BY key)::BIGINT AS upto FROM g WHERE key NOT IN (SELECT key FROM apart)),
+u AS (SELECT 0 AS i, 0::BIGINT AS upto UNION ALL SELECT i, upto FROM o),
+f1 AS (SELECT i, upto AS c FROM u),{levels}
+cap AS (SELECT CASE k {capacity} END AS c FROM left_over),
+e0 AS (SELECT 0::BIGINT AS e),{ends}
+placed AS (SELECT key, {before} AS shard FROM o UNION ALL SELECT key, k + j - 1 FROM apart, left_over)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR)) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM z JOIN placed USING (key)
+"""
+
+
+OP13_SQL = _sharding_sql(SHARDS)
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op5_warc_bundles": op5_warc_bundles,
@@ -201,6 +294,9 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_chat_format": op9_chat_format,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
@@ -210,4 +306,7 @@ ORACLE = {
     "op8_mix": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
+    "op13_sharding": OP13_SQL,
 }

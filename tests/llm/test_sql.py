@@ -31,6 +31,6 @@ def test_query_equals_sql(spark, con, name):
 
 def test_all_queries_are_registered():
     names = set(E.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(Q.ORACLE) <= names
