@@ -33,10 +33,10 @@ MAX_WORDS, MIN_COUNT, PERCENT, FIRST, SCALE = 3, 10, 50, 2000, 1_000_000
 #: text whose phrases are counted together before the shuffle
 SLICE_BYTES = 8 << 20
 #: rows of an Arrow batch that a task returns
-BATCH_ROWS = 1 << 17
+BATCH_ROWS = 1 << 14
 #: a word with more than 1/HOT of a language's words is frequent
 HOT = 1000
-#: tasks that share the edges of a node of frequent words
+#: tasks that share the edges of a frequent word
 SALTS = 64
 #: language of texts that have none
 NO_LANGUAGE = "und"
@@ -92,10 +92,11 @@ def _by_language(part: pa.RecordBatch):
     return held.items()
 
 
-def frequent_words(docs: DataFrame) -> dict[str, set[bytes]]:
-    """A few thousand words at most per language, with every word that is more
-    than 1 / HOT of all its words: those have at least half of that share in
-    the slices where they are more than 1 / (2 HOT)."""
+def language_words(docs: DataFrame) -> DataFrame:
+    """(lang, word, n) of a few thousand words at most per language, with every
+    word that is more than 1 / HOT of all its words, and of all words of the
+    language (a null word). A slice reports the words that are more than
+    1 / (2 HOT) of its own: there a frequent word has half of its share."""
 
     def run(batches):
         for batch in batches:
@@ -109,34 +110,44 @@ def frequent_words(docs: DataFrame) -> dict[str, set[bytes]]:
                         pa.array([int(often.sum()), *often[top].tolist()], pa.int64())], names=["lang", "word", "n"])
 
     counted = docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # a null word is the language's total
     total = F.max(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy("lang"))
-    hot = counted.withColumn("all", total).where("word IS NOT NULL").where(F.col("n") * 2 * HOT > F.col("all"))
-    out: dict[str, set[bytes]] = {}
-    for r in hot.select("lang", "word").collect():  # 2 HOT words of a language at most
-        out.setdefault(r["lang"], set()).add(r["word"].encode())
-    return out
+    return counted.withColumn("all", total).where(F.col("word").isNull() | (F.col("n") * 2 * HOT > F.col("all"))).select("lang", "word", "n")
 
 
 def edges(docs: DataFrame, max_words: int, hot: dict[str, set[bytes]]) -> DataFrame:
-    """(lang, node, salt, next, n): counts of the edges out of every node and,
-    with a null ``next``, of the rests at the ends of pieces (a node of fewer
-    words where the rest is shorter). Counted per slice, then by node; the
-    edges of a node that has only frequent words are spread over salts."""
+    """(lang, word, salt, lines): the edges and rests that begin with a word,
+    counted per slice, as lines of count, tab and the words that follow.
+
+    All that begins with a word meets at one (lang, word, salt). A frequent
+    word (``hot``) is spread by the word that follows, and where that is
+    frequent too, by the next one as well: its own count, and that of the two
+    words, have parts at several salts, all else is whole at one."""
 
-    def columns(lang, words, found, busy, salts):
+    def lines(lang, words, found, busy, codes):
         names = pa.array(words, pa.binary()).cast(pa.string())
+        first, salt, line = [], [], []
         for numbers, often in found:
             if not len(often):
                 continue
-            node, full = numbers[:max_words - 1], len(numbers) == max_words
-            taken = [names.take(pa.array(c - 1)) for c in node]
-            joined = pc.binary_join_element_wise(*taken, " ") if len(taken) > 1 else taken[0]
-            spread = np.all([busy[c - 1] for c in node], axis=0) & (len(node) == max_words - 1)
-            following = names.take(pa.array(numbers[-1] - 1)) if full else pa.nulls(len(often), pa.string())
-            salt = np.where(spread, salts[numbers[-1] - 1] if full else SALTS + 1, 0)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(often)), joined, pa.array(salt.astype(np.int32)), following, pa.array(often.astype(np.int64))],
-                                             names=["lang", "node", "salt", "next", "n"])
+            u, *tail = [c - 1 for c in numbers]
+            code, wide = (codes[tail[0]], busy[tail[0]]) if tail else (np.zeros(len(u), np.int64), np.ones(len(u), bool))
+            more = codes[tail[1]] if len(tail) > 1 else np.zeros(len(u), np.int64)
+            spread = np.where(wide, 1 + SALTS + (31 * code + more) % SALTS, 1 + code % SALTS)
+            first.append(u)
+            salt.append(np.where(busy[u], spread, 0))
+            rest = [names.take(pa.array(c)) for c in tail]
+            rest = pc.binary_join_element_wise(*rest, " ") if len(rest) > 1 else rest[0] if rest else pa.array([""] * len(u))
+            line.append(pc.binary_join_element_wise(pa.array(often).cast(pa.string()), rest, "\t"))
+        if not first:
+            return None
+        first, salt = np.concatenate(first), np.concatenate(salt)
+        order = np.lexsort((salt, first))
+        key = (first * (2 * SALTS + 1) + salt)[order]
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        held = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.concat_arrays(line).take(pa.array(order)))
+        return pa.RecordBatch.from_arrays([
+            pa.array([lang] * len(at)), names.take(pa.array(first[order[at]])), pa.array(salt[order[at]].astype(np.int32)),
+            pc.binary_join(held, "\n")], names=["lang", "word", "salt", "lines"])
 
     def run(batches):
         for batch in batches:
@@ -145,34 +156,30 @@ def edges(docs: DataFrame, max_words: int, hot: dict[str, set[bytes]]) -> DataFr
                     numbers, words = numbered(texts)
                     own = hot.get(lang, set())
                     busy = np.fromiter((w in own for w in words), bool, len(words))
-                    salts = np.fromiter((zlib.crc32(w) % SALTS + 1 for w in words), np.int64, len(words))
-                    for made in columns(lang, words, grams(numbers, max_words), busy, salts):
-                        for i in range(0, made.num_rows, BATCH_ROWS):
-                            yield made.slice(i, BATCH_ROWS)
+                    codes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+                    made = lines(lang, words, grams(numbers, max_words), busy, codes)
+                    for i in range(0, made.num_rows if made else 0, BATCH_ROWS):
+                        yield made.slice(i, BATCH_ROWS)
 
-    found = docs.mapInArrow(run, "lang string, node string, salt int, next string, n long")
-    return found.repartition("lang", "node", "salt").groupBy("lang", "node", "salt", "next").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "lang string, word string, salt int, lines string").repartition("lang", "word", "salt")
 
 
-def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
+def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, hot: dict[str, set[bytes]] | None = None) -> DataFrame:
     """(lang, phrase, k, n): how often every phrase of 1 to ``max_words`` words
-    occurs, for those with ``min_count`` or more, and as the phrase of no
-    words (k = 0) how many words the language has. ``docs`` has lang and text.
-    """
-    graph = edges(docs, max_words, frequent_words(docs))
-    long = graph.where(F.col("next").isNotNull()).select("lang", F.concat_ws(" ", "node", "next").alias("phrase"), "n").where(
-        F.col("n") >= min_count)
-    flow = graph.groupBy("lang", "node", "salt").agg(F.sum("n").alias("n"))
-    words = F.size(F.split("node", " "))
-    # a node counts for itself and for every phrase that it begins with;
-    # salted nodes, and rests, have parts of their counts elsewhere
-    itself = F.when((F.col("n") >= min_count) | (F.col("salt") > 0) | (words < max_words - 1), F.array("node"))
-    begins = F.concat(F.coalesce(itself, F.array().cast("array<string>")), F.array(*[
-        F.when(words > j, F.substring_index("node", " ", j)) for j in range(max_words - 1)]))
-    short = flow.select("lang", F.explode(F.array_compact(begins)).alias("phrase"), "n")
-    k = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return (long.unionByName(short).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-            .where((F.col("n") >= min_count) | (F.col("phrase") == "")).select("lang", "phrase", k.alias("k"), "n"))
+    occurs, for those with ``min_count`` or more. ``docs`` has lang and text;
+    ``hot`` (frequent words by language) only spreads the work."""
+    row = edges(docs, max_words, hot or {}).select("lang", "word", "salt", F.explode(F.split("lines", "\n")).alias("line"))
+    row = row.select("lang", "word", "salt", F.substring_index("line", "\t", -1).alias("tail"), F.substring_index("line", "\t", 1).cast("long").alias("n"))
+    gaps = F.length("tail") - F.length(F.replace("tail", F.lit(" "), F.lit("")))
+    # the weight of an edge flows through all nodes, and shorter phrases, that it begins with
+    begins = [F.when(F.col("tail") != "", "")] + [F.when(gaps >= j, F.substring_index("tail", " ", j)) for j in range(1, max_words - 1)]
+    flow = (row.select("lang", "word", "salt", F.explode(F.array("tail", *begins)).alias("tail"), "n").where("tail IS NOT NULL")
+            .groupBy("lang", "word", "salt", "tail").agg(F.sum("n").alias("n")))
+    k = F.when(F.col("tail") == "", 1).otherwise(gaps + 2)
+    parts = (F.col("salt") > 0) & (k == 1) | (F.col("salt") > SALTS) & (k == 2)
+    phrase = F.when(F.col("tail") == "", F.col("word")).otherwise(F.concat_ws(" ", "word", "tail"))
+    flow = flow.withColumn("k", k).where(parts | (F.col("n") >= min_count)).select("lang", phrase.alias("phrase"), "k", "n")
+    return flow.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
 def _first(phrase, k):
@@ -271,8 +278,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     if max_words < 2:
         raise ValueError("a phrase has two words or more")
     src = docs.select(docs[lang_col].cast("string").alias("lang"), docs[text_col].cast("string").alias("text"))
-    counts = cut_lineage(phrase_counts(src, max_words, min_count))
-    sizes = counts.where(F.col("k") == 0).select("lang", F.col("n").alias("all"))  # one row per language
+    words = cut_lineage(language_words(src))
+    hot: dict[str, set[bytes]] = {}
+    for r in words.where("word IS NOT NULL").select("lang", "word").collect():  # under 2 HOT words of a language
+        hot.setdefault(r["lang"], set()).add(r["word"].encode())
+    sizes = words.where("word IS NULL").select("lang", F.col("n").alias("all"))  # one row per language
+    counts = cut_lineage(phrase_counts(src, max_words, min_count, hot))
     ranked = scored(candidates(counts, max_words, percent), counts)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     top = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)

@@ -71,7 +71,19 @@ def test_counts_and_collocations(spark, monkeypatch, n, hot):
     rows = corpus(n + hot, 250)
     df = spark.createDataFrame([(i, lang, t, "x", 1) for i, (lang, t) in enumerate(rows)], "doc_id long, lang string, text string, phrase string, n int").repartition(3)
     want = plain_counts(rows, n)
-    counts = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in C.phrase_counts(df.select("lang", "text"), n, 4).collect() if r.k}
+    src = df.selectExpr("coalesce(lang, 'und') AS lang", "text")
+    frequent = {}
+    for r in C.language_words(src).collect():
+        if r.word is None:
+            assert r.n == sum(v for (lang, p), v in want.items() if lang == r.lang and len(p) == 1)
+        else:
+            frequent.setdefault(r.lang, set()).add(r.word.encode())
+    for (lang, p), v in want.items():
+        if len(p) == 1 and v * hot > sum(x for (l2, q), x in want.items() if l2 == lang and len(q) == 1):
+            assert p[0].encode() in frequent[lang]
+    made = C.phrase_counts(src, n, 4, frequent).collect()
+    counts = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in made}
+    assert all(len(r.phrase.split(" ")) == r.k for r in made)
     assert counts == {k: v for k, v in want.items() if v >= 4}
     got = C.collocations(df, max_words=n, min_count=4, first=40)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
