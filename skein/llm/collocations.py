@@ -31,7 +31,7 @@ from skein.session import cut_lineage
 
 MAX_WORDS, MIN_COUNT, PERCENT, FIRST, SCALE = 3, 10, 50, 2000, 1_000_000
 #: text whose phrases are counted together before the shuffle
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: rows of an Arrow batch that a task returns
 BATCH_ROWS = 1 << 14
 #: a word with more than 1/HOT of a language's words is frequent
