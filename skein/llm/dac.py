@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import unicodedata
 from collections import defaultdict
-from itertools import count
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import pieces
+from skein.llm.common import SPACE, pieces
 from skein.llm.files import Reader, fresh, make_folder, opened
 from skein.session import scratch_path
 
@@ -34,8 +36,10 @@ MAGIC = b"DACTOK01"
 BLOCK = 512
 #: tokens after which a task starts another shard; a longer document has its own
 SHARD_TOKENS = 1 << 23
-#: strings between white space whose ids a worker remembers, per generation
-REMEMBERED = 400_000
+#: parts of words whose ids a worker remembers
+REMEMBERED = 600_000
+#: tokens read from a shard at once where documents follow each other
+RUN_TOKENS = 1 << 20
 
 
 # ------------------------------------------------------------ file format
@@ -137,6 +141,79 @@ def words_fit(model: bytes) -> bool:
             and not any(c.isspace() for t in spec.get("added_tokens") or [] for c in t["content"]))
 
 
+# Printable ASCII and the Latin letters before the later additions to Unicode's
+# case tables: NFC leaves them alone, and they are lower-cased one by one (but
+# for a dotted I, which becomes two characters)
+_PLAIN = [chr(i) for i in (*range(0x21, 0x7F), *range(0xA1, 0x220)) if i not in (0xAD, 0x130)]
+
+
+def _class(kind: str) -> str:
+    """Characters of a category among which are the lower-case forms of plain ones."""
+    return "".join(re.escape(chr(i)) for i in range(0x21, 0x300) if unicodedata.category(chr(i))[0] == kind)
+
+
+_parts = re.compile(KEEPS.replace(r"\s", re.escape(SPACE)).replace(r"\p{L}", _class("L")).replace(r"\p{N}", _class("N"))).findall
+# bytes that are not printable stand as characters from 256 on
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def parts_fit(model: bytes) -> bool:
+    """Whether the tokenizer's steps before its model are those that ``Words``
+    takes over for plain words: NFC, lower case, ``KEEPS`` and bytes as characters."""
+    spec = json.loads(model)
+    steps = [s["type"] for k, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for s in (spec.get(k) or {}).get(inner, [])]
+    return (words_fit(model) and steps == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and spec["model"]["type"] == "BPE"
+            and not spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"] and not spec["model"].get("dropout"))
+
+
+class Merges:
+    """Byte pair merges of many parts of words at once: their symbols are one
+    flat array, and each round merges the leftmost occurrences of the pair of
+    least rank of every part, until no pair remains."""
+
+    NONE = np.int64(1) << 40
+
+    def __init__(self, model: dict):
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        shown = [chr(_BYTE_CHARS.get(b, b)) for b in range(256)]
+        self.inner, self.last = (np.array([vocab[c + x] for c in shown], np.int64) for x in ("", end))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.wide = max(vocab.values()) + 1
+        pair = np.array([vocab[x] * self.wide + vocab[y] for x, y in pairs], np.int64)
+        made = np.array([vocab[x + y] for x, y in pairs], np.int64)
+        self.rank = np.argsort(pair, kind="stable")
+        self.pair, self.made = pair[self.rank], made[self.rank]
+
+    def encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of non-empty parts, and the number of ids of each."""
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        raw, of = np.frombuffer(b"".join(parts), np.uint8), np.repeat(np.arange(len(parts)), size)
+        sym, place, ends = self.inner[raw], np.arange(len(raw)), np.cumsum(size) - 1
+        sym[ends] = self.last[raw[ends]]
+        seg, done = of, []
+        while len(sym):
+            key = sym[:-1] * self.wide + sym[1:]
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            ranks = np.full(len(sym), self.NONE)
+            hit = (self.pair[at] == key) & (seg[:-1] == seg[1:])
+            ranks[:-1][hit] = self.rank[at[hit]]
+            starts = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
+            mine = np.repeat(np.minimum.reduceat(ranks, starts), np.diff(np.append(starts, len(sym))))
+            open_ = mine < self.NONE
+            done.append((place[~open_], sym[~open_]))
+            i = np.flatnonzero((ranks == mine) & open_)
+            # of a run of overlapping occurrences every other one, from the left
+            run = np.concatenate(([True], np.diff(i) > 1))
+            i = i[(i - np.maximum.accumulate(np.where(run, i, 0))) % 2 == 0]
+            sym[i] = self.made[at[i]]
+            open_[i + 1] = False
+            sym, seg, place = sym[open_], seg[open_], place[open_]
+        place, sym = (np.concatenate(c) for c in zip(*done)) if done else (np.empty(0, np.int64),) * 2
+        order = np.argsort(place)
+        return sym[order].astype("<u4"), np.bincount(of[place], minlength=len(parts))
+
+
 class Texts:
     """Ids of whole texts, by any tokenizer."""
 
@@ -155,55 +232,106 @@ class Texts:
 class Words(Texts):
     """Ids of texts, by a tokenizer whose words never reach over white space (``words_fit``).
 
-    Ids of strings between white space are remembered in two generations of at
-    most ``REMEMBERED`` each: a full one becomes the old one, from which words
-    that come again move on, so frequent words stay. New words of a slice are
-    encoded together, as one text of them.
+    A text becomes its parts: where the tokenizer's steps are known and its
+    characters are plain (``parts_fit``), what the model itself gets; else the
+    strings between white space, marked by a space. The ids of up to
+    ``REMEMBERED`` parts are kept in flat arrays; when they are full, those
+    stay that several slices had, and of these the ones that most slices had.
     """
 
     def __init__(self, model: bytes):
         super().__init__(model)
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        spec = json.loads(model)
+        self.merges = Merges(spec["model"]) if parts_fit(model) else None
+        # added tokens are found before all other steps
+        starts = {t["content"][0] for t in spec.get("added_tokens") or []}
+        plain = "".join(re.escape(c) for c in _PLAIN if c not in starts)
+        self.plain = re.compile(f"[{plain}{re.escape(SPACE)}]*").fullmatch
+        self.at: dict[str, int] = {}
+        self.start = self.size = self.hits = np.empty(0, np.int64)
+        self.flat = np.empty(0, "<u4")
+
+    def cut(self, text: str) -> list[str]:
+        if self.merges and self.plain(text):
+            return _parts(text.lower())
+        # str.split would also split at other white space
+        words = [w.decode() for w in text.encode().split()]
+        if not self.merges:
+            return [" " + w for w in words]
+        return list(chain.from_iterable(_parts(w.lower()) if self.plain(w) else (" " + w,) for w in words))
 
     def encode(self, texts: list) -> list[bytes]:
-        # words of the slice are numbered in a small table of its own, and only
+        # parts of the slice are numbered in a small table of its own, and only
         # different ones meet the large one
-        number: dict[bytes, int] = defaultdict(count().__next__)
-        of, n_words = [], []
+        number: dict[str, int] = defaultdict(count().__next__)
+        of, n_parts = [], []
         for t in texts:
-            # bytes are split at \x20 and \x09-\x0D only, a part of all white space
-            words = (t or "").encode().split()
-            of += map(number.__getitem__, words)
-            n_words.append(len(words))
-        distinct = list(number)
-        known = self.known
-        new = [w for w in distinct if w not in known]
-        if len(known) + len(new) > REMEMBERED:
-            self.old, self.known, new = known, {}, distinct
-        again = [w for w in new if w in self.old]
-        self.known.update((w, self.old[w]) for w in again)
-        self.learn([w for w in new if w not in self.old])
-        ids = list(map(self.known.__getitem__, distinct))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        word = np.array(of, np.int64)
-        ends = np.cumsum(size[word])
-        tokens = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[word] - ends + size[word], size[word])].tobytes()
-        ends = 4 * np.concatenate(([0], ends))[np.cumsum([0, *n_words])]
+            parts = self.cut(t or "")
+            of += map(number.__getitem__, parts)
+            n_parts.append(len(parts))
+        at = self.places(list(number))
+        part = np.array(of, np.int64)
+        size = self.size[at][part]
+        ends = np.cumsum(size)
+        tokens = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at][part] - ends + size, size)].tobytes()
+        ends = 4 * np.concatenate(([0], ends))[np.cumsum([0, *n_parts])]
         return [tokens[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            strings = [w.decode() for w in part]
-            ends = np.cumsum([len(w) + 1 for w in strings])
+    def places(self, parts: list[str], full: bool = False) -> np.ndarray:
+        """Places of different parts in the arrays; unknown ones are learnt.
+        Those of one slice fit whatever their number."""
+        at = np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(at < 0)
+        if not full and len(self.at) + len(new) > REMEMBERED:
+            self.forget()
+            return self.places(parts, full=True)
+        if len(new):
+            names = [parts[i] for i in new.tolist()]
+            ids, sizes = self.learn(names)
+            at[new] = len(self.at) + np.arange(len(new))
+            self.at.update(zip(names, at[new].tolist()))
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.size, self.hits = np.concatenate((self.size, sizes)), np.concatenate((self.hits, np.zeros(len(new), np.int64)))
+            self.flat = np.concatenate((self.flat, ids))
+        self.hits[at] += 1
+        return at
+
+    def forget(self) -> None:
+        often = 2
+        while (self.hits >= often).sum() > REMEMBERED // 2:
+            often *= 2
+        stay = np.flatnonzero(self.hits >= often)
+        names = list(self.at)
+        size = self.size[stay]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[stay] - ends + size, size)]
+        self.start, self.size, self.hits = ends - size, size, np.ones(len(stay), np.int64)
+        self.at = {names[i]: k for k, i in enumerate(stay.tolist())}
+
+    def learn(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the parts, and the number of ids of each."""
+        whole = np.fromiter((p[0] == " " for p in parts), bool, len(parts))
+        if not whole.any():
+            return self.merges.encode([p.encode() for p in parts])
+        sizes, found = np.zeros(len(parts), np.int64), []
+        for group in np.split(np.flatnonzero(whole), np.arange(4096, whole.sum(), 4096)):
+            strings = [parts[i][1:] for i in group.tolist()]
             e = self.tokenizer.encode(" ".join(strings), add_special_tokens=False)
-            start = np.array([o[0] for o in e.offsets], np.int64)
-            cuts = np.concatenate(([0], np.searchsorted(start, ends)))
-            raw = np.array(e.ids, "<u4").tobytes()
-            for w, a, b in zip(part, (4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist()):
-                self.known[w] = raw[a:b]
+            cuts = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), np.cumsum([0, *(len(w) + 1 for w in strings)]))
+            sizes[group] = np.diff(cuts)
+            found.append(np.array(e.ids, "<u4"))
+        order = np.flatnonzero(whole)
+        if not whole.all():
+            rest = np.flatnonzero(~whole)
+            ids, sizes[rest] = self.merges.encode([parts[i].encode() for i in rest.tolist()])
+            found.append(ids)
+            order = np.concatenate((order, rest))
+        # from the order of learning to the order of the parts
+        flat, size = np.concatenate(found), sizes[order]
+        start = np.empty(len(parts), np.int64)
+        start[order] = np.cumsum(size) - size
+        ends = np.cumsum(sizes)
+        return flat[np.arange(len(flat)) + np.repeat(start - ends + sizes, sizes)], sizes
 
 
 _ENCODERS: dict[bytes, Texts] = {}
@@ -294,11 +422,18 @@ def read_tokens(index: DataFrame) -> DataFrame:
         try:
             for batch in batches:
                 for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                    tokens = []
-                    for path, at, n in zip(*(part.column(cols.index(c)).to_pylist() for c in ("path", "at", "n_tokens"))):
+                    tokens, rows, i = [], list(zip(*(part.column(cols.index(c)).to_pylist() for c in ("path", "at", "n_tokens")))), 0
+                    while i < len(rows):
+                        # documents that follow each other in a file are read together
+                        path, first, n = rows[i]
+                        j = i + 1
+                        while j < len(rows) and rows[j][0] == path and rows[j][1] == first + n and n + rows[j][2] <= RUN_TOKENS:
+                            n, j = n + rows[j][2], j + 1
                         if path != reader.uri:
                             shard = Shard(reader.of(path))
-                        tokens.append(shard.tokens(at, n).astype("<u4").tobytes())
+                        run = shard.tokens(first, n).astype("<u4").tobytes()
+                        tokens += [run[4 * (at - first):4 * (at - first + own)] for _, at, own in rows[i:j]]
+                        i = j
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tokens, pa.binary())], names=[*cols, "tokens"])
         finally:
             reader.close()

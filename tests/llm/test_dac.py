@@ -42,7 +42,9 @@ def test_words_equal_the_library(lib, texts, monkeypatch):
     rng = random.Random(8)
     odd = ["", " ", "a\x85b c", "It's WE'RE  x's", "é ́e", "<|endoftext|>", "a<|startoftext|>b c", "ΑΣ ΟΔΟΣ.", "字😀ü 12 3a!!?", "İstanbul ﬁ", "Word word, WORD. ÉTÉ été. été, Straße ſ ŉ ǅ ª. . , ., x.. ,x İ. ΣΑΣ. ẞ ɐ K Å"]
     odd += ["".join(rng.choice("aB'sé \t ́12!<|字") for _ in range(40)) for _ in range(200)]
+    odd += ["".join(rng.choices(D._PLAIN, k=9)) + rng.choice(["", "'s", "'LL", "\xad", "İ", "\x1c", "\xa0x", "Σ", "<", "e\u0301"]) for _ in range(3000)]
     w = D.Words(open(PATH, "rb").read())
+    assert w.merges
     monkeypatch.setattr(D, "REMEMBERED", 300)
     for part in (odd, [t for _, t in texts[:80]], [None]):
         for t, got in zip(part, w.encode(part)):
