@@ -1,108 +1,53 @@
-"""Exact order statistics and quantiles per group without per-group state.
+"""Exact order statistics and quantiles per group, as tables.
 
-``percentile`` keeps every distinct value of a group in one task; here each
-wanted rank is located by narrowing a value interval instead. One round is a
-single aggregate: values are joined to the (small) table of open targets,
-bucketed inside their target's interval, and counted with the bucket's real
-min and max. The bucket holding the rank becomes the next interval, so empty
-space disappears even for clumped data. A target finishes when its interval
-holds at most ``SMALL`` rows (collected; bounded) or a single value.
+``percentile`` keeps every distinct value of a group in one task; here the
+values of all groups are ranged together by (group, value): one range shuffle
+numbers them (``rows.global_position``), and a wanted rank is the row at the
+group's first position plus that rank. Rows that tie on group and value are
+told apart by a number of their own, so no range holds a hot group or value,
+and wanted ranks meet their rows by position, a unique key. Nothing but one
+count per range reaches the driver.
 
 Interpolation matches numpy/Spark/DuckDB: h = (n-1)p, q = x[lo] + (x[hi]-x[lo])*(h-lo).
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-SMALL = 20_000
-MAX_ROUNDS = 64
-
-
-def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: dict[tuple, list[int]]) -> dict[tuple, dict[int, float]]:
-    """wanted: {group_key_tuple: [1-based ranks]} -> {group: {rank: value}}."""
-    spark = df.sparkSession
-    bounds = {tuple(r[k] for k in keys): (r["lo"], r["hi"]) for r in
-              df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi")).collect()}
-    # open targets: tid -> [group, rank_within_interval, lo, hi, count_in_interval(None)]
-    targets = {}
-    tid = 0
-    for g, ranks in wanted.items():
-        for r in sorted(set(ranks)):
-            lo, hi = bounds[g]
-            targets[tid] = {"g": g, "rank": r, "want": r, "lo": lo, "hi": hi, "n": None}
-            tid += 1
-    out: dict[tuple, dict[int, float]] = {g: {} for g in wanted}
-    for _ in range(MAX_ROUNDS):
-        for t, v in list(targets.items()):
-            if v["lo"] == v["hi"]:
-                out[v["g"]][v["want"]] = float(v["lo"])
-                del targets[t]
-        open_t = {t: v for t, v in targets.items() if v["n"] is None or v["n"] > SMALL}
-        if not open_t:
-            break
-        tbl = spark.createDataFrame(
-            [(t, *v["g"], float(v["lo"]), float(v["hi"])) for t, v in open_t.items()],
-            ", ".join(["_tid int"] + [f"{k} {dict(df.dtypes)[k]}" for k in keys] + ["_lo double", "_hi double"]))
-        j = df.join(F.broadcast(tbl), keys).where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
-        width = (F.col("_hi") - F.col("_lo"))
-        bucket = F.least(F.floor((F.col(value) - F.col("_lo")) / width * BUCKETS), F.lit(BUCKETS - 1))
-        hist = j.groupBy("_tid", bucket.alias("b")).agg(
-            F.count(F.lit(1)).alias("c"), F.min(value).alias("mn"), F.max(value).alias("mx")).collect()
-        per: dict[int, list] = {}
-        for r in hist:
-            per.setdefault(r["_tid"], []).append(r)
-        for t, v in open_t.items():
-            acc = 0
-            for r in sorted(per.get(t, []), key=lambda r: r["b"]):
-                if acc + r["c"] >= v["rank"]:
-                    v["rank"] -= acc
-                    v["lo"], v["hi"], v["n"] = r["mn"], r["mx"], r["c"]
-                    break
-                acc += r["c"]
-    # finish: collect the few rows left in each small interval
-    unbounded = [v for v in targets.values() if v["n"] is None or v["n"] > SMALL]
-    if unbounded:
-        raise RuntimeError(f"order statistics did not narrow within {MAX_ROUNDS} rounds")
-    if targets:
-        tbl = spark.createDataFrame(
-            [(t, *v["g"], float(v["lo"]), float(v["hi"])) for t, v in targets.items()],
-            ", ".join(["_tid int"] + [f"{k} {dict(df.dtypes)[k]}" for k in keys] + ["_lo double", "_hi double"]))
-        j = df.join(F.broadcast(tbl), keys).where((F.col(value) >= F.col("_lo")) & (F.col(value) <= F.col("_hi")))
-        vals: dict[int, list[float]] = {}
-        for r in j.select("_tid", value).collect():  # <= SMALL rows per target
-            vals.setdefault(r["_tid"], []).append(r[value])
-        for t, v in targets.items():
-            xs = sorted(vals[t])
-            out[v["g"]][v["want"]] = float(xs[v["rank"] - 1])
-    return out
-
-
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> dict[tuple, list[float]]:
-    """Exact linear-interpolated quantiles per group (numpy 'linear')."""
-    counts = {tuple(r[k] for k in keys): r["n"] for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {}
-    plan = {}
-    for g, n in counts.items():
-        ranks = []
-        for p in probs:
-            h = (n - 1) * p
-            lo = int(math.floor(h))
-            hi = min(lo + 1, n - 1)
-            plan[(g, p)] = (lo, hi, h - lo)
-            ranks += [lo + 1, hi + 1]
-        wanted[g] = ranks
-    stats = order_statistics(df, keys, value, wanted)
-    out = {}
-    for g in counts:
-        qs = []
-        for p in probs:
-            lo, hi, frac = plan[(g, p)]
-            a, b = stats[g][lo + 1], stats[g][hi + 1]
-            qs.append(a + (b - a) * frac)
-        out[g] = qs
-    return out
+from skein.operators.rows import global_position
+from skein.session import cut_lineage
+
+
+def quantiles(values: DataFrame, key: str, value: str, probs: list[float], zeros: DataFrame | None = None) -> DataFrame:
+    """(key, q): per key the linear quantiles at ``probs``, in their order.
+
+    ``zeros`` (key, zeros) adds so many zeros to a key's values without
+    making rows of them; a key that only ``zeros`` names has zeros alone.
+    Null values are left out, and a key without any value has no row.
+    """
+    rows = cut_lineage(values.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+                       .withColumn("tie", F.monotonically_increasing_id()))
+    placed = global_position(rows, ["key", "value", "tie"]).select("key", "value", "pos")
+    own = placed.groupBy("key").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 0).alias("below"))
+    if zeros is not None:
+        own = own.join(zeros.select(F.col(key).alias("key"), "zeros"), "key", "full_outer")
+    else:
+        own = own.withColumn("zeros", F.lit(0))
+    own = own.select("key", F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("below", F.lit(0)).alias("below"), F.coalesce("zeros", F.lit(0)).alias("zeros"))
+    total = (F.col("n") + F.col("zeros")).cast("double")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ((total - 1) * F.lit(float(p))).alias("h")) for i, p in enumerate(probs)])).alias("e")
+    asked = own.where(total > 0).select("*", each).select("*", "e.i", (F.col("e.h") - F.floor("e.h")).alias("frac"), F.floor("e.h").cast("long").alias("lo"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.least(F.col("lo") + s, F.col("n") + F.col("zeros") - 1).alias("rank")) for s in (0, 1)])).alias("s")
+    asked = asked.select("key", "i", "frac", "first", "below", "zeros", sides).select("key", "i", "frac", "first", "below", "zeros", "s.side", "s.rank")
+    is_zero = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("zeros"))
+    stored = F.when(F.col("rank") < F.col("below"), F.col("rank")).otherwise(F.col("rank") - F.col("zeros"))
+    asked = asked.withColumn("pos", F.when(~is_zero, F.col("first") + stored))  # null: an implicit zero
+    found = asked.join(placed.select("pos", "value"), "pos", "left").groupBy("key", "i").agg(
+        F.max("frac").alias("frac"),
+        F.max(F.when(F.col("side") == 0, F.coalesce("value", F.lit(0.0)))).alias("a"),
+        F.max(F.when(F.col("side") == 1, F.coalesce("value", F.lit(0.0)))).alias("b"))
+    q = F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")
+    per = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", q.alias("q")))).alias("q"))
+    return per.select(F.col("key").alias(key), F.col("q.q").alias("q"))

@@ -12,7 +12,7 @@ zeros implicit; scaled cells come back with a table of what an implicit zero
 of each feature becomes, so nothing is made dense.
 
 The robust scaler's quartiles come from ``quantiles.py`` (exact order
-statistics by interval narrowing), never from a per-feature value map.
+statistics from one range shuffle), never from a per-feature value map.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.hotjoin import join_by_key
+from skein.operators.quantiles import quantiles
 
+QUARTILES = [0.25, 0.5, 0.75]
 SCALERS = ("mm", "ss", "na", "ma", "rs", "nope", "null")
 
 
@@ -66,6 +68,7 @@ _RULES = {
     "mm": lambda x, s: (x - s["lo"]) / _or_one(s["hi"] - s["lo"]),
     "ss": lambda x, s: (x - s["mu"]) / _or_one(s["sd"]),
     "ma": lambda x, s: x / _or_one(s["ma"]),
+    "rs": lambda x, s: (x - s["med"]) / _or_one(s["q3"] - s["q1"]),
 }
 
 
@@ -81,31 +84,13 @@ def scale_maxabs(wide: DataFrame, fit_on: str = "train") -> DataFrame:
     return _apply(wide, _stats(wide, {"ma": F.max(F.abs("value"))}, fit_on), _RULES["ma"], fit_on)
 
 
-def _quantile_stats(wide: DataFrame, fit_on: str) -> dict[str, dict[str, list[float]]]:
-    """Per-feature quartiles by exact distributed order statistics."""
-    from skein.operators.quantiles import quantiles
-
-    if fit_on == "each":
-        ex, keys = _exploded(wide, "split"), ["split", "pos"]
-    else:
-        src = wide.where(F.col("split") == "train") if (fit_on == "train" and "split" in wide.columns) else wide
-        ex, keys = _exploded(src, None), ["pos"]
-    qs = quantiles(ex.select(*keys, "value"), keys, "value", [0.25, 0.5, 0.75])
-    out: dict[str, dict[str, dict[int, float]]] = {}
-    for g, (q1, med, q3) in qs.items():
-        split = g[0] if fit_on == "each" else "*"
-        d = out.setdefault(split, {"q1": {}, "med": {}, "q3": {}})
-        d["q1"][g[-1]], d["med"][g[-1]], d["q3"][g[-1]] = q1, med, q3
-    return {s: {k: [v[i] for i in range(len(v))] for k, v in d.items()} for s, d in out.items()}
-
-
 def scale_robust(wide: DataFrame, fit_on: str = "train") -> DataFrame:
-    """(x - median) / (q3 - q1); the quartiles (3 x d numbers per split) pass
-    through the driver once."""
-    rows = [(k, [(i, *map(float, v)) for i, v in enumerate(zip(st["q1"], st["med"], st["q3"]))]) for k, st in _quantile_stats(wide, fit_on).items()]
-    rows = rows if fit_on == "each" else [("0", r[1]) for r in rows]
-    stats = wide.sparkSession.createDataFrame(rows, "_k string, _s array<struct<pos:int,q1:double,med:double,q3:double>>")
-    return _apply(wide, stats, lambda x, s: (x - s["med"]) / _or_one(s["q3"] - s["q1"]), fit_on)
+    """(x - median) / (q3 - q1)."""
+    values = _fitted(wide, fit_on).select(_group(fit_on).alias("_k"), F.posexplode("features").alias("pos", "value"))
+    qs = quantiles(values.select(F.struct("_k", "pos").alias("key"), "value"), "key", "value", QUARTILES)
+    s = F.struct(F.col("key.pos").alias("pos"), *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "med", "q3"))])
+    stats = qs.groupBy(F.col("key._k").alias("_k")).agg(F.sort_array(F.collect_list(s)).alias("_s"))
+    return _apply(wide, stats, _RULES["rs"], fit_on)
 
 
 def scale_l2_rows(wide: DataFrame) -> DataFrame:
@@ -124,13 +109,15 @@ def scale_l2_rows_long(cells: DataFrame) -> DataFrame:
 
 
 def scale_long(cells: DataFrame, rows: DataFrame, code: str, fit_on: str = "train") -> tuple[DataFrame, DataFrame]:
-    """Long-layout ``mm``, ``ss`` or ``ma`` -> (cells, zeros).
+    """Long-layout ``mm``, ``ss``, ``ma`` or ``rs`` -> (cells, zeros).
 
     ``rows`` has row_id and, unless all rows fit, split. Features without a
     stored cell are constant zeros and stay so. ``zeros`` (split, feature_id,
     value; split '*' when statistics are shared) tells what an implicit zero
     of a feature becomes; stored zeros are scaled like any cell, and cells of
-    a split without statistics of their own (``each``) can't occur.
+    a split without statistics of their own (``each``) can't occur. Moments
+    are centred: those of the stored cells are merged with the block of
+    implicit zeros, so values far from zero keep their digits.
     """
     if code not in _RULES:
         raise ValueError(f"no long form of scaler code {code!r}")
@@ -138,19 +125,28 @@ def scale_long(cells: DataFrame, rows: DataFrame, code: str, fit_on: str = "trai
     tagged = cells.join(rows.select("row_id", *["split"] * ("split" in rows.columns)), "row_id").withColumn("_k", key)
     n = _fitted(rows, fit_on).withColumn("_k", key).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))  # one row per split
     v = F.col("value")
-    per = _fitted(tagged, fit_on).groupBy("_k", "feature_id").agg(
-        F.min(v).alias("lo"), F.max(v).alias("hi"), F.sum(v).alias("sum"), F.sum(v * v).alias("sq"), F.max(F.abs(v)).alias("ma"), F.count(F.lit(1)).alias("c"))
+    fitted = _fitted(tagged, fit_on)
+    per = fitted.groupBy("_k", "feature_id").agg(
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.max(F.abs(v)).alias("ma"), F.count(F.lit(1)).alias("c"))
     some_zero = F.col("c") < F.col("n")
-    mu = F.col("sum") / F.col("n")
+    # moments of c cells and n - c zeros together
+    share = F.col("c") / F.col("n")
+    var = F.col("var") * share + F.col("mean") * F.col("mean") * share * (F.lit(1.0) - share)
     stats = per.join(F.broadcast(n), "_k").select(
-        "_k", "feature_id", "c",
+        "_k", "feature_id", (F.col("n") - F.col("c")).alias("zeros"),
         F.when(some_zero, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"),
         F.when(some_zero, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"),
-        mu.alias("mu"), F.sqrt(F.greatest(F.col("sq") / F.col("n") - mu * mu, F.lit(0.0))).alias("sd"), "ma")
+        (F.col("mean") * share).alias("mu"), F.sqrt(var).alias("sd"), "ma")
+    names = ("lo", "hi", "mu", "sd", "ma")
+    if code == "rs":
+        pair = F.struct("_k", "feature_id").alias("key")
+        qs = quantiles(fitted.select(pair, "value"), "key", "value", QUARTILES, stats.select(pair, "zeros"))
+        names = ("q1", "med", "q3")
+        stats = qs.select("key._k", "key.feature_id", *[F.col("q")[i].alias(x) for i, x in enumerate(names)])
     # a feature that only unfitted rows store: zeros everywhere it was fitted
     seen = tagged.groupBy("_k", "feature_id").agg(F.count(F.lit(1)).alias("cells"))
-    stats = seen.join(stats.drop("c"), ["_k", "feature_id"], "left").select(
-        F.struct("_k", "feature_id").alias("key"), "cells", F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lo", "hi", "mu", "sd", "ma")]).alias("s"))
+    stats = seen.join(stats, ["_k", "feature_id"], "left").select(
+        F.struct("_k", "feature_id").alias("key"), "cells", F.struct(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in names]).alias("s"))
     total = cells.count()
     keyed = tagged.select(F.struct("_k", "feature_id").alias("key"), "row_id", "value")
     scaled = join_by_key(keyed, stats, "key", "cells", total).select("row_id", "key.feature_id", _RULES[code](v, F.col("s")).alias("value"))

@@ -230,7 +230,8 @@ def _long_sql(rule: str) -> str:
                  ("feat", "SELECT DISTINCT feature_id FROM doc_cells"),
                  ("dense", """SELECT f.feature_id, coalesce(c.value, 0.0) AS value FROM feat f CROSS JOIN (SELECT row_id FROM sp WHERE fit) s
                     LEFT JOIN doc_cells c ON c.row_id = s.row_id AND c.feature_id = f.feature_id"""),
-                 ("st", """SELECT feature_id, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd, max(abs(value)) AS ma
+                 ("st", """SELECT feature_id, min(value) AS lo, max(value) AS hi, avg(value) AS mu, stddev_pop(value) AS sd, max(abs(value)) AS ma,
+                    quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3
                     FROM dense GROUP BY feature_id""")) + f"""
 SELECT c.row_id, c.feature_id, {s6(rule.format(x='c.value'))} AS value FROM doc_cells c JOIN st s USING (feature_id)
 UNION ALL SELECT -100, s.feature_id, {s6(rule.format(x='0.0'))} FROM st s"""
@@ -247,10 +248,32 @@ def _long_query(code):
 
 for _code, _rule in (("mm", "({x} - s.lo) / CASE WHEN s.hi - s.lo = 0 THEN 1.0 ELSE s.hi - s.lo END"),
                      ("ss", "({x} - s.mu) / CASE WHEN s.sd = 0 THEN 1.0 ELSE s.sd END"),
-                     ("ma", "{x} / CASE WHEN s.ma = 0 THEN 1.0 ELSE s.ma END")):
+                     ("ma", "{x} / CASE WHEN s.ma = 0 THEN 1.0 ELSE s.ma END"),
+                     ("rs", "({x} - s.med) / CASE WHEN s.q3 - s.q1 = 0 THEN 1.0 ELSE s.q3 - s.q1 END")):
     q(f"scale_long_{_code}", _long_sql(_rule))(_long_query(_code))
 
 
+#: far above the spread of the values
+FAR_MEAN = 1e8
+
+
+@q("scale_long_far", with_(*sql_li_split(), LI_CELLS_SQL,
+                           ("far", f"SELECT row_id, split, feature_id, value + {FAR_MEAN!r} AS value FROM li_cells"),
+                           ("st", "SELECT feature_id, avg(value) AS mu FROM far WHERE split = 'train' GROUP BY feature_id"),
+                           ("dev", "SELECT feature_id, sqrt(avg((value - mu) * (value - mu))) AS sd FROM far JOIN st USING (feature_id) WHERE split = 'train' GROUP BY feature_id")) + """
+SELECT feature_id, count(*) AS cells, round(min((value - mu) / CASE WHEN sd = 0 THEN 1.0 ELSE sd END), 2) + 0.0 AS least,
+  round(max((value - mu) / CASE WHEN sd = 0 THEN 1.0 ELSE sd END), 2) + 0.0 AS most
+FROM far JOIN st USING (feature_id) JOIN dev USING (feature_id) GROUP BY feature_id""")
+def _scale_long_far(spark, sf):
+    """Standard scaling of cells with a mean far above their spread."""
+    split = li_split(spark, sf)
+    cells = split.select("row_id", F.posexplode("features").alias("p", "value")).select(
+        "row_id", (F.col("p") + 1).cast("int").alias("feature_id"), (F.col("value") + F.lit(FAR_MEAN)).alias("value"))
+    out, _ = D.scale_long(cells, split.select("row_id", "split"), "ss")
+    return out.groupBy("feature_id").agg(F.count("*").alias("cells"), (F.round(F.min("value"), 2) + F.lit(0.0)).alias("least"),
+                                         (F.round(F.max("value"), 2) + F.lit(0.0)).alias("most"))
+
+
 @q("scale_long_l2", with_(("doc_cells", X.sql_doc_cells()), ("nrm", "SELECT row_id, sqrt(sum(value * value)) AS n FROM doc_cells GROUP BY row_id")) + f"""
 SELECT c.row_id, c.feature_id, {s6('c.value / n.n')} AS value FROM doc_cells c JOIN nrm n USING (row_id)""")
 def _scale_long_l2(spark, sf):

@@ -58,21 +58,33 @@ def test_exact_quantiles_match_numpy(spark):
 
     from skein.operators import quantiles as Qn
 
-    rng = np.random.RandomState(4)
-    data = [(g, float(v)) for g in range(3) for v in np.concatenate([rng.exponential(size=3000) ** 3, [5.0] * 700])]
-    data += [(3, 2.0)] * 10 + [(4, 1.0)]
-    df = spark.createDataFrame(data, "g int, value double")
-    old = Qn.SMALL
-    Qn.SMALL = 50  # force several narrowing rounds
-    try:
-        got = Qn.quantiles(df, ["g"], "value", [0.25, 0.5, 0.75, 0.9])
-    finally:
-        Qn.SMALL = old
-    for g in range(5):
-        xs = np.array([v for gg, v in data if gg == g])
-        want = np.quantile(xs, [0.25, 0.5, 0.75, 0.9])
-        np.testing.assert_allclose(got[(g,)], want, rtol=1e-12)
-
+    rng = np.random.RandomState(2)
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    groups = {"even": rng.rand(1001), "clumped": np.r_[np.zeros(500), np.full(499, 3.0), [1e12]], "one": np.array([4.5]), "two": np.array([-1.0, 2.0]),
+              "negative": -rng.rand(60), "third": np.full(3000, 7.25)}
+    zeros = {"even": 400, "two": 1, "negative": 61, "nothing": 3, "none": 0}
+    df = spark.createDataFrame([(g, float(v)) for g, xs in groups.items() for v in xs] + [("void", None)], "g string, value double").repartition(4)
+    extra = spark.createDataFrame(list(zeros.items()), "g string, zeros long")
+    plain = {r.g: r.q for r in Qn.quantiles(df, "g", "value", probs).collect()}
+    assert set(plain) == set(groups)
+    for g, xs in groups.items():
+        assert np.allclose(plain[g], np.quantile(xs, probs), rtol=0, atol=1e-12 * max(1.0, abs(xs).max()))
+    padded = {r.g: r.q for r in Qn.quantiles(df, "g", "value", probs, extra).collect()}
+    assert set(padded) == set(groups) | {"nothing"}
+    for g in padded:
+        xs = np.r_[groups.get(g, []), np.zeros(zeros.get(g, 0))]
+        assert np.allclose(padded[g], np.quantile(xs, probs), rtol=0, atol=1e-12 * max(1.0, abs(xs).max()))
+
+
+def test_long_standard_scaler_far_from_zero(spark):
+    from skein.operators import scale as D
+
+    cells = spark.createDataFrame([(i, 1, 1e8 + i % 2) for i in range(1000)] + [(i, 2, 1e8) for i in range(500)], "row_id long, feature_id int, value double")
+    out, zeros = D.scale_long(cells, spark.range(1000).withColumnRenamed("id", "row_id"), "ss")
+    got = {(r.row_id, r.feature_id): r.value for r in out.collect()}
+    assert all(abs(got[i, 1] - (1 if i % 2 else -1)) < 1e-6 for i in range(1000))
+    assert all(abs(got[i, 2] - 1) < 1e-9 for i in range(500))
+    assert {r.feature_id: round(r.value, 6) for r in zeros.collect()}[2] == -1
 
 def test_normalise_labels_minus_mode(spark):
     rows = spark.createDataFrame([(1, -1), (2, 1), (3, 2)], "row_id long, label int")
