@@ -1,9 +1,11 @@
 """Scoring, accuracy per epoch and leaderboards (H1-H4).
 
 A row is scored as one sparse vector times the matrix of all (model, epoch)
-weights, in Arrow batches: a task holds the weights of some keys at a time
-(``KEY_BYTES``) and returns what is asked for, which is scores, one arg-max per
-row and epoch, or only the number of hits. Products of cells and weights are
+weights, in tiles of rows and keys: a task holds the weights of some keys at a
+time (``KEY_BYTES``) and returns what is asked for, which is scores, one arg-max
+per row and epoch, or only the number of hits. Where the labels of an epoch are
+in several groups of keys, each gives its best and Spark takes the best of
+those. Products of cells and weights are
 never rows. Where one key's weights alone are too large for a task, cells join
 the weights on feature_id instead. Ties go to the lowest label / earliest
 epoch.
@@ -30,42 +32,42 @@ def _keys(weights: DataFrame) -> tuple[list[tuple[int, int]], int]:
     return sorted((r["model_id"], r["epoch"]) for r in got), max((r["d"] for r in got), default=0)
 
 
-def _score_keys(cells: DataFrame, rows: DataFrame, weights: DataFrame, emit, schema: str, whole_epochs: bool = False) -> DataFrame | None:
-    """Union of ``emit(batch, z, keys)`` over groups of keys; None where a key
-    is too large. ``z`` is the batch's rows x keys matrix, ``batch`` has row_id
-    and label. With ``whole_epochs`` the models of an epoch stay together."""
-    from skein.operators.logistic import _flat, _scores_flat, _ship, vectors_from_cells
+def _groups(keys: list, d: int) -> list[list]:
+    """The keys in groups whose weights fit ``KEY_BYTES``."""
+    most = max(1, KEY_BYTES // (8 * max(d, 1)))
+    return [keys[at:at + most] for at in range(0, len(keys), most)]
+
+
+def _score_keys(cells: DataFrame, rows: DataFrame, weights: DataFrame, emit, schema: str, by_epoch: bool = False) -> tuple[DataFrame | None, bool]:
+    """Union of ``emit(batch, z, keys)`` over groups of keys (None where a key
+    is too large), and whether the keys of some epoch are in several groups.
+    ``z`` is a rows x keys matrix for a slice of an Arrow batch, ``batch`` that
+    slice with row_id and label: a task's arrays depend neither on the rows of
+    a batch nor on the number of keys. With ``by_epoch`` keys are in order of
+    epochs, otherwise of models."""
+    from skein.operators.logistic import _flat, _row_slices, _scores_flat, _ship, vectors_from_cells
     from skein.session import ship_package
 
     spark = cells.sparkSession
     keys, d = _keys(weights)
     if not keys or d * 8 > MAX_KEY_BYTES:
-        return None
-    if whole_epochs:
+        return None, False
+    if by_epoch:
         keys = sorted(keys, key=lambda k: (k[1], k[0]))
-    most = max(1, KEY_BYTES // (8 * max(d, 1)))
-    groups, at = [], 0
-    while at < len(keys):
-        end = min(len(keys), at + most)
-        while whole_epochs and end < len(keys) and keys[end][1] == keys[end - 1][1]:
-            end += 1  # at most the models of one epoch more
-        groups.append(keys[at:end])
-        at = end
+    groups = _groups(keys, d)
     ship_package(spark)
     vec = vectors_from_cells(cells, rows if "label" in rows.columns else rows.withColumn("label", F.lit(None).cast("int")))
     out = None
     for group in groups:
         names = spark.createDataFrame([(m, e, i) for i, (m, e) in enumerate(group)], "model_id long, epoch int, slot int")
-        table = weights.join(F.broadcast(names), ["model_id", "epoch"]).select("slot", "feature_id", "w").toArrow()  # KEY_BYTES, about
+        table = weights.join(F.broadcast(names), ["model_id", "epoch"]).select("slot", "feature_id", "w").toArrow()  # KEY_BYTES of weights
         W = np.zeros((d, len(group)))
         W[table.column("feature_id").to_numpy() - 1, table.column("slot").to_numpy()] = table.column("w").to_numpy()
         held = _ship(spark, W, W.nbytes)
 
         def run(batches, held=held, group=group):
             W = held.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (part for b in batches for part in _row_slices(b, len(group))):
                 fi, row_of = _flat(batch, "idx")
                 fv, _ = _flat(batch, "val")
                 fi, fv = fi.astype(np.int64) - 1, fv.astype(np.float64)
@@ -74,7 +76,7 @@ def _score_keys(cells: DataFrame, rows: DataFrame, weights: DataFrame, emit, sch
 
         part = vec.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, any(a[-1][1] == b[0][1] for a, b in zip(groups, groups[1:]))
 
 
 def _column(batch, name):
@@ -92,7 +94,7 @@ def scores(cells: DataFrame, rows: DataFrame, weights: DataFrame) -> DataFrame:
             pa.array(np.tile(np.array([k[0] for k in keys], np.int64), n)), pa.array(np.tile(np.array([k[1] for k in keys], np.int32), n)),
             pa.array(z.ravel())], names=["row_id", "model_id", "epoch", "z"])
 
-    out = _score_keys(cells, rows, weights, emit, "row_id long, model_id long, epoch int, z double")
+    out, _ = _score_keys(cells, rows, weights, emit, "row_id long, model_id long, epoch int, z double")
     return _joined_scores(cells, rows, weights) if out is None else out
 
 
@@ -130,7 +132,7 @@ def binary_accuracy(cells: DataFrame, rows: DataFrame, weights: DataFrame, act:
         yhat = np.stack([activation_np(z[:, i].copy(), acts[m] if isinstance(acts, dict) else acts) for i, (m, _) in enumerate(keys)], axis=1)
         yield _hits(batch, (yhat >= 0.5) == _labels(batch)[:, None], len(keys), keys, ["model_id", "epoch"])
 
-    part = _score_keys(cells, rows, weights, emit, "model_id long, epoch int, hits long, n long")
+    part, _ = _score_keys(cells, rows, weights, emit, "model_id long, epoch int, hits long, n long")
     if part is None:
         z = _joined_scores(cells, rows, weights).join(rows.select("row_id", "label"), "row_id")
         name = F.create_map(*[F.lit(x) for kv in acts.items() for x in kv])[F.col("model_id")] if isinstance(acts, dict) else F.lit(acts)
@@ -146,37 +148,45 @@ def ovr_predictions(cells: DataFrame, rows: DataFrame, weights: DataFrame, act:
     import pyarrow as pa
 
     def emit(batch, z, keys):
-        epochs, pred = _argmax(z, keys, act, clip)
+        epochs, pred, p = _argmax(z, keys, act, clip)
         yield pa.RecordBatch.from_arrays([
             pa.array(np.repeat(_column(batch, "row_id").to_numpy(zero_copy_only=False), len(epochs))),
-            pa.array(np.tile(np.array(epochs, np.int32), batch.num_rows)), pa.array(pred.ravel())], names=["row_id", "epoch", "pred"])
+            pa.array(np.tile(np.array(epochs, np.int32), batch.num_rows)), pa.array(pred.ravel()), pa.array(p.ravel())], names=["row_id", "epoch", "pred", "p"])
 
-    out = _score_keys(cells, rows, weights, emit, "row_id long, epoch int, pred long", whole_epochs=True)
-    return predict_ovr(_joined_scores(cells, rows, weights), act, clip) if out is None else out
+    out, cut = _score_keys(cells, rows, weights, emit, "row_id long, epoch int, pred long, p double", by_epoch=True)
+    if out is None:
+        return predict_ovr(_joined_scores(cells, rows, weights), act, clip)
+    if cut:  # the best of an epoch's groups of labels
+        out = out.groupBy("row_id", "epoch").agg(F.max_by("pred", F.struct("p", -F.col("pred"))).alias("pred"))
+    return out.select("row_id", "epoch", "pred")
 
 
 def _argmax(z, keys, act, clip):
-    p = activation_np(z.copy(), canonical(act))
+    """Epochs, and per row and epoch the best label of the keys and its score."""
+    p = activation_np(z, canonical(act))
     if clip:
         p = np.maximum(p, 0.0)
     epochs = sorted({e for _, e in keys})
-    pred = np.empty((len(z), len(epochs)), np.int64)
+    pred, best = np.empty((len(z), len(epochs)), np.int64), np.empty((len(z), len(epochs)))
     for i, e in enumerate(epochs):
         cols = [j for j, k in enumerate(keys) if k[1] == e]  # labels ascend
-        pred[:, i] = np.array([keys[j][0] for j in cols])[np.argmax(p[:, cols], axis=1)]
-    return epochs, pred
+        top = np.argmax(p[:, cols], axis=1)
+        pred[:, i] = np.array([keys[j][0] for j in cols])[top]
+        best[:, i] = p[:, cols][np.arange(len(z)), top]
+    return epochs, pred, best
 
 
 def ovr_epoch_accuracy(cells: DataFrame, rows: DataFrame, weights: DataFrame, act: str, clip: bool = False) -> DataFrame:
-    """(epoch, accuracy) of one-vs-rest models; only hits are shuffled."""
+    """(epoch, accuracy) of one-vs-rest models; only hits are shuffled, unless
+    the labels of an epoch are too many for one task."""
 
     def emit(batch, z, keys):
-        epochs, pred = _argmax(z, keys, act, clip)
+        epochs, pred, _ = _argmax(z, keys, act, clip)
         yield _hits(batch, pred == _labels(batch)[:, None], len(epochs), [(0, e) for e in epochs], ["epoch"])
 
-    part = _score_keys(cells, rows, weights, emit, "epoch int, hits long, n long", whole_epochs=True)
-    if part is None:
-        return ovr_accuracy(predict_ovr(_joined_scores(cells, rows, weights), act, clip), rows)
+    part, cut = _score_keys(cells, rows, weights, emit, "epoch int, hits long, n long", by_epoch=True)
+    if part is None or cut:
+        return ovr_accuracy(ovr_predictions(cells, rows, weights, act, clip), rows)
     return part.groupBy("epoch").agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.activation import activation_np, canonical
 from skein.functions.hashing import h32
+from skein.operators.hotjoin import join_by_key
 from skein.session import cut_lineage, scratch_path, ship_package
 
 # Fixed values (must equal the reference's training rule):
@@ -51,6 +52,10 @@ DIRECT_COLLECT_VALUES = 2_000_000   # partitions x d x M partial sums read by th
 ROWS_PER_CHUNK = 1 << 18
 #: models that one task trains
 MODELS_PER_TASK = 16
+#: values of the temporary arrays of a task: cells or rows x models
+TILE_VALUES = 1 << 20
+#: weights of the models that one full-batch task holds
+GROUP_BYTES = 64 << 20
 INLINE_WEIGHT_BYTES = 1 << 20
 LN_HALF = math.log(0.5)
 
@@ -87,45 +92,48 @@ class TrainResult:
         self.spark, self.models, self.width = spark, models, width
         self.history: list[dict] = []
         self.epochs: list[int] = []
-        self._arrays: dict[int, np.ndarray] = {}
+        self._arrays: dict[int, tuple[list[int], np.ndarray]] = {}  # models (by place) and their weights
         self._tables: dict[int, DataFrame] = {}
         self._final = None
         self._steps: list[pd.DataFrame] = []
         self._written_steps: str | None = None
 
     # -- weights
-    def _melt(self, arrays: dict[int, np.ndarray]) -> DataFrame:
-        ids = [m.model_id for m in self.models]
+    def _melt(self, arrays: dict[int, tuple[list[int], np.ndarray]]) -> DataFrame:
         parts = [pd.DataFrame({
-            "model_id": np.repeat(ids, self.width).astype(np.int64), "epoch": np.full(W.size, e, np.int32),
-            "feature_id": np.tile(np.arange(1, self.width + 1), len(ids)).astype(np.int32), "w": W.T.reshape(-1)}) for e, W in arrays.items()]
+            "model_id": np.repeat([self.models[i].model_id for i in own], self.width).astype(np.int64), "epoch": np.full(W.size, e, np.int32),
+            "feature_id": np.tile(np.arange(1, self.width + 1), len(own)).astype(np.int32), "w": W.T.reshape(-1)}) for e, (own, W) in arrays.items()]
         return self.spark.createDataFrame(pd.concat(parts, ignore_index=True), "model_id long, epoch int, feature_id int, w double")
 
-    def _dense(self, table: DataFrame, epoch: int) -> DataFrame:
+    def _dense(self, table: DataFrame, epoch: int, own: list[int]) -> DataFrame:
         """A row for every feature, also those that no step has touched."""
-        ids = F.array(*[F.lit(m.model_id).cast("bigint") for m in self.models])
+        ids = F.array(*[F.lit(self.models[i].model_id).cast("bigint") for i in own])
         grid = self.spark.range(1, self.width + 1).select(F.explode(ids).alias("model_id"), F.col("id").cast("int").alias("feature_id"))
         return grid.join(table, ["model_id", "feature_id"], "left").select(
             "model_id", F.lit(epoch).cast("int").alias("epoch"), "feature_id", F.coalesce("w", F.lit(0.0)).alias("w"))
 
-    def keep(self, epoch: int, W, last: bool, snapshot: bool) -> None:
+    def keep(self, epoch: int, W, last: bool, snapshot: bool, live: list[int]) -> None:
+        """Weights after an epoch; the snapshot has the models (by place) that
+        were trained in it, the final weights all of them."""
         if snapshot:
             self.epochs.append(epoch)
             if isinstance(W, DataFrame):
-                self._tables[epoch] = self._dense(W, epoch)
+                own = W.where(F.col("model_id").isin([self.models[i].model_id for i in live]))
+                self._tables[epoch] = self._dense(own, epoch, live)
             elif (len(self._arrays) + 1) * W.nbytes <= SNAPSHOT_BYTES:
-                self._arrays[epoch] = W.copy()
+                self._arrays[epoch] = (live, W[:, live])
             else:
                 path = scratch_path(self.spark, "weights")
-                self._melt({epoch: W}).write.parquet(path)
+                self._melt({epoch: (live, W[:, live])}).write.parquet(path)
                 self._tables[epoch] = self.spark.read.parquet(path)
         if last:
-            self._final = self._dense(W, epoch) if isinstance(W, DataFrame) else W.copy()
+            every = list(range(len(self.models)))
+            self._final = self._dense(W, epoch, every) if isinstance(W, DataFrame) else W.copy()
 
     @property
     def weights(self) -> DataFrame:
         """Final weights (model_id, feature_id, w)."""
-        final = self._final if isinstance(self._final, DataFrame) else self._melt({0: self._final})
+        final = self._final if isinstance(self._final, DataFrame) else self._melt({0: (list(range(len(self.models))), self._final)})
         return final.select("model_id", "feature_id", "w")
 
     def snapshots_frame(self, epochs: list[int] | None = None) -> DataFrame:
@@ -141,7 +149,8 @@ class TrainResult:
         return out
 
     def matrix(self, epoch: int | None = None) -> np.ndarray:
-        """Weights as a width x models array on the driver, for small models."""
+        """Weights as a width x models array on the driver, for small models;
+        zeros where a model had stopped before the epoch."""
         table = self.weights if epoch is None else self.snapshots_frame([epoch])
         if self.width * len(self.models) * 8 > SNAPSHOT_BYTES:
             raise ValueError("too large for the driver: use the weights table")
@@ -220,13 +229,30 @@ def _flat(batch, name: str):
     return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), lens)
 
 
+def _tiles(n_cells: int, n_models: int):
+    """Slices of the cells whose products with all models fit ``TILE_VALUES``."""
+    step = max(1, TILE_VALUES // max(n_models, 1))
+    return (slice(a, a + step) for a in range(0, n_cells, step))
+
+
 def _scores_flat(n: int, fi: np.ndarray, fv: np.ndarray, row_of: np.ndarray, W: np.ndarray) -> np.ndarray:
     z = np.zeros((n, W.shape[1]))
-    if len(fi):
-        np.add.at(z, row_of, W[fi] * fv[:, None])
+    for t in _tiles(len(fi), W.shape[1]):
+        np.add.at(z, row_of[t], W[fi[t]] * fv[t][:, None])
     return z
 
 
+def _add_gradient(g: np.ndarray, fi: np.ndarray, fv: np.ndarray, row_of: np.ndarray, err: np.ndarray) -> None:
+    for t in _tiles(len(fi), err.shape[1]):
+        np.add.at(g, fi[t], err[row_of[t]] * fv[t][:, None])
+
+
+def _row_slices(batch, n_models: int):
+    """Slices of an Arrow batch whose rows x models values fit ``TILE_VALUES``."""
+    step = max(1, TILE_VALUES // max(n_models, 1))
+    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+
 def _activate(z: np.ndarray, models: list[Model]) -> np.ndarray:
     out = np.empty_like(z)
     for m, mod in enumerate(models):
@@ -249,7 +275,7 @@ def _losses(z, y, B) -> np.ndarray:
     return ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF).sum(axis=0)
 
 
-def _step_fn(models: list[Model], w_bc, B: int):
+def _step_fn(models: list[Model], w_bc, B: int, first: int = 0):
     """mapInArrow body: gradient and loss of one batch, once per partition.
 
     Reads the sparse rows straight from Arrow list buffers (flat values and
@@ -261,15 +287,15 @@ def _step_fn(models: list[Model], w_bc, B: int):
         W = w_bc.value
         g, loss, rows = np.zeros(W.shape), np.zeros(len(models)), 0
         for batch in batches:
-            if batch.num_rows:
-                z, y, err, fi, fv, row_of = _batch_of(batch, W, models)
-                np.add.at(g, fi, err[row_of] * fv[:, None])
+            for part in _row_slices(batch, len(models)):
+                z, y, err, fi, fv, row_of = _batch_of(part, W, models)
+                _add_gradient(g, fi, fv, row_of, err)
                 loss += _losses(z, y, B)
-                rows += batch.num_rows
+                rows += part.num_rows
         if rows:
             nz_f, nz_m = np.nonzero(g)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([nz_m, np.arange(len(models))]).astype(np.int32)),
+                pa.array((first + np.concatenate([nz_m, np.arange(len(models))])).astype(np.int32)),
                 pa.array(np.concatenate([nz_f + 1, np.zeros(len(models), dtype=np.int64)]).astype(np.int32)),
                 pa.array(np.concatenate([g[nz_f, nz_m], loss]).astype(np.float64)),
             ], names=["model", "feature_id", "g"])
@@ -317,8 +343,7 @@ def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool,
                 fi, fv, row_of, y = fi_all[cut[i]:cut[j]], fv_all[cut[i]:cut[j]], row_all[cut[i]:cut[j]] - i, y_all[i:j]
                 z = _scores_flat(j - i, fi, fv, row_of, W)
                 err = _activate(z, models) - y
-                if len(fi):
-                    np.add.at(g, fi, err[row_of] * fv[:, None])
+                _add_gradient(g, fi, fv, row_of, err)
                 loss += _losses(z, y, B)
                 seen, pos, i = seen + j - i, pos + j - i, j
                 if seen == B:
@@ -463,13 +488,19 @@ def _epoch_steps(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
     width, M = W.shape
     losses = np.zeros(M)
     for b in range(plan.n_batches):
-        bc = _ship(spark, W, W.nbytes)
         rows = plan.data if plan.mode == "full" else plan.data.where(F.col("batch_id") == b)
-        part = rows.select("label", "idx", "val").mapInArrow(_step_fn(models, bc, plan.size(b)), "model int, feature_id int, g double")
+        size = max(1, GROUP_BYTES // (8 * max(width, 1)))
+        shipped, part = [], None
+        for i in range(0, M, size):
+            own = np.ascontiguousarray(W[:, i:i + size])
+            shipped.append(_ship(spark, own, own.nbytes))
+            one = rows.select("label", "idx", "val").mapInArrow(_step_fn(models[i:i + size], shipped[-1], plan.size(b), i), "model int, feature_id int, g double")
+            part = one if part is None else part.unionByName(one)
         if part.rdd.getNumPartitions() * (width + 1) * M > DIRECT_COLLECT_VALUES:
             part = part.groupBy("model", "feature_id").agg(F.sum("g").alias("g"))
         got = part.toArrow()
-        bc.unpersist()
+        for x in shipped:
+            x.unpersist()
         model, feature, v = (got.column(k).to_numpy() for k in ("model", "feature_id", "g"))
         g, bl = np.zeros((width, M)), np.zeros(M)
         is_loss = feature == 0
@@ -483,12 +514,12 @@ def _epoch_steps(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
     return W, alphas, losses
 
 
-def _monitor(res: TrainResult, epoch: int, loss, prev, eps: float) -> bool:
-    """Records the epoch; whether all models have converged."""
+def _monitor(res: TrainResult, epoch: int, models: list[Model], loss, prev, eps: float) -> np.ndarray:
+    """Records the epoch; which of the models have converged."""
     conv = np.abs(prev - loss) < eps
-    for mod, x, c in zip(res.models, loss.tolist(), conv.tolist()):
+    for mod, x, c in zip(models, loss.tolist(), conv.tolist()):
         res.history.append({"model_id": mod.model_id, "epoch": epoch, "loss": x, "converged": c, "overflow": math.isnan(x) or math.isinf(x)})
-    return bool(conv.all())
+    return conv
 
 
 def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_iter: int,
@@ -498,8 +529,11 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
 
     Each model starts from zero weights (one-vs-rest models included). The
     epoch loss is the sum of batch losses over all rows; ``converged`` is
-    |previous - loss| < eps with previous starting at 0. ``decay`` applies
-    alpha *= 0.95 before every batch update of an epoch e > 1 with e % 10 == 0.
+    |previous - loss| < eps with previous starting at 0. With
+    ``stop_on_converge`` a model stops after the epoch in which it converges
+    itself and takes no part in later passes, so training together equals
+    training alone. ``decay`` applies alpha *= 0.95 before every batch update
+    of an epoch e > 1 with e % 10 == 0.
     With ``shuffle_seed`` the batches of every epoch but the first are visited
     in the order of ``rows.shuffle_batches`` (batches of at most
     ``ROWS_PER_CHUNK`` rows).
@@ -519,22 +553,25 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     if batched is not None and plan.mode == "steps":
         raise ValueError("a shuffled order needs batches of at most ROWS_PER_CHUNK rows")
     W, alphas = np.zeros((width, M)), np.array([m.alpha for m in models], dtype=float)
-    res, prev = TrainResult(spark, models, width), np.zeros(M)
+    res, prev, live = TrainResult(spark, models, width), np.zeros(M), list(range(M))
     for epoch in range(1, max_iter + 1):
+        own = [models[i] for i in live]
         if plan.mode != "stream":
-            W, alphas, losses = _epoch_steps(spark, plan, models, W, alphas, epoch, decay, res)
+            W[:, live], alphas[live], losses = _epoch_steps(spark, plan, own, W[:, live], alphas[live], epoch, decay, res)
         else:
             data, chunks, order = plan.data, plan.chunks, ["row_id"]
             if batched is not None and epoch > 1:
                 order = ["visit_key", "batch_id", "row_id"]
                 keyed = batched.withColumn("visit_key", h32(F.lit(shuffle_seed), F.lit(epoch), F.col("batch_id")))
                 data, chunks = _in_chunks(keyed, plan.n_rows, order)
-            W, alphas, losses = _epoch_stream(spark, data, order, plan, chunks, models, W, alphas, epoch, decay, res)
+            W[:, live], alphas[live], losses = _epoch_stream(spark, data, order, plan, chunks, own, W[:, live], alphas[live], epoch, decay, res)
         loss = losses / max(plan.n_rows, 1)
-        converged = _monitor(res, epoch, loss, prev, eps)
-        prev = loss
-        last = epoch == max_iter or stop_on_converge and converged
-        res.keep(epoch, W, last, epoch <= (max_iter if snapshot_epochs is None else snapshot_epochs))
+        converged = _monitor(res, epoch, own, loss, prev[live], eps)
+        prev[live] = loss
+        going = [i for i, c in zip(live, converged) if not (stop_on_converge and c)]
+        last = epoch == max_iter or not going
+        res.keep(epoch, W, last, epoch <= (max_iter if snapshot_epochs is None else snapshot_epochs), live)
+        live = going
         if last:
             break
     if prepared is None and plan.mode == "full":
@@ -580,12 +617,13 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
         [(m.model_id, m.activation, m.alpha, m.lambda_para, m.c, m.penalty, m.pos_label) for m in models],
         "model_id long, act string, alpha double, lam double, c double, penalty string, pos_label int")
     params = F.broadcast(params)  # one row per model
-    mids = F.array(*[F.lit(m.model_id).cast("bigint") for m in models])
-    W = spark.createDataFrame([], "model_id long, feature_id int, w double")
-    res, prev = TrainResult(spark, models, width), np.zeros(len(models))
+    W = stopped = spark.createDataFrame([], "model_id long, feature_id int, w double")
+    res, prev, live = TrainResult(spark, models, width), np.zeros(len(models)), list(range(len(models)))
     slot = {m.model_id: i for i, m in enumerate(models)}
     factor, step_no = 1.0, 0
     for epoch in range(1, max_iter + 1):
+        own = [models[i] for i in live]
+        mids = F.array(*[F.lit(m.model_id).cast("bigint") for m in own])
         losses = np.zeros(len(models))
         for b in _visits(spark, plan.n_batches, epoch, shuffle_seed):
             B = float(plan.size(b))
@@ -620,13 +658,18 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
             if step_no % CHECKPOINT_EVERY == 0:
                 W = cut_lineage(W)
             e.unpersist()
-            res.add_steps([m.model_id for m in models], epoch, np.full(len(models), b), step_loss, [m.alpha * factor for m in models])
+            res.add_steps([m.model_id for m in own], epoch, np.full(len(own), b), step_loss[live], [m.alpha * factor for m in own])
         W = cut_lineage(W)
-        loss = losses / max(n, 1)
-        converged = _monitor(res, epoch, loss, prev, eps)
-        prev = loss
-        last = epoch == max_iter or stop_on_converge and converged
-        res.keep(epoch, W, last, epoch <= (max_iter if snapshot_epochs is None else snapshot_epochs))
+        loss = losses[live] / max(n, 1)
+        converged = _monitor(res, epoch, own, loss, prev[live], eps)
+        prev[live] = loss
+        going = [i for i, c in zip(live, converged) if not (stop_on_converge and c)]
+        last = epoch == max_iter or not going
+        res.keep(epoch, W.unionByName(stopped), last, epoch <= (max_iter if snapshot_epochs is None else snapshot_epochs), live)
+        if len(going) < len(live):
+            done = F.col("model_id").isin([models[i].model_id for i in set(live) - set(going)])
+            stopped, W = stopped.unionByName(W.where(done)), W.where(~done)
+        live = going
         if last:
             break
     cells.unpersist()
@@ -660,14 +703,25 @@ def steps_frame(res: TrainResult) -> DataFrame:
 
 
 # ------------------------------------------------------------------ relational forms
+def _weighted(cells: DataFrame, weights: DataFrame) -> DataFrame:
+    """Cells with the weights of their feature, one row per model. Tables of
+    up to ``BROADCAST_WEIGHT_ROWS`` are broadcast; of larger ones, those of
+    features with more than a thousandth of all cells (fewer than a thousand
+    features), so that no key of the shuffle join is hot."""
+    w = weights.select("model_id", "feature_id", "w")
+    if w.count() <= BROADCAST_WEIGHT_ROWS:
+        return cells.join(F.broadcast(w), "feature_id")
+    own = w.groupBy("feature_id").agg(F.collect_list(F.struct("model_id", "w")).alias("ws"))  # a row per feature, as wide as the models
+    used = cells.groupBy("feature_id").agg(F.count(F.lit(1)).alias("cells"))
+    joined = join_by_key(cells, cut_lineage(used.join(own, "feature_id")), "feature_id", "cells", cells.count()).drop("cells")
+    return joined.withColumn("m", F.explode("ws")).select(*cells.columns, "m.model_id", "m.w")
+
+
 def linear_score(cells: DataFrame, weights: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """z per (row, model) = sum_f x_f * w_f (G1). ``weights(model_id,
     feature_id, w)`` is joined on feature_id (broadcast when small); rows
     without cells get z = 0 when ``rows`` is given."""
-    w = weights.select("model_id", "feature_id", "w")
-    if weights.count() <= BROADCAST_WEIGHT_ROWS:
-        w = F.broadcast(w)  # size checked; larger tables take a shuffle join (AQE splits hot features)
-    z = cells.join(w, "feature_id").groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
+    z = _weighted(cells, weights).groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
     if rows is None:
         return z
     mids = [r["model_id"] for r in weights.select("model_id").distinct().collect()]  # model count, small
@@ -679,10 +733,7 @@ def linear_score_parties(cells: DataFrame, weights: DataFrame, n1: int) -> DataF
     """Two-party form of G1: each party scores its own columns (features
     1..n1 and n1+1..), the partial sums are then added per (row, model)."""
     party = F.when(F.col("feature_id") <= n1, F.lit(1)).otherwise(F.lit(2))
-    w = weights.select("model_id", "feature_id", "w")
-    if weights.count() <= BROADCAST_WEIGHT_ROWS:
-        w = F.broadcast(w)
-    partial = cells.withColumn("party", party).join(w, "feature_id").groupBy("row_id", "model_id", "party").agg(
+    partial = _weighted(cells.withColumn("party", party), weights).groupBy("row_id", "model_id", "party").agg(
         F.sum(F.col("value") * F.col("w")).alias("zp"))
     return partial.groupBy("row_id", "model_id").agg(F.sum("zp").alias("z"))
 
@@ -696,43 +747,40 @@ def batch_gradient(vec_batched: DataFrame, width: int, models: list[Model], W: n
         mod.activation = canonical(mod.activation)
     spark = vec_batched.sparkSession
     W = np.zeros((width, len(models))) if W is None else W
-    bc = spark.sparkContext.broadcast(W)
-    mids = [m.model_id for m in models]
-
-    def run(batches):
-        import pyarrow as pa
-
-        Wv = bc.value
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            fi, row_of = _flat(batch, "idx")
-            fv, _ = _flat(batch, "val")
-            fi = fi.astype(np.int64) - 1
-            fv = fv.astype(np.float64)
-            z = _scores_flat(n, fi, fv, row_of, Wv)
-            labels = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float)
-            err = _activate(z, models) - _targets(labels, models)
-            bids = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = fv != 0  # stored zeros carry no gradient cell
-            fi, fv, row_of = fi[keep], fv[keep], row_of[keep]
-            if not len(fi):
-                continue
-            key = bids[row_of] * (width + 1) + (fi + 1)
-            uniq, inv = np.unique(key, return_inverse=True)
-            sums = np.zeros((len(uniq), len(models)))
-            np.add.at(sums, inv, err[row_of] * fv[:, None])
-            for m in range(len(models)):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(uniq), mids[m], dtype=np.int64)),
-                    pa.array((uniq // (width + 1)).astype(np.int32)),
-                    pa.array((uniq % (width + 1)).astype(np.int32)),
-                    pa.array(sums[:, m]),
-                ], names=["model_id", "batch_id", "feature_id", "g"])
+    if W.nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError("weights this large stay a table: use train_relational")
+
+    def task(own, held):
+        mids = [m.model_id for m in own]
+
+        def run(batches):
+            import pyarrow as pa
+
+            Wv = held.value
+            for batch in (part for b in batches for part in _row_slices(b, len(own))):
+                _, _, err, fi, fv, row_of = _batch_of(batch, Wv, own)
+                bids = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False).astype(np.int64)
+                keep = fv != 0  # stored zeros carry no gradient cell
+                fi, fv, row_of = fi[keep], fv[keep], row_of[keep]
+                if not len(fi):
+                    continue
+                uniq, inv = np.unique(bids[row_of] * (width + 1) + (fi + 1), return_inverse=True)
+                for i in range(len(own)):  # one model's sums at a time
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(uniq), mids[i], dtype=np.int64)),
+                        pa.array((uniq // (width + 1)).astype(np.int32)),
+                        pa.array((uniq % (width + 1)).astype(np.int32)),
+                        pa.array(np.bincount(inv, err[row_of, i] * fv, len(uniq))),
+                    ], names=["model_id", "batch_id", "feature_id", "g"])
+
+        return run
 
     sizes = vec_batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("B"))
-    partial = vec_batched.select("label", "batch_id", "idx", "val").mapInArrow(
-        run, "model_id long, batch_id int, feature_id int, g double")
+    size, partial = max(1, GROUP_BYTES // (8 * max(width, 1))), None
+    for i in range(0, len(models), size):
+        own = np.ascontiguousarray(W[:, i:i + size])
+        one = vec_batched.select("label", "batch_id", "idx", "val").mapInArrow(
+            task(models[i:i + size], _ship(spark, own, own.nbytes)), "model_id long, batch_id int, feature_id int, g double")
+        partial = one if partial is None else partial.unionByName(one)
     return partial.groupBy("model_id", "batch_id", "feature_id").agg(F.sum("g").alias("g")).join(
         sizes, "batch_id").select("model_id", "batch_id", "feature_id", (F.col("g") / F.col("B")).alias("grad"))

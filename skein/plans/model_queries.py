@@ -610,9 +610,9 @@ _train_query("train_binary_small_batch", SMALL_BATCH_MODELS, "li", 1, SMALL_BATC
 
 
 # ------------------------------------------------------------ G8/G9 stop on convergence
-CONV_EPS = 5e-6
+CONV_EPS = 3e-7
 CONV_MAX_ITER = 8
-CONV_MODELS = [L.Model(0, "linear", 0.5)]
+CONV_MODELS = [L.Model(i, "linear", a) for i, a in enumerate((0.5, 0.01, 0.1))]  # they stop at different epochs
 
 
 def _converge_sql() -> str:
@@ -634,9 +634,11 @@ def _train_converge(spark, sf):
     wide = li_model_data(spark, sf)
     ms = [L.Model(**vars(m)) for m in CONV_MODELS]
     res = L.train(_train_vec(wide), LI_D, ms, FULL, CONV_MAX_ITER, eps=CONV_EPS, stop_on_converge=True)
-    stop = max(res.epochs)
-    return _weights_out(spark, res, ms, [stop]).select(
-        "model_id", F.lit(stop).cast("int").alias("stop_epoch"), "feature_id", "w")
+    stops = {}
+    for h in res.history:
+        stops[h["model_id"]] = h["epoch"]
+    table = spark.createDataFrame(list(stops.items()), "model_id long, stop_epoch int")
+    return res.weights.join(F.broadcast(table), "model_id").select("model_id", "stop_epoch", "feature_id", r6(F.col("w")).alias("w"))
 
 
 # ------------------------------------------------------------ H2 with negatives clipped before the arg-max

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import evaluate as H
@@ -84,3 +85,23 @@ def test_every_scoring_plan_agrees(spark, monkeypatch):
             m.setattr(H, name, value)
             z2, got = run()
         assert got == want and z2.keys() == z.keys() and all(abs(z[k] - z2[k]) < 1e-12 for k in z)
+
+
+@pytest.mark.parametrize("clip", [False, True])
+def test_labels_of_an_epoch_in_several_groups(spark, monkeypatch, clip):
+    """Arg-max over groups of labels and tiles of rows, ties to the lowest label."""
+    import numpy as np
+
+    from skein.operators import logistic as L
+
+    rng = np.random.RandomState(6)
+    cells = spark.createDataFrame([(r, f, float(rng.randint(-2, 3))) for r in range(30) for f in range(1, 5)], "row_id long, feature_id int, value double")
+    rows = spark.createDataFrame([(r, r % 7) for r in range(31)], "row_id long, label int")
+    weights = spark.createDataFrame([(m, e, f, float(rng.randint(-1, 2))) for m in range(7) for e in (1, 2) for f in range(1, 5)],
+                                    "model_id long, epoch int, feature_id int, w double")
+    want = sorted(map(tuple, H.ovr_predictions(cells, rows, weights, "linear", clip).collect()))
+    acc = sorted(map(tuple, H.ovr_epoch_accuracy(cells, rows, weights, "linear", clip).collect()))
+    monkeypatch.setattr(H, "KEY_BYTES", 3 * 8 * 4)
+    monkeypatch.setattr(L, "TILE_VALUES", 10)
+    assert sorted(map(tuple, H.ovr_predictions(cells, rows, weights, "linear", clip).collect())) == want
+    assert np.allclose(sorted(map(tuple, H.ovr_epoch_accuracy(cells, rows, weights, "linear", clip).collect())), acc)

@@ -5,6 +5,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from skein.functions.activation import activation_np
 from skein.operators import logistic as L
 
@@ -200,3 +202,77 @@ def test_preparation_is_one_shuffle(vec, spark):
 
     plan = R.assign_batches(vec, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hash" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("batch", [30, 7])
+@pytest.mark.parametrize("train", ["train", "train_relational"])
+def test_models_stop_by_themselves(spark, train, batch):
+    """Models that stop at different epochs equal those trained alone."""
+    if train == "train_relational" and batch == 7:
+        pytest.skip("the same rule, many more jobs")
+    rng = np.random.RandomState(3)
+    X = rng.rand(30, 2)
+    vec = L.vectors_from_wide(spark.createDataFrame([(i, int(x.sum() > 1), [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, label int, features array<double>"))
+    models = [L.Model(7, "linear", 0.5), L.Model(8, "linear", 1e-5), L.Model(9, "linear", 0.05, 1.0)]
+    run = getattr(L, train)
+    how = dict(width=2, batch_size=batch, max_iter=4, eps={30: 5e-5, 7: 1.5e-3}[batch], stop_on_converge=True)
+    both = run(vec, models=models, **how)
+    stops = {m.model_id: [h["epoch"] for h in both.history if h["model_id"] == m.model_id] for m in models}
+    assert len({len(s) for s in stops.values()}) > 1
+    snapshots = {(r["model_id"], r["epoch"], r["feature_id"]): r["w"] for r in both.snapshots_frame().collect()}
+    final = {(r["model_id"], r["feature_id"]): r["w"] for r in both.weights.collect()}
+    steps = both.steps_frame().collect()
+    for m in models:
+        alone = run(vec, models=[m], **how)
+        assert [h["epoch"] for h in alone.history] == stops[m.model_id]
+        for r in alone.snapshots_frame().collect():
+            assert abs(snapshots.pop((m.model_id, r["epoch"], r["feature_id"])) - r["w"]) < 1e-12
+        for r in alone.weights.collect():
+            assert abs(final[m.model_id, r["feature_id"]] - r["w"]) < 1e-12
+        assert alone.steps_frame().count() == sum(s["model_id"] == m.model_id for s in steps)
+    assert not snapshots
+
+
+def test_groups_of_models_and_tiles(spark, monkeypatch):
+    """Small groups and tiles give the same gradients and weights."""
+    rng = np.random.RandomState(4)
+    X = rng.rand(40, 5) * (rng.rand(40, 5) < 0.6)
+    wide = spark.createDataFrame([(i, int(x.sum() > 1), [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, label int, features array<double>")
+    vec = L.vectors_from_wide(wide)
+    models = [L.Model(i, a, 0.1 * (i + 1)) for i, a in enumerate(["linear", "cube", "origin", "segmentation", "linear"])]
+    batched = vec.withColumn("batch_id", (F.col("row_id") % 3).cast("int"))
+    W = rng.rand(5, 5)
+    want = L.train(vec, 5, models, 40, 2).matrix()
+    grads = {tuple(r)[:3]: r["grad"] for r in L.batch_gradient(batched, 5, models, W).collect()}
+    monkeypatch.setattr(L, "TILE_VALUES", 12)
+    monkeypatch.setattr(L, "GROUP_BYTES", 5 * 8 * 2)
+    assert np.allclose(L.train(vec, 5, models, 40, 2).matrix(), want, rtol=0, atol=1e-12)
+    got = {tuple(r)[:3]: r["grad"] for r in L.batch_gradient(batched, 5, models, W).collect()}
+    assert set(got) == set(grads) and all(abs(got[k] - v) < 1e-12 for k, v in grads.items())
+
+
+def test_temporaries_depend_on_the_tile_only():
+    """1,000 rows x 200 cells x 252 models: products are made a tile at a time."""
+    import tracemalloc
+
+    n, cells, models, d = 1000, 200, 252, 500
+    rng = np.random.RandomState(5)
+    fi, fv, row_of = rng.randint(0, d, n * cells), rng.rand(n * cells), np.repeat(np.arange(n), cells)
+    W, g = rng.rand(d, models), np.zeros((d, models))
+    tracemalloc.start()
+    z = L._scores_flat(n, fi, fv, row_of, W)
+    L._add_gradient(g, fi, fv, row_of, z)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * (4 * L.TILE_VALUES + 2 * n * models)
+    assert np.allclose(z[3], (W[fi[600:800]] * fv[600:800, None]).sum(0))
+
+
+def test_linear_score_beyond_the_broadcast(spark, monkeypatch):
+    """Hot features meet their weights without a shuffle of their cells."""
+    cells = spark.createDataFrame([(r, f, float(r + f)) for r in range(50) for f in (1, *range(2 + r % 9, 12))], "row_id long, feature_id int, value double")
+    weights = spark.createDataFrame([(m, f, m + 0.5 * f) for m in (0, 1) for f in range(1, 12)], "model_id long, feature_id int, w double")
+    want = {tuple(r)[:2]: r["z"] for r in L.linear_score(cells, weights).collect()}
+    monkeypatch.setattr(L, "BROADCAST_WEIGHT_ROWS", 3)
+    got = {tuple(r)[:2]: r["z"] for r in L.linear_score(cells, weights).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
