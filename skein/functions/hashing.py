@@ -1,19 +1,21 @@
-"""Deterministic hashed randomness as column expressions.
+"""Deterministic hashed randomness.
 
-Randomness must be identical across executors, retries and engines, so it
-is derived from md5 of a ``:``-joined key instead of ``rand()``:
+Randomness must be identical across executors, retries and engines, so it is
+derived from keys instead of ``rand()``:
 
-* ``h32(key)``      first 8 hex digits of md5 as a BIGINT in [0, 2^32)
-* ``uniform(key)``  (h32 + 0.5) / 2^32, strictly inside (0, 1)
-* ``normal(key)``   Box-Muller from two uniforms of the key with suffixes
-
-All of these stay inside whole-stage codegen (no Python per row).
+* ``h32(key)``   first 8 hex digits of the md5 of a ``:``-joined key as a
+  BIGINT in [0, 2^32), a column expression (orders, buckets, signs)
+* ``draws(stream, features, lo, hi)``   a uniform number inside (0, 1) for
+  every (feature, position): two rounds of 32-bit multiply and xor-shift of a
+  counter, so whole tiles are made by numpy; the multipliers are under 2^31,
+  so the same numbers come from BIGINT arithmetic in SQL (``sql_draw``)
 """
 
 from __future__ import annotations
 
-import math
+from hashlib import md5
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,32 @@ def h32(*parts) -> Column:
     return F.conv(F.substring(F.md5(_key(*parts)), 1, 8), 16, 10).cast("bigint")
 
 
-def uniform(*parts) -> Column:
-    return (h32(*parts).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+#: multipliers of the two rounds, and the step from one position to the next
+MULTIPLIERS = (0x7FEB352D, 0x5BD1E995)
+STEP = 0x3C6EF363
+MASK = (1 << 32) - 1
+
+
+def stream(*parts) -> int:
+    """The start of a stream of numbers, named by its parts."""
+    return int.from_bytes(md5(":".join(map(str, parts)).encode()).digest()[:4], "big")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """In place; products of uint32 are taken modulo 2^32."""
+    for c in MULTIPLIERS:
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(c)
+    x ^= x >> np.uint32(16)
+    return x
 
 
-def normal(*parts) -> Column:
-    u1 = uniform(*parts, "n1")
-    u2 = uniform(*parts, "n2")
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+def draws(start: int, features: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """features x positions matrix of uniform numbers."""
+    own = _mixed(features.astype(np.uint32) + np.uint32(start))
+    place = np.arange(lo, hi, dtype=np.uint64) * np.uint64(STEP)
+    x = _mixed(own[:, None] + place.astype(np.uint32))
+    return (x + 0.5) / TWO_32
 
 
 def r6(c: Column) -> Column:
@@ -51,14 +71,15 @@ def sql_h32(key_sql: str) -> str:
     return f"CAST('0x' || substr(md5({key_sql}), 1, 8) AS BIGINT)"
 
 
-def sql_uniform(key_sql: str) -> str:
-    return f"((CAST({sql_h32(key_sql)} AS DOUBLE) + 0.5) / 4294967296.0)"
+def _sql_mixed(x: str) -> str:
+    steps = ", ".join(map(str, (*MULTIPLIERS, 1)))
+    return f"list_reduce([{x}, {steps}]::BIGINT[], lambda a, c: (xor(a, a >> 16) * c) & {MASK})"
 
 
-def sql_normal(key_sql: str) -> str:
-    u1 = sql_uniform(f"({key_sql}) || ':n1'")
-    u2 = sql_uniform(f"({key_sql}) || ':n2'")
-    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
+def sql_draw(start: int, feature: str, position: str) -> str:
+    """``draws`` of one feature and position."""
+    x = _sql_mixed(f"(({feature})::BIGINT + {start}) & {MASK}")
+    return f"((CAST({_sql_mixed(f'({x} + ({position})::BIGINT * {STEP}) & {MASK}')} AS DOUBLE) + 0.5) / 4294967296.0)"
 
 
 def sql_r6(expr: str) -> str:

@@ -1,8 +1,7 @@
 """Kernel feature maps per party (F14 random Fourier, F15 tensor sketch).
 
 Components per party: k1 = floor(k * p), k2 = k - k1 (one table: k1 = k).
-Random projections come from md5-seeded hashes of (seed, party, component,
-feature), so every executor derives the same numbers without shipping a
+Random numbers come from hashes of (seed, party, component, feature), so every executor derives the same numbers without shipping a
 matrix.
 
 F14 groups a row's cells by one shuffle and projects them on tiles of
@@ -20,8 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import h32
-from skein.operators.rowtiles import Uniforms, per_row_tiles
+from skein.functions.hashing import draws, h32, stream
+from skein.operators.rowtiles import per_row_tiles
 from skein.operators.rowtiles import split_positions as split_components
 
 
@@ -47,8 +46,7 @@ def rff_features(cells: DataFrame, rows: DataFrame, width: int, k: int, gamma: f
     """
     n1 = width if p is None else int(math.floor(width * p))
     k1, k2 = split_components(k, p)
-    draw = {(party, t): Uniforms(lambda c, f, party=party, t=t: f"{seed}:{party}:{c}:{f}:{t}") for party in (1, 2) for t in ("n1", "n2")}
-    turn = {party: Uniforms(lambda c, f, party=party: f"{seed}:{party}:{c}:o") for party in (1, 2)}
+    named = {(party, t): stream(seed, party, t) for party in (1, 2) for t in ("n1", "n2", "o")}
 
     def tile(party, features, values, starts, g0, lo, hi):
         xw = np.zeros((len(starts) - 1, hi - lo))
@@ -56,9 +54,9 @@ def rff_features(cells: DataFrame, rows: DataFrame, width: int, k: int, gamma: f
         if len(full):
             distinct, at = np.unique(features, return_inverse=True)
             own = distinct - (n1 if party == 2 else 0)  # party-local ids
-            normal = np.sqrt(-2.0 * np.log(draw[party, "n1"].tile(own, lo, hi))) * np.cos(2.0 * math.pi * draw[party, "n2"].tile(own, lo, hi))
+            normal = np.sqrt(-2.0 * np.log(draws(named[party, "n1"], own, lo, hi))) * np.cos(2.0 * math.pi * draws(named[party, "n2"], own, lo, hi))
             xw[full] = np.add.reduceat(values[:, None] * (math.sqrt(2.0 * gamma) * normal)[at], starts[full], axis=0)
-        offset = 2.0 * math.pi * turn[party].tile(np.zeros(1, np.int64), lo, hi)
+        offset = 2.0 * math.pi * draws(named[party, "o"], np.zeros(1, np.int64), lo, hi)
         return math.sqrt(2.0 / (k1 if party == 1 else k2)) * np.cos(xw + offset)
 
     return per_row_tiles(cells, rows, width, k, p, tile, "row_id long, party int, comp int, value double", "comp")

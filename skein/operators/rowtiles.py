@@ -3,15 +3,13 @@
 Samplers and projections need one random number per (feature, position). A
 task holds some rows' cells as flat arrays and walks the positions in tiles,
 so its memory depends neither on the number of positions nor on the width.
-The numbers are the md5 uniforms of ``functions.hashing``; those of recent
-(feature, tile) pairs are remembered by the worker.
+The numbers of a tile are made when it is reached (``functions.hashing.draws``).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: values of one tile: cells of a slice of rows x positions
-TILE_VALUES = 1 << 21
+TILE_VALUES = 1 << 20
 #: positions of a tile at most
 TILE_POSITIONS = 64
-#: rows of random numbers (one feature, one tile) that a worker remembers
-REMEMBERED = 50_000
 
 _ENTRY = "array<struct<feature_id:int,value:double>>"
 
@@ -43,28 +39,6 @@ def parties(width: int, k: int, p: float | None) -> list[tuple[int, int, int, in
     return [x for x in ((1, 0, n1, 0, k1), (2, n1, width, k1, k2)) if x[4] > 0]
 
 
-class Uniforms:
-    """u(key) = (first 32 bits of md5(key) + 0.5) / 2**32 for tiles of positions."""
-
-    def __init__(self, name: Callable[[int, int], str]):
-        self.name, self.known = name, {}
-
-    def tile(self, features: np.ndarray, start: int, stop: int) -> np.ndarray:
-        """features x positions matrix."""
-        if len(self.known) + len(features) > REMEMBERED:
-            self.known.clear()
-        out = np.empty((len(features), stop - start))
-        for i, f in enumerate(features.tolist()):
-            row = self.known.get((f, start, stop))
-            if row is None:
-                raw = b"".join([md5(self.name(g, f).encode()).digest()[:4] for g in range(start, stop)])
-                row = (np.frombuffer(raw, ">u4") + 0.5) / 4294967296.0
-                if len(features) <= REMEMBERED:
-                    self.known[f, start, stop] = row
-            out[i] = row
-        return out
-
-
 def per_row_tiles(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float | None, tile: Callable, schema: str, name: str) -> DataFrame:
     """One output row per (row, party, position) of ``rows``.
 

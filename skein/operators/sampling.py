@@ -7,8 +7,8 @@ shuffle and scored against tiles of hash positions as flat arrays, with a
 segmented minimum per row; nothing is emitted per (cell, position). Ties go to
 the smallest feature.
 
-Hash randomness: uniforms from md5 of ``seed:g:feature`` (g = global hash
-position; party 2 positions follow party 1).
+Hash randomness: one stream of numbers per seed and use, by feature and global
+hash position (party 2 positions follow party 1).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.rowtiles import Uniforms, per_row_tiles, split_positions
+from skein.functions.hashing import draws, stream
+from skein.operators.rowtiles import per_row_tiles, split_positions
 
 SCHEMA = "row_id long, party int, hash_id int, sample int"
 
@@ -54,10 +55,10 @@ def pminhash_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: f
     Output: samples(row_id, party, hash_id, sample). A cell beyond the width
     is an error.
     """
-    u = Uniforms(lambda g, f: f"{seed}:{g}:{f}")
+    start = stream(seed, "u")
 
     def score(distinct, at, values, lo, hi):
-        return -np.log(u.tile(distinct, lo, hi))[at] / values
+        return -np.log(draws(start, distinct, lo, hi))[at] / values
 
     return per_row_tiles(cells.where(F.col("value") > 0), rows, width, k, p, _argmin(score, _before(width, p)), SCHEMA, "hash_id")
 
@@ -69,10 +70,10 @@ def cws_samples(cells: DataFrame, rows: DataFrame, width: int, k: int, p: float
     t = floor(ln x / r + beta); ln a = ln c - r * (t - beta) - r;
     the sample is the feature with the smallest ln a (only the index is kept).
     """
-    draw = {t: Uniforms(lambda g, f, t=t: f"{seed}:{g}:{f}:{t}") for t in ("r1", "r2", "c1", "c2", "b")}
+    starts = {t: stream(seed, t) for t in ("r1", "r2", "c1", "c2", "b")}
 
     def score(distinct, at, values, lo, hi):
-        u = {t: x.tile(distinct, lo, hi) for t, x in draw.items()}
+        u = {t: draws(x, distinct, lo, hi) for t, x in starts.items()}
         r = (-np.log(u["r1"]) - np.log(u["r2"]))[at]
         ln_c = np.log(-np.log(u["c1"]) - np.log(u["c2"]))[at]
         beta = u["b"][at]

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from skein.functions.hashing import r6, sql_h32, sql_normal, sql_uniform
+from skein.functions.hashing import r6, sql_draw, sql_h32, stream
 from skein.operators import columns as C
 from skein.operators import kernels as K
 from skein.operators import rows as R
@@ -53,7 +53,21 @@ def doc_samples(spark, sf, method="pminhash", two_party=True, cells=None):
 
 
 # ------------------------------------------------------------ SQL samples
-def sql_samples(method="pminhash", two_party=True, prefix="s", width=N, k=KH) -> list[tuple[str, str]]:
+def sql_normal(party: int, feature: str, position: str) -> str:
+    u1, u2 = (sql_draw(stream(SEED, party, t), feature, position) for t in ("n1", "n2"))
+    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
+
+
+def sql_by_party(expr) -> str:
+    return f"CASE WHEN party = 1 THEN {expr(1)} ELSE {expr(2)} END"
+
+
+def sql_offset() -> str:
+    """A component's offset, by party and comp."""
+    return f"{2.0 * math.pi!r} * " + sql_by_party(lambda p: sql_draw(stream(SEED, p, "o"), "0", "comp"))
+
+
+def sql_samples(method="pminhash", two_party=True, prefix="s", width=N, k=KH, cells="doc_cells", rows="doc_rows") -> list[tuple[str, str]]:
     """CTEs ending in ``{prefix}_samples(row_id, party, hash_id, sample)``."""
     n1 = int(math.floor(width * P)) if two_party else width
     k1 = int(math.floor(k * P)) if two_party else k
@@ -62,26 +76,25 @@ def sql_samples(method="pminhash", two_party=True, prefix="s", width=N, k=KH) ->
     party = f"CASE WHEN feature_id <= {n1} THEN 1 ELSE 2 END"
     fid = f"CASE WHEN feature_id <= {n1} THEN feature_id ELSE feature_id - {n1} END"
     kp = f"CASE WHEN party = 1 THEN {k1} ELSE {k2} END"
-    kk = key(str(SEED), "g", "gfid")
+    # random numbers once per feature and position
+    uses = ("u",) if method == "pminhash" else ("r1", "r2", "c1", "c2", "b")
+    drawn = ", ".join(f"{sql_draw(stream(SEED, t), 'gfid', 'g')} AS {t}" for t in uses)
     if method == "pminhash":
-        keyexpr = f"-ln({sql_uniform(kk)}) / value"
+        keyexpr = "-ln(u) / value"
     else:
-        u = lambda tag: sql_uniform(f"{kk} || ':{tag}'")
-        r = f"(-ln({u('r1')}) - ln({u('r2')}))"
-        lnc = f"ln(-ln({u('c1')}) - ln({u('c2')}))"
-        beta = u("b")
-        t = f"floor(ln(value) / {r} + {beta})"
-        keyexpr = f"{lnc} - {r} * ({t} - {beta}) - {r}"
+        r, lnc = "(-ln(r1) - ln(r2))", "ln(-ln(c1) - ln(c2))"
+        keyexpr = f"{lnc} - {r} * (floor(ln(value) / {r} + b) - b) - {r}"
     parties = "(VALUES (1), (2)) pp(party)" if two_party else "(VALUES (1)) pp(party)"
     return [
-        (f"{prefix}_pc", f"SELECT row_id, {party} AS party, feature_id AS gfid, {fid} AS fid, value FROM doc_cells WHERE value > 0"),
+        (f"{prefix}_pc", f"SELECT row_id, {party} AS party, feature_id AS gfid, {fid} AS fid, value FROM {cells} WHERE value > 0"),
         (f"{prefix}_hs", f"SELECT CAST(h AS INTEGER) AS hash_id FROM range(0, {kmax}) t(h)"),
         (f"{prefix}_ex", f"""SELECT c.row_id, c.party, c.gfid, c.fid, c.value, h.hash_id,
               CASE WHEN c.party = 1 THEN h.hash_id ELSE h.hash_id + {k1} END AS g
               FROM {prefix}_pc c JOIN {prefix}_hs h ON h.hash_id < CASE WHEN c.party = 1 THEN {k1} ELSE {k2} END"""),
-        (f"{prefix}_keyed", f"SELECT row_id, party, hash_id, fid, {keyexpr} AS k FROM {prefix}_ex"),
+        (f"{prefix}_drawn", f"SELECT gfid, g, {drawn} FROM (SELECT DISTINCT gfid, g FROM {prefix}_ex) d"),
+        (f"{prefix}_keyed", f"SELECT row_id, party, hash_id, fid, {keyexpr} AS k FROM {prefix}_ex JOIN {prefix}_drawn USING (gfid, g)"),
         (f"{prefix}_best", f"SELECT row_id, party, hash_id, first(fid ORDER BY k, fid) AS sample FROM {prefix}_keyed GROUP BY row_id, party, hash_id"),
-        (f"{prefix}_grid", f"SELECT r.row_id, pp.party, h.hash_id FROM doc_rows r, {parties}, {prefix}_hs h WHERE h.hash_id < {kp}"),
+        (f"{prefix}_grid", f"SELECT r.row_id, pp.party, h.hash_id FROM {rows} r, {parties}, {prefix}_hs h WHERE h.hash_id < {kp}"),
         (f"{prefix}_samples", f"""SELECT g.row_id, CAST(g.party AS INTEGER) AS party, CAST(g.hash_id AS INTEGER) AS hash_id,
               CAST(coalesce(b.sample, -1) AS INTEGER) AS sample
               FROM {prefix}_grid g LEFT JOIN {prefix}_best b ON g.row_id = b.row_id AND g.party = b.party AND g.hash_id = b.hash_id"""),
@@ -132,14 +145,32 @@ def _cws_wide(spark, sf):
     return SM.cws_samples(X.doc_cells(spark, sf, WIDE_N), X.doc_row_ids(spark, sf), WIDE_N, WIDE_K, P, seed=SEED)
 
 
+#: positions of the largest sketches
+LARGE_K = 2048
+
+
+def _digest(sample: str) -> str:
+    return f"count(*) AS n, sum(CAST({sample} AS BIGINT)) AS samples, sum(CAST({sample} AS BIGINT) * (hash_id + 1)) AS weighted"
+
+
+@q("pminhash_samples_k2048", with_(("emb_cells", X.SQL_EMB_CELLS), ("emb_rows", "SELECT vec_id AS row_id FROM embeddings"),
+                                   *sql_samples("pminhash", k=LARGE_K, width=X.EMB_WIDTH, cells="emb_cells", rows="emb_rows"))
+   + f"SELECT row_id, party, n, CAST(samples AS BIGINT) AS samples, CAST(weighted AS BIGINT) AS weighted FROM (SELECT row_id, party, {_digest('sample')} FROM s_samples GROUP BY row_id, party) t")
+def _pminhash_large(spark, sf):
+    wide = X.emb_wide(spark, sf)
+    out = SM.pminhash_samples(C.to_long(wide), wide.select("row_id"), X.EMB_WIDTH, LARGE_K, P, seed=SEED)
+    return out.groupBy("row_id", "party").agg(F.count("*").alias("n"), F.sum(F.col("sample").cast("long")).alias("samples"),
+                                              F.sum(F.col("sample").cast("long") * (F.col("hash_id") + 1)).alias("weighted"))
+
+
 WIDE_GAMMA = 0.001
 
 
 def _rff_wide_sql() -> str:
     n1, k1 = int(math.floor(WIDE_N * P)), int(math.floor(WIDE_K * P))
     k2 = WIDE_K - k1
-    w = f"sqrt(2.0 * {WIDE_GAMMA}) * {sql_normal(key(str(SEED), 'pc.party', 'cm.comp', 'pc.fid'))}"
-    off = f"{2.0 * math.pi!r} * {sql_uniform(key(str(SEED), 'g.party', 'g.comp') + ' || ' + repr(':o'))}"
+    w = f"sqrt(2.0 * {WIDE_GAMMA}) * {sql_by_party(lambda p: sql_normal(p, 'pc.fid', 'cm.comp'))}"
+    off = sql_offset().replace("party", "g.party").replace("comp", "g.comp")
     kp = f"CASE WHEN {{p}}.party = 1 THEN {k1} ELSE {k2} END"
     return with_(*_doc_base(WIDE_N),
                  ("pc", f"""SELECT row_id, CASE WHEN feature_id <= {n1} THEN 1 ELSE 2 END AS party,
@@ -366,12 +397,13 @@ def _comp_grid_sql():
 
 
 def _rff_sql() -> str:
-    w = f"sqrt(2.0 * (SELECT gamma FROM gam)) * {sql_normal(key(str(SEED), 'pc.party', 'cm.comp', 'pc.fid'))}"
-    off = f"{2.0 * math.pi!r} * {sql_uniform(key(str(SEED), 'g.party', 'g.comp') + ' || ' + repr(':o'))}"
+    w = sql_by_party(lambda p: sql_normal(p, "fid", "comp"))
+    off = sql_offset().replace("party", "g.party").replace("comp", "g.comp")
     scale = f"CASE WHEN g.party = 1 THEN sqrt(2.0 / {KK1}) ELSE sqrt(2.0 / {KK2}) END"
     return with_(*emb_split_sql(), _emb_party_sql(), *_comp_grid_sql(),
-                 ("proj", f"""SELECT pc.row_id, pc.party, cm.comp, sum(pc.value * ({w})) AS xw FROM pc JOIN comps cm
-                    ON cm.comp < CASE WHEN pc.party = 1 THEN {KK1} ELSE {KK2} END GROUP BY pc.row_id, pc.party, cm.comp""")) + f"""
+                 ("wt", f"""SELECT party, comp, fid, {w} AS w FROM (SELECT DISTINCT party, fid FROM pc) t, comps"""),
+                 ("proj", f"""SELECT pc.row_id, pc.party, wt.comp, sum(pc.value * (sqrt(2.0 * (SELECT gamma FROM gam)) * wt.w)) AS xw FROM pc JOIN wt
+                    ON wt.party = pc.party AND wt.fid = pc.fid AND wt.comp < CASE WHEN pc.party = 1 THEN {KK1} ELSE {KK2} END GROUP BY pc.row_id, pc.party, wt.comp""")) + f"""
 SELECT g.row_id, CAST(g.party AS INTEGER) AS party, g.comp, {s6(f'{scale} * cos(coalesce(p.xw, 0.0) + {off})')} AS value
 FROM grid g LEFT JOIN proj p ON g.row_id = p.row_id AND g.party = p.party AND g.comp = p.comp"""
 

@@ -98,11 +98,17 @@ def test_rff_empty_row_gets_all_components(spark):
 
 
 def test_samples_equal_a_plain_loop(spark):
-    """The md5 uniforms and the arg-min rule, cell by cell."""
-    from hashlib import md5
+    """The hashed numbers and the arg-min rule, cell by cell."""
+    from skein.functions import hashing as HS
 
-    def u(key):
-        return (int.from_bytes(md5(key.encode()).digest()[:4], "big") + 0.5) / 2**32
+    def mixed(x):
+        for c in HS.MULTIPLIERS:
+            x ^= x >> 16
+            x = x * c % 2**32
+        return x ^ x >> 16
+
+    def u(tag, g, f):
+        return (mixed((mixed((f + HS.stream(1, tag)) % 2**32) + g * HS.STEP) % 2**32) + 0.5) / 2**32
 
     x = {0: [1, 0, 2, 0, 3, 1, 0, 0, 1, 2], 1: [0] * 10, 2: [0, 0, 0, 4, 0, 0, 0, 0, 0, 1]}
     got = {(r["row_id"], r["party"], r["hash_id"]): r["sample"] for r in SM.pminhash_samples(_cells(spark, x), _rows(spark, [0, 1, 2]), 10, 10, p=0.3).collect()}
@@ -114,10 +120,25 @@ def test_samples_equal_a_plain_loop(spark):
                 for f in features:
                     if vec[f - 1] > 0:
                         local = f - (0 if party == 1 else 3)
-                        keys.append((-math.log(u(f"1:{g}:{f}")) / vec[f - 1], local))
-                        v = {t: u(f"1:{g}:{f}:{t}") for t in ("r1", "r2", "c1", "c2", "b")}
+                        keys.append((-math.log(u("u", g, f)) / vec[f - 1], local))
+                        v = {t: u(t, g, f) for t in ("r1", "r2", "c1", "c2", "b")}
                         r = -math.log(v["r1"]) - math.log(v["r2"])
                         t = math.floor(math.log(vec[f - 1]) / r + v["b"])
                         ckeys.append((math.log(-math.log(v["c1"]) - math.log(v["c2"])) - r * (t - v["b"]) - r, local))
                 assert got[row, party, h] == (min(keys)[1] if keys else -1)
                 assert cws[row, party, h] == (min(ckeys)[1] if ckeys else -1)
+
+
+def test_draws_are_even_and_unrelated():
+    from skein.functions import hashing as HS
+
+    x = HS.draws(HS.stream(1, "u"), np.arange(1, 401), 0, 2500)
+    assert 0 < x.min() and x.max() < 1
+    n = x.size
+    counts = np.histogram(x, 64, (0, 1))[0]
+    assert ((counts - n / 64) ** 2 / (n / 64)).sum() < 63 + 5 * math.sqrt(126)
+    assert np.array_equal(x[:, 700:900], HS.draws(HS.stream(1, "u"), np.arange(1, 401), 700, 900))
+    c = x - 0.5
+    for a, b in ((c[:-1], c[1:]), (c[:, :-1], c[:, 1:]), (c, HS.draws(HS.stream(1, "v"), np.arange(1, 401), 0, 2500) - 0.5)):
+        assert abs((a * b).mean() * 12) < 5 / math.sqrt(a.size)
+    assert np.abs(np.corrcoef(c) - np.eye(400)).max() < 0.12 and len(np.unique(x)) > n * 0.999

@@ -215,7 +215,7 @@ def test_models_stop_by_themselves(spark, train, batch):
     vec = L.vectors_from_wide(spark.createDataFrame([(i, int(x.sum() > 1), [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, label int, features array<double>"))
     models = [L.Model(7, "linear", 0.5), L.Model(8, "linear", 1e-5), L.Model(9, "linear", 0.05, 1.0)]
     run = getattr(L, train)
-    how = dict(width=2, batch_size=batch, max_iter=4, eps={30: 5e-5, 7: 1.5e-3}[batch], stop_on_converge=True)
+    how = dict(width=2, batch_size=batch, max_iter=4, eps={30: 2.1e-5, 7: 1.5e-3}[batch], stop_on_converge=True)
     both = run(vec, models=models, **how)
     stops = {m.model_id: [h["epoch"] for h in both.history if h["model_id"] == m.model_id] for m in models}
     assert len({len(s) for s in stops.values()}) > 1
