@@ -92,27 +92,39 @@ def resize_features(cells: DataFrame, width: int) -> DataFrame:
     return cells.select("row_id", checked.cast("int").alias("feature_id"), "value").withColumn("width", F.lit(width))
 
 
-def check_contract(samples: DataFrame, k1: int, k2: int, strict: bool = False) -> DataFrame:
+def check_contract(samples: DataFrame, k1: int, k2: int, strict: bool = False, sketch: DataFrame | None = None,
+                   widths: tuple[int, int] | None = None) -> DataFrame:
     """Violation counts for a samples table, one row per check.
 
-    rows_party1 / rows_party2 : distinct rows per party (must be equal)
+    rows_party1 / rows_party2 : distinct rows per party
+    rows_differ               : 1 where the parties don't have the same rows
+                                (their number and two order-free hashes)
     bad_hash_count            : (row, party) with a hash count != k_p
     bad_sample_values         : samples that are neither >= 1 nor in {-1, 0}
+    bad_sketch_columns        : with ``sketch`` (party, col): columns outside
+                                of 0 .. the party's width, ``widths``
     """
     per_row = samples.groupBy("row_id", "party").agg(F.count(F.lit(1)).alias("n"))
     want = F.when(F.col("party") == 1, F.lit(k1)).otherwise(F.lit(k2))
+    marks = [F.coalesce(F.bit_xor(F.when(F.col("party") == p, F.xxhash64(F.col("row_id"), F.lit(i)))), F.lit(0)) for i in (0, 1) for p in (1, 2)]
+    n1, n2 = F.count_if(F.col("party") == 1), F.count_if(F.col("party") == 2)
     a = per_row.agg(
-        F.count_if(F.col("party") == 1).alias("rows_party1"),
-        F.count_if(F.col("party") == 2).alias("rows_party2"),
+        n1.alias("rows_party1"), n2.alias("rows_party2"),
+        F.when((n1 == n2) & (marks[0] == marks[1]) & (marks[2] == marks[3]), 0).otherwise(1).alias("rows_differ"),
         F.count_if(F.col("n") != want).alias("bad_hash_count"),
     )
-    b = samples.agg(F.count_if(~((F.col("sample") >= 1) | F.col("sample").isin(-1, 0))).alias("bad_sample_values"))
+    names = ("rows_party1", "rows_party2", "rows_differ", "bad_hash_count")
     out = a.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("value"))
-                             for c in ("rows_party1", "rows_party2", "bad_hash_count")])).alias("x")
-    ).select("x.*").unionByName(b.select(F.lit("bad_sample_values").alias("check"), F.col("bad_sample_values").cast("bigint").alias("value")))
+        F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("value")) for c in names])).alias("x")
+    ).select("x.*")
+    more = [("bad_sample_values", samples, ~((F.col("sample") >= 1) | F.col("sample").isin(-1, 0)))]
+    if sketch is not None:
+        limit = F.when(F.col("party") == 1, F.lit(widths[0])).otherwise(F.lit(widths[1]))
+        more.append(("bad_sketch_columns", sketch, (F.col("col") < 0) | (F.col("col") >= limit)))
+    for name, table, bad in more:
+        out = out.unionByName(table.agg(F.count_if(bad).cast("bigint").alias("value")).select(F.lit(name).alias("check"), "value"))
     if strict:
-        got = {r["check"]: r["value"] for r in out.collect()}  # four numbers
-        if got["rows_party1"] != got["rows_party2"] or got["bad_hash_count"] or got["bad_sample_values"]:
+        got = {r["check"]: r["value"] for r in out.collect()}  # a number per check
+        if any(v for c, v in got.items() if c not in ("rows_party1", "rows_party2")):
             raise ValueError(f"matrix contract violated: {got}")
     return out

@@ -177,24 +177,18 @@ def normalise_labels(rows: DataFrame, mode: str = "binary") -> DataFrame:
 
 
 # ------------------------------------------------------------------ B5, B6
-MAX_CLASSES = 100_000
-
-
 def label_domain(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label").isNotNull()).select("label").distinct().orderBy("label")
 
 
-def label_list(rows: DataFrame) -> list[int]:
-    labels = [r["label"] for r in label_domain(rows).limit(MAX_CLASSES + 1).collect()]
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return labels
-
-
-def ovr_relabel(rows: DataFrame, labels: list[int]) -> DataFrame:
-    """One copy of each row per positive label: y = 1 if label = L else 0."""
-    lab = F.explode(F.array(*[F.lit(int(v)) for v in labels])).alias("pos_label")
-    out = rows.select("*", lab)
+def ovr_relabel(rows: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """One copy of each row per positive label: y = 1 if label = L else 0.
+    ``labels`` (label) are by default those of the rows; they travel to the
+    rows as one array, whatever their number."""
+    labels = label_domain(rows) if labels is None else labels
+    one = F.pmod(F.hash("row_id"), F.lit(1))  # the same for all rows
+    table = labels.agg(F.sort_array(F.collect_set(F.col("label").cast("int"))).alias("_labels")).withColumn("_one", F.pmod(F.hash("_labels"), F.lit(1)))
+    out = rows.withColumn("_one", one).join(F.broadcast(table), "_one").withColumn("pos_label", F.explode("_labels")).drop("_one", "_labels")
     return out.withColumn("y", F.when(F.col("label") == F.col("pos_label"), F.lit(1)).otherwise(F.lit(0)))
 
 

@@ -130,19 +130,10 @@ def party_block_width(n_p: int, b: int, c: int) -> int:
     return 2**b
 
 
-def sketch_independent(samples: DataFrame, n1: int, n2: int, k1: int, k2: int, b: int = 0, c: int = 0,
-                       seed: int = 1) -> DataFrame:
-    """Each party encodes in its own space; party 2's columns
-    follow party 1's (offset = block width of party 1 times k1).
-
-    Hash mode keeps plain one-hot for a party whose n_p <= c; party 2 uses
-    hash parameters a[k1 + j], b[k1 + j].
-    """
+def _independent_col(n1: int, n2: int, k1: int, k2: int, b: int, c: int, seed: int) -> Column:
     mode = _mode(b, c)
-    s = _nonempty(samples)
     j, v = F.col("hash_id").cast("bigint"), F.col("sample").cast("bigint")
-    w1 = party_block_width(n1, b, c)
-    offset = w1 * k1
+    offset = party_block_width(n1, b, c) * k1
     if mode == "onehot":
         c1, c2 = _onehot(n1, j, v), _onehot(n2, j, v)
     elif mode == "hash":
@@ -152,8 +143,18 @@ def sketch_independent(samples: DataFrame, n1: int, n2: int, k1: int, k2: int, b
         c2 = _onehot(n2, j, v) if n2 <= c else _hashed(c, a_arr, b_arr, F.col("hash_id") + F.lit(k1), j, v)
     else:
         c1, c2 = _bbit(b, j, v), _bbit(b, j, v)
-    col = F.when(F.col("party") == 1, c1).otherwise(c2 + F.lit(offset))
-    return _out(s, col)
+    return F.when(F.col("party") == 1, c1).otherwise(c2 + F.lit(offset))
+
+
+def sketch_independent(samples: DataFrame, n1: int, n2: int, k1: int, k2: int, b: int = 0, c: int = 0,
+                       seed: int = 1) -> DataFrame:
+    """Each party encodes in its own space; party 2's columns
+    follow party 1's (offset = block width of party 1 times k1).
+
+    Hash mode keeps plain one-hot for a party whose n_p <= c; party 2 uses
+    hash parameters a[k1 + j], b[k1 + j].
+    """
+    return _out(_nonempty(samples), _independent_col(n1, n2, k1, k2, b, c, seed))
 
 
 def independent_width(n1: int, n2: int, k1: int, k2: int, b: int = 0, c: int = 0) -> tuple[int, int]:
@@ -228,3 +229,31 @@ def squeeze_job(samples_by_method: dict[str, DataFrame], combos: list[tuple[str,
             F.lit(size).alias("size"), "split", "party", "row_id", "col")
         out = tagged if out is None else out.unionByName(tagged)
     return out
+
+
+def squeeze_lists(samples: dict[tuple[str, int], DataFrame], sizes: dict[str, list[int]], n: int, p: float,
+                  cut: str = "border", seed: int = 1) -> DataFrame:
+    """The job over lists: every method's samples at every k, squeezed to every
+    size of the method. ``samples`` maps (method, k) to a table with ``split``;
+    each is read once, and a sample gives all its columns in one projection.
+    Same columns as ``squeeze_job``; write them with ``matrixio.write_sketch``.
+    """
+    n1 = int(math.floor(n * p))
+    n2 = n - n1
+    out = None
+    for (method, k), table in samples.items():
+        if method not in SQUEEZE_METHODS:
+            raise ValueError(f"method must be one of {sorted(SQUEEZE_METHODS)}")
+        k1 = int(math.floor(k * p))
+        entries = []
+        for size in sizes[method]:
+            b, c = (0, size) if method == "pminhash" else (size, 0)
+            w1, w2 = independent_width(n1, n2, k1, k - k1, b=b, c=c)
+            border = F.lit(w1 if cut == "border" else int(math.floor((w1 + w2) * p)))
+            col = _independent_col(n1, n2, k1, k - k1, b, c, seed).cast("bigint")
+            entries.append(F.struct(F.lit(size).alias("size"), F.when(col < border, 1).otherwise(2).alias("party"), F.when(col < border, col).otherwise(col - border).alias("col")))
+        made = _nonempty(table).select("split", "row_id", F.explode(F.array(*entries)).alias("e")).select(
+            F.lit(method).alias("method"), F.lit(k).alias("k"), F.lit("countsketch" if method == "pminhash" else "bbitmwhash").alias("squeeze"),
+            "e.size", "split", "e.party", "row_id", "e.col")
+        out = made if out is None else out.unionByName(made)
+    return out

@@ -14,6 +14,8 @@ from skein.operators import sampling as SM
 from skein.operators import squeeze as Q
 from skein.operators import stats as S
 from skein.plans import fixtures as X
+from skein.session import cut_lineage, scratch_path
+from skein.sources import matrixio as M
 from skein.plans.sqltext import key, with_
 from skein.plans.sqltext import r6 as s6
 from skein.plans.table_queries import EMB_N1, P, emb_split_sql, emb_train_gamma
@@ -193,16 +195,37 @@ def _rff_wide(spark, sf):
     return out.select("row_id", "party", "comp", r6(F.col("value")).alias("value"))
 
 
-@q("check_contract", with_(*DOC_BASE, *sql_samples("pminhash"),
-                           ("pr", "SELECT row_id, party, count(*) AS n FROM s_samples GROUP BY row_id, party")) + f"""
-SELECT 'rows_party1' AS "check", CAST(count(*) FILTER (WHERE party = 1) AS BIGINT) AS value FROM pr
-UNION ALL SELECT 'rows_party2', CAST(count(*) FILTER (WHERE party = 2) AS BIGINT) FROM pr
-UNION ALL SELECT 'bad_hash_count', CAST(count(*) FILTER (WHERE n <> CASE WHEN party = 1 THEN {K1} ELSE {K2} END) AS BIGINT) FROM pr
-UNION ALL SELECT 'bad_sample_values', CAST(count(*) FILTER (WHERE NOT (sample >= 1 OR sample IN (-1, 0))) AS BIGINT) FROM s_samples""")
+def _contract_sql(samples: str, sketch: str = "") -> str:
+    pr = f"SELECT row_id, party, count(*) AS n FROM {samples} GROUP BY row_id, party"
+    ids = lambda p: f"SELECT row_id FROM {samples} WHERE party = {p}"
+    return f"""
+SELECT 'rows_party1' AS "check", CAST(count(*) FILTER (WHERE party = 1) AS BIGINT) AS value FROM ({pr}) pr
+UNION ALL SELECT 'rows_party2', CAST(count(*) FILTER (WHERE party = 2) AS BIGINT) FROM ({pr}) pr
+UNION ALL SELECT 'rows_differ', CAST(CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS BIGINT) FROM (({ids(1)} EXCEPT {ids(2)}) UNION ALL ({ids(2)} EXCEPT {ids(1)})) d
+UNION ALL SELECT 'bad_hash_count', CAST(count(*) FILTER (WHERE n <> CASE WHEN party = 1 THEN {K1} ELSE {K2} END) AS BIGINT) FROM ({pr}) pr
+UNION ALL SELECT 'bad_sample_values', CAST(count(*) FILTER (WHERE NOT (sample >= 1 OR sample IN (-1, 0))) AS BIGINT) FROM {samples}{sketch}"""
+
+
+@q("check_contract", with_(*DOC_BASE, *sql_samples("pminhash")) + _contract_sql("s_samples"))
 def _check_contract(spark, sf):
     return C.check_contract(doc_samples(spark, sf), K1, K2)
 
 
+@q("check_contract_rows", with_(*DOC_BASE, *sql_samples("pminhash"), ("top", "SELECT max(row_id) AS m FROM doc_rows"),
+                                ("moved", "SELECT CASE WHEN party = 2 AND row_id = m THEN m + 1 ELSE row_id END AS row_id, party, hash_id, sample FROM s_samples, top"),
+                                ("enc", f"SELECT party, {2**B_BITS} * hash_id + {2**B_BITS} - ((sample % {2**B_BITS}) + 1) AS col FROM s_samples WHERE sample NOT IN (-1, 0)"))
+   + _contract_sql("moved", f"""
+UNION ALL SELECT 'bad_sketch_columns', CAST(count(*) FILTER (WHERE col >= CASE WHEN party = 1 THEN {2**B_BITS * K1} ELSE {2**B_BITS * K2 - 1} END) AS BIGINT) FROM enc"""))
+def _check_contract_rows(spark, sf):
+    """As many rows for both parties, but one of them another; a width that is one too small."""
+    samples = doc_samples(spark, sf)
+    last = X.doc_row_ids(spark, sf).agg(F.max("row_id")).first()[0]
+    row = F.when((F.col("party") == 2) & (F.col("row_id") == last), F.col("row_id") + 1).otherwise(F.col("row_id"))
+    enc = Q.sketch_independent(samples, N1, N2, K1, K2, b=B_BITS)
+    enc = enc.withColumn("col", F.when(F.col("party") == 2, F.col("col") - 2**B_BITS * K1).otherwise(F.col("col")))
+    return C.check_contract(samples.withColumn("row_id", row), K1, K2, sketch=enc, widths=(2**B_BITS * K1, 2**B_BITS * K2 - 1))
+
+
 @q("zero_sample_report", with_(*DOC_BASE, *sql_samples("pminhash")) + """
 SELECT CAST(party AS INTEGER) AS party,
        CAST(count(*) FILTER (WHERE sample IN (-1, 0)) AS BIGINT) AS empty_samples,
@@ -378,6 +401,41 @@ def _squeeze_job_legacy(spark, sf):
     return Q.squeeze(doc_samples(spark, sf), "pminhash", 4, N, P, KH, width_from="hashes").select("party", "row_id", "col")
 
 
+#: lists of the job: positions, and sizes of each method
+LIST_K = (8, 16)
+LIST_SIZES = {"pminhash": [4, 16], "0bitcws": [1, 2]}
+
+
+def _lists_sql() -> str:
+    ctes, parts = [], []
+    for i, (method, k) in enumerate((m, k) for m in LIST_SIZES for k in LIST_K):
+        ctes += sql_samples(method, prefix=f"l{i}", k=k)
+        k1 = int(math.floor(k * P))
+        for size in LIST_SIZES[method]:
+            if method == "pminhash":
+                a, b = (_arr(x) for x in Q.hash_params(size, k, SEED))
+                one = lambda n_p, g: f"{n_p} * hash_id + {n_p} - sample" if n_p <= size else f"{size} * hash_id + {size} - ((({a})[{g} + 1] * sample + ({b})[{g} + 1]) % {size} + 1)"  # noqa: E731, B023
+                enc1, enc2 = one(N1, "hash_id"), one(N2, f"hash_id + {k1}")
+            else:
+                enc1 = enc2 = f"{2**size} * hash_id + {2**size} - (sample % {2**size} + 1)"
+            parts.append(f"""SELECT '{method}' AS method, {k} AS k, '{'countsketch' if method == 'pminhash' else 'bbitmwhash'}' AS squeeze, {size} AS size, d.split,
+              CAST(e.party AS INTEGER) AS party, e.row_id, CAST(CASE WHEN e.party = 1 THEN {enc1} ELSE {enc2} END AS BIGINT) AS col
+              FROM l{i}_samples e JOIN doc_split d ON e.row_id = d.row_id WHERE sample NOT IN (-1, 0)""")
+    return with_(*DOC_BASE, *ctes, _doc_split_sql()) + "\nUNION ALL\n".join(parts)
+
+
+@q("squeeze_job_lists", _lists_sql())
+def _squeeze_job_lists(spark, sf):
+    """F12 over two methods, two k and two sizes each, written to the catalog and read back."""
+    cells, rows = cut_lineage(X.doc_cells(spark, sf)), X.doc_row_ids(spark, sf)
+    draw = {"pminhash": SM.pminhash_samples, "0bitcws": SM.cws_samples}
+    samples = {(m, k): _with_split(spark, sf, draw[m](cells, rows, N, k, P, seed=SEED)) for m in LIST_SIZES for k in LIST_K}
+    root = scratch_path(spark, "catalog")
+    M.write_sketch(Q.squeeze_lists(samples, LIST_SIZES, N, P), root, "doc", X.PORTION)
+    got = spark.read.option("basePath", root).parquet(root)
+    return got.select("method", F.col("k").cast("int"), "squeeze", F.col("size").cast("int"), "split", F.col("party").cast("int"), "row_id", "col")
+
+
 # ------------------------------------------------------------ F14, F15 (EMB)
 KK1 = int(math.floor(KERNEL_K * P))
 KK2 = KERNEL_K - KK1

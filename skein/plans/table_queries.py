@@ -148,7 +148,7 @@ SELECT e.vec_id AS row_id, d.label AS pos_label, CASE WHEN e.label = d.label THE
 FROM embeddings e CROSS JOIN (SELECT DISTINCT CAST(label AS INTEGER) AS label FROM embeddings) d""")
 def _ovr_relabel(spark, sf):
     w = X.emb_wide(spark, sf)
-    return R.ovr_relabel(w, R.label_list(w)).select("row_id", F.col("pos_label").cast("int"), F.col("y").cast("int"))
+    return R.ovr_relabel(w).select("row_id", F.col("pos_label").cast("int"), F.col("y").cast("int"))
 
 
 @q("assign_batches", with_(("li", X.sql_li_wide())) + f"""

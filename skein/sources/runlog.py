@@ -18,13 +18,24 @@ from pyspark.sql import functions as F
 NAME_KEYS = ["alpha", "batch_size", "max_iter", "lambda_para", "C", "sigmoid_func"]
 
 
-def append_runs(runs: DataFrame, root: str, dataset: str) -> None:
-    """Append run records, with all their columns, under ``dataset=<name>`` (A5)."""
-    runs.withColumn("dataset", F.lit(dataset)).write.mode("append").partitionBy("dataset").parquet(root)
+def append_runs(runs: DataFrame, root: str, dataset: str, batch: str | None = None) -> None:
+    """Append run records, with all their columns, under ``dataset=<name>`` (A5).
+
+    Records are written as one batch, a folder of its own that replaces the
+    batch of the same name: a rerun, or a retry after a loss, leaves each
+    record once. Without a name the batch is known by its records (their
+    number and an order-free hash of all columns).
+    """
+    if batch is None:
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(runs.columns)])
+        n, h = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum((row % (1 << 30)).cast("decimal(38,0)")), F.lit(0))).first()
+        batch = f"{n}-{int(h)}"
+    (runs.withColumn("dataset", F.lit(dataset)).withColumn("batch", F.lit(batch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "batch").parquet(root))
 
 
 def read_runs(spark: SparkSession, root: str, dataset: str | None = None) -> DataFrame:
-    df = spark.read.parquet(root)
+    df = spark.read.option("basePath", root).parquet(root).drop("batch")
     return df if dataset is None else df.where(F.col("dataset") == dataset)
 
 

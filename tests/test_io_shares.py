@@ -110,3 +110,52 @@ def test_a_catalog_keeps_data_sets_and_portions_apart(spark):
         M.write_sketch(one.withColumn("col", F.lit(col).cast("long")), root, dataset, portion)
     got = lambda **k: sorted(r["col"] for r in M.read_sketch(spark, root, **k).collect())
     assert got() == [2, 3, 4] and got(dataset="a", portion=37) == [4] and got(dataset="a") == [2, 4]
+
+
+def test_runs_are_kept_once(spark, tmp_path):
+    from skein.sources import runlog as RL
+
+    root = str(tmp_path / "runs")
+    first = spark.createDataFrame([(1, 0.5, [0.1, 0.2]), (2, None, None), (2, None, None)], "run_id int, best_acc double, accuracies array<double>")
+    more = spark.createDataFrame([(3, 0.7, [0.7])], first.schema)
+    for _ in range(3):
+        RL.append_runs(first.repartition(2), root, "a")
+    RL.append_runs(first, root, "b")
+    RL.append_runs(more, root, "a")
+    RL.append_runs(more, root, "c", batch="sweep")
+    RL.append_runs(first, root, "c", batch="sweep")  # replaces the batch of that name
+    for dataset, ids in (("a", [1, 2, 2, 3]), ("b", [1, 2, 2]), ("c", [1, 2, 2])):
+        got = RL.read_runs(spark, root, dataset)
+        assert sorted(r.run_id for r in got.collect()) == ids and got.columns == [*first.columns, "dataset"]
+    RL.append_runs(first.limit(0), root, "d")
+    assert RL.read_runs(spark, root, "d").count() == 0
+
+
+def test_contract_tells_rows_and_widths(spark):
+    import pytest
+
+    from skein.operators import columns as C
+
+    def samples(second):
+        return spark.createDataFrame([(r, 1, j, 1) for r in (1, 2, 3) for j in (0, 1)] + [(r, 2, 0, 0) for r in second], "row_id long, party int, hash_id int, sample int")
+
+    def report(*a, **b):
+        return {r.check: r.value for r in C.check_contract(*a, **b).collect()}
+
+    assert report(samples((3, 1, 2)), 2, 1) == {"rows_party1": 3, "rows_party2": 3, "rows_differ": 0, "bad_hash_count": 0, "bad_sample_values": 0}
+    assert report(samples((1, 2, 4)), 2, 1)["rows_differ"] == 1 and report(samples((1, 2)), 2, 1)["rows_differ"] == 1
+    sketch = spark.createDataFrame([(1, 0), (1, 3), (1, 4), (2, 2), (2, -1)], "party int, col long")
+    assert report(samples((1, 2, 3)), 2, 1, sketch=sketch, widths=(4, 3))["bad_sketch_columns"] == 2
+    C.check_contract(samples((1, 2, 3)), 2, 1, strict=True)
+    with pytest.raises(ValueError):
+        C.check_contract(samples((1, 2, 4)), 2, 1, strict=True)
+    assert report(samples(()).limit(0), 2, 1)["rows_differ"] == 0
+
+
+def test_labels_of_any_number(spark):
+    from skein.operators import rows as R
+
+    rows = spark.createDataFrame([(i, i % 4 if i else None) for i in range(9)], "row_id long, label int")
+    got = {(r.row_id, r.pos_label): r.y for r in R.ovr_relabel(rows).collect()}
+    assert got == {(i, k): int(i > 0 and i % 4 == k) for i in range(9) for k in range(4)}
+    assert R.ovr_relabel(rows.limit(0)).count() == 0

@@ -122,3 +122,25 @@ def test_hash_params_follow_the_seeded_legacy_stream():
     assert Q.hash_params(7, 5) == ([int(x) for x in a], [int(x) for x in b])
     with pytest.raises(ValueError):
         Q.hash_params(1, 3)
+
+
+def test_lists_equal_single_jobs(spark):
+    """Every (method, k, size) of the job over lists equals the job for it alone."""
+    n, p = 12, 0.3
+    samples = {}
+    for method in ("pminhash", "0bitcws"):
+        for k in (4, 10):
+            k1 = int(k * p)
+            rows = [("train" if r % 3 else "test", r, 1 if j < k1 else 2, j if j < k1 else j - k1, -1 if (r + j) % 5 == 0 else 1 + (7 * r + j) % (3 if j < k1 else 9))
+                    for r in range(20) for j in range(k)]
+            samples[method, k] = spark.createDataFrame(rows, "split string, row_id long, party int, hash_id int, sample int")
+    sizes = {"pminhash": [2, 4, 40], "0bitcws": [1, 3]}
+    for cut in ("border", "ratio"):
+        got = {}
+        for r in Q.squeeze_lists(samples, sizes, n, p, cut).collect():
+            got.setdefault((r.method, r.k, r["size"]), []).append((r.split, r.party, r.row_id, r.col, r.squeeze))
+        for (method, k), table in samples.items():
+            for size in sizes[method]:
+                want = [(r.split, r.party, r.row_id, r.col, r.squeeze) for r in Q.squeeze_job({method: table}, [(method, size)], n, p, k, cut).collect()]
+                assert sorted(got.pop((method, k, size))) == sorted(want)
+        assert not got
