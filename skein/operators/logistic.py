@@ -10,6 +10,9 @@ read them straight from Arrow list buffers (``mapInArrow``).
   the chunk's end cuts is carried over as its partial gradient. Models are
   independent, so their groups read the same chunk side by side. Jobs =
   epochs x chunks; a task holds one Arrow batch and its models' weights.
+* Linear models: a batch maps the weights affinely, so chunks return one map
+  each, all tasks side by side, and following the maps gives every chunk the
+  weights it starts from; only that follows the order.
 * Full batch, or batches larger than a chunk: every partition returns one
   partial X^T E and loss sum for all M models, summed by a ``groupBy``; the
   driver applies W <- W - C*alpha*g/B - lambda*alpha*W/B.
@@ -56,6 +59,10 @@ MODELS_PER_TASK = 16
 TILE_VALUES = 1 << 20
 #: weights of the models that one full-batch task holds
 GROUP_BYTES = 64 << 20
+#: numbers in the maps of a chunk of linear models: models x width x width
+AFFINE_VALUES = 1 << 16
+#: chunks whose maps are made at the same time, at most
+MAX_WAVE = 256
 INLINE_WEIGHT_BYTES = 1 << 20
 LN_HALF = math.log(0.5)
 
@@ -390,6 +397,7 @@ class Prepared:
     n_rows: int
     batch_size: int
     chunks: int = 0
+    starts: list[int] | None = None  # rows before each chunk, once they are counted
 
     @property
     def n_batches(self) -> int:
@@ -400,17 +408,17 @@ class Prepared:
         return min(self.batch_size, self.n_rows - batch * self.batch_size)
 
 
-def _in_chunks(vec: DataFrame, n: int, order: list[str]) -> tuple[DataFrame, int]:
+def _in_chunks(vec: DataFrame, n: int, order: list[str], rows_per_chunk: int) -> tuple[DataFrame, int]:
     """The rows in range order as a table with one folder per chunk: one
     shuffle, written to the shared folder."""
     spark = vec.sparkSession
-    chunks = max(1, -(-n // ROWS_PER_CHUNK))
+    chunks = max(1, -(-n // rows_per_chunk))
     path = scratch_path(spark, "chunks")
     vec.repartitionByRange(chunks, *order).withColumn("chunk", F.spark_partition_id()).write.partitionBy("chunk").parquet(path)
     return spark.read.parquet(path), chunks
 
 
-def prepare(vec: DataFrame, batch_size: int) -> Prepared:
+def prepare(vec: DataFrame, batch_size: int, rows_per_chunk: int | None = None) -> Prepared:
     """Lay the rows out for batches of ``batch_size`` in row_id order.
 
     Batches are contiguous in row order, so every batch has ``batch_size``
@@ -425,7 +433,7 @@ def prepare(vec: DataFrame, batch_size: int) -> Prepared:
         spread = vec if vec.rdd.getNumPartitions() >= want else vec.repartition(want)
         return Prepared("full", spread.persist(StorageLevel.MEMORY_AND_DISK), n, max(batch_size, 1))
     if batch_size <= ROWS_PER_CHUNK:
-        data, chunks = _in_chunks(vec, n, ["row_id"])
+        data, chunks = _in_chunks(vec, n, ["row_id"], rows_per_chunk or ROWS_PER_CHUNK)
         return Prepared("stream", data, n, batch_size, chunks)
     path = scratch_path(spark, "batches")
     assign_batches(vec, batch_size).drop("pos").write.partitionBy("batch_id").parquet(path)
@@ -483,11 +491,153 @@ def _epoch_stream(spark, data, order, plan: Prepared, chunks, models, W, alphas,
     return W, alphas, losses
 
 
-def _epoch_steps(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
-    """One epoch as one distributed job per batch."""
+# ------------------------------------------------------------------ linear models: affine maps
+def _affine(models: list[Model], width: int) -> bool:
+    """Whether a batch maps the weights affinely, and the maps are small."""
+    return width * width * len(models) <= AFFINE_VALUES and all(m.activation == "linear" and m.penalty != "l1" for m in models)
+
+
+class _Sums:
+    """What a batch's update and loss need of its rows: their number, X'X,
+    the sum of x, and X'y per model."""
+
+    def __init__(self, width: int, n_models: int):
+        self.n, self.gram, self.x, self.xy = 0, np.zeros((width, width)), np.zeros(width), np.zeros((width, n_models))
+
+    def add(self, other: "_Sums") -> None:
+        self.n, self.gram, self.x, self.xy = self.n + other.n, self.gram + other.gram, self.x + other.x, self.xy + other.xy
+
+    def gradient(self, W: np.ndarray) -> np.ndarray:
+        return 0.25 * self.gram @ W + 0.5 * self.x[:, None] - self.xy
+
+    def loss(self, W: np.ndarray, B: int) -> np.ndarray:
+        zz = (W * (self.gram @ W)).sum(axis=0)
+        return (-0.5 * self.x @ W + (self.xy * W).sum(axis=0) - 0.125 * zz) * (-1.0 / B) - self.n * LN_HALF
+
+    def pack(self) -> list[np.ndarray]:
+        return [np.array([float(self.n)]), self.gram.ravel(), self.x, self.xy.ravel()]
+
+    @classmethod
+    def unpack(cls, flat: np.ndarray, width: int, n_models: int) -> "_Sums":
+        out = cls(width, n_models)
+        cuts = np.cumsum([1, width * width, width])
+        n, gram, x, xy = np.split(flat, cuts)
+        out.n, out.gram, out.x, out.xy = int(n[0]), gram.reshape(width, width), x, xy.reshape(width, n_models)
+        return out
+
+
+def _rates(models: list[Model], alphas: np.ndarray, steps: int, B: int) -> tuple[np.ndarray, np.ndarray]:
+    """Step per gradient and shrinkage of the weights, after ``steps`` decays."""
+    a = alphas * DECAY_FACTOR ** steps
+    lam = np.array([m.lambda_para if m.penalty in ("always", "l2") else 0.0 for m in models])
+    return np.array([m.c for m in models]) * a / B, 1.0 - lam * a / B
+
+
+def _affine_fn(models: list[Model], width: int, chunk: int, start: int, alphas: np.ndarray, decaying: bool, batch_size: int, n_rows: int):
+    """mapInArrow body: a chunk's rows, from row ``start`` on, as one map of
+    the weights (matrix and offset per model) over its whole batches, with the
+    sums of the rows before and behind them."""
+    import pyarrow as pa
+
+    def run(batches):
+        M = len(models)
+        mats, offset = np.repeat(np.eye(width)[None], M, axis=0), np.zeros((width, M))
+        head, sums, pos, closed = _Sums(width, M), _Sums(width, M), start, start % batch_size == 0
+        for batch in batches:
+            for part in _row_slices(batch, max(width, M)):
+                n = part.num_rows
+                fi, row_of = _flat(part, "idx")
+                fv, _ = _flat(part, "val")
+                X = np.zeros((n, width))
+                np.add.at(X, (row_of, fi.astype(np.int64) - 1), fv.astype(np.float64))
+                y = _targets(part.column(part.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float), models)
+                i = 0
+                while i < n:
+                    b = pos // batch_size
+                    B = min(batch_size, n_rows - b * batch_size)
+                    j = min(n, i + b * batch_size + B - pos)
+                    x = X[i:j]
+                    sums.n, sums.gram, sums.x, sums.xy = sums.n + j - i, sums.gram + x.T @ x, sums.x + x.sum(axis=0), sums.xy + x.T @ y[i:j]
+                    pos, i = pos + j - i, j
+                    if pos == b * batch_size + B:
+                        if closed:
+                            rate, keep = _rates(models, alphas, (b + 1) * decaying, B)
+                            mats = keep[:, None, None] * mats - (0.25 * rate)[:, None, None] * (sums.gram @ mats)
+                            offset = keep * offset - rate * sums.gradient(offset)
+                        else:
+                            head, closed = sums, True
+                        sums = _Sums(width, M)
+        if not closed:  # all rows belong to a batch that began before
+            head, sums = sums, _Sums(width, M)
+        flat = np.concatenate([np.array([float(closed)]), mats.ravel(), offset.ravel(), *head.pack(), *sums.pack()])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=["chunk", "map"])
+
+    return run
+
+
+def _epoch_affine(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
+    """One epoch of linear models over chunks, all tasks side by side.
+
+    A batch maps the weights affinely, so a chunk's batches are one map, made
+    without knowing the weights. Wave by wave, as many chunks as there are
+    cores return their maps; following the maps gives the weights at the start
+    of every chunk, and from there the chunks stream through the exact rule,
+    also side by side, for the losses of their batches."""
+    width, M = W.shape
+    if plan.starts is None:
+        sizes = dict(map(tuple, plan.data.groupBy("chunk").count().collect()))  # one row per chunk
+        plan.starts = np.cumsum([0, *(sizes.get(c, 0) for c in range(plan.chunks))]).tolist()
+    decaying = bool(decay and epoch > 1 and epoch % DECAY_EVERY == 0)
+    pending, losses = _Sums(width, M), np.zeros(M)
+    rows = [plan.data.where(F.col("chunk") == c).coalesce(1).sortWithinPartitions("row_id").select("label", "idx", "val") for c in range(plan.chunks)]
+    wave = max(1, min(spark.sparkContext.defaultParallelism, MAX_WAVE))
+    W = W.copy()
+    ids_of = np.array([m.model_id for m in models])
+    for first in range(0, plan.chunks, wave):
+        own = range(first, min(first + wave, plan.chunks))
+        maps = _union([rows[c].mapInArrow(_affine_fn(models, width, c, plan.starts[c], alphas, decaying, plan.batch_size, plan.n_rows), "chunk int, map binary") for c in own])
+        got = {r["chunk"]: np.frombuffer(r["map"], "<f8") for r in maps.collect()}  # wave x AFFINE_VALUES numbers, about
+        streams, shipped = [], []
+        for c in own:
+            done = plan.starts[c] // plan.batch_size
+            B = plan.size(min(done, plan.n_batches - 1))
+            state = {"W": W, "alphas": alphas * DECAY_FACTOR ** (done * decaying), "g": pending.gradient(W) if pending.n else np.zeros(W.shape),
+                     "loss": pending.loss(W, B), "seen": pending.n, "pos": plan.starts[c]}
+            shipped.append(_ship(spark, state, 2 * W.nbytes))
+            streams.append(rows[c].mapInArrow(_stream_fn(models, 0, shipped[-1], epoch, decay, plan.batch_size, plan.n_rows, False), _STREAM).where(F.col("kind") == _LOSS))
+            if c not in got:  # no rows
+                continue
+            closed, mats, offset, head, tail = np.split(got[c], np.cumsum([1, M * width * width, width * M, 1 + width * width + width + width * M]))
+            pending.add(_Sums.unpack(head, width, M))
+            if closed[0]:
+                if pending.n:
+                    rate, keep = _rates(models, alphas, (done + 1) * decaying, B)
+                    W = keep * W - rate * pending.gradient(W)
+                W = np.einsum("mij,jm->im", mats.reshape(M, width, width), W) + offset.reshape(width, M)
+                pending = _Sums.unpack(tail, width, M)
+        steps = _union(streams).toArrow()  # a row per batch and model
+        for x in shipped:
+            x.unpersist()
+        model, batch, v, a = (steps.column(k).to_numpy() for k in ("model", "batch_id", "v", "alpha"))
+        np.add.at(losses, model, v)
+        res.add_steps(ids_of[model], epoch, batch, v, a)
+    if pending.n:
+        raise RuntimeError(f"an epoch of {plan.n_rows} rows ended inside a batch")
+    return W, alphas * DECAY_FACTOR ** (plan.n_batches * decaying), losses
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Balanced, so that plans stay flat."""
+    while len(parts) > 1:
+        parts = [a[0].unionByName(a[1]) if len(a) > 1 else a[0] for a in (parts[i:i + 2] for i in range(0, len(parts), 2))]
+    return parts[0]
+
+
+def _epoch_steps(spark, plan: Prepared, models, W, alphas, epoch, decay, res, order=None):
+    """One epoch as one distributed job per batch, in ``order`` (of batches)."""
     width, M = W.shape
     losses = np.zeros(M)
-    for b in range(plan.n_batches):
+    for b in order if order is not None else range(plan.n_batches):
         rows = plan.data if plan.mode == "full" else plan.data.where(F.col("batch_id") == b)
         size = max(1, GROUP_BYTES // (8 * max(width, 1)))
         shipped, part = [], None
@@ -524,7 +674,8 @@ def _monitor(res: TrainResult, epoch: int, models: list[Model], loss, prev, eps:
 
 def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_iter: int,
           snapshot_epochs: int | None = None, eps: float = 1e-6, stop_on_converge: bool = False,
-          decay: bool = False, shuffle_seed: int | None = None, prepared: Prepared | None = None) -> TrainResult:
+          decay: bool = False, shuffle_seed: int | None = None, prepared: Prepared | None = None,
+          rows_per_chunk: int | None = None) -> TrainResult:
     """Train every model in ``models`` together.
 
     Each model starts from zero weights (one-vs-rest models included). The
@@ -535,8 +686,10 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     training alone. ``decay`` applies alpha *= 0.95 before every batch update
     of an epoch e > 1 with e % 10 == 0.
     With ``shuffle_seed`` the batches of every epoch but the first are visited
-    in the order of ``rows.shuffle_batches`` (batches of at most
-    ``ROWS_PER_CHUNK`` rows).
+    in the order of ``rows.shuffle_batches``; batches above ``ROWS_PER_CHUNK``
+    rows are tables of their own, read in that order. Linear models with few
+    enough features take an epoch's chunks side by side (``_epoch_affine``);
+    others follow the chunks one by one.
     """
     from skein.operators.rows import assign_batches
 
@@ -546,24 +699,25 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     M = len(models)
     if width * M * 8 > MAX_BROADCAST_BYTES:
         return train_relational(vec, width, models, batch_size, max_iter, snapshot_epochs, eps, stop_on_converge, decay, shuffle_seed)
+    plan = prepared or prepare(vec, batch_size, rows_per_chunk)
     batched = None
-    if shuffle_seed is not None:
+    if shuffle_seed is not None and plan.mode == "stream":
         batched = assign_batches(vec, batch_size).drop("pos")  # checkpointed in order
-    plan = prepared or prepare(vec, batch_size)
-    if batched is not None and plan.mode == "steps":
-        raise ValueError("a shuffled order needs batches of at most ROWS_PER_CHUNK rows")
     W, alphas = np.zeros((width, M)), np.array([m.alpha for m in models], dtype=float)
     res, prev, live = TrainResult(spark, models, width), np.zeros(M), list(range(M))
     for epoch in range(1, max_iter + 1):
         own = [models[i] for i in live]
         if plan.mode != "stream":
-            W[:, live], alphas[live], losses = _epoch_steps(spark, plan, own, W[:, live], alphas[live], epoch, decay, res)
+            visits = _visits(spark, plan.n_batches, epoch, shuffle_seed)
+            W[:, live], alphas[live], losses = _epoch_steps(spark, plan, own, W[:, live], alphas[live], epoch, decay, res, visits)
+        elif plan.chunks > 1 and (batched is None or epoch == 1) and _affine(own, width):
+            W[:, live], alphas[live], losses = _epoch_affine(spark, plan, own, W[:, live], alphas[live], epoch, decay, res)
         else:
             data, chunks, order = plan.data, plan.chunks, ["row_id"]
             if batched is not None and epoch > 1:
                 order = ["visit_key", "batch_id", "row_id"]
                 keyed = batched.withColumn("visit_key", h32(F.lit(shuffle_seed), F.lit(epoch), F.col("batch_id")))
-                data, chunks = _in_chunks(keyed, plan.n_rows, order)
+                data, chunks = _in_chunks(keyed, plan.n_rows, order, rows_per_chunk or ROWS_PER_CHUNK)
             W[:, live], alphas[live], losses = _epoch_stream(spark, data, order, plan, chunks, own, W[:, live], alphas[live], epoch, decay, res)
         loss = losses / max(plan.n_rows, 1)
         converged = _monitor(res, epoch, own, loss, prev[live], eps)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def matrix_variance(cells: DataFrame, n_rows: int, width: int) -> DataFrame:
     """Variance over all rows x width cells, implicit zeros included (E1):
-    mean(x^2) - mean(x)^2 with the mean over n_rows * width."""
-    total = float(n_rows) * float(width)
-    return cells.agg(
-        F.sum("value").alias("s1"), F.sum(F.col("value") * F.col("value")).alias("s2")
-    ).select(((F.col("s2") / F.lit(total)) - (F.col("s1") / F.lit(total)) * (F.col("s1") / F.lit(total))).alias("variance"))
+    mean(x^2) - mean(x)^2 with the mean over n_rows * width, from the centred
+    moments of the stored cells merged with the zeros as one block."""
+    share = F.col("n") / F.lit(float(n_rows) * float(width))
+    return cells.agg(F.count("value").alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("var")).select(
+        (F.col("var") * share + F.col("mean") * F.col("mean") * share * (F.lit(1.0) - share)).alias("variance"))
 
 
 def gamma_scale(cells: DataFrame, n_rows: int, width: int) -> DataFrame:

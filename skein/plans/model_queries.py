@@ -266,7 +266,7 @@ def _batch_gradient(spark, sf):
 
 
 # ------------------------------------------------------------ G5-G11 (training)
-def _train_query(name, models, data, epochs, batch, width, out="final", decay=False, shuffle=None):
+def _train_query(name, models, data, epochs, batch, width, out="final", decay=False, shuffle=None, rows_per_chunk=None):
     """Register a Spark training query and its oracle: full-batch training is
     unrolled, mini-batches are one recursion over all of them."""
     base = sql_li_model(batch) if data == "li" else sql_emb_model()
@@ -303,7 +303,7 @@ def _train_query(name, models, data, epochs, batch, width, out="final", decay=Fa
     def run(spark, sf):
         wide = li_model_data(spark, sf) if data == "li" else emb_model_data(spark, sf)
         ms = [L.Model(**vars(m)) for m in models]
-        res = L.train(_train_vec(wide), width, ms, batch, epochs, decay=decay, shuffle_seed=shuffle)
+        res = L.train(_train_vec(wide), width, ms, batch, epochs, decay=decay, shuffle_seed=shuffle, rows_per_chunk=rows_per_chunk)
         if out == "final":
             return _weights_out(spark, res, ms, [epochs])
         if out == "snapshots":
@@ -609,6 +609,13 @@ SMALL_BATCH_MODELS = [L.Model(0, "linear", 0.1, 1.0, 1.0)]
 _train_query("train_binary_small_batch", SMALL_BATCH_MODELS, "li", 1, SMALL_BATCH, LI_D)
 
 
+# ------------------------------------------------------------ G9 with linear models in chunks side by side
+CHUNK_MODELS = [L.Model(0, "linear", 0.1, 1.0, 1.0), L.Model(1, "linear", 0.5, 0.0, 0.5, "none")]
+CHUNK_BATCH, CHUNK_ROWS = 64, 1000
+_train_query("train_linear_chunks", CHUNK_MODELS, "li", 2, CHUNK_BATCH, LI_D, rows_per_chunk=CHUNK_ROWS)
+_train_query("train_linear_chunk_steps", CHUNK_MODELS, "li", 2, CHUNK_BATCH, LI_D, out="steps", rows_per_chunk=CHUNK_ROWS)
+
+
 # ------------------------------------------------------------ G8/G9 stop on convergence
 CONV_EPS = 3e-7
 CONV_MAX_ITER = 8

@@ -276,3 +276,30 @@ def test_linear_score_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_WEIGHT_ROWS", 3)
     got = {tuple(r)[:2]: r["z"] for r in L.linear_score(cells, weights).collect()}
     assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+@pytest.mark.parametrize("n,batch,rows,epochs,decay", [(53, 5, 8, 2, False), (40, 10, 10, 2, False), (41, 17, 4, 2, False), (30, 7, 11, 11, True)])
+def test_linear_chunks_side_by_side_equal_the_loop(spark, monkeypatch, n, batch, rows, epochs, decay):
+    """Chunks as affine maps: borders inside of batches, batches over several chunks."""
+    rng = np.random.RandomState(n)
+    X = rng.rand(n, 4) * (rng.rand(n, 4) < 0.7)
+    y = rng.randint(0, 3, n)
+    vec = L.vectors_from_wide(spark.createDataFrame([(i, int(y[i]), [float(v) for v in X[i]]) for i in range(n)], "row_id long, label int, features array<double>"))
+    models = [L.Model(0, "linear", 0.3, 0.5, 0.7, pos_label=1), L.Model(1, "linear", 0.05, 1.0, 1.0, "none", pos_label=0), L.Model(2, "linear", 0.2, 2.0, 1.0, "l2", pos_label=2)]
+    side = L.train(vec, 4, models, batch, epochs, decay=decay, rows_per_chunk=rows)
+    monkeypatch.setattr(L, "AFFINE_VALUES", 0)
+    loop = L.train(vec, 4, models, batch, epochs, decay=decay)
+    assert np.allclose(side.matrix(), loop.matrix(), rtol=0, atol=1e-9)
+    key = lambda r: (r["model_id"], r["epoch"], r["batch_id"])
+    a, b = ({key(r): (r["batch_loss"], r["alpha"]) for r in t.steps_frame().collect()} for t in (side, loop))
+    assert set(a) == set(b) and all(np.allclose(a[k], b[k], rtol=0, atol=1e-9) for k in b)
+    assert np.allclose([h["loss"] for h in side.history], [h["loss"] for h in loop.history], rtol=0, atol=1e-9)
+
+
+def test_shuffled_order_of_batches_above_a_chunk(spark, monkeypatch):
+    rng = np.random.RandomState(8)
+    X = rng.rand(24, 3)
+    vec = L.vectors_from_wide(spark.createDataFrame([(i, int(x.sum() > 1.5), [float(v) for v in x]) for i, x in enumerate(X)], "row_id long, label int, features array<double>"))
+    want = L.train(vec, 3, [L.Model(0, "cube", 0.4)], 5, 3, shuffle_seed=4).matrix()
+    monkeypatch.setattr(L, "ROWS_PER_CHUNK", 2)
+    assert np.allclose(L.train(vec, 3, [L.Model(0, "cube", 0.4)], 5, 3, shuffle_seed=4).matrix(), want, rtol=0, atol=1e-12)
