@@ -72,21 +72,40 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
 
-def events_of(conversations: DataFrame, delta_chars: int = 256) -> DataFrame:
-    """The log of finished rows (conv_id, turn, role, text): an ``open`` event
-    per row and the text as streamed deltas of ``delta_chars`` characters.
+#: seq of what comes after all drafts of a conversation
+_REWRITES = 1 << 61
+
+
+def events_of(conversations: DataFrame, delta_chars: int = 256, rewrites: bool = False, learned=LEARNED) -> DataFrame:
+    """A log that folds to the rows (conv_id, turn, role, text): an ``open``
+    event per row and the text as streamed deltas of ``delta_chars`` characters.
     Turns are numbered anew by turn, role and text, so that rows that tie on
-    the turn stay apart."""
+    the turn stay apart.
+
+    With ``rewrites`` the conversation is first streamed as drafts. Then every
+    turn of a learned role is regenerated, which takes back all later turns,
+    and streamed again; every other one is opened again and its first deltas
+    come as an edit.
+    """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     rows = conversations.select("conv_id", F.row_number().over(order).cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     n = F.ceil(F.length("text") / delta_chars)
     cuts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    deltas = F.transform(cuts, lambda i: F.struct(
-        (i + 1).alias("at"), F.lit("delta").alias("kind"), F.substr(F.col("text"), (i * delta_chars + 1).cast("int"), F.lit(delta_chars)).alias("text")))
-    first = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit("open").alias("kind"), F.lit("").alias("text")))
-    x = rows.withColumn("e", F.explode(F.concat(first, deltas)))
+    base = F.lit(_REWRITES if rewrites else 0).cast("long")
+    again = F.lit(rewrites) & F.coalesce(F.col("role").isin(*learned), F.lit(False))
+
+    def event(at, kind, text):
+        return F.struct(at.alias("at"), kind.alias("kind"), text.alias("text"))
+
+    deltas = F.transform(cuts, lambda i: event(
+        base + i + 1, F.when(F.lit(rewrites) & ~again & (i == 0), F.lit("edit")).otherwise(F.lit("delta")), F.substr(F.col("text"), (i * delta_chars + 1).cast("int"), F.lit(delta_chars))))
+    first = [event(base, F.when(again, F.lit("regenerate")).otherwise(F.lit("open")), F.lit(""))]
+    if rewrites:
+        zero = F.lit(0).cast("long")
+        first = [event(zero, F.lit("open"), F.lit("")), event(zero + 1, F.lit("delta"), F.concat(F.lit("draft of "), F.substring("text", 1, delta_chars))), *first]
+    x = rows.withColumn("e", F.explode(F.concat(F.array(*first), deltas)))
     return x.select("conv_id", (F.col("turn") * F.lit(1 << 32) + F.col("e.at")).alias("seq"), "turn", F.col("e.kind").alias("kind"),
-                    F.when(F.col("e.kind") == "open", F.col("role")).alias("role"), F.col("e.text").alias("text"))
+                    F.when(F.col("e.kind") != "delta", F.col("role")).alias("role"), F.col("e.text").alias("text"))
 
 
 # ------------------------------------------------------------ render

@@ -4,9 +4,9 @@ Words are the symbols. A partition's documents are handled some megabytes at
 a time: one suffix array (prefix doubling over flat numpy arrays, only tied
 positions are sorted again) covers all documents of a slice, whose suffixes
 never tie across documents. Longest common prefixes of neighbours, found by
-descent through the doubling ranks, give the longest repeat that starts at
-each word; those that can't be extended to the left are the maximal repeats,
-and their spans are merged per document. No shuffle.
+descent through the doubling ranks, form a tree of intervals; those whose
+suffixes follow different words are the maximal repeats. Their spans are
+merged per document. No shuffle.
 """
 
 from __future__ import annotations
@@ -46,9 +46,9 @@ def suffix_array(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np
     sa = np.argsort(key, kind="stable")
     start = np.ones(n, bool)
     start[1:] = key[sa][1:] != key[sa][:-1]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)  # a slice has fewer words
     rank[n] = 0
-    rank[sa] = np.maximum.accumulate(np.where(start, np.arange(1, n + 1), 0))
+    rank[sa] = np.maximum.accumulate(np.where(start, np.arange(1, n + 1, dtype=np.int32), 0))
     ranks, h = [rank], 1
     while True:
         alone = start & np.append(start[1:], True)
@@ -74,14 +74,10 @@ def suffix_array(word: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[np
         h *= 2
 
 
-def longest_repeats(word: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
-    """For each word, the length of the longest repeat of its document that
-    starts there, 0 where it is under ``least`` words."""
-    n = len(word)
-    best = np.zeros(n, np.int64)
-    if not n:
-        return best
-    sa, ranks = suffix_array(word, doc)
+def neighbour_prefixes(sa: np.ndarray, ranks: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, words) of the neighbours in the suffix array, slot and slot + 1,
+    that share ``least`` words or more."""
+    n = len(sa)
     level = min(int(least).bit_length() - 1, len(ranks) - 1)
     if 1 << level <= least:  # neighbours that share fewer words can't reach it
         at = np.flatnonzero(ranks[level][sa[1:]] == ranks[level][sa[:-1]])
@@ -97,9 +93,76 @@ def longest_repeats(word: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray
         size += step
         i = np.minimum(i + step, n)
         j = np.minimum(j + step, n)
-    size[size < least] = 0
-    np.maximum.at(best, sa[at], size)
-    np.maximum.at(best, sa[at + 1], size)
+    keep = size >= least
+    return at[keep], size[keep]
+
+
+def prefix_intervals(at: list[int], size: list[int]) -> tuple[list, list, list, list, list]:
+    """The tree of longest-common-prefix intervals: for each one its value, its
+    first and last slot and its parent (-1: none); and for each pair of
+    neighbours the interval whose value it has."""
+    value, first, last, parent, of_pair, stack, before = [], [], [], [], [], [], -2
+
+    def close():
+        i = stack.pop()
+        last[i] = before + 1
+        parent[i] = stack[-1] if stack else -1
+        return i
+
+    for slot, n in zip(at, size):
+        lo, child = slot, -1
+        if slot != before + 1:
+            while stack:
+                close()
+        while stack and value[stack[-1]] > n:
+            child = close()
+            lo = first[child]
+        if not stack or value[stack[-1]] < n:
+            if child >= 0:
+                parent[child] = len(value)
+            stack.append(len(value))
+            value.append(n)
+            first.append(lo)
+            last.append(lo)
+            parent.append(-1)
+        of_pair.append(stack[-1])
+        before = slot
+    while stack:
+        close()
+    return value, first, last, parent, of_pair
+
+
+def longest_repeats(word: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """For each word, the length of the longest maximal repeat of its document
+    that starts there, 0 where it is under ``least`` words.
+
+    An interval's suffixes share its value and no more; the repeat is maximal
+    if the words before them differ. Where they don't, the interval one word
+    earlier has all its occurrences, and its own suffixes go to the nearest
+    maximal interval around it.
+    """
+    n = len(word)
+    best = np.zeros(n, np.int64)
+    if not n:
+        return best
+    sa, ranks = suffix_array(word, doc)
+    at, size = neighbour_prefixes(sa, ranks, least)
+    del ranks
+    if not len(at):
+        return best
+    value, first, last, parent, of_pair = (np.array(x, np.int64) for x in prefix_intervals(at.tolist(), size.tolist()))
+    # the word before each suffix; one that starts its document differs from all
+    before = np.where((sa > 0) & (doc[sa - 1] == doc[sa]), word[sa - 1], -1 - np.arange(n))
+    turns = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    length = np.where(turns[last] > turns[first], value, -1)
+    while True:  # up the tree
+        open_ = np.flatnonzero((length < 0) & (parent >= 0))
+        if not len(open_):
+            break
+        length[open_], parent[open_] = length[parent[open_]], parent[parent[open_]]
+    length = np.maximum(length, 0)[of_pair]
+    np.maximum.at(best, sa[at], length)
+    np.maximum.at(best, sa[at + 1], length)
     return best
 
 
@@ -112,12 +175,6 @@ def covered(best: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def maximal_repeats(best: np.ndarray) -> np.ndarray:
-    """Starts of repeats that no repeat one word earlier extends."""
-    before = np.append(0, best[:-1])
-    return np.flatnonzero((best > 0) & (before != best + 1))
-
-
 def spans(mask: np.ndarray) -> list[tuple[int, int]]:
     edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
@@ -141,16 +198,16 @@ def measure(texts: list, min_repeat: int = MIN_REPEAT) -> dict[str, list]:
     doc = np.repeat(np.arange(len(texts)), n_words)
     best = longest_repeats(word, doc, min(BASE_WINDOW, min_repeat))
     ends = np.cumsum(n_words)
-    base, wide, maximal = covered(best, BASE_WINDOW), covered(best, min_repeat), maximal_repeats(np.where(best >= min_repeat, best, 0))
+    base, wide, found = covered(best, BASE_WINDOW), covered(best, min_repeat), np.flatnonzero(best >= min_repeat)
 
     def per_doc(mask):
         total = np.concatenate(([0], np.cumsum(mask)))
         return (total[ends] - total[ends - np.array(n_words, np.int64)]).tolist() if len(ends) else []
 
     longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, doc[maximal], best[maximal])
+    np.maximum.at(longest, doc[found], best[found])
     span_lists = [[] for _ in texts]
-    for d in np.unique(doc[maximal]):
+    for d in np.unique(doc[found]):
         lo = ends[d] - n_words[d]
         span_lists[d] = spans(wide[lo:ends[d]])
     return {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup_lines, "n_repeat_words": per_doc(base),
@@ -174,7 +231,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
 
     A null or empty text has no word, so it fails the base rule. Rows are
     judged by themselves: ids may be null or repeat. Very long texts are
-    handled whole. Input columns named like an added one give way.
+    handled whole, one at a time. An empty table gives no rows. Input columns
+    named like an added one give way.
     """
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [(c, T.LongType()) for c in COUNTS] + [("repeat_spans", span), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]

@@ -162,7 +162,7 @@ def op9_chat_format(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(PLANTED_ID, i, r, PLANTED_TEXT) for i, r in enumerate(("user", "assistant"))], rows.schema)
     out = scratch_path(spark, "chat")
-    CH.render(CH.fold_events(CH.events_of(rows.unionByName(planted)))).write.parquet(out)
+    CH.render(CH.fold_events(CH.events_of(rows.unionByName(planted), rewrites=True))).write.parquet(out)
     return CH.read_back(spark.read.parquet(out))
 
 

@@ -90,3 +90,16 @@ def test_conversations_round_trip(spark):
         want[conv] = (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars[conv])
     assert got == want
     assert C.read_back(C.render(C.fold_events(C.events_of(df.limit(0))))).count() == 0
+
+
+def test_rewritten_log_folds_to_the_rows(spark):
+    """Drafts, edits and regenerations leave what the rows say."""
+    rows = [(1, 0, "user", "hi there, " * 9), (1, 1, "assistant", "hello " * 7), (1, 2, "user", ""), (1, 3, "assistant", None), (2, 0, "assistant", "x"),
+            (2, 1, None, "no role"), (None, 0, "user", "no id"), (3, 5, "user", "tie"), (3, 5, "user", "tie"), (3, None, "assistant", "first")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    events = C.events_of(df, delta_chars=8, rewrites=True)
+    kinds = {r.kind: r.n for r in events.groupBy("kind").count().withColumnRenamed("count", "n").collect()}
+    assert kinds["regenerate"] == 4 and kinds["edit"] == 5 and kinds["open"] == len(rows) + 6
+    got = sorted((r.conv_id or 0, r.turn, r.role, r.text) for r in C.fold_events(events.repartition(5)).collect())
+    want = sorted((r.conv_id or 0, r.turn, r.role, r.text) for r in C.fold_events(C.events_of(df, delta_chars=8)).collect())
+    assert got == want and len(got) == len(rows)

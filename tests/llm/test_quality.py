@@ -60,3 +60,44 @@ def test_operator(spark, docs):
     assert by[8]["n_symbols"] == 5 and by[8]["n_dup_lines"] == 1 and by[8]["word_chars"] == len("a#*$bsamelinehere" + "samelinehere" * 3 + "é😀\x85&&")
     assert by[9]["n_repeat_words"] == by[9]["covered_words"] == 30_000 and by[9]["longest_repeat"] == 29_999
     assert Q.quality_rules(docs([])).count() == 0
+
+
+def test_intervals_are_the_maximal_repeats():
+    """Every maximal repeated substring, and no other, is an interval whose suffixes follow different words."""
+    rng = random.Random(3)
+    for _ in range(40):
+        ws = [rng.randrange(3) for _ in range(rng.randint(2, 40))]
+        word, doc = np.array(ws), np.zeros(len(ws), np.int64)
+        sa, ranks = Q.suffix_array(word, doc)
+        at, size = Q.neighbour_prefixes(sa, ranks, 2)
+        value, first, last, parent, of_pair = Q.prefix_intervals(at.tolist(), size.tolist())
+        got = set()
+        for v, a, b in zip(value, first, last):
+            starts = sa[a:b + 1].tolist()
+            if len({ws[i - 1] if i else -1 for i in starts}) > 1 or 0 in starts:
+                got.add(tuple(ws[starts[0]:starts[0] + v]))
+        want = set()
+        for n in range(2, len(ws)):
+            where = {}
+            for i in range(len(ws) - n + 1):
+                where.setdefault(tuple(ws[i:i + n]), []).append(i)
+            for g, starts in where.items():
+                left = {ws[i - 1] if i else -1 for i in starts}
+                right = {ws[i + n] if i + n < len(ws) else -1 for i in starts}
+                if len(starts) > 1 and len(left) > 1 and len(right) > 1:
+                    want.add(g)
+        assert got == want
+        for i, p in enumerate(parent):
+            assert p < 0 or value[p] < value[i] and first[p] <= first[i] and last[i] <= last[p]
+        assert all(value[i] == n for i, n in zip(of_pair, size))
+
+
+def test_long_repetitive_text_in_bounded_memory():
+    import tracemalloc
+
+    words = np.tile(np.arange(500), 4000)  # 2 million words
+    tracemalloc.start()
+    best = Q.longest_repeats(words, np.zeros(len(words), np.int64), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best[0] == len(words) - 500 and peak < 600 * len(words)
