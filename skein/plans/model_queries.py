@@ -526,19 +526,19 @@ def _cws_logistic_accuracy(spark, sf):
     return _sketch_logistic(spark, sf, "0bitcws")
 
 
-# ------------------------------------------------------------ random Fourier features -> one-vs-rest models
-RFF_EPOCHS = 2
+# ------------------------------------------------------------ kernel features -> one-vs-rest models
+KERNEL_EPOCHS = 2
 
 
-def _rff_model_sql() -> str:
+def _kernel_model_sql(features: str) -> str:
     from skein.plans import sketch_queries as SQ
 
-    ctes, steps = sql_train(OVR_MODELS, SQ.KERNEL_K, RFF_EPOCHS, 1)
+    ctes, steps = sql_train(OVR_MODELS, SQ.KERNEL_K, KERNEL_EPOCHS, 1)
     snap = " UNION ALL ".join(f"SELECT model_id, {e} AS epoch, feature_id, w FROM w{s}" for e, b, s in steps)
     pred = """SELECT row_id, epoch, arg_max(model_id, (p, -model_id)) AS pred FROM (
         SELECT row_id, epoch, model_id, (z * 0.25 + 0.5) AS p FROM zt) t GROUP BY row_id, epoch"""
-    base = [("rf", SQ.ORACLE["rff_features"]),
-            ("fx", f"SELECT row_id, CAST(comp + 1 + CASE WHEN party = 2 THEN {SQ.KK1} ELSE 0 END AS INTEGER) AS feature_id, value FROM rf WHERE value <> 0"),
+    base = [("kf", SQ.ORACLE[features]),
+            ("fx", f"SELECT row_id, CAST(comp + 1 + CASE WHEN party = 2 THEN {SQ.KK1} ELSE 0 END AS INTEGER) AS feature_id, value FROM kf WHERE value <> 0"),
             *emb_split_sql(),
             ("tx", "SELECT f.* FROM fx f JOIN emb_split s ON f.row_id = s.row_id WHERE s.split = 'train'"),
             ("tr", "SELECT row_id, label, 0 AS batch_id, count(*) OVER () AS bsz FROM emb_split WHERE split = 'train'"),
@@ -549,22 +549,31 @@ SELECT CAST(p.epoch AS INTEGER) AS epoch, {s6('avg(CASE WHEN p.pred = r.label TH
 FROM pr p JOIN vr r ON p.row_id = r.row_id GROUP BY p.epoch"""
 
 
-@q("rff_logistic_accuracy", _rff_model_sql())
-def _rff_logistic_accuracy(spark, sf):
+def _kernel_logistic(spark, sf, features: str):
+    """Both parties' kernel features side by side, through the trainer."""
     from skein.plans import sketch_queries as SQ
     from skein.session import cut_lineage
 
-    rff = SQ.QUERIES["rff_features"](spark, sf)
-    cells = cut_lineage(rff.where(F.col("value") != 0).select(
+    cells = cut_lineage(SQ.QUERIES[features](spark, sf).where(F.col("value") != 0).select(
         "row_id", (F.col("comp") + 1 + F.when(F.col("party") == 2, SQ.KK1).otherwise(0)).cast("int").alias("feature_id"), "value"))
     rows = emb_split(spark, sf).select("row_id", "label", "split")
     train_rows, test_rows = (rows.where(F.col("split") == x).select("row_id", "label") for x in ("train", "test"))
     vec = L.vectors_from_cells(cells.join(train_rows.select("row_id"), "row_id", "left_semi"), train_rows)
-    res = L.train(vec, SQ.KERNEL_K, OVR_MODELS, FULL, RFF_EPOCHS)
+    res = L.train(vec, SQ.KERNEL_K, OVR_MODELS, FULL, KERNEL_EPOCHS)
     acc = H.ovr_epoch_accuracy(cells.join(test_rows.select("row_id"), "row_id", "left_semi"), test_rows, L.weights_frame(res), "linear")
     return acc.select("epoch", r6(F.col("accuracy")).alias("accuracy"))
 
 
+@q("rff_logistic_accuracy", _kernel_model_sql("rff_features"))
+def _rff_logistic_accuracy(spark, sf):
+    return _kernel_logistic(spark, sf, "rff_features")
+
+
+@q("tensor_sketch_logistic_accuracy", _kernel_model_sql("tensor_sketch_features"))
+def _tensor_sketch_logistic_accuracy(spark, sf):
+    return _kernel_logistic(spark, sf, "tensor_sketch_features")
+
+
 # ------------------------------------------------------------ train -> evaluate -> log -> rank
 FLOW_MODELS = [L.Model(i, sig, a, 0.0, 1.0) for i, (sig, a) in enumerate((s, a) for s in ("linear", "cube") for a in (0.1, 0.5, 2.0))]
 FLOW_EPOCHS = 3
