@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -735,6 +736,8 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
 
 # ------------------------------------------------------------------ relational weights
 CHECKPOINT_EVERY = 4
+#: steps between two passes over the whole table of weights
+BLOCK_STEPS = 16
 #: a feature with more than 1/HOT_FEATURES of all cells meets its weights by broadcast
 HOT_FEATURES = 1000
 
@@ -744,13 +747,17 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
                      decay: bool = False, shuffle_seed: int | None = None) -> TrainResult:
     """Same rule as ``train`` with the weights kept as a table (G9, §4.3 #3).
 
-    Used when d x M is too large to broadcast. A step joins the batch cells
-    with the weights on feature_id, sums z per (row, model), forms errors,
-    joins them back on row_id and sums gradients per (model, feature); the
-    update is a full outer join of weights and gradients. Features with more
-    than a thousandth of all cells (a constant column; fewer than a thousand)
-    meet their weights by broadcast, so no join key is hot. Only the M loss
-    sums reach the driver; lineage is cut every ``CHECKPOINT_EVERY`` steps.
+    Used when d x M is too large to broadcast. The weights that the next
+    ``BLOCK_STEPS`` batches can touch, those of features with cells in them,
+    are taken out of the table, and a step meets only these: it joins the
+    batch's cells with them on feature_id, sums z per (row, model), forms
+    errors, joins them back on row_id and sums gradients per (model, feature).
+    All other weights only shrink by the penalty meanwhile; one pass over the
+    table at the block's end applies the block's shrinking steps to them in
+    order and puts the touched ones back. Features with more than a thousandth
+    of all cells (a constant column; fewer than a thousand) meet their weights
+    by broadcast, so no join key is hot. Only the M loss sums reach the driver;
+    lineage is cut every ``CHECKPOINT_EVERY`` steps and with each block.
     """
     from skein.functions.activation import activation_by_name
     from skein.operators.rows import assign_batches
@@ -779,41 +786,46 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
         own = [models[i] for i in live]
         mids = F.array(*[F.lit(m.model_id).cast("bigint") for m in own])
         losses = np.zeros(len(models))
-        for b in _visits(spark, plan.n_batches, epoch, shuffle_seed):
-            B = float(plan.size(b))
-            if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
-                factor *= DECAY_FACTOR
-            bc = cells.where(F.col("batch_id") == b)
-            hot = bc.where("busy").join(F.broadcast(W.where(is_busy)), "feature_id")  # HOT_FEATURES x models weights at most
-            cold = bc.where("NOT busy").join(W.where(~is_busy), "feature_id")
-            z = hot.unionByName(cold).groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
-            grid = rows.where(F.col("batch_id") == b).select("row_id", "label", F.explode(mids).alias("model_id"))
-            e = grid.join(z, ["row_id", "model_id"], "left").join(params, "model_id")
-            zc = F.coalesce(F.col("z"), F.lit(0.0))
-            y = F.when(F.col("pos_label").isNull(), F.col("label").cast("double")).otherwise(
-                F.when(F.col("label") == F.col("pos_label"), F.lit(1.0)).otherwise(F.lit(0.0)))
-            e = e.select("row_id", "model_id", (activation_by_name(zc, F.col("act")) - y).alias("err"),
-                         ((F.lit(-0.5) * zc + y * zc - F.lit(0.125) * zc * zc) * F.lit(-1.0 / B) - F.lit(LN_HALF)).alias("lr"))
-            e = e.persist(StorageLevel.MEMORY_AND_DISK)
-            step_loss = np.zeros(len(models))
-            for r in e.groupBy("model_id").agg(F.sum("lr").alias("l")).collect():  # M numbers
-                step_loss[slot[r["model_id"]]] = r["l"]
-            losses += step_loss
-            g = bc.join(e.select("row_id", "model_id", "err"), "row_id").groupBy("model_id", "feature_id").agg(
-                F.sum(F.col("err") * F.col("value")).alias("g"))
-            upd = W.join(g, ["model_id", "feature_id"], "full_outer").join(params, "model_id")
-            w0 = F.coalesce(F.col("w"), F.lit(0.0))
-            pen = (F.when(F.col("penalty").isin("always", "l2"), w0)
-                   .when(F.col("penalty") == "l1", F.signum(w0)).otherwise(F.lit(0.0)))
-            a = F.col("alpha") * F.lit(factor)
-            neww = w0 - F.col("c") * a * F.coalesce(F.col("g"), F.lit(0.0)) / F.lit(B) - F.col("lam") * a * pen / F.lit(B)
-            W = upd.select("model_id", "feature_id", neww.alias("w"))
-            step_no += 1
-            if step_no % CHECKPOINT_EVERY == 0:
-                W = cut_lineage(W)
-            e.unpersist()
-            res.add_steps([m.model_id for m in own], epoch, np.full(len(own), b), step_loss[live], [m.alpha * factor for m in own])
-        W = cut_lineage(W)
+        for block in _blocks(_visits(spark, plan.n_batches, epoch, shuffle_seed), BLOCK_STEPS):
+            in_block = cells.where(F.col("batch_id").isin(block))
+            touched = in_block.select("feature_id").distinct()
+            near = cut_lineage(W.join(touched, "feature_id", "left_semi"))
+            shrink = []  # step size and batch size of each step, for the weights that it doesn't touch
+            for b in block:
+                B = float(plan.size(b))
+                if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
+                    factor *= DECAY_FACTOR
+                shrink.append(factor / B)
+                bc = in_block.where(F.col("batch_id") == b)
+                hot = bc.where("busy").join(F.broadcast(near.where(is_busy)), "feature_id")  # HOT_FEATURES x models weights at most
+                cold = bc.where("NOT busy").join(near.where(~is_busy), "feature_id")
+                z = hot.unionByName(cold).groupBy("row_id", "model_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
+                grid = rows.where(F.col("batch_id") == b).select("row_id", "label", F.explode(mids).alias("model_id"))
+                e = grid.join(z, ["row_id", "model_id"], "left").join(params, "model_id")
+                zc = F.coalesce(F.col("z"), F.lit(0.0))
+                y = F.when(F.col("pos_label").isNull(), F.col("label").cast("double")).otherwise(
+                    F.when(F.col("label") == F.col("pos_label"), F.lit(1.0)).otherwise(F.lit(0.0)))
+                e = e.select("row_id", "model_id", (activation_by_name(zc, F.col("act")) - y).alias("err"),
+                             ((F.lit(-0.5) * zc + y * zc - F.lit(0.125) * zc * zc) * F.lit(-1.0 / B) - F.lit(LN_HALF)).alias("lr"))
+                e = e.persist(StorageLevel.MEMORY_AND_DISK)
+                step_loss = np.zeros(len(models))
+                for r in e.groupBy("model_id").agg(F.sum("lr").alias("l")).collect():  # M numbers
+                    step_loss[slot[r["model_id"]]] = r["l"]
+                losses += step_loss
+                g = bc.join(e.select("row_id", "model_id", "err"), "row_id").groupBy("model_id", "feature_id").agg(
+                    F.sum(F.col("err") * F.col("value")).alias("g"))
+                both = near.join(g, ["model_id", "feature_id"], "full_outer").join(params, "model_id")
+                w = F.coalesce(F.col("w"), F.lit(0.0))
+                move = F.col("c") * F.col("alpha") * F.lit(factor) * F.coalesce(F.col("g"), F.lit(0.0)) / F.lit(B)
+                near = both.select("model_id", "feature_id", (_shrunk(w, F.lit(factor / B)) - move).alias("w"))
+                step_no += 1
+                if step_no % CHECKPOINT_EVERY == 0 or b == block[-1]:
+                    near = cut_lineage(near)
+                e.unpersist()
+                res.add_steps([m.model_id for m in own], epoch, np.full(len(own), b), step_loss[live], [m.alpha * factor for m in own])
+            far = W.join(touched, "feature_id", "left_anti").join(params, "model_id").select(
+                "model_id", "feature_id", F.aggregate(F.array(*map(F.lit, shrink)), F.col("w"), _shrunk).alias("w"))
+            W = cut_lineage(far.unionByName(near))
         loss = losses[live] / max(n, 1)
         converged = _monitor(res, epoch, own, loss, prev[live], eps)
         prev[live] = loss
@@ -831,6 +843,20 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
     return res
 
 
+def _blocks(visits, size: int):
+    """The batch ids of an epoch in lists of at most ``size``."""
+    it = iter(visits)
+    while block := list(islice(it, size)):
+        yield block
+
+
+def _shrunk(w, a):
+    """A weight after the penalty of one step; ``a`` is the step's decay over
+    its batch size, the rest are columns of the model's parameters."""
+    pen = F.when(F.col("penalty").isin("always", "l2"), w).when(F.col("penalty") == "l1", F.signum(w)).otherwise(F.lit(0.0))
+    return w - F.col("lam") * F.col("alpha") * a * pen
+
+
 def _visits(spark, n_batches: int, epoch: int, seed: int | None):
     """Batch ids of an epoch, in the order of ``rows.shuffle_batches``."""
     if seed is None or epoch == 1:

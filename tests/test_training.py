@@ -303,3 +303,29 @@ def test_shuffled_order_of_batches_above_a_chunk(spark, monkeypatch):
     want = L.train(vec, 3, [L.Model(0, "cube", 0.4)], 5, 3, shuffle_seed=4).matrix()
     monkeypatch.setattr(L, "ROWS_PER_CHUNK", 2)
     assert np.allclose(L.train(vec, 3, [L.Model(0, "cube", 0.4)], 5, 3, shuffle_seed=4).matrix(), want, rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("block", [2, 16])
+def test_relational_weights_out_of_the_block(spark, monkeypatch, block):
+    """Features without cells in a block of steps only shrink, under every
+    penalty, and the weights of a block's features are all that its steps read."""
+    monkeypatch.setattr(L, "BLOCK_STEPS", block)
+    rng = np.random.RandomState(11)
+    n, d, batch = 10, 6, 2
+    Z = np.zeros((n, d))
+    for i in range(n):  # batch b has features b and 5 only
+        Z[i, i // batch], Z[i, 5] = 1 + rng.rand(), rng.rand()
+    y = rng.randint(0, 2, n)
+    rows = [(i, int(y[i]), [int(f) + 1 for f in np.flatnonzero(Z[i])], [float(v) for v in Z[i][Z[i] != 0]]) for i in range(n)]
+    vec = spark.createDataFrame(rows, "row_id long, label int, idx array<int>, val array<double>")
+    models = [L.Model(i, a, 0.3, 0.7, 1.5, p) for i, (a, p) in enumerate([("linear", "always"), ("cube", "l1"), ("origin", "none"), ("linear", "l2")])]
+    want = np.zeros((d, len(models)))
+    for _ in range(2):
+        for s in range(0, n, batch):
+            for m, mod in enumerate(models):
+                w = want[:, m]
+                err = activation_np(Z[s:s + batch] @ w, mod.activation) - y[s:s + batch]
+                pen = {"always": w, "l2": w, "l1": np.sign(w), "none": 0 * w}[mod.penalty]
+                want[:, m] = w - mod.c * mod.alpha * (Z[s:s + batch].T @ err) / batch - mod.lambda_para * mod.alpha * pen / batch
+    got = L.train_relational(vec, d, models, batch, 2).matrix()
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
