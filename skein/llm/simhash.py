@@ -6,7 +6,8 @@ stands for all its variants within half the radius; equal variants meet in one
 task and their owners are verified and linked. The variants are dealt out in
 two steps. The shuffle key is a variant's first bits: a fingerprint is sent
 once to every prefix that some variant of it has (56 rows for 10 bits instead
-of 2,081 variants). The task of a prefix completes the variants there, as flat
+of 2,081 variants); a prefix that too many reach gives way to longer ones, so no
+task gets a large share of all. The task of a prefix completes the variants there, as flat
 numpy arrays, splitting by more bits whenever they would not fit, sorts them
 and links the owners of equal ones. Nothing is approximated: a variant is made
 in the one task whose prefix it has.
@@ -32,6 +33,8 @@ SHINGLE, MAX_BITS = 4, 4
 VARIANTS = 1 << 22
 #: distinct fingerprints per shuffle prefix, on average
 PER_PREFIX = 256
+#: fingerprints that a prefix may have before it is dealt out by STEP more bits
+LOAD, STEP = 1 << 18, 8
 
 _hash = xxhash.xxh64_intdigest
 
@@ -170,28 +173,85 @@ def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root[jump] = root[root[jump]]
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, per_prefix: int = PER_PREFIX) -> DataFrame:
-    """(fp) distinct -> (a, b): links that connect exactly the fingerprints
-    which chains of at most ``max_bits`` differing bits connect."""
-    n = fps.count()
-    bits = min(max((max(n, 1) // per_prefix).bit_length(), 6), 24)
-    reach = masks(bits, (max_bits + 1) // 2)
+class Deal:
+    """Where a fingerprint's variants are: the prefixes of ``bits`` bits that it
+    reaches with the flips it may make, or, for prefixes in ``overfull`` (a
+    sorted array per level), their extensions by ``STEP`` more bits."""
+
+    def __init__(self, bits: int, half: int, overfull: list[np.ndarray]):
+        self.bits, self.overfull = bits, overfull
+        self.reach, self.more = masks(bits, half), [masks(STEP, w) for w in range(half + 1)]
+        self.left = half - np.bitwise_count(self.reach).astype(np.int64)
+
+    def levels(self, fp: np.ndarray):
+        """Per level: its bits, the prefixes that are not overfull, the fingerprint of each."""
+        prefix = ((fp >> np.uint64(64 - self.bits))[:, None] ^ self.reach).ravel()
+        fp, left, bits = np.repeat(fp, len(self.reach)), np.tile(self.left, len(fp)), self.bits
+        for over in self.overfull:
+            at = np.minimum(np.searchsorted(over, prefix), len(over) - 1)
+            full = over[at] == prefix
+            yield bits, prefix[~full], fp[~full]
+            prefix, fp, left, bits = prefix[full], fp[full], left[full], bits + STEP
+            parts = []
+            for w, m in enumerate(self.more):
+                own = left == w
+                tail = (fp[own] >> np.uint64(64 - bits)) & np.uint64((1 << STEP) - 1)
+                parts.append((((prefix[own] << np.uint64(STEP))[:, None] | (tail[:, None] ^ m)).ravel(),
+                              np.repeat(fp[own], len(m)), (w - np.bitwise_count(np.tile(m, int(own.sum()))).astype(np.int64))))
+            prefix, fp, left = (np.concatenate(x) for x in zip(*parts))
+        yield bits, prefix, fp
+
+    def rows(self, last_only: bool = False):
+        """mapInArrow body: (bits, prefix, fp), of the last level or of all."""
+
+        def run(batches):
+            for batch in batches:
+                for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                    for level, (bits, prefix, fp) in enumerate(self.levels(part.column(0).to_numpy().view(np.uint64))):
+                        if len(fp) and (level == len(self.overfull) or not last_only):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), bits, np.int32)), pa.array(prefix.view(np.int64)), pa.array(fp.view(np.int64))],
+                                                             names=["bits", "prefix", "fp"])
+
+        return run
+
+
+_DEALT = "bits int, prefix long, fp long"
+
+
+def overfull_prefixes(fps: DataFrame, n: int, bits: int, half: int, load: int) -> list[np.ndarray]:
+    """Prefixes that more than ``load`` of the ``n`` fingerprints reach, and of
+    their extensions those that are still so, level by level. A level has less
+    than 2**20 of them, as the bound rises with all there is to deal out."""
+    reach = masks(bits, half)
+    own = fps.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("p")).agg(F.count("*").alias("n"))
+    loads = own.select(F.explode(F.array(*[F.col("p").bitwiseXOR(F.lit(int(m))) for m in reach])).alias("prefix"), "n").groupBy("prefix").agg(F.sum("n").alias("n"))
+    load = max(load, (n * len(masks(64, half))) >> 20)
+    found = []
+    while True:
+        over = np.sort(loads.where(F.col("n") > load).select("prefix").toArrow().column(0).to_numpy()).astype(np.uint64)
+        if not len(over) or bits + STEP > 56:
+            return found
+        found.append(over)
+        bits += STEP
+        loads = fps.mapInArrow(Deal(bits - STEP * len(found), half, found).rows(last_only=True), _DEALT).groupBy("prefix").agg(F.count("*").alias("n"))
 
-    def deal(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                fp = part.column(0).to_numpy().view(np.uint64)
-                prefix = ((fp >> np.uint64(64 - bits))[:, None] ^ reach).ravel().astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(np.repeat(fp.view(np.int64), len(reach)))], names=["prefix", "fp"])
 
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, per_prefix: int = PER_PREFIX, load: int = LOAD) -> DataFrame:
+    """(fp) distinct -> (a, b): links that connect exactly the fingerprints
+    which chains of at most ``max_bits`` differing bits connect. A prefix that
+    more than ``load`` fingerprints reach, as where a large family of near
+    copies shares its first bits, is dealt out by more bits."""
+    fps = fps.select("fp")
+    n, half = fps.count(), (max_bits + 1) // 2
+    bits = min(max((max(n, 1) // per_prefix).bit_length(), 6), 24)
     ball = Ball(max_bits)
 
     def match(key, group):
-        a, b = ball.forest(group.column("fp").to_numpy().view(np.uint64), key[0].as_py(), bits)
+        a, b = ball.forest(group.column("fp").to_numpy().view(np.uint64), key[1].as_py(), key[0].as_py())
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    dealt = fps.select("fp").mapInArrow(deal, "prefix int, fp long")
-    return dealt.groupBy("prefix").applyInArrow(match, "a long, b long")
+    deal = Deal(bits, half, overfull_prefixes(fps, n, bits, half, load))
+    return fps.mapInArrow(deal.rows(), _DEALT).groupBy("bits", "prefix").applyInArrow(match, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -223,4 +283,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and go together; rows without an id can't be told apart, so they stay."""
     groups = simhash_groups(docs, id_col, text_col, k, max_bits)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
+    named = docs.where(docs[id_col].isNotNull())
+    # a task holds its even share of the ids that go (distinct), and streams texts
+    stay = named.join(gone.hint("shuffle_hash"), named[id_col] == gone["__gone"], "left_anti")
+    return stay.unionByName(docs.where(docs[id_col].isNull()))

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from skein.llm import simhash as S
@@ -63,6 +65,29 @@ def test_links_equal_all_pairs(spark, monkeypatch):
         assert groups(got) == groups(want), (radius, per_prefix)
 
 
+def test_prefixes_that_hold_a_large_family(spark):
+    """A third of all fingerprints shares its first 40 bits: its prefixes are
+    dealt out by more bits, no group is large, and no link is lost."""
+    rng = random.Random(9)
+    family = rng.getrandbits(40) << 24
+    fps = list({family | rng.getrandbits(12) << 6 for _ in range(600)} | {rng.getrandbits(64) for _ in range(1200)})
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    _, want = plain_components(fps, fps, 4)
+    for radius, load in ((4, 150), (3, 100)):
+        over = S.overfull_prefixes(df, len(fps), 6, (radius + 1) // 2, load)
+        assert len(over) > 3
+        rows = [x for b in S.Deal(6, (radius + 1) // 2, over).rows()([pa.record_batch([pa.array(np.array(fps, np.uint64).view(np.int64))], ["fp"])]) for x in b.select(["bits", "prefix"]).to_pylist()]
+        loads = Counter(tuple(r.values()) for r in rows)
+        assert all(n <= load for (bits, _), n in loads.items() if bits < 6 + 8 * len(over))
+        roots = {r.node: r.root for r in star_components(S.near_links(df, radius, 256, load)).collect()}
+        if radius == 3:
+            _, want = plain_components(fps, fps, 3)
+        as_long = [int(np.uint64(f).astype(np.int64)) for f in fps]
+        marks = [roots.get(f, f) for f in as_long]
+        groups = lambda m: sorted(sorted(i for i in range(len(m)) if m[i] == x) for x in set(m))
+        assert groups(marks) == groups(want)
+
+
 def test_odd_radii_link_by_the_nearest_owner(spark, monkeypatch):
     # at a variant, two owners at the upper half of an odd radius are too far apart
     x = 2 ** 64 - 1
