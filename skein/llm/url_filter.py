@@ -37,6 +37,8 @@ UNSEEN = 1 / 256
 HELD_OUT = 5
 #: bins of the calibration's histogram, between -CLIP and CLIP
 BINS, CLIP = 4096, 8.0
+#: log ratios are added as whole multiples of 1 / SCALE, in any order alike
+SCALE = 1e9
 #: least calibrated probability of acceptance of an allowed URL
 ACCEPT = 0.5
 
@@ -177,7 +179,8 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.count_if(F.col("trains") == "allow").alias("n_a"), F.count_if(F.col("trains") == "block").alias("n_r"), F.count("*").alias("uses"))
     ratios = cut_lineage(log_ratios(cut_lineage(grams), order))
     total = ratios.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
-    sums = lookup(each.select("row", "gram"), ratios, "gram", "uses", total).groupBy("row").agg(F.avg("ratio").alias("score"))
+    sums = lookup(each.select("row", "gram"), ratios, "gram", "uses", total).groupBy("row").agg(
+        (F.sum(F.round(F.col("ratio") * SCALE).cast("long")) / (F.count("*") * SCALE)).alias("score"))
     scored = cut_lineage(judged.join(sums, "row", "left").select("id", "host", "path", "rule", "by_rule", "held", "score"))
 
     bin_ = F.least(F.greatest(F.floor((F.col("score") + CLIP) / (2 * CLIP / BINS)), F.lit(0)), F.lit(BINS - 1))
