@@ -72,3 +72,31 @@ def test_mixed_documents(spark, docs):
         for t in texts:
             assert r.text.startswith(t)
     assert set(by) <= set(plan) and mixed[0].__fields__ == df.columns
+
+
+@pytest.mark.parametrize("point_bytes", [M.POINT_BYTES, 0])
+def test_cut_points(spark, docs, monkeypatch, point_bytes):
+    """Repeated ids and null ids at, before and after the cuts; a hot source;
+    cut points as one broadcast table or looked up."""
+    monkeypatch.setattr(M, "POINT_BYTES", point_bytes)
+    rows = [(i % 70, f"{i} " + "w " * (i % 7), ["hot", "hot", "b", None, "d"][i % 5]) for i in range(300)]
+    rows += [(None, "null id " * (i % 4), "hot" if i % 2 else None) for i in range(40)] + [(5, "same row here", "hot")] * 9 + [(900, "  ", "blank"), (901, None, "blank")]
+    df = docs(rows).drop("size", "target")
+    want, got = {}, {}
+    for r in M.mix(df).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    mixed = M.mixed_documents(df).collect()
+    for r in mixed:
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == {s: n for s, n in want.items() if n}
+    # per (source, id, size), where mix orders alike
+    words = {}
+    for r in M.mix(df).collect():
+        k = r.source, r.doc_id
+        words[k] = words.get(k, 0) + r.taken
+    for r in mixed:
+        words[r.source, r.doc_id] -= len(r.text.split())
+    assert not any(words.values())
+    parts = [r for r in mixed if r.text not in {t for _, t, _ in rows}]
+    assert len(parts) <= 4
+    assert M.mixed_documents(docs([])).count() == 0
