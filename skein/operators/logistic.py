@@ -10,6 +10,8 @@ read them straight from Arrow list buffers (``mapInArrow``).
   the chunk's end cuts is carried over as its partial gradient. Models are
   independent, so their groups read the same chunk side by side. Jobs =
   epochs x chunks; a task holds one Arrow batch and its models' weights.
+* Shuffled order of batches: the rows are written once, in order, and an
+  epoch is a list of row ranges that its tasks read; nothing is shuffled again.
 * Linear models: a batch maps the weights affinely, so chunks return one map
   each, all tasks side by side, and following the maps gives every chunk the
   weights it starts from; only that follows the order.
@@ -40,6 +42,7 @@ from skein.functions.activation import activation_np, canonical
 from skein.functions.hashing import h32
 from skein.operators.hotjoin import join_by_key
 from skein.session import cut_lineage, scratch_path, ship_package
+from skein.sources.rowranges import RowRanges, write_ranges
 
 # Fixed values (must equal the reference's training rule):
 #   Taylor loss per row   (-1/2 z + y z - 1/8 z^2) * (-1/B) - ln(1/2)
@@ -391,10 +394,10 @@ def _ship(spark, value, nbytes: int):
 @dataclass
 class Prepared:
     """Rows laid out for training: ``mode`` full (one batch), stream (chunks
-    in row order) or steps (a folder per batch)."""
+    in row order), ranges (batches in any order) or steps (a folder per batch)."""
 
     mode: str
-    data: DataFrame
+    data: DataFrame | RowRanges
     n_rows: int
     batch_size: int
     chunks: int = 0
@@ -419,8 +422,9 @@ def _in_chunks(vec: DataFrame, n: int, order: list[str], rows_per_chunk: int) ->
     return spark.read.parquet(path), chunks
 
 
-def prepare(vec: DataFrame, batch_size: int, rows_per_chunk: int | None = None) -> Prepared:
-    """Lay the rows out for batches of ``batch_size`` in row_id order.
+def prepare(vec: DataFrame, batch_size: int, rows_per_chunk: int | None = None, shuffled: bool = False) -> Prepared:
+    """Lay the rows out for batches of ``batch_size`` in row_id order (B7),
+    visited in that order or, if ``shuffled``, in any.
 
     Batches are contiguous in row order, so every batch has ``batch_size``
     rows except the last (the remainder); sizes follow from the row count.
@@ -433,6 +437,10 @@ def prepare(vec: DataFrame, batch_size: int, rows_per_chunk: int | None = None)
         want = max(1, -(-n // ROWS_PER_CHUNK))
         spread = vec if vec.rdd.getNumPartitions() >= want else vec.repartition(want)
         return Prepared("full", spread.persist(StorageLevel.MEMORY_AND_DISK), n, max(batch_size, 1))
+    if batch_size <= ROWS_PER_CHUNK and shuffled:
+        # records of a quarter of a batch: of five that a batch may touch, four are its own
+        data = write_ranges(vec.select("row_id", "label", "idx", "val"), "row_id", max(1, -(-n // (rows_per_chunk or ROWS_PER_CHUNK))), max(1, batch_size // 4))
+        return Prepared("ranges", data, n, batch_size)
     if batch_size <= ROWS_PER_CHUNK:
         data, chunks = _in_chunks(vec, n, ["row_id"], rows_per_chunk or ROWS_PER_CHUNK)
         return Prepared("stream", data, n, batch_size, chunks)
@@ -456,21 +464,38 @@ def _update(W: np.ndarray, g: np.ndarray, B: int, models: list[Model], alphas: n
     return new
 
 
-def _epoch_stream(spark, data, order, plan: Prepared, chunks, models, W, alphas, epoch, decay, res):
+def _in_order(ranges: RowRanges, visits: list[int], batch_size: int, stream):
+    """mapInArrow body: ``stream`` over the rows of the batches visited."""
+    import pyarrow as pa
+
+    def rows():
+        for b in visits:
+            for part in ranges.read(b * batch_size, min((b + 1) * batch_size, ranges.n_rows)):
+                yield part.append_column("batch_id", pa.array(np.full(part.num_rows, b)))
+
+    return lambda _: stream(rows())
+
+
+def _epoch_stream(spark, plan: Prepared, visits, rows_per_chunk: int, models, W, alphas, epoch, decay, res):
     """One epoch over chunks in order: one job per chunk, one task per group
-    of models in it."""
+    of models in it. A chunk is a folder of the table or, in mode ranges, a
+    stretch of the batches in the order of ``visits``."""
     width, M = W.shape
     groups = [(i, models[i:i + MODELS_PER_TASK]) for i in range(0, M, MODELS_PER_TASK)]
     g, loss, losses, seen, pos = np.zeros(W.shape), np.zeros(M), np.zeros(M), 0, 0
-    ids = "batch_id" in data.columns
-    for c in range(chunks):
-        rows = data.where(F.col("chunk") == c).coalesce(1).sortWithinPartitions(*order).select("label", "idx", "val", *["batch_id"] * ids)
+    ids = plan.mode == "ranges"
+    size = max(1, rows_per_chunk // plan.batch_size)  # batches
+    visits = iter(visits)
+    for c in range(-(-plan.n_batches // size) if ids else plan.chunks):
+        own = list(islice(visits, size)) if ids else None
+        rows = spark.range(0, 1, 1, 1) if ids else plan.data.where(F.col("chunk") == c).coalesce(1).sortWithinPartitions("row_id").select("label", "idx", "val")
         shipped, job = [], None
         for i, part in groups:
             cols = slice(i, i + len(part))
             state = {"W": W[:, cols], "alphas": alphas[cols], "g": g[:, cols], "loss": loss[cols], "seen": seen, "pos": pos}
             shipped.append(_ship(spark, state, 2 * W[:, cols].nbytes))
-            one = rows.mapInArrow(_stream_fn(part, i, shipped[-1], epoch, decay, plan.batch_size, plan.n_rows, ids), _STREAM)
+            stream = _stream_fn(part, i, shipped[-1], epoch, decay, plan.batch_size, plan.n_rows, ids)
+            one = rows.mapInArrow(_in_order(plan.data, own, plan.batch_size, stream) if ids else stream, _STREAM)
             job = one if job is None else job.unionByName(one)
         got = job.toArrow()  # per model: its weights, a loss per batch
         for x in shipped:
@@ -687,39 +712,31 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
     training alone. ``decay`` applies alpha *= 0.95 before every batch update
     of an epoch e > 1 with e % 10 == 0.
     With ``shuffle_seed`` the batches of every epoch but the first are visited
-    in the order of ``rows.shuffle_batches``; batches above ``ROWS_PER_CHUNK``
-    rows are tables of their own, read in that order. Linear models with few
+    in the order of ``rows.shuffle_batches``: the rows are written once and
+    every epoch reads their ranges; batches above ``ROWS_PER_CHUNK`` rows are
+    tables of their own, read in that order. Linear models with few
     enough features take an epoch's chunks side by side (``_epoch_affine``);
     others follow the chunks one by one.
     """
-    from skein.operators.rows import assign_batches
-
     models = [Model(**{**vars(m), "activation": canonical(m.activation)}) for m in models]
     spark = vec.sparkSession
     ship_package(spark)
     M = len(models)
     if width * M * 8 > MAX_BROADCAST_BYTES:
         return train_relational(vec, width, models, batch_size, max_iter, snapshot_epochs, eps, stop_on_converge, decay, shuffle_seed)
-    plan = prepared or prepare(vec, batch_size, rows_per_chunk)
-    batched = None
-    if shuffle_seed is not None and plan.mode == "stream":
-        batched = assign_batches(vec, batch_size).drop("pos")  # checkpointed in order
+    shuffled = shuffle_seed is not None
+    plan = prepared if prepared and not (shuffled and prepared.mode == "stream") else prepare(vec, batch_size, rows_per_chunk, shuffled)
     W, alphas = np.zeros((width, M)), np.array([m.alpha for m in models], dtype=float)
     res, prev, live = TrainResult(spark, models, width), np.zeros(M), list(range(M))
     for epoch in range(1, max_iter + 1):
         own = [models[i] for i in live]
-        if plan.mode != "stream":
-            visits = _visits(spark, plan.n_batches, epoch, shuffle_seed)
+        visits = None if plan.mode == "stream" else _visits(spark, plan.n_batches, epoch, shuffle_seed)
+        if plan.mode in ("full", "steps"):
             W[:, live], alphas[live], losses = _epoch_steps(spark, plan, own, W[:, live], alphas[live], epoch, decay, res, visits)
-        elif plan.chunks > 1 and (batched is None or epoch == 1) and _affine(own, width):
+        elif plan.mode == "stream" and plan.chunks > 1 and _affine(own, width):
             W[:, live], alphas[live], losses = _epoch_affine(spark, plan, own, W[:, live], alphas[live], epoch, decay, res)
         else:
-            data, chunks, order = plan.data, plan.chunks, ["row_id"]
-            if batched is not None and epoch > 1:
-                order = ["visit_key", "batch_id", "row_id"]
-                keyed = batched.withColumn("visit_key", h32(F.lit(shuffle_seed), F.lit(epoch), F.col("batch_id")))
-                data, chunks = _in_chunks(keyed, plan.n_rows, order, rows_per_chunk or ROWS_PER_CHUNK)
-            W[:, live], alphas[live], losses = _epoch_stream(spark, data, order, plan, chunks, own, W[:, live], alphas[live], epoch, decay, res)
+            W[:, live], alphas[live], losses = _epoch_stream(spark, plan, visits or (), rows_per_chunk or ROWS_PER_CHUNK, own, W[:, live], alphas[live], epoch, decay, res)
         loss = losses / max(plan.n_rows, 1)
         converged = _monitor(res, epoch, own, loss, prev[live], eps)
         prev[live] = loss

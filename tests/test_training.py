@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.activation import activation_np
 from skein.operators import logistic as L
+from skein.operators import rows as R
 
 X = np.array([[1.0, 0.0, 2.0], [0.5, 1.0, 0.0], [0.0, 0.0, 0.0], [2.0, 1.0, 1.0],
               [1.0, 1.0, 1.0], [0.0, 3.0, 0.5], [1.5, 0.0, 0.5]])
@@ -329,3 +330,28 @@ def test_relational_weights_out_of_the_block(spark, monkeypatch, block):
                 want[:, m] = w - mod.c * mod.alpha * (Z[s:s + batch].T @ err) / batch - mod.lambda_para * mod.alpha * pen / batch
     got = L.train_relational(vec, d, models, batch, 2).matrix()
     assert np.allclose(got, want, rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("batch, chunk", [(4, 8), (7, 16), (1, 5), (10, 10)])
+def test_shuffled_epochs_write_the_rows_once(spark, monkeypatch, batch, chunk):
+    """Batches cut by files and records, visited in the hashed order, against
+    the update rule on that order; one layout serves all epochs."""
+    from skein.sources import rowranges as RR
+
+    n, epochs, rng = 43, 5, np.random.RandomState(11)
+    X, y = rng.rand(n, 3) * (rng.rand(n, 3) < 0.8), rng.randint(0, 2, n)
+    vec = L.vectors_from_wide(spark.createDataFrame([(3 * int(i) + 1, int(y[i]), [float(v) for v in X[i]]) for i in rng.permutation(n)], "row_id long, label int, features array<double>"))
+    written, write = [], L.write_ranges
+    monkeypatch.setattr(L, "write_ranges", lambda *a: written.append(write(*a)) or written[-1])
+    monkeypatch.setattr(L, "_in_chunks", None)
+    monkeypatch.setattr(RR, "OPEN_FILES", 2)
+    models = [L.Model(0, "linear", 0.2, 0.5, 0.7), L.Model(1, "linear", 0.05, 1.0, 1.0, "l2")]
+    res = L.train(vec, 3, models, batch, epochs, shuffle_seed=9, rows_per_chunk=chunk)
+    assert len(written) == 1 and written[0].n_rows == n and len(written[0].files) > 1
+    order = {(r.epoch, r.visit): r.batch_id for r in R.shuffle_batches(spark.range(-(-n // batch)).selectExpr("int(id) batch_id"), epochs, 9).collect()}
+    W, alphas = np.zeros((3, 2)), np.array([m.alpha for m in res.models])
+    for (_, _), b in sorted(order.items()):
+        own = slice(b * batch, min(n, (b + 1) * batch))
+        err = L._activate(X[own] @ W, res.models) - y[own, None]
+        W = L._update(W, X[own].T @ err, len(y[own]), res.models, alphas)
+    assert np.allclose(res.matrix(), W, rtol=0, atol=1e-12)
