@@ -4,17 +4,18 @@ Row vectors are stored sparse-by-row: ``vec(row_id, label, idx ARRAY<INT>,
 val ARRAY<DOUBLE>)`` (dense rows simply list every index); the numpy kernels
 read them straight from Arrow list buffers (``mapInArrow``).
 
-* Mini-batch: one range shuffle writes the rows, in order, as chunks of a
-  table in the shared folder. A chunk streams through one task per group of
+* Mini-batch: one range shuffle writes the rows, in order, as files in the
+  shared folder; a chunk is a range of positions. It streams through one task per group of
   models, which applies the exact update rule batch after batch; a batch that
   the chunk's end cuts is carried over as its partial gradient. Models are
   independent, so their groups read the same chunk side by side. Jobs =
   epochs x chunks; a task holds one Arrow batch and its models' weights.
 * Shuffled order of batches: the rows are written once, in order, and an
   epoch is a list of row ranges that its tasks read; nothing is shuffled again.
-* Linear models: a batch maps the weights affinely, so chunks return one map
-  each, all tasks side by side, and following the maps gives every chunk the
-  weights it starts from; only that follows the order.
+* Linear models: a batch maps the weights affinely, so every task returns one
+  map for its run of chunks, all side by side, and following the maps gives
+  every run the weights it starts from; only that follows the order. Two jobs
+  an epoch, up to ``MAX_WAVE`` tasks of ``ROWS_PER_CHUNK`` rows.
 * Full batch, or batches larger than a chunk: every partition returns one
   partial X^T E and loss sum for all M models, summed by a ``groupBy``; the
   driver applies W <- W - C*alpha*g/B - lambda*alpha*W/B.
@@ -65,8 +66,11 @@ TILE_VALUES = 1 << 20
 GROUP_BYTES = 64 << 20
 #: numbers in the maps of a chunk of linear models: models x width x width
 AFFINE_VALUES = 1 << 16
-#: chunks whose maps are made at the same time, at most
+#: tasks whose maps are made at the same time, at most
 MAX_WAVE = 256
+#: rows of a record in the files of rows in order, and of the Arrow batches that a task takes them in
+RECORD_ROWS = 1 << 12
+READ_ROWS, READ_BYTES = 1 << 14, 1 << 24
 INLINE_WEIGHT_BYTES = 1 << 20
 LN_HALF = math.log(0.5)
 
@@ -177,11 +181,16 @@ class TrainResult:
                                          "batch_id": np.asarray(batch_id, np.int64), "batch_loss": np.asarray(loss, float), "alpha": np.asarray(alpha, float)}))
         if sum(map(len, self._steps)) > STEP_RECORDS:
             self._written_steps = self._written_steps or scratch_path(self.spark, "steps")
-            self.spark.createDataFrame(pd.concat(self._steps), _STEPS).write.mode("append").parquet(self._written_steps)
+            self._step_table().write.mode("append").parquet(self._written_steps)
             self._steps = []
 
+    def _step_table(self) -> DataFrame:
+        import pyarrow as pa
+
+        return self.spark.createDataFrame(pa.Table.from_pandas(pd.concat(self._steps), preserve_index=False), _STEPS)
+
     def steps_frame(self) -> DataFrame:
-        local = self.spark.createDataFrame(pd.concat(self._steps), _STEPS) if self._steps else None
+        local = self._step_table() if self._steps else None
         written = self.spark.read.parquet(self._written_steps) if self._written_steps else None
         if local is None and written is None:
             return self.spark.createDataFrame([], _STEPS)
@@ -258,6 +267,13 @@ def _add_gradient(g: np.ndarray, fi: np.ndarray, fv: np.ndarray, row_of: np.ndar
         np.add.at(g, fi[t], err[row_of[t]] * fv[t][:, None])
 
 
+def _dense_rows(n: int, width: int, fi: np.ndarray, fv: np.ndarray) -> np.ndarray | None:
+    """The values as rows x width, if every row lists all features in order."""
+    if len(fi) != n * width or not (fi.reshape(n, width) == np.arange(width)).all():
+        return None
+    return fv.reshape(n, width)
+
+
 def _row_slices(batch, n_models: int):
     """Slices of an Arrow batch whose rows x models values fit ``TILE_VALUES``."""
     step = max(1, TILE_VALUES // max(n_models, 1))
@@ -343,7 +359,8 @@ def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool,
             fi_all, row_all = _flat(batch, "idx")
             fv_all, _ = _flat(batch, "val")
             fi_all, fv_all = fi_all.astype(np.int64) - 1, fv_all.astype(np.float64)
-            cut = np.searchsorted(row_all, np.arange(n + 1))
+            dense = _dense_rows(n, W.shape[0], fi_all, fv_all)
+            cut = np.searchsorted(row_all, np.arange(n + 1)) if dense is None else None
             y_all = _targets(batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float), models)
             own = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False) if ids else None
             i = 0
@@ -351,10 +368,16 @@ def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool,
                 b = int(own[i]) if ids else pos // batch_size
                 B = min(batch_size, n_rows - b * batch_size)
                 j = min(n, i + B - seen)
-                fi, fv, row_of, y = fi_all[cut[i]:cut[j]], fv_all[cut[i]:cut[j]], row_all[cut[i]:cut[j]] - i, y_all[i:j]
-                z = _scores_flat(j - i, fi, fv, row_of, W)
-                err = _activate(z, models) - y
-                _add_gradient(g, fi, fv, row_of, err)
+                y = y_all[i:j]
+                if dense is not None:
+                    z = dense[i:j] @ W
+                    err = _activate(z, models) - y
+                    g += dense[i:j].T @ err
+                else:
+                    fi, fv, row_of = fi_all[cut[i]:cut[j]], fv_all[cut[i]:cut[j]], row_all[cut[i]:cut[j]] - i
+                    z = _scores_flat(j - i, fi, fv, row_of, W)
+                    err = _activate(z, models) - y
+                    _add_gradient(g, fi, fv, row_of, err)
                 loss += _losses(z, y, B)
                 seen, pos, i = seen + j - i, pos + j - i, j
                 if seen == B:
@@ -401,7 +424,7 @@ class Prepared:
     n_rows: int
     batch_size: int
     chunks: int = 0
-    starts: list[int] | None = None  # rows before each chunk, once they are counted
+    chunk_rows: int = 0
 
     @property
     def n_batches(self) -> int:
@@ -412,14 +435,17 @@ class Prepared:
         return min(self.batch_size, self.n_rows - batch * self.batch_size)
 
 
-def _in_chunks(vec: DataFrame, n: int, order: list[str], rows_per_chunk: int) -> tuple[DataFrame, int]:
-    """The rows in range order as a table with one folder per chunk: one
-    shuffle, written to the shared folder."""
-    spark = vec.sparkSession
+def _files(spark, n: int, rows_per_chunk: int) -> int:
+    """Files for ``n`` rows in order: small tasks, but not one per small chunk."""
     chunks = max(1, -(-n // rows_per_chunk))
-    path = scratch_path(spark, "chunks")
-    vec.repartitionByRange(chunks, *order).withColumn("chunk", F.spark_partition_id()).write.partitionBy("chunk").parquet(path)
-    return spark.read.parquet(path), chunks
+    return max(-(-n // ROWS_PER_CHUNK), min(chunks, spark.sparkContext.defaultParallelism))
+
+
+def _in_chunks(vec: DataFrame, n: int, rows_per_chunk: int) -> tuple[RowRanges, int]:
+    """The rows in row order as files in the shared folder, by one shuffle; a
+    chunk is a range of positions."""
+    data = write_ranges(vec.select("row_id", "label", "idx", "val"), "row_id", _files(vec.sparkSession, n, rows_per_chunk), min(RECORD_ROWS, rows_per_chunk))
+    return data, max(1, -(-n // rows_per_chunk))
 
 
 def prepare(vec: DataFrame, batch_size: int, rows_per_chunk: int | None = None, shuffled: bool = False) -> Prepared:
@@ -439,11 +465,12 @@ def prepare(vec: DataFrame, batch_size: int, rows_per_chunk: int | None = None,
         return Prepared("full", spread.persist(StorageLevel.MEMORY_AND_DISK), n, max(batch_size, 1))
     if batch_size <= ROWS_PER_CHUNK and shuffled:
         # records of a quarter of a batch: of five that a batch may touch, four are its own
-        data = write_ranges(vec.select("row_id", "label", "idx", "val"), "row_id", max(1, -(-n // (rows_per_chunk or ROWS_PER_CHUNK))), max(1, batch_size // 4))
+        data = write_ranges(vec.select("row_id", "label", "idx", "val"), "row_id", _files(spark, n, rows_per_chunk or ROWS_PER_CHUNK), max(1, min(RECORD_ROWS, batch_size // 4)))
         return Prepared("ranges", data, n, batch_size)
     if batch_size <= ROWS_PER_CHUNK:
-        data, chunks = _in_chunks(vec, n, ["row_id"], rows_per_chunk or ROWS_PER_CHUNK)
-        return Prepared("stream", data, n, batch_size, chunks)
+        size = rows_per_chunk or ROWS_PER_CHUNK
+        data, chunks = _in_chunks(vec, n, size)
+        return Prepared("stream", data, n, batch_size, chunks, size)
     path = scratch_path(spark, "batches")
     assign_batches(vec, batch_size).drop("pos").write.partitionBy("batch_id").parquet(path)
     return Prepared("steps", spark.read.parquet(path), n, batch_size)
@@ -464,21 +491,42 @@ def _update(W: np.ndarray, g: np.ndarray, B: int, models: list[Model], alphas: n
     return new
 
 
+def _joined(parts):
+    """Record batches of about ``READ_ROWS`` rows from small ones."""
+    import pyarrow as pa
+
+    held, rows, size = [], 0, 0
+    for part in parts:
+        held, rows, size = held + [part], rows + part.num_rows, size + part.nbytes
+        if rows >= READ_ROWS or size >= READ_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows, size = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _visited(ranges: RowRanges, visits: list[int], batch_size: int):
+    """The rows of some batches, in the order of ``visits``, with their batch_id."""
+    import pyarrow as pa
+
+    for b in visits:
+        for part in ranges.read(b * batch_size, min((b + 1) * batch_size, ranges.n_rows)):
+            yield part.append_column("batch_id", pa.array(np.full(part.num_rows, b)))
+
+
 def _in_order(ranges: RowRanges, visits: list[int], batch_size: int, stream):
     """mapInArrow body: ``stream`` over the rows of the batches visited."""
-    import pyarrow as pa
+    return lambda _: stream(_joined(_visited(ranges, visits, batch_size)))
 
-    def rows():
-        for b in visits:
-            for part in ranges.read(b * batch_size, min((b + 1) * batch_size, ranges.n_rows)):
-                yield part.append_column("batch_id", pa.array(np.full(part.num_rows, b)))
 
-    return lambda _: stream(rows())
+def _between(ranges: RowRanges, start: int, stop: int, stream):
+    """mapInArrow body: ``stream`` over the rows at positions start to stop - 1."""
+    return lambda _: stream(_joined(ranges.read(start, stop)))
 
 
 def _epoch_stream(spark, plan: Prepared, visits, rows_per_chunk: int, models, W, alphas, epoch, decay, res):
     """One epoch over chunks in order: one job per chunk, one task per group
-    of models in it. A chunk is a folder of the table or, in mode ranges, a
+    of models in it. A chunk is a range of positions or, in mode ranges, a
     stretch of the batches in the order of ``visits``."""
     width, M = W.shape
     groups = [(i, models[i:i + MODELS_PER_TASK]) for i in range(0, M, MODELS_PER_TASK)]
@@ -488,14 +536,15 @@ def _epoch_stream(spark, plan: Prepared, visits, rows_per_chunk: int, models, W,
     visits = iter(visits)
     for c in range(-(-plan.n_batches // size) if ids else plan.chunks):
         own = list(islice(visits, size)) if ids else None
-        rows = spark.range(0, 1, 1, 1) if ids else plan.data.where(F.col("chunk") == c).coalesce(1).sortWithinPartitions("row_id").select("label", "idx", "val")
+        start, stop = c * plan.chunk_rows, min((c + 1) * plan.chunk_rows, plan.data.n_rows)
         shipped, job = [], None
         for i, part in groups:
             cols = slice(i, i + len(part))
             state = {"W": W[:, cols], "alphas": alphas[cols], "g": g[:, cols], "loss": loss[cols], "seen": seen, "pos": pos}
             shipped.append(_ship(spark, state, 2 * W[:, cols].nbytes))
             stream = _stream_fn(part, i, shipped[-1], epoch, decay, plan.batch_size, plan.n_rows, ids)
-            one = rows.mapInArrow(_in_order(plan.data, own, plan.batch_size, stream) if ids else stream, _STREAM)
+            body = _in_order(plan.data, own, plan.batch_size, stream) if ids else _between(plan.data, start, stop, stream)
+            one = spark.range(0, 1, 1, 1).mapInArrow(body, _STREAM)
             job = one if job is None else job.unionByName(one)
         got = job.toArrow()  # per model: its weights, a loss per batch
         for x in shipped:
@@ -559,8 +608,8 @@ def _rates(models: list[Model], alphas: np.ndarray, steps: int, B: int) -> tuple
     return np.array([m.c for m in models]) * a / B, 1.0 - lam * a / B
 
 
-def _affine_fn(models: list[Model], width: int, chunk: int, start: int, alphas: np.ndarray, decaying: bool, batch_size: int, n_rows: int):
-    """mapInArrow body: a chunk's rows, from row ``start`` on, as one map of
+def _affine_fn(models: list[Model], width: int, run_id: int, start: int, alphas: np.ndarray, decaying: bool, batch_size: int, n_rows: int):
+    """mapInArrow body: a run of rows, from row ``start`` on, as one map of
     the weights (matrix and offset per model) over its whole batches, with the
     sums of the rows before and behind them."""
     import pyarrow as pa
@@ -574,8 +623,11 @@ def _affine_fn(models: list[Model], width: int, chunk: int, start: int, alphas:
                 n = part.num_rows
                 fi, row_of = _flat(part, "idx")
                 fv, _ = _flat(part, "val")
-                X = np.zeros((n, width))
-                np.add.at(X, (row_of, fi.astype(np.int64) - 1), fv.astype(np.float64))
+                fi, fv = fi.astype(np.int64) - 1, fv.astype(np.float64)
+                X = _dense_rows(n, width, fi, fv)
+                if X is None:
+                    X = np.zeros((n, width))
+                    np.add.at(X, (row_of, fi), fv)
                 y = _targets(part.column(part.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float), models)
                 i = 0
                 while i < n:
@@ -596,7 +648,26 @@ def _affine_fn(models: list[Model], width: int, chunk: int, start: int, alphas:
         if not closed:  # all rows belong to a batch that began before
             head, sums = sums, _Sums(width, M)
         flat = np.concatenate([np.array([float(closed)]), mats.ravel(), offset.ravel(), *head.pack(), *sums.pack()])
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=["chunk", "map"])
+        yield pa.RecordBatch.from_arrays([pa.array([run_id], pa.int32()), pa.array([flat.astype("<f8").tobytes()], pa.binary())], names=["run", "map"])
+
+    return run
+
+
+def _runs(spark, plan: Prepared) -> list[tuple[int, int]]:
+    """Positions of the runs of chunks that tasks take: as many as there are
+    cores, or more where a run would pass ``ROWS_PER_CHUNK`` rows."""
+    tasks = max(spark.sparkContext.defaultParallelism, -(-plan.n_rows // ROWS_PER_CHUNK))
+    size = plan.chunk_rows * max(1, plan.chunks // tasks)
+    return [(a, min(a + size, plan.n_rows)) for a in range(0, plan.n_rows, size)]
+
+
+def _per_run(ranges: RowRanges, runs: list[tuple[int, int]], body):
+    """mapInArrow body over run numbers: ``body(i)`` over the rows of each."""
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield from body(i)(_joined(ranges.read(*runs[i])))
 
     return run
 
@@ -604,36 +675,34 @@ def _affine_fn(models: list[Model], width: int, chunk: int, start: int, alphas:
 def _epoch_affine(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
     """One epoch of linear models over chunks, all tasks side by side.
 
-    A batch maps the weights affinely, so a chunk's batches are one map, made
-    without knowing the weights. Wave by wave, as many chunks as there are
-    cores return their maps; following the maps gives the weights at the start
-    of every chunk, and from there the chunks stream through the exact rule,
-    also side by side, for the losses of their batches."""
+    A batch maps the weights affinely, so the batches of a run of chunks are
+    one map, made without knowing the weights. One job returns the maps of up
+    to ``MAX_WAVE`` runs; following the maps gives the weights at the start of
+    every run, and from there a second job streams the runs through the exact
+    rule, also side by side, for the losses of their batches."""
     width, M = W.shape
-    if plan.starts is None:
-        sizes = dict(map(tuple, plan.data.groupBy("chunk").count().collect()))  # one row per chunk
-        plan.starts = np.cumsum([0, *(sizes.get(c, 0) for c in range(plan.chunks))]).tolist()
     decaying = bool(decay and epoch > 1 and epoch % DECAY_EVERY == 0)
     pending, losses = _Sums(width, M), np.zeros(M)
-    rows = [plan.data.where(F.col("chunk") == c).coalesce(1).sortWithinPartitions("row_id").select("label", "idx", "val") for c in range(plan.chunks)]
-    wave = max(1, min(spark.sparkContext.defaultParallelism, MAX_WAVE))
+    every = _runs(spark, plan)
     W = W.copy()
     ids_of = np.array([m.model_id for m in models])
-    for first in range(0, plan.chunks, wave):
-        own = range(first, min(first + wave, plan.chunks))
-        maps = _union([rows[c].mapInArrow(_affine_fn(models, width, c, plan.starts[c], alphas, decaying, plan.batch_size, plan.n_rows), "chunk int, map binary") for c in own])
-        got = {r["chunk"]: np.frombuffer(r["map"], "<f8") for r in maps.collect()}  # wave x AFFINE_VALUES numbers, about
-        streams, shipped = [], []
-        for c in own:
-            done = plan.starts[c] // plan.batch_size
+    batch_size, n_rows = plan.batch_size, plan.n_rows
+    for first in range(0, len(every), MAX_WAVE):
+        own = every[first:first + MAX_WAVE]
+        tasks = spark.range(0, len(own), 1, len(own))
+
+        def mapped(i):
+            return _affine_fn(models, width, i, own[i][0], alphas, decaying, batch_size, n_rows)
+
+        maps = tasks.mapInArrow(_per_run(plan.data, own, mapped), "run int, map binary")
+        got = {r["run"]: np.frombuffer(r["map"], "<f8") for r in maps.collect()}  # MAX_WAVE x AFFINE_VALUES numbers, about
+        states = []
+        for i, (start, _) in enumerate(own):
+            done = start // batch_size
             B = plan.size(min(done, plan.n_batches - 1))
-            state = {"W": W, "alphas": alphas * DECAY_FACTOR ** (done * decaying), "g": pending.gradient(W) if pending.n else np.zeros(W.shape),
-                     "loss": pending.loss(W, B), "seen": pending.n, "pos": plan.starts[c]}
-            shipped.append(_ship(spark, state, 2 * W.nbytes))
-            streams.append(rows[c].mapInArrow(_stream_fn(models, 0, shipped[-1], epoch, decay, plan.batch_size, plan.n_rows, False), _STREAM).where(F.col("kind") == _LOSS))
-            if c not in got:  # no rows
-                continue
-            closed, mats, offset, head, tail = np.split(got[c], np.cumsum([1, M * width * width, width * M, 1 + width * width + width + width * M]))
+            states.append({"W": W, "alphas": alphas * DECAY_FACTOR ** (done * decaying), "g": pending.gradient(W) if pending.n else np.zeros(W.shape),
+                           "loss": pending.loss(W, B), "seen": pending.n, "pos": start})
+            closed, mats, offset, head, tail = np.split(got[i], np.cumsum([1, M * width * width, width * M, 1 + width * width + width + width * M]))
             pending.add(_Sums.unpack(head, width, M))
             if closed[0]:
                 if pending.n:
@@ -641,9 +710,13 @@ def _epoch_affine(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
                     W = keep * W - rate * pending.gradient(W)
                 W = np.einsum("mij,jm->im", mats.reshape(M, width, width), W) + offset.reshape(width, M)
                 pending = _Sums.unpack(tail, width, M)
-        steps = _union(streams).toArrow()  # a row per batch and model
-        for x in shipped:
-            x.unpersist()
+        shipped = _ship(spark, states, 2 * W.nbytes * len(states))
+
+        def streamed(i):
+            return _stream_fn(models, 0, _Inline(shipped.value[i]), epoch, decay, batch_size, n_rows, False)
+
+        steps = tasks.mapInArrow(_per_run(plan.data, own, streamed), _STREAM).where(F.col("kind") == _LOSS).toArrow()  # a row per batch and model
+        shipped.unpersist()
         model, batch, v, a = (steps.column(k).to_numpy() for k in ("model", "batch_id", "v", "alpha"))
         np.add.at(losses, model, v)
         res.add_steps(ids_of[model], epoch, batch, v, a)
@@ -652,13 +725,6 @@ def _epoch_affine(spark, plan: Prepared, models, W, alphas, epoch, decay, res):
     return W, alphas * DECAY_FACTOR ** (plan.n_batches * decaying), losses
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    """Balanced, so that plans stay flat."""
-    while len(parts) > 1:
-        parts = [a[0].unionByName(a[1]) if len(a) > 1 else a[0] for a in (parts[i:i + 2] for i in range(0, len(parts), 2))]
-    return parts[0]
-
-
 def _epoch_steps(spark, plan: Prepared, models, W, alphas, epoch, decay, res, order=None):
     """One epoch as one distributed job per batch, in ``order`` (of batches)."""
     width, M = W.shape
