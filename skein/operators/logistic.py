@@ -38,6 +38,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.activation import activation_np, canonical
 from skein.functions.hashing import h32
@@ -819,8 +820,11 @@ def train(vec: DataFrame, width: int, models: list[Model], batch_size: int, max_
 
 # ------------------------------------------------------------------ relational weights
 CHECKPOINT_EVERY = 4
-#: steps between two passes over the whole table of weights
+#: steps between two passes over the whole table of weights, where a step is a job
 BLOCK_STEPS = 16
+#: the same where a block streams through one task per group of models, and the weights that such a task may hold
+STREAM_STEPS = 256
+STREAM_VALUES = 1 << 22
 #: a feature with more than 1/HOT_FEATURES of all cells meets its weights by broadcast
 HOT_FEATURES = 1000
 
@@ -832,31 +836,38 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
 
     Used when d x M is too large to broadcast. The weights that the next
     ``BLOCK_STEPS`` batches can touch, those of features with cells in them,
-    are taken out of the table, and a step meets only these: it joins the
-    batch's cells with them on feature_id, sums z per (row, model), forms
-    errors, joins them back on row_id and sums gradients per (model, feature).
-    All other weights only shrink by the penalty meanwhile; one pass over the
-    table at the block's end applies the block's shrinking steps to them in
-    order and puts the touched ones back. Features with more than a thousandth
+    are taken out of the table. Where they fit one task per group of models
+    (``STREAM_VALUES``), the block's rows, at most ``ROWS_PER_CHUNK``, stream
+    through it as in ``train``, up to ``STREAM_STEPS`` batches a job. Else a
+    step is a job of its own: it joins the batch's cells with the weights on
+    feature_id, sums z per (row, model), forms errors, joins them back on
+    row_id and sums gradients per (model, feature). All other weights only
+    shrink by the penalty meanwhile; one pass over the table at the block's
+    end applies the block's shrinking steps to them in order and puts the
+    touched ones back. The rows are written once, in order; a block reads its
+    own only. Features with more than a thousandth
     of all cells (a constant column; fewer than a thousand) meet their weights
     by broadcast, so no join key is hot. Only the M loss sums reach the driver;
     lineage is cut every ``CHECKPOINT_EVERY`` steps and with each block.
     """
     from skein.functions.activation import activation_by_name
-    from skein.operators.rows import assign_batches
 
     spark = vec.sparkSession
+    ship_package(spark)
     models = [Model(**{**vars(m), "activation": canonical(m.activation)}) for m in models]
+    vec = vec.select("row_id", "label", "idx", "val")
     n = vec.count()
-    plan = Prepared("steps", assign_batches(vec, batch_size).drop("pos"), n, batch_size)
-    cells = plan.data.select("row_id", "batch_id", F.posexplode(F.arrays_zip("idx", "val")).alias("_p", "e")).select(
-        "row_id", "batch_id", F.col("e.idx").alias("feature_id"), F.col("e.val").alias("value")).where(F.col("value") != 0)
-    n_cells = cells.count()
-    busy = [r["feature_id"] for r in cells.groupBy("feature_id").agg(F.count("*").alias("n")).where(
+    data = write_ranges(vec, "row_id", max(1, _files(spark, n, ROWS_PER_CHUNK)), max(1, min(RECORD_ROWS, batch_size // 4)))
+    plan = Prepared("ranges", data, n, batch_size)
+    every = _cells(_rows_between(spark, plan, [(0, n)], vec.schema))
+    n_cells = every.count()
+    busy = [r["feature_id"] for r in every.groupBy("feature_id").agg(F.count("*").alias("n")).where(
         F.col("n") * HOT_FEATURES > F.lit(n_cells)).select("feature_id").collect()]  # fewer than HOT_FEATURES
     is_busy = F.array_contains(F.array(*[F.lit(f) for f in busy]).cast("array<int>"), F.col("feature_id"))
-    cells = cells.withColumn("busy", is_busy).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = plan.data.select("row_id", "batch_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    most = every.groupBy("batch_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # cells of a batch
+    per_task = min(len(models), MODELS_PER_TASK)
+    fit = STREAM_VALUES // (per_task * most) if width * per_task > STREAM_VALUES else STREAM_STEPS
+    streamed = min(STREAM_STEPS, ROWS_PER_CHUNK // batch_size, fit)  # batches of a block that streams; 0: steps are jobs
     params = spark.createDataFrame(
         [(m.model_id, m.activation, m.alpha, m.lambda_para, m.c, m.penalty, m.pos_label) for m in models],
         "model_id long, act string, alpha double, lam double, c double, penalty string, pos_label int")
@@ -869,14 +880,31 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
         own = [models[i] for i in live]
         mids = F.array(*[F.lit(m.model_id).cast("bigint") for m in own])
         losses = np.zeros(len(models))
-        for block in _blocks(_visits(spark, plan.n_batches, epoch, shuffle_seed), BLOCK_STEPS):
-            in_block = cells.where(F.col("batch_id").isin(block))
+        decaying = decay and epoch > 1 and epoch % DECAY_EVERY == 0
+        for block in _blocks(_visits(spark, plan.n_batches, epoch, shuffle_seed), streamed or BLOCK_STEPS):
+            if streamed:
+                touched = cut_lineage(spark.range(0, 1, 1, 1).mapInArrow(_touched_fn(data, block, batch_size), "feature_id int"))
+                out = _stream_block(spark, plan, W.join(touched, "feature_id", "left_semi"), own, block, factor, epoch, decay)
+                got = out.where(F.col("kind") == _LOSS).select("model", "batch_id", "v", "alpha").toArrow()  # a row per batch and model
+                model, batch, v, a = (got.column(k).to_numpy() for k in ("model", "batch_id", "v", "alpha"))
+                np.add.at(losses, np.array(live)[model], v)
+                res.add_steps(np.array([m.model_id for m in own])[model], epoch, batch, v, a)
+                shrink = []
+                for b in block:
+                    factor *= DECAY_FACTOR if decaying else 1.0
+                    shrink.append(factor / plan.size(b))
+                near = out.where(F.col("kind") == _WEIGHT).select(mids[F.col("model")].alias("model_id"), "feature_id", F.col("v").alias("w"))
+                W = cut_lineage(_far(W, touched, params, shrink).unionByName(near))
+                continue
+            block_rows = _rows_between(spark, plan, [(b * batch_size, min(n, (b + 1) * batch_size)) for b in block], vec.schema).persist(StorageLevel.MEMORY_AND_DISK)
+            rows = block_rows.select("row_id", "batch_id", "label")
+            in_block = _cells(block_rows).withColumn("busy", is_busy).persist(StorageLevel.MEMORY_AND_DISK)
             touched = in_block.select("feature_id").distinct()
             near = cut_lineage(W.join(touched, "feature_id", "left_semi"))
             shrink = []  # step size and batch size of each step, for the weights that it doesn't touch
             for b in block:
                 B = float(plan.size(b))
-                if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
+                if decaying:
                     factor *= DECAY_FACTOR
                 shrink.append(factor / B)
                 bc = in_block.where(F.col("batch_id") == b)
@@ -906,9 +934,9 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
                     near = cut_lineage(near)
                 e.unpersist()
                 res.add_steps([m.model_id for m in own], epoch, np.full(len(own), b), step_loss[live], [m.alpha * factor for m in own])
-            far = W.join(touched, "feature_id", "left_anti").join(params, "model_id").select(
-                "model_id", "feature_id", F.aggregate(F.array(*map(F.lit, shrink)), F.col("w"), _shrunk).alias("w"))
-            W = cut_lineage(far.unionByName(near))
+            W = cut_lineage(_far(W, touched, params, shrink).unionByName(near))
+            in_block.unpersist()
+            block_rows.unpersist()
         loss = losses[live] / max(n, 1)
         converged = _monitor(res, epoch, own, loss, prev[live], eps)
         prev[live] = loss
@@ -921,11 +949,102 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
         live = going
         if last:
             break
-    cells.unpersist()
-    rows.unpersist()
     return res
 
 
+def _rows_between(spark, plan: Prepared, spans: list[tuple[int, int]], schema) -> DataFrame:
+    """The rows at some spans of positions, with their batch_id, in tasks of
+    at most ``ROWS_PER_CHUNK`` rows."""
+    import pyarrow as pa
+
+    data, batch_size = plan.data, plan.batch_size
+    pieces = [(a, min(a + ROWS_PER_CHUNK, hi)) for lo, hi in spans for a in range(lo, hi, ROWS_PER_CHUNK)]
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                at = pieces[i][0]
+                for part in data.read(*pieces[i]):
+                    own = np.arange(at, at + part.num_rows, dtype=np.int64) // batch_size
+                    at += part.num_rows
+                    yield part.select(names).append_column("batch_id", pa.array(own))
+
+    return spark.range(0, len(pieces), 1, max(1, len(pieces))).mapInArrow(run, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", "batch_id", F.posexplode(F.arrays_zip("idx", "val")).alias("_p", "e")).select(
+        "row_id", "batch_id", F.col("e.idx").alias("feature_id"), F.col("e.val").alias("value")).where(F.col("value") != 0)
+
+
+def _features(data: RowRanges, block: list[int], batch_size: int) -> np.ndarray:
+    """Features that the rows of some batches list, ascending."""
+    found = np.zeros(0, np.int64)
+    for part in _joined(_visited(data, block, batch_size)):
+        found = np.union1d(found, _flat(part, "idx")[0].astype(np.int64))
+    return found
+
+
+def _touched_fn(data: RowRanges, block: list[int], batch_size: int):
+    """mapInArrow body: the features of a block."""
+    import pyarrow as pa
+
+    return lambda _: iter([pa.RecordBatch.from_pydict({"feature_id": pa.array(_features(data, block, batch_size).astype(np.int32))})])
+
+
+def _stream_block(spark, plan: Prepared, near: DataFrame, models: list[Model], block: list[int], factor: float, epoch: int, decay: bool) -> DataFrame:
+    """The batches of a block in order, one task per group of models: the
+    weights of the block's features (``near``) travel to the task as rows.
+    Returns losses and new weights as rows of ``_STREAM``."""
+    import pyarrow as pa
+
+    data, batch_size, n_rows = plan.data, plan.batch_size, plan.n_rows
+    none = spark.range(1).selectExpr("-1L AS model_id", "0 AS feature_id", "0.0D AS w")  # the task runs even if no weight is stored
+
+    def body(first, group):
+        ids = np.array([m.model_id for m in group])
+        order = np.argsort(ids)
+
+        def run(batches):
+            feats = _features(data, block, batch_size)
+            W = np.zeros((len(feats), len(group)))
+            for batch in batches:
+                model, feature, w = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                real = feature > 0
+                W[np.searchsorted(feats, feature[real]), order[np.searchsorted(ids[order], model[real])]] = w[real]
+
+            def rows():
+                for part in _joined(_visited(data, block, batch_size)):
+                    at = part.schema.get_field_index("idx")
+                    flat, row_of = _flat(part, "idx")
+                    offsets = np.concatenate(([0], np.cumsum(np.bincount(row_of, minlength=part.num_rows)))).astype(np.int32)
+                    own = pa.ListArray.from_arrays(pa.array(offsets), pa.array((np.searchsorted(feats, flat) + 1).astype(np.int32)))
+                    yield part.set_column(at, "idx", own)
+
+            state = {"W": W, "alphas": np.array([m.alpha * factor for m in group]), "g": np.zeros(W.shape), "loss": np.zeros(len(group)), "seen": 0, "pos": 0}
+            for out in _stream_fn(group, first, _Inline(state), epoch, decay, batch_size, n_rows, True)(rows()):
+                kind, feature = (out.column(k).to_numpy() for k in ("kind", "feature_id"))
+                feature = np.where(kind == _WEIGHT, feats[np.maximum(feature - 1, 0)] if len(feats) else feature, feature).astype(np.int32)
+                yield out.set_column(out.schema.get_field_index("feature_id"), "feature_id", pa.array(feature))
+
+        return run
+
+    job = None
+    for i in range(0, len(models), MODELS_PER_TASK):
+        group = models[i:i + MODELS_PER_TASK]
+        held = near.where(F.col("model_id").isin([m.model_id for m in group])).select("model_id", "feature_id", "w").unionByName(none).coalesce(1)
+        one = held.mapInArrow(body(i, group), _STREAM)
+        job = one if job is None else job.unionByName(one)
+    return cut_lineage(job)
+
+
+def _far(W: DataFrame, touched: DataFrame, params: DataFrame, shrink: list[float]) -> DataFrame:
+    """Weights that a block doesn't touch, after its shrinking steps."""
+    return W.join(touched, "feature_id", "left_anti").join(params, "model_id").select(
+        "model_id", "feature_id", F.aggregate(F.array(*map(F.lit, shrink)), F.col("w"), _shrunk).alias("w"))
+
+
 def _blocks(visits, size: int):
     """The batch ids of an epoch in lists of at most ``size``."""
     it = iter(visits)

@@ -59,3 +59,41 @@ def test_dense_and_sparse_rows_follow_the_rule(spark, density):
             err = L._activate(X[own] @ W, models) - y[own, None]
             W = L._update(W, X[own].T @ err, len(y[own]), models, alphas)
     assert np.allclose(res.matrix(), W, rtol=0, atol=1e-12)
+
+
+def _rule(X, y, models, batch, epochs):
+    W, alphas = np.zeros((X.shape[1], len(models))), np.array([m.alpha for m in models])
+    for _ in range(epochs):
+        for s in range(0, len(y), batch):
+            own = slice(s, min(len(y), s + batch))
+            err = L._activate(X[own] @ W, models) - y[own, None]
+            W = L._update(W, X[own].T @ err, len(y[own]), models, alphas)
+    return W
+
+
+def test_relational_batches_share_jobs(spark):
+    """Twenty batches cost as many jobs as two while their weights fit a task."""
+    vec, X, y = _vec(spark, 100, 3, 3)
+    models = [L.Model(4, "linear", 0.3, 0.5, 0.7), L.Model(2, "cube", 0.2, 0.5, 1.0, "l1")]
+    many, res = _jobs(spark, "relational-many", lambda: L.train_relational(vec, 3, models, 5, 1))
+    few, _ = _jobs(spark, "relational-few", lambda: L.train_relational(vec, 3, models, 50, 1))
+    assert many == few
+    assert np.allclose(res.matrix(), _rule(X, y, models, 5, 1), rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("settings", [{"STREAM_STEPS": 2, "MODELS_PER_TASK": 2}, {"STREAM_VALUES": 0, "BLOCK_STEPS": 2}])
+def test_relational_blocks_leave_other_weights_to_shrink(spark, monkeypatch, settings):
+    """Batch b has features b and 5 only, so every block leaves weights out."""
+    for k, v in settings.items():
+        monkeypatch.setattr(L, k, v)
+    rng = np.random.RandomState(11)
+    X = np.zeros((10, 6))
+    for i in range(10):
+        X[i, i // 2], X[i, 5] = 1 + rng.rand(), rng.rand()
+    y = rng.randint(0, 2, 10)
+    rows = [(i, int(y[i]), [int(f) + 1 for f in np.flatnonzero(X[i])], [float(v) for v in X[i][X[i] != 0]]) for i in range(10)]
+    vec = spark.createDataFrame(rows, "row_id long, label int, idx array<int>, val array<double>")
+    models = [L.Model(9 - i, a, 0.3, 0.7, 1.5, p) for i, (a, p) in enumerate([("linear", "always"), ("cube", "l1"), ("origin", "none")])]
+    res = L.train_relational(vec, 6, models, 2, 2)
+    assert np.allclose(res.matrix(), _rule(X, y, models, 2, 2), rtol=0, atol=1e-12)
+    assert res.steps_frame().count() == 2 * 5 * 3
