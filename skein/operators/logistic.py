@@ -188,7 +188,8 @@ class TrainResult:
     def _step_table(self) -> DataFrame:
         import pyarrow as pa
 
-        return self.spark.createDataFrame(pa.Table.from_pandas(pd.concat(self._steps), preserve_index=False), _STEPS)
+        held = pd.concat(self._steps)  # a loss that is no number stays so, it is not null
+        return self.spark.createDataFrame(pa.table({c: pa.array(held[c].to_numpy(), from_pandas=False) for c in held}), _STEPS)
 
     def steps_frame(self) -> DataFrame:
         local = self._step_table() if self._steps else None
@@ -299,8 +300,31 @@ def _batch_of(batch, W, models):
     return z, y, _activate(z, models) - y, fi, fv, row_of
 
 
-def _losses(z, y, B) -> np.ndarray:
-    return ((-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF).sum(axis=0)
+def _losses(z, y, B, gone=None) -> np.ndarray:
+    terms = (-0.5 * z + y * z - 0.125 * z * z) * (-1.0 / B) - LN_HALF
+    return (terms if gone is None else np.where(gone, 0.0, terms)).sum(axis=0)
+
+
+class _Keyed:
+    """What joins by row_id make of a batch: rows with the same id share their
+    scores and gradients, a null id meets no cells, a null label no error."""
+
+    def __init__(self, batch, models: list[Model]):
+        ids, label = (batch.column(batch.schema.get_field_index(c)) for c in ("row_id", "label"))
+        coded = ids.dictionary_encode()
+        self.n, self.code = len(coded.dictionary), coded.indices.fill_null(0).to_numpy(zero_copy_only=False)
+        self.no_id = ids.is_null().to_numpy(zero_copy_only=False)
+        as_given = np.array([m.pos_label is None for m in models])
+        self.gone = label.is_null().to_numpy(zero_copy_only=False)[:, None] & as_given
+        self.unique = self.n + self.no_id.sum() == len(ids)
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        x = np.where(self.no_id[:, None], 0.0, x)
+        if self.unique:
+            return x
+        sums = np.zeros((self.n, x.shape[1]))
+        np.add.at(sums, self.code, x)
+        return np.where(self.no_id[:, None], 0.0, sums[self.code])
 
 
 def _step_fn(models: list[Model], w_bc, B: int, first: int = 0):
@@ -336,10 +360,11 @@ _LOSS, _WEIGHT, _ALPHA, _GRADIENT, _PARTIAL, _ROWS = range(6)
 _STREAM = "kind int, model int, batch_id long, feature_id int, v double, alpha double"
 
 
-def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool, batch_size: int, n_rows: int, ids: bool):
+def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool, batch_size: int, n_rows: int, ids: bool, keyed: bool = False):
     """mapInArrow body: the rows of one chunk, in order, for models ``first``
     on. Applies the update whenever a batch is complete, and returns the
-    batches' losses, the weights and what belongs to an unfinished batch."""
+    batches' losses, the weights and what belongs to an unfinished batch. With
+    ``keyed`` every Arrow batch is one whole batch, scored as joins on row_id do."""
     import pyarrow as pa
 
     def run(batches):
@@ -364,6 +389,7 @@ def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool,
             cut = np.searchsorted(row_all, np.arange(n + 1)) if dense is None else None
             y_all = _targets(batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False).astype(float), models)
             own = batch.column(batch.schema.get_field_index("batch_id")).to_numpy(zero_copy_only=False) if ids else None
+            keys = _Keyed(batch, models) if keyed else None
             i = 0
             while i < n:
                 b = int(own[i]) if ids else pos // batch_size
@@ -372,14 +398,19 @@ def _stream_fn(models: list[Model], first: int, state, epoch: int, decay: bool,
                 y = y_all[i:j]
                 if dense is not None:
                     z = dense[i:j] @ W
-                    err = _activate(z, models) - y
-                    g += dense[i:j].T @ err
                 else:
                     fi, fv, row_of = fi_all[cut[i]:cut[j]], fv_all[cut[i]:cut[j]], row_all[cut[i]:cut[j]] - i
                     z = _scores_flat(j - i, fi, fv, row_of, W)
-                    err = _activate(z, models) - y
+                if keys is not None:
+                    z = keys.total(z)
+                err = _activate(z, models) - y
+                if keys is not None:
+                    err = keys.total(np.where(keys.gone, 0.0, err))
+                if dense is not None:
+                    g += dense[i:j].T @ err
+                else:
                     _add_gradient(g, fi, fv, row_of, err)
-                loss += _losses(z, y, B)
+                loss += _losses(z, y, B, None if keys is None else keys.gone)
                 seen, pos, i = seen + j - i, pos + j - i, j
                 if seen == B:
                     if decay and epoch > 1 and epoch % DECAY_EVERY == 0:
@@ -855,7 +886,9 @@ def train_relational(vec: DataFrame, width: int, models: list[Model], batch_size
     spark = vec.sparkSession
     ship_package(spark)
     models = [Model(**{**vars(m), "activation": canonical(m.activation)}) for m in models]
-    vec = vec.select("row_id", "label", "idx", "val")
+    some = F.filter(F.arrays_zip("idx", "val"), lambda e: e["val"] != 0)  # neither null nor zero
+    some = F.coalesce(some, F.array().cast("array<struct<idx:int,val:double>>"))
+    vec = vec.select("row_id", "label", some.getField("idx").alias("idx"), some.getField("val").alias("val"))
     n = vec.count()
     data = write_ranges(vec, "row_id", max(1, _files(spark, n, ROWS_PER_CHUNK)), max(1, min(RECORD_ROWS, batch_size // 4)))
     plan = Prepared("ranges", data, n, batch_size)
@@ -974,10 +1007,19 @@ def _rows_between(spark, plan: Prepared, spans: list[tuple[int, int]], schema) -
 
 
 def _cells(rows: DataFrame) -> DataFrame:
+    """A row for every listed value of some rows."""
     return rows.select("row_id", "batch_id", F.posexplode(F.arrays_zip("idx", "val")).alias("_p", "e")).select(
         "row_id", "batch_id", F.col("e.idx").alias("feature_id"), F.col("e.val").alias("value")).where(F.col("value") != 0)
 
 
+def _whole(data: RowRanges, block: list[int], batch_size: int):
+    """One record batch per batch, of ``ROWS_PER_CHUNK`` rows at most."""
+    import pyarrow as pa
+
+    for b in block:
+        yield from pa.Table.from_batches(list(_visited(data, [b], batch_size))).combine_chunks().to_batches()
+
+
 def _features(data: RowRanges, block: list[int], batch_size: int) -> np.ndarray:
     """Features that the rows of some batches list, ascending."""
     found = np.zeros(0, np.int64)
@@ -1015,7 +1057,7 @@ def _stream_block(spark, plan: Prepared, near: DataFrame, models: list[Model], b
                 W[np.searchsorted(feats, feature[real]), order[np.searchsorted(ids[order], model[real])]] = w[real]
 
             def rows():
-                for part in _joined(_visited(data, block, batch_size)):
+                for part in _whole(data, block, batch_size):
                     at = part.schema.get_field_index("idx")
                     flat, row_of = _flat(part, "idx")
                     offsets = np.concatenate(([0], np.cumsum(np.bincount(row_of, minlength=part.num_rows)))).astype(np.int32)
@@ -1023,7 +1065,7 @@ def _stream_block(spark, plan: Prepared, near: DataFrame, models: list[Model], b
                     yield part.set_column(at, "idx", own)
 
             state = {"W": W, "alphas": np.array([m.alpha * factor for m in group]), "g": np.zeros(W.shape), "loss": np.zeros(len(group)), "seen": 0, "pos": 0}
-            for out in _stream_fn(group, first, _Inline(state), epoch, decay, batch_size, n_rows, True)(rows()):
+            for out in _stream_fn(group, first, _Inline(state), epoch, decay, batch_size, n_rows, True, True)(rows()):
                 kind, feature = (out.column(k).to_numpy() for k in ("kind", "feature_id"))
                 feature = np.where(kind == _WEIGHT, feats[np.maximum(feature - 1, 0)] if len(feats) else feature, feature).astype(np.int32)
                 yield out.set_column(out.schema.get_field_index("feature_id"), "feature_id", pa.array(feature))

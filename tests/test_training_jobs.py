@@ -97,3 +97,23 @@ def test_relational_blocks_leave_other_weights_to_shrink(spark, monkeypatch, set
     res = L.train_relational(vec, 6, models, 2, 2)
     assert np.allclose(res.matrix(), _rule(X, y, models, 2, 2), rtol=0, atol=1e-12)
     assert res.steps_frame().count() == 2 * 5 * 3
+
+
+def test_relational_blocks_keep_the_joins_by_row(spark, monkeypatch):
+    """Repeated and null ids, null labels and values: as in the steps by joins."""
+    rows = [(1, 1, [1, 2], [0.5, 2.0]), (1, 0, [1, 3], [1.0, 1.5]), (2, None, [2], [1.0]), (3, 1, [1, 2], [None, 3.0]), (None, 1, [3], [2.0]),
+            (4, 0, [], []), (5, 1, [2, 3], [1.0, 0.0]), (5, 1, [1], [0.7])]
+    vec = spark.createDataFrame(rows, "row_id long, label int, idx array<int>, val array<double>")
+    models = [L.Model(0, "linear", 0.3, 0.7, 1.5), L.Model(1, "cube", 0.2, 0.0, 1.0, pos_label=1)]
+    block = L.train_relational(vec, 3, models, 8, 2)
+    monkeypatch.setattr(L, "STREAM_VALUES", 0)
+    steps = L.train_relational(vec, 3, models, 8, 2)
+    assert np.allclose(block.matrix(), steps.matrix(), rtol=0, atol=1e-12) and not np.isnan(block.matrix()).any()
+    loss = lambda r: [x["batch_loss"] for x in r.steps_frame().orderBy("epoch", "model_id").collect()]
+    assert np.allclose(loss(block), loss(steps), rtol=0, atol=1e-12)
+
+
+def test_losses_that_are_no_number_are_not_null(spark):
+    res = L.TrainResult(spark, [L.Model(0)], 1)
+    res.add_steps([0], 1, [0], [float("nan")], [0.1])
+    assert np.isnan(res.steps_frame().first()["batch_loss"])
