@@ -3,6 +3,7 @@
 import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.operators import scale as D
 
@@ -83,3 +84,44 @@ def test_long_scaling_equals_wide_scaling(spark):
                 assert abs(mine - v) < 1e-9, (code, fit_on, row, f)
     l2 = D.scale_l2_rows_long(spark.createDataFrame([(1, 1, 0.0), (2, 1, 3.0), (2, 2, 4.0)], "row_id long, feature_id int, value double"))
     assert sorted(map(tuple, l2.collect())) == [(1, 1, 0.0), (2, 1, 0.6), (2, 2, 0.8)]
+
+
+def test_long_scaling_reads_its_cells_once(spark, monkeypatch):
+    """The cells are worked out once, and both ways to their statistics agree."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(r, "train" if r < 40 else "test") for r in range(50)], "row_id long, split string")
+    vals = spark.createDataFrame([(r, 1 + f, float((r * f) % 7)) for r in range(50) for f in range(5)], "row_id long, feature_id int, value double")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cells = vals.mapInArrow(count, vals.schema)
+    for code in ("mm", "ss", "ma", "rs"):
+        before, got = seen.value, []
+        for most in (D.BROADCAST_FEATURES, 0):
+            monkeypatch.setattr(D, "BROADCAST_FEATURES", most)
+            out, zeros = D.scale_long(cells, rows, code)
+            got.append((sorted(map(tuple, out.collect())), sorted(map(tuple, zeros.collect()))))
+            monkeypatch.undo()
+        assert got[0] == got[1] and len(got[0][0]) == 250 and len(got[0][1]) == 5
+        assert seen.value - before == 2 * 250, code
+
+
+def test_equal_values_of_a_key_take_one_place(spark):
+    from skein.operators import quantiles as Q
+
+    rows = spark.createDataFrame([(k, float(v), 10 * k + v + 1) for k in range(3) for v in range(4)], "key int, value double, n long")
+    placed, total = Q._weighted_position(rows)
+    want, upto = [], 0
+    for k in range(3):
+        for v in range(4):
+            want.append((k, float(v), 10 * k + v + 1, upto))
+            upto += 10 * k + v + 1
+    assert total == 12 and sorted(map(tuple, placed.collect())) == want
+    hot = spark.range(30000).select(F.lit("a").alias("g"), (F.col("id") % 3 - 1).cast("double").alias("value"))
+    zeros = spark.createDataFrame([("a", 10000), ("b", 5)], "g string, zeros long")
+    values = np.array([(i % 3) - 1.0 for i in range(30000)] + [0.0] * 10000)
+    got = {r.g: r.q for r in Q.quantiles(hot, "g", "value", [0.1, 0.25, 0.5, 0.9], zeros).collect()}
+    assert got == {"a": np.quantile(values, [0.1, 0.25, 0.5, 0.9]).tolist(), "b": [0.0] * 4}
