@@ -24,7 +24,8 @@ from skein.session import scratch_path
 OPEN_FILES = 64
 
 
-def _opened(uri: str) -> tuple[pafs.FileSystem, str]:
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path there of a URI."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:"):]
     return pafs.FileSystem.from_uri(uri)
@@ -37,7 +38,7 @@ def write_ranges(df: DataFrame, order: str, parts: int, record_rows: int) -> "Ro
     folder = scratch_path(df.sparkSession, "ranges")
 
     def write(batches):
-        files, path = _opened(folder)
+        files, path = opened(folder)
         files.create_dir(path, recursive=True)
         name, rest, rows, sink = f"{uuid.uuid4().hex}.arrow", [], 0, None
         for batch in batches:
@@ -81,7 +82,7 @@ class RowRanges:
 
     def _file(self, i: int):
         if i not in self._open:
-            files, path = _opened(self.files[i])
+            files, path = opened(self.files[i])
             source = files.open_input_file(path)
             self._open[i] = source, pa.ipc.open_file(source)
             if len(self._open) > OPEN_FILES:

@@ -5,15 +5,23 @@ A run log is a small text file whose name carries the parameters
 and whose lines carry ``best_acc=`` / ``best_epoch=``, anywhere in a line; the
 last occurrence in a file wins. There is one folder per data set and method,
 and files of different folders may share their names, so a log is known by
-folder and name. Logs are read whole per file (``wholetext``), split into
+folder and name. Logs are read whole per file, split into
 numbered lines, and reduced with ``max_by(value, line_no)`` per file.
 """
 
 from __future__ import annotations
 
+import os
+from itertools import islice
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.session import cut_lineage, spread
+from skein.sources.rowranges import opened
+
 # Parameter keys of the log file name, in file-name order.
 NAME_KEYS = ["alpha", "batch_size", "max_iter", "lambda_para", "C", "sigmoid_func"]
 
@@ -60,25 +68,85 @@ def write_run_logs(logs: DataFrame, root: str) -> None:
     files = logs.select(F.concat_ws("/", F.lit(root.rstrip("/")), "folder", "run_name").alias("path"), "text")
 
     def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs as pafs
-
+        made = {}
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns)):
-                uri = "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
-                files, local = pafs.FileSystem.from_uri(uri)
-                files.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                folder, name = path.rsplit("/", 1)
+                if folder not in made:
+                    made[folder] = opened(folder)
+                    made[folder][0].create_dir(made[folder][1], recursive=True)
+                files, local = made[folder][0], f"{made[folder][1]}/{name}"
                 with files.open_output_stream(local, compression=None) as out:  # a retry writes the same file
                     out.write((text or "").encode())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    files.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    spread(files).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+#: files, and bytes of text, that a task hands on at once
+FILES, BYTES = 4096, 1 << 23
+
+
+def _listed(batches):
+    """Folders -> what is in each: (path, is_folder). Hidden files are no logs."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            files, local = opened(folder)
+            if files.get_file_info(local).type == pafs.FileType.File:
+                found = iter([(None, False)])
+            elif isinstance(files, pafs.LocalFileSystem):  # without a call per file
+                found = ((x.name, x.is_dir()) for x in os.scandir(local))
+            else:
+                found = ((x.base_name, x.type == pafs.FileType.Directory) for x in files.get_file_info(pafs.FileSelector(local)))
+            named = ((f"{folder}/{name}" if name else folder, is_folder) for name, is_folder in found if not (name or "").startswith(("_", ".")))
+            while some := list(islice(named, FILES)):
+                yield pa.RecordBatch.from_pydict({"path": [p for p, _ in some], "is_folder": pa.array([f for _, f in some], pa.bool_())})
+
+
+def _texts(batches):
+    """Paths -> (path, value), the whole text of each file; empty files have no row."""
+    known = {}
+    for batch in batches:
+        paths, texts, size = [], [], 0
+        for path in batch.column(0).to_pylist():
+            folder, name = path.rsplit("/", 1)
+            if folder not in known:
+                known[folder] = opened(folder)
+            files, local = known[folder]
+            with files.open_input_stream(f"{local}/{name}") as source:
+                text = source.read().decode(errors="replace")
+            if text:
+                paths.append(path)
+                texts.append(text)
+                size += len(text)
+            if size > BYTES:
+                yield pa.RecordBatch.from_pydict({"path": paths, "value": texts})
+                paths, texts, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], names=["path", "value"])
+
+
+def log_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of the files below ``path``. A level of folders is listed by one
+    job, a task per folder; only the names of folders reach the driver."""
+    folders, out = [path.rstrip("/")], None
+    while folders:
+        level = spark.createDataFrame([(f,) for f in folders], "path string").repartition(len(folders), "path")
+        level = cut_lineage(level.mapInArrow(_listed, "path string, is_folder boolean"))
+        folders = [r["path"] for r in level.where("is_folder").select("path").collect()]
+        files = level.where("NOT is_folder").select("path")
+        out = files if out is None else out.unionByName(files)
+    return out
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(folder, run_name, line_no 1-based, line) of the log files below ``path``."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]*)/[^/]*$", 1).alias("folder"), F.col("_metadata.file_name").alias("run_name"), "value")
+    """(folder, run_name, line_no 1-based, line) of the log files below ``path``.
+
+    Their names are dealt out evenly, and each task opens its files by itself:
+    nothing is kept per file on the driver, and there is no task per few files.
+    """
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = log_paths(spark, path).repartition(parts).mapInArrow(_texts, "path string, value string").select(
+        F.regexp_extract("path", r"([^/]*)/[^/]*$", 1).alias("folder"), F.substring_index("path", "/", -1).alias("run_name"), "value")
     return whole.select("folder", "run_name", F.posexplode(F.split("value", "\n")).alias("pos", "line")).select(
         "folder", "run_name", (F.col("pos") + 1).cast("int").alias("line_no"), "line")
 

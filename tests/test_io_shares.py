@@ -1,5 +1,7 @@
 import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import columns as C
@@ -57,6 +59,57 @@ def test_run_logs_last_line_wins(spark):
     assert got["linear"]["best_acc"] is None and got["linear"]["alpha"] == 0.1
 
 
+def test_run_logs_are_dealt_out_evenly(spark):
+    """Tasks don't grow with the number of files; empty and hidden files are no logs."""
+    root = scratch_path(spark, "logs")
+    logs = spark.createDataFrame([(f"f{i % 2}", f"run={i // 2}_alpha=0.5_batch_size=20_.txt", f"best_acc=0.{i:03d}\nbest_epoch={i}\n") for i in range(200)],
+                                 "folder string, run_name string, text string")
+    RL.write_run_logs(logs, root)
+    local = root[len("file:"):] if root.startswith("file:") else root
+    for name in ("empty.txt", "_SUCCESS", ".hidden"):
+        with open(f"{local}/f0/{name}", "w") as f:
+            f.write("" if name == "empty.txt" else "best_acc=1")
+    lines = RL.read_log_lines(spark, root)
+    assert lines.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r["folder"], r["run_name"]): (r["best_acc"], r["best_epoch"]) for r in RL.parse_run_logs(lines).collect()}
+    assert got == {(f"f{i % 2}", f"run={i // 2}_alpha=0.5_batch_size=20_.txt"): (i / 1000, i) for i in range(200)}
+
+
+def test_document_cells_are_dealt_out_once(spark):
+    """Ids that repeat or are null, texts without tokens; grouping by row needs no shuffle of its own."""
+    from collections import Counter
+    from hashlib import md5
+
+    from skein.plans import fixtures as X
+
+    docs = [(1, "a b, a"), (2, None), (3, "..."), (1, "A b1b"), (None, "x"), (4, ""), (5, "naïve ab")] + [(i, f"w{i} x") for i in range(10, 30)]
+    root = scratch_path(spark, "docs")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{root}/documents.parquet")
+    want = Counter()
+    for i, text in docs:
+        for t in re.findall("[A-Za-z]+", text or ""):
+            want[i, 1 + int(md5(t.encode()).hexdigest()[:8], 16) % X.DOC_WIDTH] += 1
+    cells = X.doc_cells(spark, root)
+    assert {(r["row_id"], r["feature_id"]): r["value"] for r in cells.collect()} == want and cells.count() == len(want)
+    plan = cells.groupBy("row_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_to_wide_is_laid_out_in_parts(spark, monkeypatch):
+    """Rows between parts, empty rows, rows that come twice, null values; a cell beyond the width fails."""
+    monkeypatch.setattr(C, "DENSE_VALUES", 7)
+    vals = [(r, f, float(10 * r + f)) for r in range(1, 20) for f in range(1, 4) if (r * f) % 3] + [(50, 2, None)]
+    cells = spark.createDataFrame(vals, "row_id long, feature_id int, value double")
+    rows = spark.createDataFrame([(r, r) for r in [*range(25), 5, 50]], "row_id long, label int").coalesce(1)
+    by = {(r, f): v for r, f, v in vals}
+    got = C.to_wide(cells, rows, 3)
+    assert "flatten(" not in got._jdf.queryExecution().executedPlan().toString()  # no list per cell
+    assert sorted((r["row_id"], r["label"], str(r["features"])) for r in got.collect()) == sorted(
+        (r, r, str([by.get((r, f), 0.0) for f in range(1, 4)])) for r in [*range(25), 5, 50])
+    with pytest.raises(Exception, match="exceeds declared width"):
+        C.to_wide(cells, rows, 1).collect()
+
+
 def test_shares_reconstruct_exactly(spark):
     vals = [(i, 1, v) for i, v in enumerate([0.0, 1.5, -2.25, 123456.75, -0.000015258789, 7.0])]
     cells = spark.createDataFrame(vals, "row_id long, feature_id int, value double")
