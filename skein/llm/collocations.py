@@ -115,8 +115,8 @@ def language_words(docs: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame, max_words: int, hot: dict[str, set[bytes]]) -> DataFrame:
-    """(lang, word, salt, lines): the edges and rests that begin with a word,
-    counted per slice, as lines of count, tab and the words that follow.
+    """(lang, word, salt, often, lines): the edges and rests that begin with a
+    word, counted per slice: a line for the words that follow, and its count.
 
     All that begins with a word meets at one (lang, word, salt). A frequent
     word (``hot``) is spread by the word that follows, and where that is
@@ -125,7 +125,7 @@ def edges(docs: DataFrame, max_words: int, hot: dict[str, set[bytes]]) -> DataFr
 
     def lines(lang, words, found, busy, codes):
         names = pa.array(words, pa.binary()).cast(pa.string())
-        first, salt, line = [], [], []
+        first, salt, times, line = [], [], [], []
         for numbers, often in found:
             if not len(often):
                 continue
@@ -136,18 +136,20 @@ def edges(docs: DataFrame, max_words: int, hot: dict[str, set[bytes]]) -> DataFr
             first.append(u)
             salt.append(np.where(busy[u], spread, 0))
             rest = [names.take(pa.array(c)) for c in tail]
-            rest = pc.binary_join_element_wise(*rest, " ") if len(rest) > 1 else rest[0] if rest else pa.array([""] * len(u))
-            line.append(pc.binary_join_element_wise(pa.array(often).cast(pa.string()), rest, "\t"))
+            line.append(pc.binary_join_element_wise(*rest, " ") if len(rest) > 1 else rest[0] if rest else pa.array([""] * len(u)))
+            times.append(often)
         if not first:
             return None
         first, salt = np.concatenate(first), np.concatenate(salt)
         order = np.lexsort((salt, first))
         key = (first * (2 * SALTS + 1) + salt)[order]
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        held = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.concat_arrays(line).take(pa.array(order)))
+        ends = pa.array(np.append(at, len(key)).astype(np.int32))
+        held = pa.ListArray.from_arrays(ends, pa.concat_arrays(line).take(pa.array(order)))
+        times = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times)[order].astype(np.int32)))
         return pa.RecordBatch.from_arrays([
             pa.array([lang] * len(at)), names.take(pa.array(first[order[at]])), pa.array(salt[order[at]].astype(np.int32)),
-            pc.binary_join(held, "\n")], names=["lang", "word", "salt", "lines"])
+            times, pc.binary_join(held, "\n")], names=["lang", "word", "salt", "often", "lines"])
 
     def run(batches):
         for batch in batches:
@@ -161,24 +163,84 @@ def edges(docs: DataFrame, max_words: int, hot: dict[str, set[bytes]]) -> DataFr
                     for i in range(0, made.num_rows if made else 0, BATCH_ROWS):
                         yield made.slice(i, BATCH_ROWS)
 
-    return docs.mapInArrow(run, "lang string, word string, salt int, lines string").repartition("lang", "word", "salt")
+    return docs.mapInArrow(run, "lang string, word string, salt int, often array<int>, lines string").repartition("lang", "word", "salt")
+
+
+def _summed(code: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and the sum of ``often`` of each."""
+    order = np.argsort(code)
+    code = code[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    return code[first], np.add.reduceat(often[order], first)
+
+
+def _flows(part: pa.RecordBatch, max_words: int, min_count: int) -> list[pa.RecordBatch]:
+    """(lang, phrase, k, n) of all that begins with the words of ``part``, which
+    has every row of its (lang, word, salt): a phrase counts the edges that
+    begin with it and the rests that equal it."""
+    _, lang, word, salt, often, lines = part.columns
+    lang, word = lang.dictionary_encode(), word.dictionary_encode()
+    salt = salt.to_numpy().astype(np.int64)
+    key = (word.indices.to_numpy().astype(np.int64) * len(lang.dictionary) + lang.indices.to_numpy()) * (2 * SALTS + 1) + salt
+    _, first, group = np.unique(key, return_index=True, return_inverse=True)
+    group = np.repeat(group, pc.list_value_length(often).to_numpy())
+    tail = pc.split_pattern(lines, "\n").flatten().dictionary_encode()
+    at, often = tail.indices.to_numpy().astype(np.int64), often.flatten().to_numpy().astype(np.int64)
+    tail = tail.dictionary
+    length = np.where(pc.equal(tail, "").to_numpy(zero_copy_only=False), 0, pc.count_substring(tail, " ").to_numpy() + 1)
+    made = []
+    for j in range(max_words):  # phrases of j words after the first
+        begins = tail.filter(pa.array(length >= j))
+        if not j:
+            begins = pa.repeat("", len(begins))
+        elif j < max_words - 1:
+            begins = pc.binary_join(pc.list_slice(pc.split_pattern(begins, " "), 0, j), " ")
+        begins = begins.dictionary_encode()
+        if not len(begins):
+            break
+        code = np.full(len(tail), -1, np.int64)
+        code[length >= j] = begins.indices.to_numpy()
+        code = code[at]
+        own = code >= 0
+        code, n = _summed(group[own] * len(begins.dictionary) + code[own], often[own])
+        row, code = first[code // len(begins.dictionary)], code % len(begins.dictionary)
+        # a frequent word's own count, and that of two frequent words, have parts at several salts
+        keep = (n >= min_count) | (salt[row] > 0) & (j == 0) | (salt[row] > SALTS) & (j == 1)
+        row, code, n = pa.array(row[keep]), pa.array(code[keep]), n[keep]
+        words = word.dictionary.take(word.indices.take(row))
+        made.append(pa.RecordBatch.from_arrays([
+            lang.dictionary.take(lang.indices.take(row)), pc.binary_join_element_wise(words, begins.dictionary.take(code), " ") if j else words,
+            pa.array(np.full(len(n), j + 1, np.int32)), pa.array(n)], names=["lang", "phrase", "k", "n"]))
+    return pa.Table.from_batches(made).combine_chunks().to_batches()
 
 
 def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, hot: dict[str, set[bytes]] | None = None) -> DataFrame:
     """(lang, phrase, k, n): how often every phrase of 1 to ``max_words`` words
     occurs, for those with ``min_count`` or more. ``docs`` has lang and text;
     ``hot`` (frequent words by language) only spreads the work."""
-    row = edges(docs, max_words, hot or {}).select("lang", "word", "salt", F.explode(F.split("lines", "\n")).alias("line"))
-    row = row.select("lang", "word", "salt", F.substring_index("line", "\t", -1).alias("tail"), F.substring_index("line", "\t", 1).cast("long").alias("n"))
-    gaps = F.length("tail") - F.length(F.replace("tail", F.lit(" "), F.lit("")))
-    # the weight of an edge flows through all nodes, and shorter phrases, that it begins with
-    begins = [F.when(F.col("tail") != "", "")] + [F.when(gaps >= j, F.substring_index("tail", " ", j)) for j in range(1, max_words - 1)]
-    flow = (row.select("lang", "word", "salt", F.explode(F.array("tail", *begins)).alias("tail"), "n").where("tail IS NOT NULL")
-            .groupBy("lang", "word", "salt", "tail").agg(F.sum("n").alias("n")))
-    k = F.when(F.col("tail") == "", 1).otherwise(gaps + 2)
-    parts = (F.col("salt") > 0) & (k == 1) | (F.col("salt") > SALTS) & (k == 2)
-    phrase = F.when(F.col("tail") == "", F.col("word")).otherwise(F.concat_ws(" ", "word", "tail"))
-    flow = flow.withColumn("k", k).where(parts | (F.col("n") >= min_count)).select("lang", phrase.alias("phrase"), "k", "n")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # rows of the hashes that are not complete
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            if not len(h):
+                continue
+            cut = int(np.searchsorted(h, h[-1]))
+            if held and (cut or held[-1].column(0)[-1].as_py() != h[-1]):
+                yield from counted([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from counted([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield from counted(held)
+
+    def counted(parts):
+        return _flows(pa.Table.from_batches(parts).combine_chunks().to_batches()[0], max_words, min_count)
+
+    # rows of one (lang, word, salt) have one hash, so they come together
+    row = edges(docs, max_words, hot or {}).select(F.xxhash64("lang", "word", "salt").alias("h"), "lang", "word", "salt", "often", "lines")
+    flow = row.sortWithinPartitions("h").mapInArrow(run, "lang string, phrase string, k int, n long")
     return flow.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 

@@ -106,3 +106,20 @@ def test_large_products_and_empty_table(spark):
     r = C.scored(found, counts).first()
     assert r["score"] == 10**6 * (9 * 10**12) ** 2 // (3 * 10**13 * (9 * 10**12 + 7)) and (r.l, r.r) == (3 * 10**13, 9 * 10**12 + 7)
     assert C.collocations(spark.createDataFrame([], "lang string, text string")).count() == 0
+
+
+def test_words_whose_rows_span_batches(spark, monkeypatch):
+    """Counted lines reach the counting task in rows; those of a word may fill many Arrow batches."""
+    monkeypatch.setattr(C, "SLICE_BYTES", 60)
+    rows = [r for r in corpus(8, 60) if r[0] in (None, "en")]
+    src = spark.createDataFrame([("und" if lang is None else lang, t) for lang, t in rows], "lang string, text string").repartition(4)
+    made = C.edges(src, 3, {"en": {b"the", b"of"}})
+    assert dict(made.dtypes)["often"] == "array<int>"
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {(r.lang, tuple(r.phrase.split(" "))): r.n for r in C.phrase_counts(src, 3, 2, {"en": {b"the", b"of"}}).collect()}
+            assert got == {k: v for k, v in plain_counts(rows, 3).items() if v >= 2}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
