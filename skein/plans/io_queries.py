@@ -16,11 +16,10 @@ from skein.operators import shares as I
 from skein.operators import squeeze as Q
 from skein.plans import fixtures as X
 from skein.plans.sketch_queries import (B_BITS, DOC_BASE, K1, K2, KH, N, N1, N2, P, SQUEEZE_COMBOS, _doc_split_sql,
-                                        _squeeze_sql, _with_split, doc_samples, shared_cells,
-                                        sql_samples)
+                                        _squeeze_sql, doc_samples, sql_samples, squeeze_inputs)
 from skein.plans.sqltext import key, with_
 from skein.plans.sqltext import r6 as s6
-from skein.session import cut_lineage, scratch_path
+from skein.session import scratch_path, write_once
 from skein.sources import matrixio as M
 from skein.sources import runlog as RL
 
@@ -90,11 +89,8 @@ def _write_dense_matrix(spark, sf):
                          ("sq", _squeeze_sql())) + """
 SELECT party, row_id, col FROM sq WHERE method = 'pminhash' AND size = 4 AND split = 'test'""")
 def _catalog_read(spark, sf):
-    cells = shared_cells(spark, sf)
-    by = {"pminhash": _with_split(spark, sf, doc_samples(spark, sf, "pminhash", cells=cells)),
-          "0bitcws": _with_split(spark, sf, doc_samples(spark, sf, "0bitcws", cells=cells))}
     root = scratch_path(spark, "catalog")
-    job = cut_lineage(Q.squeeze_job(by, SQUEEZE_COMBOS, N, P, KH))
+    job = write_once(Q.squeeze_job(squeeze_inputs(spark, sf), SQUEEZE_COMBOS, N, P, KH))
     for dataset, portion in (("doc", X.PORTION), ("doc", X.PORTION), ("other", X.PORTION), ("doc", 46)):  # one of them written twice
         M.write_sketch(job, root, dataset, portion)
     got = M.read_sketch(spark, root, dataset="doc", portion=X.PORTION, method="pminhash", size=4, split="test")

@@ -500,7 +500,7 @@ def _sketch_logistic(spark, sf, method):
     # only labelled documents are tokenised and sampled
     labelled = rows.select("row_id")
     draw, size, how = (SM.pminhash_samples, SK_C, {"c": SK_C}) if method == "pminhash" else (SM.cws_samples, SK_B, {"b": SK_B})
-    samples = draw(X.doc_cells(spark, sf, only=labelled), labelled, SQ.N, SQ.KH, SQ.P, seed=SQ.SEED)
+    samples = draw(X.doc_vectors(spark, sf, only=labelled), labelled, SQ.N, SQ.KH, SQ.P, seed=SQ.SEED)
     sk = Q.squeeze(samples, method, size, SQ.N, SQ.P, SQ.KH)          # re-cut at the party border
     w1, w2 = Q.independent_width(SQ.N1, SQ.N2, SQ.K1, SQ.K2, **how)
     cells = sk.select("row_id", (F.col("col") + 1 + F.when(F.col("party") == 2, F.lit(w1)).otherwise(F.lit(0)))

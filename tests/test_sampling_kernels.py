@@ -142,3 +142,52 @@ def test_draws_are_even_and_unrelated():
     for a, b in ((c[:-1], c[1:]), (c[:, :-1], c[:, 1:]), (c, HS.draws(HS.stream(1, "v"), np.arange(1, 401), 0, 2500) - 0.5)):
         assert abs((a * b).mean() * 12) < 5 / math.sqrt(a.size)
     assert np.abs(np.corrcoef(c) - np.eye(400)).max() < 0.12 and len(np.unique(x)) > n * 0.999
+
+
+def test_packed_rows_and_kept_numbers(spark, monkeypatch):
+    """Counts packed by row, parts of one row in any order, columns that travel
+    with their row, and numbers kept for a task or made tile by tile."""
+    from skein.operators import rowtiles as T
+
+    x = {0: [1, 0, 2, 0, 3, 1, 0, 0, 1, 2], 1: [0] * 10, 2: [0, 0, 0, 4, 0, 0, 0, 0, 0, 1], 3: list(range(1, 11))}
+    packed = spark.createDataFrame([(0, [9, 1, 3, 5, 10, 6, 3], [1, 1, 1, 3, 2, 1, 1]), (2, [4, 10, 4], [3, 1, 1]), (3, list(range(1, 11)), list(range(1, 11)))],
+                                   "row_id long, features array<int>, counts array<bigint>")
+    rows = spark.createDataFrame([(i, f"s{i}") for i in (*x, 3)], "row_id long, split string")
+    plain = _rows(spark, [*x, 3])
+    vectors = T.row_vectors(packed, rows, ("split",))
+    for draw in (SM.pminhash_samples, SM.cws_samples):
+        want = sorted(map(tuple, draw(_cells(spark, x), plain, 10, 10, p=0.3).collect()))
+        for kept, long_rows in ((T.TABLE_VALUES, 1), (0, 1), (T.TABLE_VALUES, 1000)):
+            monkeypatch.setattr(T, "TABLE_VALUES", kept)
+            monkeypatch.setattr(SM, "LONG_ROWS", long_rows)
+            assert sorted(map(tuple, draw(packed, plain, 10, 10, p=0.3).collect())) == want
+            got = draw(vectors, None, 10, 10, p=0.3, carry=("split",)).collect()
+            assert sorted(tuple(r)[:4] for r in got) == want and all(r["split"] == f"s{r['row_id']}" for r in got)
+    rff = lambda cells: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in K.rff_features(cells, plain, 10, 6, 0.2, p=0.5).collect())
+    assert rff(packed) == rff(_cells(spark, x))
+
+
+def test_tokens_of_any_text():
+    import pyarrow as pa
+
+    from skein.plans import fixtures as X
+
+    texts = ["Ab é ab-Ab\x00z", None, "", "ÀÉ 12", "z", "a b\U0001f600c", "q"]
+    ids = [7, 8, 9, 10, 11, 12, 7]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])
+    want = {}
+    for i, t in zip(ids, texts):
+        word = ""
+        for c in (t or "") + " ":
+            if c.isascii() and c.isalpha():
+                word += c
+            elif word:
+                f = 1 + int.from_bytes(X.md5(word.encode()).digest()[:4], "big") % 50
+                want[i, f], word = want.get((i, f), 0) + 1, ""
+    for part in ([batch], [batch.slice(0, 3), batch.slice(3)]):
+        got = {}
+        for b in X._token_counts(50)(iter(part)):
+            for i, fs, ns in zip(*(c.to_pylist() for c in b.columns)):
+                for f, n in zip(fs, ns):
+                    got[i, f] = got.get((i, f), 0) + n
+        assert got == want
