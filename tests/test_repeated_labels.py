@@ -19,7 +19,7 @@ def root(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["pminhash_samples", "rff_features_wide"])
+@pytest.mark.parametrize("name", ["pminhash_samples", "rff_features_wide", "sketch_onehot"])
 def test_a_row_for_each_label(spark, root, name):
     ok, msg = compare(spark, connect(root), root, name, registry.queries()[name], registry.oracle_sql()[name])
     assert ok, msg
